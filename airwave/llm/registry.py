@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, exact, packing, quality, tokenfiles, toxicity
+from . import bpe, chat, embeddings, exact, packing, quality, sketch, suffix, tokenfiles, toxicity
 
 
 def queries():
     return {
         "op1_quality_classifier": quality.query,
+        "op2_suffix_dedup": suffix.query,
         "op3_toxicity": toxicity.query,
         "op4_packing": packing.query,
         "op5_exact_dedup": exact.query,
         "op6_chat_formatting": chat.query,
+        "op7_minhash_neardup": sketch.query,
         "op8_byte_bpe": bpe.query,
         "op9_token_files": tokenfiles.query,
         "op10_embedding_neardup": embeddings.query,

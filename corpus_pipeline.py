@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airwave.llm import common, exact, packing, quality
+from airwave.llm import common, exact, packing, quality, sketch, suffix
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +17,22 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs, exact.build(docs, common.new_path(spark, "exact")))
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    return sketch.keep_first(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of strings of 200 bytes that also start elsewhere."""
+    return suffix.shorten(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, packed."""
     return packing.query(spark, sf_dir, docs)
 
 
-STAGES = [("quality", quality_stage), ("exact", exact_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("exact", exact_stage), ("near", near_stage), ("substring", substring_stage), ("packing", packing_stage)]
 
 #: SQL cannot express the classifier; tests hold each stage against brute force.
 ORACLE_SQL = None
