@@ -43,16 +43,31 @@ def cut(df: DataFrame, name: str = "cut", path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.airwave_path = path
+    return out
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop what it no longer refers to, so that the cleaner removes the shuffle
-    files of stages whose result is already in the shared folder."""
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` that nothing reads any more, and let the driver drop what it no longer
+    refers to, so that the cleaner removes shuffle files of stages whose result is in the shared folder."""
     import gc
 
+    for table in tables:
+        spark = table.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(table.airwave_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     gc.collect()
-    spark._jvm.System.gc()
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` once and kept so in the shared folder: later joins on the key move only the other side."""
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    name = f"airwave_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.bucketBy(n, key).option("path", new_path(spark, "bucketed")).option("compression", "zstd")
+    writer.saveAsTable(name)
+    return spark.table(name)
 
 
 def row_key() -> Column:

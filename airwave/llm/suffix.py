@@ -26,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .hashing import _powers, concatenate, mix
@@ -33,6 +34,8 @@ from .pieces import slices
 
 #: bytes of a q-gram (a power of two), offsets that one sub-bucket covers, windows hashed at a time
 Q, BLOCK, STEP = 64, 32, 1 << 18
+#: sub-buckets of one bucket up to which one task refines them side by side
+LOCAL = 200
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LEVEL = mix(np.arange(1, 40, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -88,8 +91,10 @@ class _Ids:
         return mix((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(np.uint64))
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return common.texts(docs).select(common.row_key().alias("row"), "text")
+def store(docs: DataFrame) -> DataFrame:
+    """(row, text, rest): documents dealt by row_key once, with all other columns inside ``rest``."""
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("rest")
+    return common.bucketed(docs.select(common.row_key().alias("row"), F.col("text").cast("string").alias("text"), rest), "row")
 
 
 def _lists(batch_column) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +107,27 @@ def _lists(batch_column) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([f.to_numpy(zero_copy_only=False).astype(np.int64) for f in flat.flatten()], 1) if len(flat) else np.zeros((0, 3), np.int64), n
 
 
-def _with_lists(docs: DataFrame, rows: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+def _with_lists(stored: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Texts with what was found in them: each text's list is bounded by its own length."""
     found = rows.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("found"))
-    return _source(docs).join(found, "row", how)
+    return stored.select("row", F.coalesce("text", F.lit("")).alias("text")).join(found, "row").select("row", "text", "found")
 
 
-def repeats(docs: DataFrame, span: int = 200) -> DataFrame:
-    """(row, lo, hi): every window of ``span`` bytes that starts at lo..hi in the text of row_key ``row`` also starts elsewhere."""
+def _places(found: np.ndarray, n: np.ndarray, starts: np.ndarray, span: int):
+    """Every window of the listed stretches (lo, wide, known), each once: its place, text and whether it is known."""
+    doc = np.repeat(np.arange(len(n)), n)
+    times = found[:, 1] + 1
+    p = np.repeat(found[:, 0] + starts[doc], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    known = np.repeat(found[:, 2], times)
+    order = np.lexsort((-known, p))
+    p, known = p[order], known[order]
+    one = np.r_[True, p[1:] != p[:-1]] if len(p) else np.zeros(0, bool)
+    return p[one], np.searchsorted(starts, p[one], "right") - 1, known[one]
+
+
+def repeats(stored: DataFrame, span: int = 200) -> DataFrame:
+    """(row, lo, hi): every window of ``span`` bytes that starts at lo..hi in the text of row ``row`` of a
+    ``store`` also starts elsewhere."""
 
     def anchor_rows(batches):
         import pyarrow as pa
@@ -121,9 +139,10 @@ def repeats(docs: DataFrame, span: int = 200) -> DataFrame:
             cols = [pa.array(key.view(np.int64)), pa.array(row), pa.array(at), pa.array(near.astype(np.int16)), pa.array(far.astype(np.int16))]
             yield pa.RecordBatch.from_arrays(cols, ["key", "row", "at", "near", "far"])
 
-    anchors = common.cut(_source(docs).mapInArrow(anchor_rows, "key long, row long, at long, near short, far short"), "anchors")
+    anchors = common.cut(stored.select("row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(anchor_rows, "key long, row long, at long, near short, far short"), "anchors")
     shared = common.cut(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     hits = common.cut(anchors.join(shared, "key").select("row", "at", "near", "far"), "hits")
+    common.discard(anchors, shared)
 
     def sub_buckets(batches):
         import pyarrow as pa
@@ -153,48 +172,91 @@ def repeats(docs: DataFrame, span: int = 200) -> DataFrame:
             cols = [pa.array(grp.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(row), pa.array(lo - starts[doc]), pa.array((hi - lo).astype(np.int16))]
             yield pa.RecordBatch.from_arrays(cols, ["grp", "cls", "row", "lo", "wide"])
 
-    members = _with_lists(docs, hits, ["at", "near", "far"]).select("row", "text", "found")
-    members = common.cut(members.mapInArrow(sub_buckets, "grp long, cls long, row long, lo long, wide short"), "members")
-    common.free_shuffles(docs.sparkSession)
+    members = common.cut(_with_lists(stored, hits, ["at", "near", "far"]).mapInArrow(sub_buckets, "grp long, cls long, row long, lo long, wide short"), "members")
+    common.discard(hits)
     classes = members.groupBy("grp", "cls").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "wide")).alias("one"))
     classes = common.cut(classes, "classes")
     settled = members.join(classes.where("n > 1").select("cls"), "cls").select("row", "lo", (F.col("lo") + F.col("wide")).alias("hi"))
     settled = common.cut(settled, "settled")
-    mixed = common.cut(classes.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp"), "mixed")
-    again = classes.join(mixed, "grp").select(F.col("one.row").alias("row"), F.col("one.lo").alias("lo"), F.col("one.wide").alias("wide"), (F.col("n") > 1).cast("int").alias("known"))
+    common.discard(members)
+    mixed = common.cut(classes.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp", (F.col("m") > LOCAL).alias("crowded")), "mixed")
+    again = classes.join(mixed, "grp").select("grp", "crowded", F.col("one.row").alias("row"), F.col("one.lo").alias("lo"), F.col("one.wide").alias("wide"), (F.col("n") > 1).cast("int").alias("known"))
     again = common.cut(again, "again")
-    common.free_shuffles(docs.sparkSession)
+    common.discard(classes, mixed)
+
+    def stretches(batches):
+        import pyarrow as pa
+
+        for part in slices(batches, "text", 2 << 20):
+            raw = [t.encode() for t in part.column("text").to_pylist()]
+            rows = [(f["grp"], r, f["lo"], f["wide"], f["known"], t[f["lo"] : f["lo"] + f["wide"] + span]) for r, t, found in zip(part.column("row").to_pylist(), raw, part.column("found").to_pylist()) for f in found]
+            for at in range(0, len(rows), 8192):
+                cols = list(zip(*rows[at : at + 8192]))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int8(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["grp", "row", "lo", "wide", "known", "bytes"])
+
+    def resolved(batches):
+        """Buckets of a few sub-buckets, side by side: equal windows within a bucket."""
+        import pyarrow as pa
+
+        def judge(table):
+            buf, starts = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8), None
+            grp, row, lo, wide, known = (table.column(c).to_numpy() for c in ("grp", "row", "lo", "wide", "known"))
+            size = wide.astype(np.int64) + span
+            starts = np.cumsum(size) - size
+            i = np.repeat(np.arange(len(grp)), size - span + 1)
+            p = starts[i] + np.arange(len(i)) - np.searchsorted(i, i)
+            # a text that repeats itself closely reaches one window from two anchors: it counts once, as known if either is
+            order = np.argsort(-known[i], kind="stable")
+            i, p = i[order], p[order]
+            bucket = mix(grp.view(np.uint64))[i]
+            place = mix(mix(row.view(np.uint64))[i] + (lo[i] + p - starts[i]).astype(np.uint64)) ^ bucket
+            one = np.unique(place, return_index=True)[1]
+            i, p = i[one], p[one]
+            key = _Ids(buf).of(p, p + span) ^ bucket[one]
+            _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+            good = (n[inverse] > 1) & (known[i] == 0)
+            at = lo[i[good]] + (p[good] - starts[i[good]])
+            return pa.RecordBatch.from_arrays([pa.array(row[i[good]]), pa.array(at), pa.array(at)], ["row", "lo", "hi"])
+
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 16_384:
+                continue
+            table = pa.Table.from_batches(held)
+            grp = table.column("grp").to_numpy()
+            cut = int(np.searchsorted(grp, grp[-1]))
+            if cut:
+                yield judge(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held:
+            yield judge(pa.Table.from_batches(held))
+
+    few = again.where(~F.col("crowded"))
+    side = _with_lists(stored, few, ["grp", "lo", "wide", "known"]).mapInArrow(stretches, "grp long, row long, lo long, wide short, known byte, bytes binary")
+    late = common.cut(side.repartition(common.partitions(stored.sparkSession), "grp").sortWithinPartitions("grp").mapInArrow(resolved, "row long, lo long, hi long"), "late")
 
     def windows(batches):
         import pyarrow as pa
 
         for part in slices(batches, "text", 1 << 20):
             buf, starts = concatenate(part.column("text").to_pylist())
-            found, n = _lists(part.column("found"))
-            doc = np.repeat(np.arange(part.num_rows), n)
-            times = found[:, 1] + 1
-            p = np.repeat(found[:, 0] + starts[doc], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            known = np.repeat(found[:, 2], times)
-            order = np.lexsort((-known, p))
-            p, known = p[order], known[order]
-            one = np.r_[True, p[1:] != p[:-1]] if len(p) else np.zeros(0, bool)
-            p, known = p[one], known[one]
-            doc = np.searchsorted(starts, p, "right") - 1
-            row = part.column("row").to_numpy()[doc]
+            p, doc, known = _places(*_lists(part.column("found")), starts, span)
             ids = _Ids(buf).of(p, p + span)
-            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(row), pa.array(p - starts[doc]), pa.array(known.astype(np.int8))], ["id", "row", "lo", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(part.column("row").to_numpy()[doc]), pa.array(p - starts[doc]), pa.array(known.astype(np.int8))], ["id", "row", "lo", "known"])
 
-    fine = _with_lists(docs, again, ["lo", "wide", "known"]).select("row", "text", "found")
-    fine = common.cut(fine.mapInArrow(windows, "id long, row long, lo long, known byte"), "windows")
+    crowded = again.where("crowded")
+    fine = common.cut(_with_lists(stored, crowded, ["lo", "wide", "known"]).mapInArrow(windows, "id long, row long, lo long, known byte"), "windows")
     twice = common.cut(fine.groupBy("id").agg(F.count("*").alias("n"), F.min("known").alias("k")).where("n > 1 and k = 0").select("id"), "twice")
-    late = fine.where("known = 0").join(twice, "id").select("row", "lo", F.col("lo").alias("hi"))
-    common.free_shuffles(docs.sparkSession)
-    return settled.unionByName(late)
+    last = common.cut(fine.where("known = 0").join(twice, "id").select("row", "lo", F.col("lo").alias("hi")), "last")
+    common.discard(again, fine, twice)
+    return settled.unionByName(late).unionByName(last)
 
 
-def removed(docs: DataFrame, span: int = 200) -> DataFrame:
+def removed(stored: DataFrame, span: int = 200) -> DataFrame:
     """(row, spans array<struct<start, stop>>): the maximal runs of bytes that repeated windows cover."""
-    found = repeats(docs, span).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    found = repeats(stored, span).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
 
     def run(batches):
         import pyarrow as pa
@@ -223,37 +285,42 @@ def _kept(raw: bytes, spans) -> bytes:
 
 def strip(docs: DataFrame, span: int = 200) -> DataFrame:
     """doc_id, n_bytes, spans, kept (binary): what is left of every document."""
-    spans = common.cut(removed(docs, span), "spans")
+    stored = store(docs.select("doc_id", "text"))
+    spans = common.cut(removed(stored, span), "spans")
 
     def run(batches):
         import pyarrow as pa
 
         for part in slices(batches, "text", 2 << 20):
-            raw = [t.encode() for t in part.column("text").to_pylist()]
+            raw = [(t or "").encode() for t in part.column("text").to_pylist()]
             kept = [_kept(r, s) for r, s in zip(raw, part.column("spans").to_pylist())]
             cols = [part.column("doc_id").combine_chunks(), pa.array([len(r) for r in raw], pa.int64()), part.column("spans").combine_chunks(), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "spans", "kept"])
 
-    rows = common.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("row"), "text").join(spans, "row", "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    rows = stored.join(spans, "row", "left").select(F.col("rest.doc_id").cast("long").alias("doc_id"), "text", "spans")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
 def shorten(docs: DataFrame, span: int = 200) -> DataFrame:
     """``docs`` with the repeated bytes cut from text; a character that a cut splits goes too, n_chars follows."""
-    spans = common.cut(removed(docs, span), "spans").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_key", common.row_key()).join(spans, F.col("_key") == F.col("_row"), "left").select(*docs.columns, "_spans")
+    stored = store(docs)
+    spans = common.cut(removed(stored, span), "spans")
 
     def run(batches):
         import pyarrow as pa
 
         for part in slices(batches, "text", 2 << 20):
-            text = [t if t is None or s is None else _kept(t.encode(), s).decode(errors="ignore") for t, s in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist())]
-            out = part.drop_columns(["_spans"]).set_column(part.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
-            if "n_chars" in out.schema.names:
-                out = out.set_column(out.schema.get_field_index("n_chars"), "n_chars", pa.array([None if t is None else len(t) for t in text], out.schema.field("n_chars").type))
+            text = [t if t is None or s is None else _kept(t.encode(), s).decode(errors="ignore") for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
+            out = pa.table([pa.array(text, pa.string()), part.column("rest")], ["text", "rest"])
             yield from out.to_batches()
 
-    return rows.mapInArrow(run, docs.schema)
+    rows = stored.join(spans, "row", "left").select("text", "spans", "rest")
+    cut_ = rows.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), stored.schema["rest"]]))
+    # positions, not names: a column may bear any name
+    field = {c: F.col("rest").getField(c) for c in docs.columns if c != "text"}
+    if "n_chars" in field:
+        field["n_chars"] = F.when(field["n_chars"].isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return cut_.select(*(F.col("text") if c == "text" else field[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
