@@ -35,7 +35,7 @@ from .pieces import slices
 #: bytes of a q-gram (a power of two), offsets that one sub-bucket covers, windows hashed at a time
 Q, BLOCK, STEP = 64, 32, 1 << 18
 #: sub-buckets of one bucket up to which one task refines them side by side
-LOCAL = 200
+LOCAL = 1000
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LEVEL = mix(np.arange(1, 40, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
