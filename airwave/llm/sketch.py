@@ -54,7 +54,7 @@ def shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
         whole = []
         at = np.cumsum(count) - count
         for d in few:
-            v = np.full(1, count[d] * 0xD6E8FEB86659FD93 & (1 << 64) - 1, np.uint64)
+            v = np.full(1, int(count[d]) * 0xD6E8FEB86659FD93 & (1 << 64) - 1, np.uint64)
             for i in range(at[d], at[d] + count[d]):
                 v = mix(v * np.uint64(0x9FB21C651E98DF25) + h[i : i + 1])
             whole.append(v[0])
