@@ -7,9 +7,11 @@ bands; documents that agree on a band meet there. The joint likelihood of all re
 sizes estimates the Jaccard index of a pair, hopeless pairs go, and the rest is verified on the full
 sets. Only classes of equal sets take part, each by its smallest document.
 
-In a band's group members are first held against the group's smallest member. Members that stay in
-another component than someone they met are then held against each other, in blocks, until no pair
-of a group that could link is left unjudged; nothing is capped.
+In a band's group members are first held against the group's smallest member, then, where the group
+still lies in several components, against the member closest to the group's consensus registers (the
+common original of many edited copies). Members that even then stay in another component than someone
+they met are held against each other, in blocks, until no pair of a group that could link is left
+unjudged; nothing is capped.
 
 Defined cases: a null text or a text without words has the empty set and links with nothing; a text
 of fewer words than a shingle is one shingle; repeated rows are equal sets and so linked; a null
@@ -34,6 +36,8 @@ BANDS, ROWS = 25, 5
 BASE, LIMIT, SLACK = 1.05, 65_000, 4.0
 #: members of a group that one task holds against each other
 BLOCK = 512
+#: members of a group among which one task looks for the consensus
+CROWD = 20_000
 
 _MULT = (np.random.default_rng(20240229).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -107,6 +111,15 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return best
 
 
+def equal_floor(least: float, na, nb) -> np.ndarray:
+    """Fewest equal registers that leave a similarity of ``least`` possible: cheap to hold against before the estimate."""
+    m = BANDS * ROWS
+    u, v = na / (na + nb), nb / (na + nb)
+    p = 1 - sum(-np.log1p(-np.maximum(x, 1e-9) * (BASE - 1) / BASE) / np.log(BASE) for x in (u - v * least, v - u * least))
+    p = np.clip(p, 0, 1)
+    return m * p - SLACK * np.sqrt(m * p * (1 - p)) - 1
+
+
 def floor_of(least: float) -> float:
     return least - SLACK * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
 
@@ -197,12 +210,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return half.join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(met: DataFrame, reps: DataFrame, comp: DataFrame, least: float) -> DataFrame:
-    """Pairs of one group that lie in different components and could still link."""
+def _mixed(met: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+    """(band, rep, component, size) of the groups whose members lie in several components."""
     placed = common.cut(met.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component")), "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    mixed = common.cut(mixed.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rows = common.cut(placed.join(mixed, "band"), "cells").join(reps.select("rep", "n", "regs"), "rep")
+    return common.cut(placed.join(common.cut(mixed.select("band", "size"), "sizes"), "band"), name)
+
+
+def _consensus(mixed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of the member that agrees most with its group's modal registers and every other member."""
+    rows = mixed.join(reps.select("rep", "regs"), "rep")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CROWD)).cast("int"))
+
+    def run(key, pdf):
+        import pandas as pd
+
+        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), -1)
+        rep = pdf["rep"].to_numpy()
+        ordered = np.sort(regs, axis=0)
+        # the modal value of each register: the longest run of its sorted values
+        run_ = np.ones(ordered.shape, np.int32)
+        for i in range(1, len(ordered)):
+            run_[i] += np.where(ordered[i] == ordered[i - 1], run_[i - 1], 0)
+        mode = ordered[run_.argmax(0), np.arange(ordered.shape[1])]
+        hub = rep[np.lexsort((rep, -(regs == mode).sum(1)))[0]]
+        other = rep[rep != hub]
+        return pd.DataFrame({"a": np.minimum(other, hub), "b": np.maximum(other, hub)}, dtype="int64")
+
+    return rows.select("band", "own", "rep", "regs").groupBy("band", "own").applyInPandas(run, "a long, b long").distinct()
+
+
+def _across(mixed: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Pairs of one group that lie in different components and could still link."""
+    rows = mixed.join(reps.select("rep", "n", "regs"), "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     cells = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("band", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "own", "rep", "component", "n", "regs")
     line = floor_of(least)
@@ -217,6 +257,7 @@ def _across(met: DataFrame, reps: DataFrame, comp: DataFrame, least: float) -> D
             ok = (rep > rep[i]) & (comp_ != comp_[i]) & (np.minimum(n, n[i]) >= np.floor(np.maximum(n, n[i]) * least * (1 - 1e-9)))
             ok &= own != own[i] if key[1] != key[2] else True
             at = np.flatnonzero(ok)
+            at = at[(regs[at] == regs[i]).sum(1) >= equal_floor(least, float(n[i]), n[at].astype(float))] if len(at) else at
             if len(at):
                 est = estimate(regs[i][None], regs[at], np.float64(n[i]), n[at].astype(float))
                 found += [(rep[i], r) for r in rep[at[est >= line]]]
@@ -237,20 +278,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     groups = common.cut(bands.groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("c")).where("c > 1").select("band", "center"), "groups")
     met = common.cut(bands.join(groups, "band"), "met")
     pairs = met.where("center <> rep").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = None
-    judged = common.cut(_promising(common.cut(pairs, "pairs"), reps, least), "likely")
-    while True:
-        good = common.cut(_verified(judged, docs, k, num, den), "linked")
-        edges = good if edges is None else edges.unionByName(good)
-        comp = components(edges)
-        if not judged.limit(1).count():
+    met = met.select("band", "rep")
+    seen = todo = common.cut(_promising(common.cut(pairs, "pairs"), reps, least), "likely")
+    edges = common.cut(_verified(todo, docs, k, num, den), "linked")
+    comp = components(edges)
+    for step in range(64):
+        mixed = _mixed(met, comp, "mixed")
+        if not mixed.limit(1).count():
             break
-        # pairs judged once need no second look
-        open_ = _across(met.select("band", "rep"), reps, comp, least)
-        judged_all = judged if edges is good else judged_all.unionByName(judged)  # noqa: F821
-        judged = common.cut(open_.join(judged_all, ["a", "b"], "left_anti"), "open")
-        if not judged.limit(1).count():
+        found = _promising(common.cut(_consensus(mixed, reps), "hubs"), reps, least) if step == 0 else _across(mixed, reps, least)
+        todo = common.cut(found.join(seen, ["a", "b"], "left_anti"), "open")  # a pair is judged once
+        if step and not todo.limit(1).count():
             break
+        seen = seen.unionByName(todo)
+        edges = edges.unionByName(common.cut(_verified(todo, docs, k, num, den), "linked"))
+        comp = components(edges)
     known = reps.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("component"))
     known = common.cut(known, "known")
     tied = rows.withColumn("_link", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")))
