@@ -1,9 +1,475 @@
-"""Registry of the engine's own queries and their SQL twins."""
+"""Registry of the engine's own queries and their DuckDB twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from airwave.functions import privacy, text
+from airwave.operators import evaluation, filters, joins, segment, stats, windows
+from airwave.plans.testviews import duck, view
+
+_Q: dict = {}
+_SQL: dict = {}
+SALT = "airwave"
+
+
+def register(name: str, sql: str | None = None):
+    def keep(f):
+        _Q[name] = lambda spark, sf_dir: f(lambda v: view(spark, sf_dir, v))
+        if sql:
+            _SQL[name] = duck(sql)
+        return f
+
+    return keep
 
 
 def queries():
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+_WINDOWS = """WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY us, event_id) AS rn FROM t_messages),
+nx AS (SELECT a.stream_id, a.rn, min(b.rn) AS nxt FROM m a LEFT JOIN m b ON a.stream_id = b.stream_id AND b.rn > a.rn AND (b.us >= a.us + 86400000000 OR b.rn >= a.rn + 20) GROUP BY ALL),
+w AS (SELECT stream_id, CAST(1 AS BIGINT) AS rn FROM m WHERE rn = 1 UNION ALL SELECT w.stream_id, nx.nxt FROM w JOIN nx ON w.stream_id = nx.stream_id AND w.rn = nx.rn WHERE nx.nxt IS NOT NULL),
+b AS (SELECT w.stream_id, w.rn AS lo, coalesce(lead(w.rn) OVER (PARTITION BY w.stream_id ORDER BY w.rn), 9000000000) AS hi FROM w),
+g AS (SELECT m.stream_id, m.message_id, m.event_id, m.us, m.text, m.sentiment, b.lo, count(*) OVER (PARTITION BY m.stream_id, b.lo) AS size FROM m JOIN b ON m.stream_id = b.stream_id AND m.rn >= b.lo AND m.rn < b.hi),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY stream_id ORDER BY lo) - 1 AS window_index FROM g WHERE size >= 3) """
+
+
+def _members(v):
+    return windows.greedy_windows(v("t_messages"), 20, 24 * 60, 3)
+
+
+@register("greedy_windows", _WINDOWS + "SELECT stream_id, message_id, window_index FROM k")
+def _(v):
+    return _members(v)
+
+
+@register("window_sentiment", _WINDOWS + """, c AS (SELECT stream_id, window_index, count(*) AS messages, count(sentiment) AS scored, min(us) AS start_us, max(us) AS end_us,
+ CAST(count(*) FILTER (sentiment = 'positive') AS DOUBLE) / count(sentiment) AS p, CAST(count(*) FILTER (sentiment = 'negative') AS DOUBLE) / count(sentiment) AS n, CAST(count(*) FILTER (sentiment = 'neutral') AS DOUBLE) / count(sentiment) AS u FROM k GROUP BY ALL)
+SELECT stream_id, window_index, messages, scored, start_us, end_us,
+ CASE WHEN scored = 0 OR p + n < 0.15 OR abs(p - n) < 0.04 THEN 'neutral' WHEN p > n THEN 'positive' ELSE 'negative' END AS sentiment,
+ round(CASE WHEN scored = 0 THEN 1.0 WHEN p + n < 0.15 OR abs(p - n) < 0.04 THEN u ELSE greatest(p, n) / (p + n) END, 6) AS confidence FROM c""")
+def _(v):
+    return stats.window_sentiment(v("t_messages"), _members(v))
+
+
+@register("window_documents", _WINDOWS + "SELECT stream_id, window_index, string_agg(text, chr(10) ORDER BY us, event_id) AS content, count(*) AS message_count, min(us) AS start_us, max(us) AS end_us, sha256(string_agg(text, chr(10) ORDER BY us, event_id)) AS content_hash FROM k GROUP BY ALL")
+def _(v):
+    return stats.window_documents(v("t_messages"), _members(v))
+
+
+@register("window_messages", _WINDOWS + ", r AS (SELECT *, row_number() OVER (PARTITION BY stream_id, window_index ORDER BY us, event_id) AS rank FROM k) SELECT stream_id, window_index, message_id, rank FROM r WHERE rank <= 5")
+def _(v):
+    return filters.window_messages(v("t_messages"), _members(v), 5).select("stream_id", "window_index", "message_id", "rank")
+
+
+@register("stream_rates", _WINDOWS + ", c AS (SELECT stream_id, count(*) AS messages, (max(us) - min(us)) / 60000000.0 AS minutes FROM t_messages GROUP BY 1), n AS (SELECT stream_id, count(DISTINCT window_index) AS windows FROM k GROUP BY 1) SELECT c.stream_id, messages, round(CAST(minutes AS DOUBLE), 4) AS minutes, coalesce(windows, 0) AS windows FROM c LEFT JOIN n USING (stream_id)")
+def _(v):
+    w = _members(v).groupBy("stream_id").agg(F.countDistinct("window_index").alias("windows"))
+    c = stats.stream_counters(v("t_messages"))
+    return c.join(w, "stream_id", "left").select("stream_id", F.col("message_count").alias("messages"), F.round((F.col("last_us") - F.col("first_us")) / 60_000_000, 4).alias("minutes"), F.coalesce("windows", F.lit(0)).alias("windows"))
+
+
+_AIR = "FROM t_segments s JOIN t_messages m ON s.stream_id = m.stream_id AND m.offset_ms >= s.start_ms AND m.offset_ms < s.end_ms AND NOT m.is_spam"
+
+
+@register("chat_count_by_segment", f"SELECT s.segment_id, count(m.message_id) AS chat_count {_AIR.replace('JOIN', 'LEFT JOIN')} GROUP BY 1")
+def _(v):
+    return joins.chat_count_by_segment(v("t_messages"), v("t_segments"))
+
+
+@register("segment_messages", f"SELECT s.segment_id, m.message_id, m.offset_ms {_AIR}")
+def _(v):
+    return joins.segment_messages(v("t_messages"), v("t_segments")).select("segment_id", "message_id", "offset_ms")
+
+
+@register("bucketed_range_join", "SELECT s.segment_id, m.message_id FROM t_segments s JOIN t_messages m ON s.stream_id = m.stream_id AND m.offset_ms >= s.start_ms AND m.offset_ms < s.end_ms")
+def _(v):
+    return joins.bucketed_range_join(v("t_messages"), v("t_segments").drop("topic_ord"), "stream_id", "offset_ms", 3 * joins.DAY).select("segment_id", "message_id")
+
+
+@register("reaction_overview", f"""WITH x AS (SELECT s.segment_id, count(m.message_id) AS total, count(*) FILTER (m.sentiment = 'positive') AS positive, count(*) FILTER (m.sentiment = 'neutral') AS neutral, count(*) FILTER (m.sentiment = 'negative') AS negative {_AIR.replace('JOIN', 'LEFT JOIN')} GROUP BY 1)
+SELECT *, CASE WHEN greatest(positive, neutral, negative) = 0 THEN NULL WHEN (CASE WHEN positive = greatest(positive, neutral, negative) THEN 1 ELSE 0 END + CASE WHEN neutral = greatest(positive, neutral, negative) THEN 1 ELSE 0 END + CASE WHEN negative = greatest(positive, neutral, negative) THEN 1 ELSE 0 END) > 1 THEN 'mixed'
+ WHEN positive = greatest(positive, neutral, negative) THEN 'positive' WHEN neutral = greatest(positive, neutral, negative) THEN 'neutral' ELSE 'negative' END AS mood FROM x""")
+def _(v):
+    return joins.reaction_overview(v("t_messages"), v("t_segments"))
+
+
+@register("reaction_words", f"WITH w AS (SELECT s.segment_id, unnest(regexp_extract_all(m.text, '([a-z]+)', 1)) AS word {_AIR}), c AS (SELECT segment_id, word, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY n DESC, word) AS rank FROM c) SELECT * FROM r WHERE rank <= 8")
+def _(v):
+    return joins.reaction_words(v("t_messages"), v("t_segments"))
+
+
+@register("enrichment_plan", f"WITH c AS (SELECT s.segment_id, count(m.message_id) AS n {_AIR.replace('JOIN', 'LEFT JOIN')} GROUP BY 1) SELECT segment_id, 'headline' AS kind FROM c UNION ALL SELECT segment_id, 'reaction' AS kind FROM c WHERE n >= 5")
+def _(v):
+    c = joins.chat_count_by_segment(v("t_messages"), v("t_segments"))
+    kinds = F.when(F.col("chat_count") >= 5, F.array(F.lit("headline"), F.lit("reaction"))).otherwise(F.array(F.lit("headline")))
+    return c.select("segment_id", F.explode(kinds).alias("kind"))
+
+
+@register("segment_cards", "SELECT segment_id, end_ms - start_ms AS duration_ms, CAST(start_ms // 1000 // 3600 AS VARCHAR) || ':' || lpad(CAST(start_ms // 1000 // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_ms // 1000 % 60 AS VARCHAR), 2, '0') AS timecode, greatest(start_ms // 1000 - 2, 0) AS link_s FROM t_segments")
+def _(v):
+    return filters.segment_cards(v("t_segments"))
+
+
+@register("segment_listing", "SELECT segment_id, start_ms FROM t_segments WHERE topic_ord = 3 ORDER BY stream_id, start_ms LIMIT 50 OFFSET 10")
+def _(v):
+    return v("t_segments").where("topic_ord = 3").orderBy("stream_id", "start_ms").offset(10).limit(50).select("segment_id", "start_ms")
+
+
+@register("explore", "SELECT id, sentiment_confidence, (SELECT count(*) FROM t_documents WHERE sentiment = 'positive' AND sentiment_confidence >= 0.2) AS total FROM t_documents WHERE sentiment = 'positive' AND sentiment_confidence >= 0.2 ORDER BY sentiment_confidence DESC, id LIMIT 20 OFFSET 20")
+def _(v):
+    return filters.explore(v("t_documents"), sentiment="positive", min_confidence=0.2, sort="confidence", page=2).select("id", "sentiment_confidence", "total")
+
+
+@register("search_literal", "SELECT id FROM t_documents WHERE contains(lower(title), '%') OR contains(lower(content), '%')")
+def _(v):
+    return filters.search_literal(v("t_documents"), " % ").select("id")
+
+
+@register("unclear_predictions", "SELECT message_id, sentiment, sentiment_confidence IS NULL OR sentiment_confidence < 0.5 AS unclear FROM t_messages")
+def _(v):
+    return filters.unclear(v("t_messages")).select("message_id", "sentiment", "unclear")
+
+
+@register("upsert_messages", "SELECT stream_id, message_id FROM t_messages WHERE event_id % 3 <> 0 OR event_id % 2 = 0")
+def _(v):
+    m = v("t_messages")
+    return filters.upsert_messages(m.where("event_id % 3 <> 0"), m.where("event_id % 2 = 0").union(m.where("event_id % 4 = 0"))).select("stream_id", "message_id")
+
+
+@register("upsert_streams", "WITH s AS (SELECT DISTINCT stream_id FROM t_messages) SELECT stream_id, CASE WHEN stream_id % 2 = 0 AND stream_id % 4 <> 0 THEN 'new' WHEN stream_id % 3 <> 0 THEN 'old' END AS title, CASE WHEN stream_id % 2 = 0 THEN 'poll' ELSE 'file' END AS collector FROM s WHERE stream_id % 3 <> 0 OR stream_id % 2 = 0")
+def _(v):
+    s = v("t_messages").select("stream_id").distinct()
+    old = s.where("stream_id % 3 <> 0").select("stream_id", F.lit("old").alias("title"), F.lit("file").alias("collector"))
+    new = s.where("stream_id % 2 = 0").select("stream_id", F.when(F.col("stream_id") % 4 == 0, "").otherwise("new").alias("title"), F.lit("poll").alias("collector"))
+    return filters.upsert_streams(old, new)
+
+
+@register("delete_documents", "SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS news_id FROM documents")
+def _(v):
+    d = v("t_documents").select("id")
+    members = d.withColumn("news_id", F.col("id")).withColumnRenamed("id", "member")
+    return filters.delete_documents(d, members, d.where("id % 5 = 0"))[1].select(F.col("member").alias("id"), "news_id")
+
+
+@register("dedupe_documents", "SELECT sha256(content) AS content_hash, min(id) AS id FROM t_documents GROUP BY 1")
+def _(v):
+    return filters.dedupe_documents(v("t_documents"))
+
+
+@register("dedupe_entities", "SELECT doc_id, token AS text, min(pos) AS pos FROM t_tokens GROUP BY ALL")
+def _(v):
+    return filters.dedupe_entities(v("t_tokens").withColumnRenamed("token", "text"))
+
+
+@register("validate_labelled", """WITH r AS (SELECT *, min(id) OVER (PARTITION BY title) AS ft, min(id) OVER (PARTITION BY content) AS fc FROM t_documents)
+SELECT id, 'empty title' AS problem, CAST(NULL AS BIGINT) AS first_id FROM r WHERE trim(title) = '' UNION ALL SELECT id, 'short content', NULL FROM r WHERE length(content) < 40
+UNION ALL SELECT id, 'duplicate title', ft FROM r WHERE id <> ft UNION ALL SELECT id, 'duplicate content', fc FROM r WHERE id <> fc""")
+def _(v):
+    return filters.validate_labelled(v("t_documents").select("id", "title", "content"))
+
+
+@register("dashboard_totals", """SELECT d.*, m.*, t.topic_ord AS top_topic, t.n AS top_count FROM
+(SELECT count(*) AS documents, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (source_type = 'chat_window') AS chat_windows, count(*) FILTER (source_type = 'article') AS articles, round(avg(topic_confidence), 4) AS avg_topic_confidence, round(avg(sentiment_confidence), 4) AS avg_sentiment_confidence FROM t_documents) d,
+(SELECT count(*) AS messages, count(sentiment) AS scored, count(*) FILTER (is_spam) AS noise, count(DISTINCT stream_id) AS streams FROM t_messages) m,
+(SELECT topic_ord, count(*) AS n FROM t_documents GROUP BY 1 ORDER BY n DESC, topic_ord LIMIT 1) t""")
+def _(v):
+    return stats.dashboard_totals(v("t_documents"), v("t_messages"))
+
+
+@register("by_topic", "SELECT t.ord, t.slug, count(d.id) AS n FROM t_taxonomy t LEFT JOIN t_documents d ON d.topic_ord = t.ord GROUP BY ALL")
+def _(v):
+    return stats.zero_fill(v("t_taxonomy"), v("t_documents"), "topic_ord")
+
+
+@register("by_sentiment", "SELECT sentiment, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM t_documents), 1)::DOUBLE AS percentage FROM t_documents GROUP BY 1")
+def _(v):
+    return stats.by_sentiment(v("t_documents"))
+
+
+@register("topic_sentiment", "SELECT topic_ord, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative, count(*) AS total FROM t_documents GROUP BY 1")
+def _(v):
+    return stats.topic_sentiment(v("t_documents"))
+
+
+for _name, _format in (("daily", "%Y-%m-%d"), ("weekly", "%Y-W%W"), ("monthly", "%Y-%m")):
+
+    @register(f"trend_{_name}", f"SELECT strftime(published_at, '{_format}') AS period, count(*) AS total, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative FROM t_documents GROUP BY 1")
+    def _(v, name=_name):
+        return stats.trend(v("t_documents"), name)
+
+
+@register("keyword_cloud", "SELECT token AS word, count(*) AS count, CAST(max(length(token)) AS DOUBLE) AS score FROM (SELECT DISTINCT doc_id, token FROM t_tokens) GROUP BY 1 ORDER BY count DESC, word LIMIT 40")
+def _(v):
+    return stats.keyword_cloud(v("t_tokens").select("doc_id", F.col("token").alias("word"), F.length("token").cast("double").alias("score")).distinct())
+
+
+@register("stream_counters", "SELECT stream_id, count(*) AS message_count, min(us) AS first_us, max(us) AS last_us FROM t_messages GROUP BY 1")
+def _(v):
+    return stats.stream_counters(v("t_messages"))
+
+
+@register("streams_by_size", "SELECT stream_id, count(*) AS message_count FROM t_messages GROUP BY 1 ORDER BY message_count DESC, stream_id LIMIT 25")
+def _(v):
+    return stats.stream_counters(v("t_messages")).orderBy(F.desc("message_count"), "stream_id").limit(25).select("stream_id", "message_count")
+
+
+@register("ingest_report", "SELECT stream_id, count(*) AS messages, count(*) FILTER (NOT is_spam) AS scored, count(*) FILTER (is_spam) AS skipped FROM t_messages GROUP BY ROLLUP (stream_id)")
+def _(v):
+    return stats.ingest_report(v("t_messages"))
+
+
+@register("fit_idf", "SELECT token AS term, count(DISTINCT doc_id) AS df FROM t_tokens GROUP BY 1")
+def _(v):
+    return stats.fit_idf(v("t_tokens"))
+
+
+@register("tfidf_keywords", """WITH t AS (SELECT * FROM t_tokens WHERE length(token) >= 2), tf AS (SELECT doc_id, token, count(*) AS occ FROM t GROUP BY ALL), per AS (SELECT doc_id, sum(occ) AS total FROM tf GROUP BY 1), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM per),
+s AS (SELECT tf.doc_id, tf.token, round(CAST(occ AS DOUBLE) / total * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1), 6) AS score FROM tf JOIN df USING (token) JOIN per ON tf.doc_id = per.doc_id, n), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token) AS rank FROM s) SELECT doc_id, token, score, rank FROM r WHERE rank <= 10""")
+def _(v):
+    return stats.tfidf_keywords(v("t_tokens")).select("doc_id", "token", "score", "rank")
+
+
+@register("gazetteer_topic", """WITH h AS (SELECT doc_id, topic_ord, sum(weight) AS score FROM t_tokens JOIN t_terms ON token = term GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic_ord) AS r, sum(score) OVER (PARTITION BY doc_id) AS total FROM h)
+SELECT d.doc_id, CAST(CASE WHEN b.score IS NULL OR b.score < 0.9 THEN 14 ELSE b.topic_ord END AS INT) AS topic_ord, round(coalesce((b.score + 0.02) / (b.total + 0.3), 1.0), 6) AS confidence FROM (SELECT DISTINCT doc_id FROM t_tokens) d LEFT JOIN b ON d.doc_id = b.doc_id AND b.r = 1""")
+def _(v):
+    return stats.gazetteer_topic(v("t_tokens"), v("t_terms"))
+
+
+@register("lexicon_sentiment", "WITH h AS (SELECT doc_id, round(sum(polarity), 6) AS total FROM t_tokens JOIN t_terms ON token = term GROUP BY 1) SELECT doc_id, total, CASE WHEN abs(total) < 0.35 THEN 'neutral' WHEN total > 0 THEN 'positive' ELSE 'negative' END AS sentiment FROM h")
+def _(v):
+    return stats.lexicon_sentiment(v("t_tokens"), v("t_terms"))
+
+
+_ENDS = """WITH e AS (SELECT *, greatest(least(least(coalesce(lead(start_ms) OVER (PARTITION BY video_id ORDER BY start_ms, cue_idx), start_ms + greatest(duration_ms, 1000)), start_ms + duration_ms), start_ms + 10000), start_ms) AS end_ms FROM t_cues) """
+
+
+def _cues(v):
+    return windows.resolve_cue_ends(v("t_cues"))
+
+
+@register("resolve_cue_ends", _ENDS + "SELECT video_id, cue_idx, start_ms, end_ms FROM e")
+def _(v):
+    return _cues(v).select("video_id", "cue_idx", "start_ms", "end_ms")
+
+
+_BLOCKS = _ENDS + """, o AS (SELECT *, unnest(range(start_ms // 30000, (end_ms - 1) // 30000 + 1)) AS block FROM e WHERE end_ms > start_ms),
+b AS (SELECT video_id, block, coalesce(string_agg(text, '' ORDER BY cue_idx) FILTER (NOT non_speech), '') AS text, CAST(sum(CASE WHEN non_speech THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS non_speech_ms FROM o GROUP BY ALL) """
+
+
+@register("cue_block_overlap", _BLOCKS + "SELECT video_id, cue_idx, block FROM o")
+def _(v):
+    return joins.cue_block_overlap(_cues(v)).select("video_id", "cue_idx", "block")
+
+
+@register("build_blocks", _BLOCKS + "SELECT video_id, block, text, CAST(length(text) AS INT) AS chars, non_speech_ms, length(text) >= 40 AS usable FROM b")
+def _(v):
+    return segment.build_blocks(_cues(v))
+
+
+@register("music_gaps", _BLOCKS + "SELECT video_id, block FROM b WHERE block > 0 AND non_speech_ms >= 4000")
+def _(v):
+    return segment.music_gaps(segment.build_blocks(_cues(v))).select("video_id", "block")
+
+
+@register("transcript_facts", _ENDS + "SELECT video_id, count(*) AS cue_count, CAST(sum(CASE WHEN non_speech THEN 0 ELSE length(text) END) AS BIGINT) AS speech_chars, CAST(sum(CASE WHEN non_speech THEN 0 ELSE end_ms - start_ms END) AS BIGINT) AS covered_ms, max(end_ms) AS duration_ms FROM e GROUP BY 1")
+def _(v):
+    return segment.transcript_facts(_cues(v))
+
+
+@register("cue_start_offsets", "SELECT video_id, cue_idx, CAST(coalesce(sum(length(text)) OVER (PARTITION BY video_id ORDER BY cue_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM t_cues WHERE NOT non_speech")
+def _(v):
+    return segment.cue_start_offsets(v("t_cues"))
+
+
+def _terms(v):
+    return v("t_tokens").where("length(token) > 1").select(F.col("doc_id").alias("video_id"), F.floor(F.col("pos") / 20).alias("block"), F.col("token").alias("term"))
+
+
+_COHESION = """WITH c AS (SELECT doc_id AS video_id, pos // 20 AS block, token AS term, count(*) AS n FROM t_tokens WHERE length(token) > 1 GROUP BY ALL), z AS (SELECT video_id, max(block) AS last FROM c GROUP BY 1),
+s AS (SELECT c.video_id, term, n, block + k AS gap, 1 AS side FROM c, (VALUES (1), (2), (3)) x(k) UNION ALL SELECT c.video_id, term, n, block - k AS gap, 0 AS side FROM c, (VALUES (0), (1), (2)) x(k)),
+f AS (SELECT s.video_id, gap, term, sum(n * side) AS l, sum(n * (1 - side)) AS r FROM s JOIN z ON s.video_id = z.video_id WHERE gap >= 1 AND gap <= last GROUP BY ALL),
+h AS (SELECT video_id, gap, round(CASE WHEN sum(l * l) > 0 AND sum(r * r) > 0 THEN CAST(sum(l * r) AS DOUBLE) / sqrt(CAST(sum(l * l) AS DOUBLE) * CAST(sum(r * r) AS DOUBLE)) ELSE 0 END, 6) AS similarity FROM f GROUP BY ALL) """
+
+
+@register("cohesion", _COHESION + "SELECT video_id, gap, similarity FROM h")
+def _(v):
+    return segment.cohesion(_terms(v))
+
+
+_DEPTH = _COHESION + """, q AS (SELECT *, lag(similarity) OVER w AS lg, lead(similarity) OVER w AS ld FROM h WINDOW w AS (PARTITION BY video_id ORDER BY gap)),
+g AS (SELECT *, sum(CASE WHEN lg < similarity THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY gap) AS lb, sum(CASE WHEN ld < similarity THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY gap DESC) AS rb FROM q),
+d AS (SELECT video_id, gap, round(CASE WHEN lg IS NULL OR ld IS NULL THEN 0 ELSE first_value(similarity) OVER (PARTITION BY video_id, lb ORDER BY gap) + first_value(similarity) OVER (PARTITION BY video_id, rb ORDER BY gap DESC) - 2 * similarity END, 6) AS depth FROM g) """
+
+
+@register("depth_scores", _DEPTH + "SELECT video_id, gap, depth FROM d")
+def _(v):
+    return windows.depth_scores(segment.cohesion(_terms(v))).select("video_id", "gap", F.round("depth", 6).alias("depth"))
+
+
+@register("depth_cutoff", _DEPTH + ", l AS (SELECT video_id, avg(depth) + 0.5 * stddev_pop(depth) AS cut FROM d WHERE depth > 0 GROUP BY 1) SELECT d.video_id, gap, depth FROM d JOIN l ON d.video_id = l.video_id WHERE depth >= cut - 1e-9 AND depth > 0")
+def _(v):
+    d = windows.depth_scores(segment.cohesion(_terms(v))).withColumn("depth", F.round("depth", 6)).withColumn("depth", F.col("depth"))
+    return windows.depth_cutoff(d).select("video_id", "gap", "depth")
+
+
+_LABELS = "WITH l AS (SELECT stream_id, us, event_id, CASE sentiment WHEN 'positive' THEN 2 WHEN 'neutral' THEN 1 ELSE 0 END AS label, row_number() OVER (PARTITION BY stream_id ORDER BY us, event_id) AS rn FROM t_messages), s AS (SELECT stream_id, rn, CASE WHEN lag(label) OVER w = lead(label) OVER w AND label <> lag(label) OVER w THEN lag(label) OVER w ELSE label END AS smoothed FROM l WINDOW w AS (PARTITION BY stream_id ORDER BY rn)) "
+
+
+def _smoothed(v):
+    label = F.when(F.col("sentiment") == "positive", 2).when(F.col("sentiment") == "neutral", 1).otherwise(0)
+    rows = v("t_messages").withColumn("label", label).withColumn("rn", F.row_number().over(W.partitionBy("stream_id").orderBy("us", "event_id")))
+    return windows.smooth_labels(rows, "stream_id", "rn", "label").select("stream_id", "rn", "smoothed")
+
+
+@register("smooth_labels", _LABELS + "SELECT stream_id, rn, smoothed FROM s")
+def _(v):
+    return _smoothed(v)
+
+
+@register("label_changes", _LABELS + ", c AS (SELECT *, lag(smoothed) OVER w AS b, lead(smoothed) OVER w AS a FROM s WINDOW w AS (PARTITION BY stream_id ORDER BY rn)) SELECT stream_id, rn, smoothed FROM c WHERE smoothed <> b AND smoothed = a")
+def _(v):
+    return windows.label_changes(_smoothed(v), "stream_id", "rn")
+
+
+@register("label_by_majority", "WITH c AS (SELECT user_id AS stream_id, CAST(event_id % 7 AS INT) AS label, count(*) AS votes FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY votes DESC, label) AS k FROM c) SELECT stream_id, label, votes FROM r WHERE k = 1")
+def _(v):
+    return windows.majority(v("t_messages").select("stream_id", (F.col("event_id") % 7).cast("int").alias("label")), "stream_id", "label")
+
+
+@register("merge_short_spans")
+def _(v):
+    w = W.partitionBy("stream_id").orderBy("offset_ms")
+    spans = v("t_messages").select("stream_id", "offset_ms").distinct().select(F.col("stream_id").alias("video_id"), F.col("offset_ms").alias("start_ms"), F.lead("offset_ms").over(w).alias("end_ms"))
+    return windows.merge_short_spans(spans.where("end_ms is not null"), 3 * joins.DAY)
+
+
+@register("segment_programmes")
+def _(v):
+    terms = lambda b: b.select("video_id", "block", F.explode(text.tokenize(F.col("text"))).alias("term")).where("length(term) > 1")
+    return segment.segment_programmes(_cues(v), terms)
+
+
+@register("stratified_sample", "WITH h AS (SELECT *, md5('0:' || CAST(id AS VARCHAR)) AS h FROM t_predictions), c AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY h, id) AS c FROM h) SELECT id, y_true FROM c ORDER BY CASE WHEN c > 3 THEN 1 ELSE 0 END, h, id LIMIT 50")
+def _(v):
+    return windows.stratified_sample(v("t_predictions"), "y_true").select("id", "y_true")
+
+
+@register("stratified_folds", "SELECT id, CAST((row_number() OVER (PARTITION BY y_true ORDER BY md5(CAST(id AS VARCHAR)), id) - 1) % 5 AS INT) AS fold FROM t_predictions")
+def _(v):
+    return windows.stratified_folds(v("t_predictions"), "y_true").select("id", F.col("fold").cast("int").alias("fold"))
+
+
+@register("stratified_split", "SELECT id, row_number() OVER (PARTITION BY y_true ORDER BY md5(CAST(id AS VARCHAR)), id) <= floor(count(*) OVER (PARTITION BY y_true) * 0.2 + 0.5) AS is_test FROM t_predictions")
+def _(v):
+    return windows.stratified_split(v("t_predictions"), "y_true").select("id", "is_test")
+
+
+_CONFUSION = "WITH g AS (SELECT CAST(a AS INT) AS actual, CAST(p AS INT) AS predicted FROM range(2) x(a), range(2) y(p)), m AS (SELECT g.actual, g.predicted, count(t.id) AS n FROM g LEFT JOIN t_predictions t ON t.y_true = g.actual AND t.y_a = g.predicted GROUP BY ALL) "
+
+
+@register("confusion_matrix", _CONFUSION + "SELECT * FROM m")
+def _(v):
+    return evaluation.confusion_matrix(v("t_predictions"), "y_true", "y_a", [0, 1])
+
+
+@register("classification_metrics", _CONFUSION + """, a AS (SELECT actual AS label, CAST(sum(n) AS BIGINT) AS support, sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS tp FROM m GROUP BY 1), p AS (SELECT predicted AS label, sum(n) AS guessed FROM m GROUP BY 1), x AS (SELECT a.label, support, CASE WHEN guessed > 0 THEN CAST(tp AS DOUBLE) / guessed ELSE 0 END AS pr, CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0 END AS re FROM a JOIN p ON a.label = p.label)
+SELECT label, support, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM x""")
+def _(v):
+    return evaluation.classification_metrics(evaluation.confusion_matrix(v("t_predictions"), "y_true", "y_a", [0, 1]))
+
+
+@register("model_leaderboard", """WITH u AS (SELECT 'a' AS model, y_true AS actual, y_a AS predicted FROM t_predictions UNION ALL SELECT 'b', y_true, y_b FROM t_predictions), l AS (SELECT model, actual AS label, count(*) AS support, count(*) FILTER (actual = predicted) AS tp FROM u GROUP BY ALL), p AS (SELECT model, predicted AS label, count(*) AS guessed FROM u GROUP BY ALL)
+SELECT l.model, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy, round(avg(2.0 * tp / (support + coalesce(guessed, 0)))::DOUBLE, 6) AS macro_f1, CAST(sum(support) AS BIGINT) AS rows FROM l LEFT JOIN p ON l.model = p.model AND l.label = p.label GROUP BY 1""")
+def _(v):
+    t = v("t_predictions")
+    one = lambda m: t.select(F.lit(m).alias("model"), F.col("y_true").alias("actual"), F.col(f"y_{m}").alias("predicted"))
+    return evaluation.leaderboard(one("a").unionByName(one("b")))
+
+
+_COMP = "SELECT count(*) FILTER (y_a = y_true AND y_b = y_true) AS both, count(*) FILTER (y_a = y_true AND y_b <> y_true) AS only_a, count(*) FILTER (y_a <> y_true AND y_b = y_true) AS only_b, count(*) FILTER (y_a <> y_true AND y_b <> y_true) AS neither, round(CAST(count(*) FILTER (y_a = y_true OR y_b = y_true) AS DOUBLE) / count(*), 6) AS ceiling FROM t_predictions"
+
+
+@register("complementarity", _COMP)
+def _(v):
+    return evaluation.complementarity(v("t_predictions"))
+
+
+@register("mcnemar", f"WITH c AS ({_COMP}) SELECT only_a, only_b, CASE WHEN only_a + only_b > 0 THEN round(pow(abs(only_a - only_b) - 1, 2) / (only_a + only_b), 6) ELSE 0.0 END AS statistic FROM c")
+def _(v):
+    return evaluation.mcnemar(v("t_predictions"))
+
+
+@register("confidence_bands", "SELECT CAST(CASE WHEN confidence_a < 0.4 THEN 0 WHEN confidence_a < 0.6 THEN 1 WHEN confidence_a < 0.8 THEN 2 ELSE 3 END AS INT) AS band, count(*) AS n, round(avg(CASE WHEN y_a = y_true THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM t_predictions GROUP BY 1")
+def _(v):
+    return evaluation.confidence_bands(v("t_predictions"))
+
+
+@register("label_distribution", "WITH t AS (SELECT y_true AS label, count(*) AS actual FROM t_predictions GROUP BY 1), p AS (SELECT y_a AS label, count(*) AS predicted FROM t_predictions GROUP BY 1) SELECT coalesce(t.label, p.label) AS label, coalesce(actual, 0) AS actual, coalesce(predicted, 0) AS predicted FROM t FULL JOIN p ON t.label = p.label")
+def _(v):
+    return evaluation.label_distribution(v("t_predictions"))
+
+
+@register("blend", """WITH r AS (SELECT id, k AS label, round(0.85 * CASE WHEN y_a = k THEN confidence_a ELSE 1 - confidence_a END + (1 - 0.85) * CASE WHEN y_b = k THEN 0.7 ELSE 0.3 END, 9) AS p FROM t_predictions, (VALUES (0), (1)) x(k)), s AS (SELECT *, sum(p) OVER (PARTITION BY id) AS s, row_number() OVER (PARTITION BY id ORDER BY p DESC, label) AS k FROM r)
+SELECT id, label, round(p / s, 6) AS confidence FROM s WHERE k = 1""")
+def _(v):
+    t = v("t_predictions").withColumn("label", F.explode(F.array(F.lit(0), F.lit(1))))
+    t = t.withColumn("p_model", F.when(F.col("y_a") == F.col("label"), F.col("confidence_a")).otherwise(1 - F.col("confidence_a"))).withColumn("p_rules", F.when(F.col("y_b") == F.col("label"), 0.7).otherwise(0.3))
+    return evaluation.blend(t, 0.85)
+
+
+_HANDLE = "@([A-Za-z0-9_.]{3,})"
+
+
+@register("pseudonymise", "SELECT message_id, '@u_' || substring(sha256('airwave' || substring(author, 2)), 1, 8) AS author, regexp_replace(text, '@user[0-9]+', '@u_' || substring(sha256('airwave' || regexp_extract(text, '@(user[0-9]+)', 1)), 1, 8)) AS text FROM t_messages")
+def _(v):
+    return privacy.pseudonymise(v("t_messages"), SALT).select("message_id", "author", "text")
+
+
+@register("anonymise_report", f"WITH h AS (SELECT regexp_extract_all(text, '{_HANDLE}', 1) AS h FROM t_messages) SELECT count(*) FILTER (len(h) > 0) AS rows, CAST(sum(len(h)) AS BIGINT) AS mentions, (SELECT count(DISTINCT x) FROM (SELECT unnest(h) AS x FROM h)) AS handles FROM h")
+def _(v):
+    return privacy.anonymise_report(v("t_messages"))
+
+
+@register("privacy_audit", "WITH a AS (SELECT id, len(regexp_extract_all(content, '([A-Za-z0-9._]+@[A-Za-z0-9-]+\\.[A-Za-z]+)', 1)) AS emails, len(regexp_extract_all(content, '([0-9]{9,})', 1)) AS digit_runs FROM t_documents) SELECT * FROM a WHERE emails > 0 OR digit_runs > 0")
+def _(v):
+    return privacy.privacy_audit(v("t_documents"))
+
+
+@register("script_ratio", "SELECT id, round(CASE WHEN length(regexp_replace(content, '\\s', '', 'g')) > 0 THEN CAST(length(regexp_replace(content, '[^a-zA-Z]', '', 'g')) AS DOUBLE) / length(regexp_replace(content, '\\s', '', 'g')) ELSE 0 END, 6) AS ratio FROM t_documents")
+def _(v):
+    return v("t_documents").select("id", F.round(text.script_ratio(F.col("content")), 6).alias("ratio"))
+
+
+@register("noise_filter", "SELECT message_id FROM t_messages WHERE NOT (length(text) < 2 OR NOT regexp_matches(text, '\\p{L}'))")
+def _(v):
+    return v("t_messages").where(~text.is_noise(F.col("text"), min_ratio=0.0)).select("message_id")
+
+
+@register("tokenize", "SELECT doc_id, count(*) AS tokens, count(DISTINCT token) AS unique_tokens FROM t_tokens GROUP BY 1")
+def _(v):
+    t = v("t_documents").select(F.col("id").alias("doc_id"), text.tokenize(F.col("content")).alias("t")).where("size(t) > 0")
+    return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("unique_tokens"))
+
+
+@register("sentence_split", "WITH s AS (SELECT id, unnest(regexp_split_to_array(content, '[.!?\\n]')) AS s FROM t_documents) SELECT id, count(*) AS sentences, CAST(sum(length(trim(s))) AS BIGINT) AS chars FROM s WHERE trim(s) <> '' GROUP BY 1")
+def _(v):
+    s = v("t_documents").select("id", F.explode(text.sentence_split(F.col("content"))).alias("s"))
+    return s.groupBy("id").agg(F.count("*").alias("sentences"), F.sum(F.length("s")).alias("chars"))
+
+
+@register("word_ngrams", "WITH b AS (SELECT token || '_' || lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM t_tokens) SELECT g AS gram, count(*) AS n FROM (SELECT g FROM b WHERE g IS NOT NULL UNION ALL SELECT token FROM t_tokens) GROUP BY 1")
+def _(v):
+    t = v("t_documents").select(F.explode(text.word_ngrams(text.tokenize(F.col("content")))).alias("gram"))
+    return t.groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@register("content_hash", "SELECT id, sha256(content) AS content_hash FROM t_documents")
+def _(v):
+    return v("t_documents").select("id", F.sha2("content", 256).alias("content_hash"))
