@@ -14,10 +14,12 @@ from itertools import chain
 import numpy as np
 
 #: Pieces kept per worker; beyond it the cache starts anew. It bounds memory, never results.
-CACHE = 500_000
+CACHE = 1_000_000
 
 _SLOW = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+#: places inside a piece where both tokenizers split as well: a letter before a mark or line feed, a lone line feed before a visible character
+_SUB = re.compile(r"(?<=[A-Za-zß-öø-ÿ])(?=[.,;:!?|%$#*&\n])|(?<=\S\n)(?=\S)")
 
 
 class Pieces:
@@ -32,14 +34,22 @@ class Pieces:
         self.blanks_count = blanks_count
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _learn(self, cache: dict[str, bytes], words, lead: str) -> None:
         new = [w for w in set(words) if w not in cache]
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = list(set(words))
-        for w, e in zip(new, self.tok.encode_batch_fast([lead + w for w in new], add_special_tokens=False)):
-            cache[w] = np.asarray(e.ids, "<u4").tobytes()
+        split = [_SUB.split(lead + w) for w in new]
+        parts = [p for p in set(chain.from_iterable(split)) if p not in self.parts]
+        if len(self.parts) + len(parts) > CACHE:
+            self.parts.clear()
+            parts = list(set(chain.from_iterable(split)))
+        for p, e in zip(parts, self.tok.encode_batch_fast(parts, add_special_tokens=False)):
+            self.parts[p] = np.asarray(e.ids, "<u4").tobytes()
+        for w, s in zip(new, split):
+            cache[w] = b"".join(map(self.parts.__getitem__, s))
 
     def _join(self, cache: dict[str, bytes], words, lead: str) -> bytes:
         try:
@@ -69,10 +79,6 @@ def pieces(path: str, blanks_count: bool) -> Pieces:
     return _open[key]
 
 
-def flat(parts) -> list:
-    return list(chain.from_iterable(parts))
-
-
 def slices(batches, column: str, most: int):
     """Cut Arrow batches so that the strings of ``column`` in one slice have ``most`` bytes together
     (a longer text is a slice of its own)."""
