@@ -217,53 +217,96 @@ def _mixed(met: DataFrame, comp: DataFrame, name: str) -> DataFrame:
     return common.cut(placed.join(common.cut(mixed.select("band", "size"), "sizes"), "band"), name)
 
 
+def _whole_groups(batches, keys: int):
+    """Tables of whole groups, of rows sorted by their first ``keys`` columns, with where groups begin and their
+    sizes; the last group of a batch waits for what follows, so one group and one batch are in memory."""
+    import pyarrow as pa
+
+    def described(table):
+        columns = [table.column(i).to_numpy() for i in range(keys)]
+        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+        return table, starts, np.diff(np.r_[starts, table.num_rows])
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        last = described(table)[1][-1]
+        if last:
+            yield described(table.slice(0, last))
+        rest = table.slice(last)
+    if rest is not None:
+        yield described(rest)
+
+
+def _registers_of(table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+
+
 def _consensus(mixed: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of the member that agrees most with its group's modal registers and every other member."""
+    """Pairs of the member that agrees most with its group's modal registers and every other member.
+    Groups of one size are judged side by side."""
     rows = mixed.join(reps.select("rep", "regs"), "rep")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CROWD)).cast("int"))
 
-    def run(key, pdf):
-        import pandas as pd
-
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), -1)
-        rep = pdf["rep"].to_numpy()
-        ordered = np.sort(regs, axis=0)
-        # the modal value of each register: the longest run of its sorted values
-        run_ = np.ones(ordered.shape, np.int32)
-        for i in range(1, len(ordered)):
-            run_[i] += np.where(ordered[i] == ordered[i - 1], run_[i - 1], 0)
-        mode = ordered[run_.argmax(0), np.arange(ordered.shape[1])]
-        hub = rep[np.lexsort((rep, -(regs == mode).sum(1)))[0]]
-        other = rep[rep != hub]
-        return pd.DataFrame({"a": np.minimum(other, hub), "b": np.maximum(other, hub)}, dtype="int64")
+    def run(batches):
+        import pyarrow as pa
 
-    return rows.select("band", "own", "rep", "regs").groupBy("band", "own").applyInPandas(run, "a long, b long").distinct()
+        for table, starts, sizes in _whole_groups(batches, 2):
+            regs, rep = _registers_of(table), table.column("rep").to_numpy()
+            for g in np.unique(sizes[sizes > 1]):
+                of_size, many = starts[sizes == g], max(1, CROWD // int(g))
+                for begin in range(0, len(of_size), many):
+                    at = of_size[begin : begin + many, None] + np.arange(g)
+                    members = regs[at]
+                    ordered = np.sort(members, axis=1)
+                    # the modal value of each register: the longest run of its sorted values
+                    length = np.ones(ordered.shape, np.int32)
+                    for i in range(1, g):
+                        length[:, i] += np.where(ordered[:, i] == ordered[:, i - 1], length[:, i - 1], 0)
+                    mode = np.take_along_axis(ordered, length.argmax(1)[:, None], 1)
+                    best = (members == mode).sum(2).argmax(1)  # members are sorted: ties to the smallest
+                    hub = np.repeat(rep[at[np.arange(len(at)), best]], g)
+                    other = rep[at.ravel()]
+                    hub, other = hub[other != hub], other[other != hub]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, hub)), pa.array(np.maximum(other, hub))], ["a", "b"])
+
+    dealt = rows.select("band", "own", "rep", "regs").repartition("band", "own").sortWithinPartitions("band", "own", "rep")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _across(mixed: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs of one group that lie in different components and could still link."""
+    """Pairs of one group that lie in different components and could still link: every member is held against
+    the one ``shift`` places on, for all groups of a batch at once."""
     rows = mixed.join(reps.select("rep", "n", "regs"), "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     cells = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("band", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "own", "rep", "component", "n", "regs")
+    cells = cells.select("band", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "rep", "own", "component", "n", "regs")
     line = floor_of(least)
 
-    def run(key, pdf):
-        import pandas as pd
-
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), -1)
-        rep, comp_, n, own = (pdf[c].to_numpy() for c in ("rep", "component", "n", "own"))
-        found = []
-        for i in range(len(pdf)):
-            ok = (rep > rep[i]) & (comp_ != comp_[i]) & (np.minimum(n, n[i]) >= np.floor(np.maximum(n, n[i]) * least * (1 - 1e-9)))
-            ok &= own != own[i] if key[1] != key[2] else True
-            at = np.flatnonzero(ok)
-            at = at[(regs[at] == regs[i]).sum(1) >= equal_floor(least, float(n[i]), n[at].astype(float))] if len(at) else at
-            if len(at):
-                est = estimate(regs[i][None], regs[at], np.float64(n[i]), n[at].astype(float))
-                found += [(rep[i], r) for r in rep[at[est >= line]]]
-        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64")
-
-    return cells.groupBy("band", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    def run(batches):
+        import pyarrow as pa
+
+        for table, starts, sizes in _whole_groups(batches, 3):
+            regs = _registers_of(table)
+            lo, hi, rep, own, comp_, n = (table.column(c).to_numpy() for c in ("lo", "hi", "rep", "own", "component", "n"))
+            left = np.repeat(starts + sizes, sizes) - np.arange(table.num_rows)  # rows up to the group's end
+            first = np.arange(table.num_rows)
+            for shift in range(1, int(sizes.max())):
+                first = first[left[first] > shift]
+                i, j = first, first + shift
+                ok = (comp_[i] != comp_[j]) & ((lo[i] == hi[i]) | (own[i] != own[j]))
+                ok &= np.minimum(n[i], n[j]) >= np.floor(np.maximum(n[i], n[j]) * least * (1 - 1e-9))
+                i, j = i[ok], j[ok]
+                ok = (regs[i] == regs[j]).sum(1) >= equal_floor(least, n[i].astype(float), n[j].astype(float))
+                i, j = i[ok], j[ok]
+                if len(i):
+                    likely = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) >= line
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[i[likely]]), pa.array(rep[j[likely]])], ["a", "b"])
+
+    dealt = cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

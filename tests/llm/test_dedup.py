@@ -42,3 +42,43 @@ def test_sketch(spark, sf):
                     comp[a] = comp[b] = min(comp[a], comp[b])
         break
     assert got == {d: (len(s), comp[d]) for d, s in sets.items()}
+
+
+def test_families_of_edits_equal_brute_force(spark, monkeypatch):
+    """Chains and stars of edited copies, in groups that are dealt over several blocks, batches and tasks."""
+    import random
+
+    monkeypatch.setattr(sketch, "BLOCK", 7)
+    monkeypatch.setattr(sketch, "CROWD", 11)
+    rnd, rows = random.Random(5), []
+    for family in range(4):
+        base = [f"w{rnd.randrange(400)}" for _ in range(120)]
+        chain = list(base)
+        for i in range(25):
+            star = list(base)
+            for _ in range(rnd.randrange(4)):
+                star[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+            chain = list(chain)
+            chain[rnd.randrange(120)] = f"y{rnd.randrange(10**6)}"
+            rows += [(len(rows), " ".join(star)), (len(rows) + 1, " ".join(chain))]
+    rnd.shuffle(rows)
+    sets = {d: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for d, w in ((d, t.split()) for d, t in rows)}
+    comp = {d: d for d in sets}
+
+    def find(d):
+        while comp[d] != d:
+            d = comp[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {d: find(d) for d in sets}
