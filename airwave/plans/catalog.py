@@ -25,10 +25,14 @@ def register(name: str, sql: str | None = None):
 
 
 def queries():
+    from airwave.plans import lookups  # noqa: F401  registers its own
+
     return dict(_Q)
 
 
 def oracle_sql():
+    from airwave.plans import lookups  # noqa: F401  registers its own
+
     return dict(_SQL)
 
 
