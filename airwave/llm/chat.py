@@ -83,8 +83,9 @@ def branches(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
         before = left
         jumps.append(state.where("up is not null").select("tree", "node", "up"))
         over = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("depth").alias("_depth"))
-        joined = state.join(over, ["tree", "up"], "left")
-        state = common.cut(joined.select("tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "tree")
+        joined = state.where("up is not null").join(over, ["tree", "up"], "left")  # rows at their root are done
+        joined = joined.select("tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
+        state = common.cut(state.where("up is null").unionByName(joined), "tree")
     rooted = state.where("up is null")
     inner = jumps[0].select("tree", F.col("up").alias("node")).distinct() if jumps else None
     leaves = rooted.join(inner, ["tree", "node"], "left_anti") if inner is not None else rooted
