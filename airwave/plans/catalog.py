@@ -25,13 +25,13 @@ def register(name: str, sql: str | None = None):
 
 
 def queries():
-    from airwave.plans import lookups  # noqa: F401  registers its own
+    from airwave.plans import lookups, reports  # noqa: F401  register their own
 
     return dict(_Q)
 
 
 def oracle_sql():
-    from airwave.plans import lookups  # noqa: F401  registers its own
+    from airwave.plans import lookups, reports  # noqa: F401  register their own
 
     return dict(_SQL)
 
