@@ -3,14 +3,16 @@
 Toxic and ordinary text each have an interpolated, absolutely discounted model: bigrams of the class,
 then words of the class, then - for what is rare in a class - the continuation counts of both classes
 together, which both models share. Counts are of documents, so that a passage repeated inside one
-document weighs once. The evidence of an n-gram is log P_toxic - log P_ordinary drawn towards zero by
-its standard error and a margin: where the classes are not surely apart the shared distribution
-stands for both and the evidence is zero, and a bigram without sure evidence backs off to its word.
-A document's score is the mean evidence over its words, put through a logistic curve.
+document weighs once. The sure evidence of an n-gram is log P_toxic - log P_ordinary drawn towards zero by
+its standard error and a margin. A word's evidence is its sure evidence plus ``LEAK`` times its plain
+log ratio, so that rare words count as well; a bigram with sure evidence adds its word's plain part
+to it, and one without backs off to its word. A document's score is the mean evidence over its words,
+put through a logistic curve. README has the held-out figures of this weighting and of the plain ratio.
 
-Counting is relational and covers all training rows. What is broadcast for scoring is a direct-mapped
-table of ``SLOTS`` n-grams (two arrays of fixed size): of n-grams that meet on a slot the strongest
-stays. The curve is fitted on rows that took no part in counting.
+Counting is relational and covers all rows given to learn from. All evidence is kept in a written table
+that grows with the input: up to ``WHOLE`` counted n-grams it is broadcast whole, beyond that its most
+frequent n-grams are broadcast and the others are joined by shuffle, with equal results. The curve is
+fitted on one fold with a table that counted the other folds alone.
 
 Defined cases: a null text is empty; an empty text has evidence 0 and takes the curve's value there;
 labels that are null are left out; a doc_id labelled several times counts as toxic if any label says
@@ -30,9 +32,11 @@ from .hashing import ALNUM, concatenate, words
 from .pieces import slices
 from .quality import _small, held_out
 
-#: absolute discount, n-gram slots of the scoring table, documents below which a bigram backs off,
-#: margin of evidence, and cells of the calibration histogram on either side of zero
-DISCOUNT, SLOTS, LEAST, MARGIN, BINS = 0.75, 1 << 21, 5, 0.75, 4000
+#: absolute discount, margin of evidence, weight of a word's plain log ratio, and cells of the calibration
+#: histogram on either side of zero
+DISCOUNT, MARGIN, LEAK, BINS = 0.75, 0.75, 0.0, 4000
+#: n-grams up to which the whole table is broadcast, and documents from which a bigram without evidence is filed
+WHOLE, OFTEN = 1 << 22, 1000
 #: the mean evidence is drawn out near zero and compressed far from it: arcsinh(STRETCH * mean)
 STRETCH = 200.0
 #: fixed value: the context that marks a word's own count (word ids are odd, a text begins with context 0)
@@ -51,7 +55,16 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """(key, t, o) over rows (text, toxic): toxic and ordinary documents that hold each bigram and, with context ALONE, each word."""
+    """(key, t, o, t4, o4) over rows (text, toxic, _fold): toxic and ordinary documents that hold each bigram and,
+    with context ALONE, each word, and how many of them are in fold 4."""
+    none = F.lit(0)
+    parts = _gathered(rows.where("_fold <> 4")).select("key", "t", "o", none.alias("t4"), none.alias("o4"))
+    parts = parts.unionByName(_gathered(rows.where("_fold = 4")).select("key", "t", "o", F.col("t").alias("t4"), F.col("o").alias("o4")))
+    return parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("t", "o", "t4", "o4")))
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """(key, t, o) as each task has them."""
 
     def run(batches):
         import pyarrow as pa
@@ -86,12 +99,13 @@ def count(rows: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return rows.select("text", "toxic").mapInArrow(run, "key long, t int, o int").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return rows.select("text", "toxic").mapInArrow(run, "key long, t int, o int")
 
 
-def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """The scoring table (keys, evidence) of rows (text, toxic)."""
-    counted = common.cut(count(rows), "grams").withColumn("h", F.shiftrightunsigned("key", 32)).withColumn("w", F.col("key").bitwiseAND(0xFFFFFFFF))
+def table(counted: DataFrame) -> DataFrame | None:
+    """(key, s, n), written: the evidence of every word, and of every bigram that has sure evidence or is in
+    ``OFTEN`` documents (evidence 0: it backs off, but is known where texts are scored); n counts documents."""
+    counted = counted.withColumn("h", F.shiftrightunsigned("key", 32)).withColumn("w", F.col("key").bitwiseAND(0xFFFFFFFF))
     single, pairs = counted.where(F.col("h") == ALONE), counted.where(F.col("h") != ALONE)
     kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
     total = single.agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), kinds("t").alias("kt"), kinds("o").alias("ko")).first()
@@ -105,33 +119,31 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
         n, k = float(total["n" + c]), total["k" + c]
         return F.greatest(F.col(c) - D, F.lit(0.0)) / n + F.lit(D * k / n) * F.col("c") / every
 
-    def sure(t: str, o: str, pt, po):
+    seen = F.log((F.col("t") + 0.5) / (F.col("o") * share + 0.5))
+    doubt = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("o") + 0.5)) + MARGIN
+
+    def sure(pt, po):
         """The model's log ratio, no further from zero than the plain ratio of the counts bears out,
         less one standard error and the margin."""
-        s, seen = F.log(pt / po), F.log((F.col(t) + 0.5) / (F.col(o) * share + 0.5))
+        s = F.log(pt / po)
         borne = F.when(F.signum(s) == F.signum(seen), F.least(F.abs(s), F.abs(seen))).otherwise(0.0)
-        return F.signum(s) * F.greatest(borne - F.sqrt(1 / (F.col(t) + 0.5) + 1 / (F.col(o) + 0.5)) - MARGIN, F.lit(0.0))
+        return F.signum(s) * F.greatest(borne - doubt, F.lit(0.0))
 
     word = single.join(follows, "w").select("w", "key", "t", "o", of_class("t").alias("pt"), of_class("o").alias("po"))
-    word = common.cut(word, "words")
+    word = common.cut(word.withColumn("plain", LEAK * F.log(F.col("pt") / F.col("po"))), "words")
     context = pairs.groupBy("h").agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), kinds("t").alias("kt"), kinds("o").alias("ko"))
 
     def in_context(c: str):
         n, k = F.col("n" + c), F.col("k" + c)
         return F.when(n > 0, (F.greatest(F.col(c) - D, F.lit(0.0)) + D * k * F.col("p" + c)) / n).otherwise(F.col("p" + c))
 
-    often = pairs.where(F.col("t") + F.col("o") >= LEAST)
-    grams = often.join(word.select("w", "pt", "po"), "w").join(context, "h").select("key", sure("t", "o", in_context("t"), in_context("o")).alias("s"), (F.col("t") + F.col("o")).alias("n"))
-    ones = word.select("key", sure("t", "o", F.col("pt"), F.col("po")).alias("s"), (F.col("t") + F.col("o")).alias("n"))
-    # one n-gram a slot: the one with most evidence; so the table has SLOTS rows at most
-    best = F.max(F.struct((F.col("n") * F.abs("s")).alias("e"), "key", "s"))
-    table = ones.unionByName(grams).where("s <> 0").groupBy(F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot")).agg(best.alias("b")).select("b.key", "b.s")
-    data = np.concatenate([np.frombuffer(r["rows"], _ROW) for r in table.mapInArrow(_packed, "rows binary").collect()] or [np.zeros(0, _ROW)])
-    data = data[np.argsort(np.abs(data["s"]), kind="stable")]  # the strongest is written last
-    keys, s = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
-    at = _slot(data["key"], SLOTS)
-    keys[at], s[at] = data["key"], data["s"]
-    return keys, s
+    n = (F.col("t") + F.col("o")).alias("n")
+    own = sure(in_context("t"), in_context("o"))
+    # where the counts' own ratio stays within the doubt, the evidence is 0 whatever the model says
+    grams = pairs.where(F.abs(seen) > doubt).join(word.select("w", "pt", "po", "plain"), "w").join(context, "h").select("key", F.when(own != 0, own + F.col("plain")).otherwise(0.0).cast("float").alias("s"), n)
+    ones = word.select("key", (sure(F.col("pt"), F.col("po")) + F.col("plain")).cast("float").alias("s"), n)
+    without = pairs.where(~(F.abs(seen) > doubt)).select("key", F.lit(0.0).cast("float").alias("s"), n)
+    return common.cut(ones.unionByName(grams.unionByName(without).where((F.col("s") != 0) | (F.col("n") >= OFTEN))), "evidence")
 
 
 _ROW = np.dtype([("key", "<u8"), ("s", "<f4")])
@@ -152,35 +164,107 @@ def _slot(key: np.ndarray, size: int) -> np.ndarray:
     return (h >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
 
 
-def evidence(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and llr double, the stretched mean evidence of a text's words."""
+def _filed(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """All of ``rows`` (key, s) with open addressing: slots, keys and evidence. An n-gram stands on its slot or,
+    without a gap, behind it; no two share a place."""
+    data = np.concatenate([np.frombuffer(r["rows"], _ROW) for r in rows.select("key", "s").mapInArrow(_packed, "rows binary").collect()] or [np.zeros(0, _ROW)])
+    size = 1 << max(4, (2 * len(data) - 1).bit_length())
+    home = _slot(data["key"], size)
+    order = np.argsort(home, kind="stable")
+    i = np.arange(len(data))
+    at = i + np.maximum.accumulate(home[order] - i) if len(data) else i
+    length = max(size, int(at[-1]) + 1 if len(at) else 0) + 1  # the last place stays free
+    keys, s = np.zeros(length, np.uint64), np.zeros(length, np.float32)
+    keys[at], s[at] = data["key"][order], data["s"][order]
+    return size, keys, s
+
+
+def _look(filed: tuple[int, np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence of each key (0 where it is not filed), and whether it is filed."""
+    size, keys, s = filed
+    at = _slot(key, size)
+    there = keys[at]
+    live = np.flatnonzero((there != key) & (there != 0))
+    while len(live):
+        at[live] += 1
+        there = keys[at[live]]
+        live = live[(there != key[live]) & (there != 0)]
+    found = keys[at] == key
+    return np.where(found, s[at], np.float32(0)).astype(np.float64), found
+
+
+def evidence(docs: DataFrame, grams: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole: int = WHOLE) -> DataFrame:
+    """``keep`` and llr double, the stretched mean evidence of a text's words. Up to ``whole`` counted n-grams
+    the table is broadcast; beyond it only its most frequent ones are, and the others are joined."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(model)  # two arrays of SLOTS entries
+    some = grams.count() > whole
+    table = spark.sparkContext.broadcast(_filed(grams.orderBy(F.desc("n"), "key").limit(whole) if some else grams))
+    if some:
+        mean = _joined(docs, grams, table, keep)
+        return mean.select(*keep, F.asinh(STRETCH * F.col("mean")).alias("llr"))
     schema = T.StructType([*docs.select(*keep).schema, T.StructField("llr", T.DoubleType())])
 
     def run(batches):
         import pyarrow as pa
 
-        keys, s = table.value
         for part in slices(batches, "text", 2 << 20):
             texts = part.column("text").to_pylist()
             w, doc, _, key = _tokens(texts)
-            at, own = _slot(key, len(keys)), _slot(w | np.uint64(ALONE << 32), len(keys))
-            single = np.where(keys[own] == w | np.uint64(ALONE << 32), s[own], 0)
-            value = np.where(keys[at] == key, s[at], single)
+            own, _ = _look(table.value, w | np.uint64(ALONE << 32))
+            pair, _ = _look(table.value, key)
             n = np.bincount(doc, minlength=len(texts))
-            llr = np.arcsinh(STRETCH * np.bincount(doc, value, minlength=len(texts)) / np.maximum(n, 1))
+            llr = np.arcsinh(STRETCH * np.bincount(doc, np.where(pair != 0, pair, own), minlength=len(texts)) / np.maximum(n, 1))
             yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in keep), pa.array(llr)], [*keep, "llr"])
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def curve(rows: DataFrame) -> tuple[float, float]:
-    """Slope and offset of the logistic curve over rows (llr, toxic), from a histogram of fixed size."""
+def _joined(docs: DataFrame, grams: DataFrame, table, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` and mean. What the broadcast ``table`` decides is summed where the text is read; each text's other
+    n-grams are counted and meet ``grams`` by shuffle, first as bigrams, then as the words they back off to."""
+    docs = docs.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in docs.columns else docs
+    held = T.StructType([*docs.select("_row", *keep).schema, T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("v", T.DoubleType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in slices(batches, "text", 2 << 20):
+            rows = part.num_rows
+            w, doc, _, key = _tokens(part.column("text").to_pylist())
+            alone = w | np.uint64(ALONE << 32)
+            own, known = _look(table.value, alone)
+            pair, met = _look(table.value, key)
+            value = np.where(pair != 0, pair, own)
+            here = (pair != 0) | met & known  # decided: by the bigram, or by the word of a bigram known to have none
+            # one row for each text, then one for each of its open n-grams
+            n, v = np.bincount(doc[here], minlength=rows), np.bincount(doc[here], value[here], minlength=rows)
+            key, doc, own, known = np.where(met, alone, key)[~here], doc[~here], own[~here], known[~here]
+            order = np.lexsort((key, doc))
+            key, doc, own, known = key[order], doc[order], own[order], known[order]
+            start = np.flatnonzero(np.r_[len(key) > 0, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)])
+            times = np.diff(np.r_[start, len(key)])
+            which = pa.array(np.concatenate([np.arange(rows), doc[start]]))
+            columns = [part.column(c).combine_chunks().take(which) for c in ("_row", *keep)]
+            keys = pa.array(np.concatenate([np.zeros(rows, np.int64), key[start].view(np.int64)]), mask=np.arange(rows + len(start)) < rows)
+            values = pa.array(np.concatenate([v, own[start] * times]), mask=np.concatenate([np.zeros(rows, bool), ~known[start]]))
+            yield pa.RecordBatch.from_arrays([*columns, keys, pa.array(np.concatenate([n, times])), values], ["_row", *keep, "key", "n", "v"])
+
+    single = F.shiftrightunsigned("key", 32) == ALONE
+    cold = grams.where("s <> 0").select("key", "s")
+    met = docs.select("_row", *keep, "text").mapInArrow(run, held).join(cold, "key", "left")
+    met = met.withColumn("v", F.coalesce(F.col("n") * F.col("s").cast("double"), "v", F.when(single, F.lit(0.0)))).drop("s")
+    word = F.when(F.col("v").isNull(), F.col("key").bitwiseAND(0xFFFFFFFF).bitwiseOR(F.lit(ALONE << 32)))
+    met = met.withColumn("key", word).groupBy("_row", *keep, "key").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    met = met.join(cold.where(single), "key", "left").withColumn("v", F.coalesce("v", F.col("n") * F.col("s").cast("double"), F.lit(0.0)))
+    return met.groupBy("_row", *keep).agg((F.sum("v") / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
+
+
+def curve(rows: DataFrame) -> tuple[float, float] | None:
+    """Slope and offset of the logistic curve over rows (llr, toxic), from a histogram of fixed size; None without both classes."""
     cell = F.greatest(F.least(F.round(F.col("llr") * (BINS / 8)), F.lit(BINS)), F.lit(-BINS)).cast("int")
     hist = rows.groupBy(cell.alias("c"), "toxic").agg(F.count("*").alias("n")).collect()
     if len({r["toxic"] for r in hist}) < 2:
-        return 0.0, 0.0
+        return None
     x = np.array([r["c"] for r in hist]) * (8 / BINS)
     y, n = np.array([r["toxic"] for r in hist], float), np.array([r["n"] for r in hist], float)
     scale = max(x.std(), 1e-6)
@@ -201,12 +285,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = common.texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     labels = labels.withColumn("_fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5)
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
     rows = docs.join(_small(labels), "doc_id")
-    model = train(rows.where("_fold <> 4"))
-    if model is None:
+    counted = common.cut(count(rows), "grams")
+    # the curve is fitted on a fold that its table has not counted; where that fold lacks a class, on all rows
+    part = table(counted.select("key", (F.col("t") - F.col("t4")).alias("t"), (F.col("o") - F.col("o4")).alias("o")).where("t + o > 0"))
+    fitted = curve(evidence(rows.where("_fold = 4"), part, ("toxic",))) if part is not None else None
+    grams = part
+    if grams is None:
         return docs.select("doc_id", F.lit(0.0).alias("llr"), F.lit(0.0).alias("score"))
-    slope, offset = curve(evidence(rows.where("_fold = 4"), model, ("toxic",)))
-    return evidence(docs, model).withColumn("score", 1 / (1 + F.exp(-(F.col("llr") * slope + offset))))
+    common.discard(counted)
+    slope, offset = fitted or curve(evidence(rows, grams, ("toxic",)))
+    return evidence(docs, grams).withColumn("score", 1 / (1 + F.exp(-(F.col("llr") * slope + offset))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,3 +174,30 @@ def test_toxicity(spark, sf):
     none = toxicity.score(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.count() == 5 and {r["score"] for r in none.collect()} == {0.0}
     assert toxicity.score(docs(spark, []), labels.select("doc_id", "toxic")).count() == 0
+
+
+def test_toxicity_joined_table_equals_broadcast(spark, sf):
+    from pyspark.sql import functions as F
+
+    from airwave.llm import common
+
+    labelled = common.texts(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+    grams = toxicity.table(common.cut(toxicity.count(labelled.where("doc_id % 2 = 0").withColumn("toxic", F.col("toxic").cast("int")).withColumn("_fold", F.lit(1)))))
+    odd = docs(spark, [(-1, ""), (-2, "x"), (-3, "x x x")]).drop("_h")
+    every = common.texts(spark.read.parquet(f"{sf}/documents.parquet")).unionByName(odd).unionByName(odd)
+    want = sorted((r["doc_id"], r["llr"]) for r in toxicity.evidence(every, grams).collect())
+    assert len({x for _, x in want}) > 100
+    for whole in (1, 1000):
+        got = sorted((r["doc_id"], r["llr"]) for r in toxicity.evidence(every, grams, whole=whole).collect())
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=0, atol=1e-9)
+
+
+def test_toxicity_files_every_ngram(spark):
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(1, 1 << 62, 30_000)) | 1
+    rows = spark.createDataFrame([(int(k), float(i + 1)) for i, k in enumerate(keys)], "key long, s float")
+    filed = toxicity._filed(rows)
+    value, found = toxicity._look(filed, keys.view(np.uint64))
+    assert found.all() and (value == np.arange(len(keys)) + 1).all()
+    assert not toxicity._look(filed, (keys + 1).view(np.uint64))[1].any()
