@@ -34,7 +34,7 @@ from .quality import _small, held_out
 
 #: absolute discount, margin of evidence, weight of a word's plain log ratio, and cells of the calibration
 #: histogram on either side of zero
-DISCOUNT, MARGIN, LEAK, BINS = 0.75, 0.75, 0.0, 4000
+DISCOUNT, MARGIN, LEAK, BINS = 0.75, 0.75, 0.01, 4000
 #: n-grams up to which the whole table is broadcast, and documents from which a bigram without evidence is filed
 WHOLE, OFTEN = 1 << 22, 1000
 #: the mean evidence is drawn out near zero and compressed far from it: arcsinh(STRETCH * mean)

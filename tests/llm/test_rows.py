@@ -201,3 +201,14 @@ def test_toxicity_files_every_ngram(spark):
     value, found = toxicity._look(filed, keys.view(np.uint64))
     assert found.all() and (value == np.arange(len(keys)) + 1).all()
     assert not toxicity._look(filed, (keys + 1).view(np.uint64))[1].any()
+
+
+def test_toxicity_counts_rare_expressions_and_every_fold(spark):
+    rows, labels = [], []
+    for i in range(1, 201):
+        toxic = i % 4 == 0
+        rows.append((i, "the day was " + ("vile" if toxic else "calm") + " again" + (f" rare{i % 24}" if toxic else "")))
+        labels.append((i, int(toxic)))
+    rows += [(1001, "rare4 rare4"), (1002, "")]
+    got = {r["doc_id"]: r["llr"] for r in toxicity.score(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[1001] > got[1002]  # in fewer than ten toxic documents
