@@ -291,7 +291,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # the curve is fitted on a fold that its table has not counted; where that fold lacks a class, on all rows
     part = table(counted.select("key", (F.col("t") - F.col("t4")).alias("t"), (F.col("o") - F.col("o4")).alias("o")).where("t + o > 0"))
     fitted = curve(evidence(rows.where("_fold = 4"), part, ("toxic",))) if part is not None else None
-    grams = part
+    grams = table(counted)
     if grams is None:
         return docs.select("doc_id", F.lit(0.0).alias("llr"), F.lit(0.0).alias("score"))
     common.discard(counted)

@@ -212,3 +212,9 @@ def test_toxicity_counts_rare_expressions_and_every_fold(spark):
     rows += [(1001, "rare4 rare4"), (1002, "")]
     got = {r["doc_id"]: r["llr"] for r in toxicity.score(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert got[1001] > got[1002]  # in fewer than ten toxic documents
+    import zlib
+
+    four = next(i for i in range(1, 201) if zlib.crc32(str(i).encode()) % 5 == 4 and i % 4 == 0)
+    rows = [(i, t + (" onlyhere" if i == four else "")) for i, t in rows if i <= 200] + [(1001, "onlyhere"), (1002, "")]
+    got = {r["doc_id"]: r["llr"] for r in toxicity.score(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[1001] > got[1002]
