@@ -93,19 +93,34 @@ def depth_cutoff(rows: DataFrame, key: str = "video_id", order: str = "gap") ->
 
 def merge_short_spans(spans: DataFrame, min_ms: int = 60_000) -> DataFrame:
     """(video_id, start_ms, end_ms): a span below the minimum joins the one before; a short first one absorbs
-    what follows. A left fold over a programme's spans in order."""
-    item = F.struct(F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    ordered = spans.groupBy("video_id").agg(F.sort_array(F.collect_list(item)).alias("spans"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        head = F.slice(acc, 1, F.size(acc) - 1)
-        grown = F.concat(head, F.array(F.struct(last["s"].alias("s"), x["e"].alias("e"))))
-        short = (x["e"] - x["s"] < min_ms) | (last["e"] - last["s"] < min_ms)
-        return F.when(F.size(acc) == 0, F.array(x)).when(short, grown).otherwise(F.concat(acc, F.array(x)))
-
-    folded = F.aggregate("spans", F.array().cast("array<struct<s:bigint,e:bigint>>"), step)
-    return ordered.select("video_id", F.explode(folded).alias("x")).select("video_id", F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"))
+    what follows. A programme's spans are folded in order in Arrow batches with the open span as only state."""
+
+    def scan(batches):
+        import pyarrow as pa
+
+        video = start = end = None
+        open_ = False
+        for batch in batches:
+            out = []
+            for v, s, e in zip(*(batch.column(c).to_pylist() for c in ("video_id", "start_ms", "end_ms"))):
+                short = open_ and v == video and (_short(s, e, min_ms) or _short(start, end, min_ms))
+                if not short:
+                    if open_:
+                        out.append((video, start, end))
+                    video, start, open_ = v, s, True
+                end = e
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), batch.schema)], schema=batch.schema)
+            schema = batch.schema
+        if open_:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((video, start, end), schema)], schema=schema)
+
+    rows = spans.select("video_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "start_ms", "end_ms").mapInArrow(scan, rows.schema)
+
+
+def _short(start: int | None, end: int | None, least: int) -> bool:
+    return start is not None and end is not None and end - start < least
 
 
 def stratified_sample(rows: DataFrame, label: str, per: int = 3, total: int = 50, seed: int = 0) -> DataFrame:

@@ -54,6 +54,15 @@ def test_merge_short_spans_equals_loop(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_merge_short_spans_keeps_no_programme_in_one_row(spark):
+    spans = spark.range(60_000).selectExpr("id % 7 div 6 AS video_id", "id * 10 AS start_ms", "id * 10 + 70 AS end_ms")
+    merged = windows.merge_short_spans(spans, 80)
+    plan = merged._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan
+    ends = spans.groupBy("video_id").agg({"end_ms": "max"}).collect()
+    assert max(r["end_ms"] for r in merged.collect()) == max(r[1] for r in ends)
+
+
 def test_chat_snapshot_reader(spark, tmp_path):
     lines = [json.dumps({"_stream": {"video_id": "abc"}}), json.dumps({"message_id": "1", "author": "u", "text": "hi", "published_at": "2026-01-01T00:00:00Z"}), "not json", json.dumps({"message_id": "2", "text": "  "})]
     (tmp_path / "x.jsonl").write_text("\n".join(lines))
