@@ -59,12 +59,45 @@ def cue_start_offsets(cues: DataFrame) -> DataFrame:
     return cues.where(~F.col("non_speech")).select("video_id", "cue_idx", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).alias("offset"))
 
 
-def segment_programmes(cues: DataFrame, terms_of, min_ms: int = 60_000) -> DataFrame:
-    """Stories of all programmes: cohesion dips and music gaps cut, short spans merge. ``terms_of``: blocks -> (video_id, block, term)."""
-    from .windows import depth_cutoff, depth_scores, merge_short_spans
+def block_topics(blocks: DataFrame, terms: DataFrame, fallback: int = 14) -> DataFrame:
+    """(video_id, block, topic) of usable blocks by the gazetteer; a block without a token takes the fallback."""
+    from ..functions.text import tokenize
+    from .stats import gazetteer_topic
+
+    usable = blocks.where("usable")
+    tokens = usable.select(F.struct("video_id", "block").alias("doc_id"), F.explode(tokenize(F.col("text"))).alias("token"))
+    found = gazetteer_topic(tokens, terms, fallback=fallback).select("doc_id.video_id", "doc_id.block", "topic_ord")
+    return usable.select("video_id", "block").join(found, ["video_id", "block"], "left").select("video_id", "block", F.coalesce("topic_ord", F.lit(fallback)).alias("topic"))
+
+
+def detect_boundaries(blocks: DataFrame, similarities: DataFrame, topics: DataFrame) -> DataFrame:
+    """(video_id, block, at_ms, reasons, confidence): cohesion dips, topic changes that last and music gaps. A topic
+    change alone goes where similarity is above the upper median of the programme's usable gaps; a programme
+    of fewer than three blocks has none."""
+    from .windows import depth_cutoff, depth_scores, label_changes, smooth_labels
+
+    hit = lambda rows, block, name: rows.select("video_id", F.col(block).cast("long").alias("block"), F.lit(name).alias("reason"))
+    changes = label_changes(smooth_labels(topics, "video_id", "block", "topic"), "video_id", "block")
+    hits = hit(depth_cutoff(depth_scores(similarities)), "gap", "lexical-cohesion")
+    hits = hits.unionByName(hit(changes, "block", "topic-change")).unionByName(hit(music_gaps(blocks), "block", "music-break"))
+    found = hits.groupBy("video_id", "block").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    at = similarities.select("video_id", F.col("gap").alias("block"), "similarity")
+    usable = blocks.where("usable AND block > 0").select("video_id", "block").join(at, ["video_id", "block"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    usable = usable.withColumn("_n", F.count("*").over(W.partitionBy("video_id"))).withColumn("_r", F.row_number().over(W.partitionBy("video_id").orderBy("similarity")))
+    middle = usable.where("_r = floor(_n / 2) + 1").select("video_id", F.col("similarity").alias("median"))
+    long = blocks.groupBy("video_id").agg(F.max("block").alias("_last")).where("_last >= 2").select("video_id")
+    found = found.join(long, "video_id").join(at, ["video_id", "block"], "left").join(middle, "video_id", "left")
+    alone = (F.size("reasons") == 1) & (F.col("reasons")[0] == "topic-change")
+    found = found.where(~(alone & (F.coalesce("similarity", F.lit(0.0)) > F.coalesce("median", F.lit(0.0)))))
+    return found.select("video_id", "block", (F.col("block") * BLOCK_MS).alias("at_ms"), "reasons", F.least(F.lit(1.0), F.size("reasons") * F.lit(0.34)).alias("confidence"))
+
+
+def segment_programmes(cues: DataFrame, terms_of, topics_of, min_ms: int = 60_000) -> DataFrame:
+    """Stories of all programmes: cohesion dips, topic changes and music gaps cut, short spans merge. ``terms_of``:
+    blocks -> (video_id, block, term); ``topics_of``: blocks -> (video_id, block, topic) of the usable ones."""
+    from .windows import merge_short_spans
 
     blocks = build_blocks(cues)
-    dips = depth_cutoff(depth_scores(cohesion(terms_of(blocks)))).select("video_id", (F.col("gap") * BLOCK_MS).alias("at_ms"))
-    music = music_gaps(blocks).select("video_id", (F.col("block") * BLOCK_MS).alias("at_ms"))
+    cuts = detect_boundaries(blocks, cohesion(terms_of(blocks)), topics_of(blocks)).select("video_id", "at_ms")
     ends = blocks.groupBy("video_id").agg(((F.max("block") + 1) * BLOCK_MS).alias("end_ms"))
-    return merge_short_spans(spans_from_boundaries(dips.unionByName(music), ends), min_ms)
+    return merge_short_spans(spans_from_boundaries(cuts, ends), min_ms)

@@ -357,7 +357,7 @@ def _(v):
 @register("segment_programmes")
 def _(v):
     terms = lambda b: b.select("video_id", "block", F.explode(text.tokenize(F.col("text"))).alias("term")).where("length(term) > 1")
-    return segment.segment_programmes(_cues(v), terms)
+    return segment.segment_programmes(_cues(v), terms, lambda b: segment.block_topics(b, v("t_terms")))
 
 
 @register("stratified_sample", "WITH h AS (SELECT *, md5('0:' || CAST(id AS VARCHAR)) AS h FROM t_predictions), c AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY h, id) AS c FROM h) SELECT id, y_true FROM c ORDER BY CASE WHEN c > 3 THEN 1 ELSE 0 END, h, id LIMIT 50")

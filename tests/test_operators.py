@@ -63,6 +63,43 @@ def test_merge_short_spans_keeps_no_programme_in_one_row(spark):
     assert max(r["end_ms"] for r in merged.collect()) == max(r[1] for r in ends)
 
 
+def test_detect_boundaries_equals_loop(spark):
+    from airwave.operators import segment
+
+    rnd = random.Random(4)
+    blocks, sims, topics, want = [], [], [], {}
+    for video in range(30):
+        n = rnd.choice([1, 2, 3, 8, 25])
+        sim = [0.0] + [rnd.randint(0, 9) / 10 for _ in range(n - 1)]
+        usable = [rnd.random() < 0.9 for _ in range(n)]
+        quiet = [rnd.choice([0, 0, 0, 0, 5000]) for _ in range(n)]
+        topic = [(i // 4) % 2 if rnd.random() < 0.9 else 7 for i in range(n)]
+        blocks += [(video, i, quiet[i], usable[i]) for i in range(n)]
+        sims += [(video, i, sim[i]) for i in range(1, n)]
+        topics += [(video, i, topic[i]) for i in range(n) if usable[i]]
+        at = [i for i in range(n) if usable[i]]
+        label = [topic[i] for i in at]
+        smooth = label[:]
+        for i in range(1, len(label) - 1):
+            if label[i - 1] == label[i + 1] != label[i]:
+                smooth[i] = label[i - 1]
+        changes = {at[i] for i in range(1, len(smooth) - 1) if smooth[i - 1] != smooth[i] == smooth[i + 1]}
+        dips = {r["gap"] for r in windows.depth_cutoff(windows.depth_scores(spark.createDataFrame(sims[-n + 1 :], "video_id long, gap long, similarity double"))).collect()} if n > 2 else set()
+        middle = sorted(sim[i] for i in range(1, n) if usable[i])
+        middle = middle[len(middle) // 2] if middle else 0.0
+        for i in range(1, n) if n > 2 else ():
+            why = sorted(name for name, hit in (("lexical-cohesion", i in dips), ("topic-change", i in changes), ("music-break", quiet[i] >= 4000)) if hit)
+            if why and not (why == ["topic-change"] and sim[i] > middle):
+                want[video, i] = (i * 30_000, why, min(1.0, 0.34 * len(why)))
+    got = segment.detect_boundaries(
+        spark.createDataFrame(blocks, "video_id long, block long, non_speech_ms long, usable boolean"),
+        spark.createDataFrame(sims, "video_id long, gap long, similarity double"),
+        spark.createDataFrame(topics, "video_id long, block long, topic int"),
+    ).collect()
+    assert {(r["video_id"], r["block"]): (r["at_ms"], r["reasons"], r["confidence"]) for r in got} == want
+    assert any(x[1] == ["topic-change"] for x in want.values())
+
+
 def test_chat_snapshot_reader(spark, tmp_path):
     lines = [json.dumps({"_stream": {"video_id": "abc"}}), json.dumps({"message_id": "1", "author": "u", "text": "hi", "published_at": "2026-01-01T00:00:00Z"}), "not json", json.dumps({"message_id": "2", "text": "  "})]
     (tmp_path / "x.jsonl").write_text("\n".join(lines))
