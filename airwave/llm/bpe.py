@@ -3,7 +3,7 @@
 The distinct pre-tokens of a block of documents are laid end to end. An inverted index maps a
 token pair (named by its rank) to the positions where it stands; merges are applied in rank order,
 each one to all of its positions at once, and only the pairs to the left and right of a merged
-position are looked up again. Pieces already known to the worker are not replayed.
+position are looked up again. Units that the worker's table holds are not replayed.
 
 Defined cases: a null text counts as empty; an empty text has no ids; a repeated row is encoded
 like any other; other columns of the input are left out; an empty table gives an empty table.
@@ -20,10 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import _CUT, _SLOW, gather, slices
+from .pieces import STEP, Units, gather, slices
 
-#: Bytes of text whose distinct pre-tokens are replayed together, and pieces a worker remembers.
-BLOCK, CACHE = 24 << 20, 400_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -54,18 +52,17 @@ class MergeReplay:
         self.blob = np.frombuffer(b"".join(words), np.uint8)
         self.lens = np.array([len(w) for w in words], np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.units = Units(self.learn, True)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.vals[at], NONE)
 
-    def replay(self, tokens: list[bytes]) -> list[bytes]:
-        """Ids (little-endian uint32) of each pre-token."""
+    def replay(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens one after the other, and how many each has."""
         if not tokens:
-            return []
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         lens = np.array([len(t) for t in tokens], np.int64)
         tok = self.byte[np.frombuffer(b"".join(tokens), np.uint8)]
         n = len(tok)
@@ -130,28 +127,22 @@ class MergeReplay:
             cur[left] = self.rank_of(tok[left], tok[at[with_left]])
             post(np.concatenate([left, at[has]]) if len(left) else at[has])
         alive = tok >= 0
-        count = np.cumsum(alive)[ends - 1]
-        ids = tok[alive].astype("<u4").tobytes()
-        stops = (count * 4).tolist()
-        return [ids[a:b] for a, b in zip([0, *stops], stops)]
-
-    def learn(self, first: set[str], rest: set[str]) -> None:
-        """Replay the merges over the distinct pre-tokens of pieces that are not known yet."""
-        new = [(self.first, w, "") for w in first if w not in self.first] + [(self.rest, w, " ") for w in rest if w not in self.rest]
-        if len(self.first) + len(self.rest) + len(new) > CACHE:
-            self.first.clear()
-            self.rest.clear()
-            new = [(self.first, w, "") for w in first] + [(self.rest, w, " ") for w in rest]
-        split = [self.find(lead + w) for _, w, lead in new]
+        return tok[alive].astype(np.uint32), np.diff(np.r_[0, np.cumsum(alive)[ends - 1]])
+
+    def learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Replay the merges over the distinct pre-tokens of units that are not known yet."""
+        split = [self.find(u) for u in units]
         distinct = list(set(chain.from_iterable(split)))
-        ids = dict(zip(distinct, self.replay([t.encode() for t in distinct])))
-        for (cache, w, _), parts in zip(new, split):
-            cache[w] = b"".join(map(ids.__getitem__, parts))
+        ids, n = self.replay([t.encode() for t in distinct])
+        number = dict(zip(distinct, range(len(distinct))))
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64)
+        ids, ends = gather(ids, np.cumsum(n) - n, n, flat)
+        count = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        return ids, np.diff(np.r_[0, np.r_[0, ends][count]])
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [(_CUT.split(t) if _SLOW.search(t) else t.split(" ")) if t else [] for t in texts]
-        self.learn({w[0] for w in cut if w}, set(chain.from_iterable(w[1:] for w in cut)))
-        return [self.first[w[0]] + b"".join(map(self.rest.__getitem__, w[1:])) if w else b"" for w in cut]
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids end."""
+        return self.units.encode(texts)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return gather(self.blob, self.starts, self.lens, ids)
@@ -173,15 +164,15 @@ def encode(docs: DataFrame, path: str, pattern: str, decode: bool = False) -> Da
         import pyarrow as pa
 
         coder = _coder(path, pattern)
-        for part in slices(batches, "text", BLOCK):
-            ids = coder.encode_batch(part.column("text").to_pylist())
-            for at in range(0, len(ids), 512):
-                block = ids[at : at + 512]
-                flat = np.frombuffer(b"".join(block), "<u4").astype(np.int32)
-                ends = np.cumsum([0] + [len(b) // 4 for b in block])
+        for part in slices(batches, "text", STEP):
+            every, stops = coder.encode_batch(part.column("text").to_pylist())
+            stops = np.r_[0, stops]
+            for at in range(0, part.num_rows, 512):
+                ends = stops[at : at + 513] - stops[at]
+                flat = every[stops[at] : stops[at] + ends[-1]].astype(np.int32)
                 if len(flat) >= 2**31 - 1:
                     raise ValueError("more ids than one Arrow list column holds")
-                cols = [part.column("doc_id").slice(at, len(block)).combine_chunks(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+                cols = [part.column("doc_id").slice(at, len(ends) - 1).combine_chunks(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
                 names = ["doc_id", "ids"]
                 if decode:
                     data, stop = coder.decode(flat)

@@ -41,6 +41,15 @@ def concatenate(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*raw, b""]), np.uint8), starts
 
 
+def stretch_hash(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes first..last-1 of each stretch and of its length."""
+    up, down = _powers(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
+    size = (last - first).astype(np.uint64)
+    return mix((total[last] - total[first]) * down[first] + size * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words(buf: np.ndarray, starts: np.ndarray, inside: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number, first and last+1 byte of each maximal run of bytes that ``inside`` marks."""
     keep = inside[buf]

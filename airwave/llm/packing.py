@@ -14,7 +14,6 @@ its own; other columns of the input are left out; an empty table gives no piece.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -23,26 +22,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import pieces, slices
+from .pieces import STEP, slices, units
 
 SALT = 64
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): pieces of at most ``capacity`` ids (little-endian uint32), whole text, end id last."""
-    end = struct.pack("<I", end_id)
-    step = 4 * capacity
 
     def run(batches):
         import pyarrow as pa
 
-        tok = pieces(path, False)
-        for part in slices(batches, "text", 2 << 20):
+        tok = units(path, False)
+        for part in slices(batches, "text", STEP):
+            ids, stop = tok.encode(part.column("text").to_pylist())
+            raw = np.insert(ids, stop, end_id).astype("<u4").tobytes()
             out: list[tuple] = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = tok.ids(text) + end
-                n = len(ids) // 4
-                out += [(doc, at // 4, min(capacity, n - at // 4), n, ids[at : at + step]) for at in range(0, len(ids), step)]
+            begin = 0
+            for doc, end in zip(part.column("doc_id").to_pylist(), (stop + np.arange(1, len(stop) + 1)).tolist()):
+                n = end - begin
+                out += [(doc, at, min(capacity, n - at), n, raw[4 * (begin + at) : 4 * min(begin + at + capacity, end)]) for at in range(0, n, capacity)]
+                begin = end
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
 

@@ -1,81 +1,148 @@
-"""Encoding whole texts through a bounded cache of the pieces a tokenizer treats independently.
-
-Both tokenizers' pre-splitting never joins what lies on either side of a single blank that a
-visible character follows. A text is therefore encoded piece by piece, and each distinct piece
-goes through the ``tokenizers`` library once per worker as long as the cache holds it.
+"""Encoding whole texts through a bounded table of the units that a tokenizer treats independently.
+
+Three kinds of place always separate two pre-tokens of the tokenizers used here: before a single blank
+that a visible character follows, between a letter and a following mark, and after a line feed between
+two visible characters. A text is cut there on its bytes with numpy; every unit is named by a 64-bit
+hash of its bytes and length, and only units that the worker's table does not hold become Python
+strings and go through the encoder. The table is made of arrays, not objects; when it is full it starts
+anew, which costs time, never results.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces kept per worker; beyond it the cache starts anew. It bounds memory, never results.
-CACHE = 1_000_000
-
-_SLOW = re.compile(r" (?:\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
-#: places inside a piece where both tokenizers split as well: a letter before a mark or line feed, a lone line feed before a visible character
-_SUB = re.compile(r"(?<=[A-Za-zß-öø-ÿ])(?=[.,;:!?|%$#*&\n])|(?<=\S\n)(?=\S)")
-
-
-class Pieces:
-    """``ids(text)`` returns the little-endian uint32 ids that the library gives for the whole text."""
-
-    def __init__(self, path: str, blanks_count: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.blanks_count = blanks_count
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, cache: dict[str, bytes], words, lead: str) -> None:
-        new = [w for w in set(words) if w not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(set(words))
-        split = [_SUB.split(lead + w) for w in new]
-        parts = [p for p in set(chain.from_iterable(split)) if p not in self.parts]
-        if len(self.parts) + len(parts) > CACHE:
-            self.parts.clear()
-            parts = list(set(chain.from_iterable(split)))
-        for p, e in zip(parts, self.tok.encode_batch_fast(parts, add_special_tokens=False)):
-            self.parts[p] = np.asarray(e.ids, "<u4").tobytes()
-        for w, s in zip(new, split):
-            cache[w] = b"".join(map(self.parts.__getitem__, s))
-
-    def _join(self, cache: dict[str, bytes], words, lead: str) -> bytes:
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            self._learn(cache, words, lead)
-            return b"".join(map(cache.__getitem__, words))
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.blanks_count:
-            return self._join(self.rest, text.replace("\n", " ").split(" "), "")
-        words = _CUT.split(text) if _SLOW.search(text) else text.split(" ")
-        head = self._join(self.first, words[:1], "")
-        return head + self._join(self.rest, words[1:], " ")
-
-
-_open: dict[tuple[str, bool], Pieces] = {}
-
-
-def pieces(path: str, blanks_count: bool) -> Pieces:
-    """The worker's own instance; workers are reused, so later tasks find the cache warm."""
+from .hashing import concatenate, stretch_hash
+
+#: Units that a worker's table holds, and bytes of text cut at a time.
+CACHE, STEP = 2_000_000, 4 << 20
+
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[33:127] = True
+#: lead bytes of characters that are never white space
+_VISIBLE[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: second bytes, after 0xC3, of the Latin-1 small letters
+_SMALL = np.zeros(256, bool)
+_SMALL[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?|%$#*&\n")] = True
+
+
+def cut_units(buf: np.ndarray, starts: np.ndarray, blanks_count: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First and last+1 byte of every unit of the texts in ``buf`` (as ``concatenate`` lays them out), in order.
+    With ``blanks_count`` a unit begins with its blank; without, blanks and line feeds belong to none."""
+    n = len(buf)
+    feeds = starts[1:] - 1  # the line feed after each text belongs to no text
+    if not blanks_count:
+        inside = (buf != 32) & (buf != 10)
+    else:
+        inside = np.ones(n, bool)
+        inside[feeds] = False
+    edge = np.zeros(n + 1, bool)
+    edge[:-1] = inside
+    edge[1:-1] &= ~inside[:-1]  # where a run begins
+    letter = _LETTER[buf]
+    letter[1:] |= (buf[:-1] == 0xC3) & _SMALL[buf[1:]]
+    begin = edge[:-1]
+    begin[1:] |= letter[:-1] & _MARK[buf[1:]] & inside[1:]
+    if blanks_count:
+        seen = _VISIBLE[buf]
+        begin[:-1] |= (buf[:-1] == 32) & seen[1:]
+        begin[2:] |= (buf[1:-1] == 10) & seen[2:] & (seen[:-2] & (buf[:-2] < 127) | letter[:-2])
+        begin &= inside
+    first = np.flatnonzero(begin)
+    if blanks_count:
+        last = np.r_[first[1:], n]
+        stop = feeds[np.searchsorted(feeds, first)]
+    else:
+        ends = np.flatnonzero(np.r_[inside[:-1] & ~inside[1:], True]) + 1
+        last = np.r_[first[1:], n]
+        stop = ends[np.searchsorted(ends, first, "right")]
+    return first, np.minimum(last, stop)
+
+
+class Units:
+    """``encode(texts)``: the ids of all texts one after the other, and where each text's ids end.
+    ``learn`` gives (ids, number of ids of each) of a list of new units."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], blanks_count: bool):
+        self.learn, self.blanks_count = learn, blanks_count
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = [np.zeros(0, np.uint32)]
+        self.total = 0
+
+    def _add(self, buf: np.ndarray, keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        raw = buf.tobytes()
+        ids, n = self.learn([raw[a:b].decode() for a, b in zip(first.tolist(), last.tolist())])
+        where = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, where, self.total + np.cumsum(n) - n)
+        self.size = np.insert(self.size, where, n)
+        self.keys = np.insert(self.keys, where, keys)
+        self.ids.append(ids.astype(np.uint32))
+        self.total += len(ids)
+
+    def _place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        buf, starts = concatenate(texts)
+        first, last = cut_units(buf, starts, self.blanks_count)
+        h = stretch_hash(buf, first, last)
+        keys, one, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at, known = self._place(keys)
+        if not known.all():
+            if len(self.keys) + int((~known).sum()) > CACHE:
+                self._clear()
+                known[:] = False
+            new = one[~known]
+            self._add(buf, keys[~known], first[new], last[new])
+            at, _ = self._place(keys)
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)]
+        own = at[inverse]
+        ids, ends = gather(self.ids[0], self.at, self.size, own)
+        # units before each text's end
+        before = np.searchsorted(first, starts[1:])
+        return ids, np.r_[0, ends][before]
+
+
+def library(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Encoder of units by the ``tokenizers`` library; the strings of special tokens in a text are ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from itertools import chain
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+
+    def learn(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
+
+    return learn
+
+
+_open: dict[tuple[str, bool], Units] = {}
+
+
+def units(path: str, blanks_count: bool) -> Units:
+    """The worker's own instance; workers are reused, so later tasks find the table warm."""
     key = (path, blanks_count)
     if key not in _open:
-        _open[key] = Pieces(path, blanks_count)
+        _open[key] = Units(library(path), blanks_count)
     return _open[key]
 
 
@@ -98,7 +165,7 @@ def slices(batches, column: str, most: int):
 
 
 def gather(blob: np.ndarray, starts: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of ``blob`` that belong to ``ids``, one after the other, and where each one ends."""
+    """The values of ``blob`` that belong to ``ids``, one after the other, and where each one ends."""
     n = lens[ids]
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import pieces, slices
+from .pieces import STEP, slices, units
 
 #: ids of one block at most (a longer document is a block of its own)
 BLOCK = 1 << 19
@@ -63,15 +63,17 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, str,
         import pyarrow as pa
         import zstandard
 
-        tok, squeeze = pieces(path, True), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], "<u4").tobytes()
-        for part in slices(batches, "text", 2 << 20):
-            ids = [np.frombuffer(tok.ids(t) + end, "<u4") for t in part.column("text").to_pylist()]
+        tok, squeeze = units(path, True), zstandard.ZstdCompressor(level=1)
+        for part in slices(batches, "text", STEP):
+            ids, stop = tok.encode(part.column("text").to_pylist())
+            raw = np.insert(ids, stop, end_id).astype(kind)
+            stop = stop + np.arange(1, len(stop) + 1)
+            start = np.r_[0, stop[:-1]]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").combine_chunks().cast(pa.int64()),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([squeeze.compress(x.astype(kind).tobytes()) for x in ids], pa.binary()),
+                    pa.array(stop - start),
+                    pa.array([squeeze.compress(raw[a:b].tobytes()) for a, b in zip(start.tolist(), stop.tolist())], pa.binary()),
                 ],
                 ["doc_id", "n", "ids"],
             )
