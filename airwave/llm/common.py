@@ -7,24 +7,22 @@ defined meaning (a repeated row is the same document twice).
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder in the warehouse
+    of a session that runs in one process alone; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="spark-airwave-")
-        base = _own[app]
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/airwave-shared"
     return base.rstrip("/")
 
 
@@ -37,37 +35,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of what is written inside go when it is: its result is in the shared folder."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, name: str = "cut", path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there, and
     an executor that is lost later takes nothing with it."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.airwave_path = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables of ``cut`` that nothing reads any more, and let the driver drop what it no longer
-    refers to, so that the cleaner removes shuffle files of stages whose result is in the shared folder."""
-    import gc
-
+    """Remove tables of ``cut`` that nothing reads any more."""
     for table in tables:
         spark = table.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(table.airwave_path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` dealt by ``key`` once and kept so in the shared folder: later joins on the key move only the other side."""
+def bucketed(df: DataFrame, key: str, dealt: bool = False) -> DataFrame:
+    """``df`` dealt by ``key`` once and kept so in the shared folder: later joins on the key move only the other side.
+    ``dealt``: it comes from a join on the key, which has dealt it."""
     spark, n = df.sparkSession, partitions(df.sparkSession)
     name = f"airwave_{uuid.uuid4().hex}"
-    writer = df.repartition(n, key).write.bucketBy(n, key).option("path", new_path(spark, "bucketed")).option("compression", "zstd")
-    writer.saveAsTable(name)
-    return spark.table(name)
+    writer = (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).option("path", new_path(spark, "bucketed")).option("compression", "zstd")
+    with tidy(spark):
+        writer.saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name goes, the files stay as long as the application
+    return table
 
 
 def row_key() -> Column:

@@ -5,24 +5,29 @@ exponentially distributed hashes, kept as a truncated exponent to base ``BASE``.
 maximum and agree the more often the more similar two sets are. Groups of ``ROWS`` registers form
 bands; documents that agree on a band meet there. The joint likelihood of all registers and the set
 sizes estimates the Jaccard index of a pair, hopeless pairs go, and the rest is verified on the full
-sets. Only classes of equal sets take part, each by its smallest document.
+sets. Only classes of equal sets take part, each by one of its rows.
 
-In a band's group members are first held against the group's smallest member, then, where the group
-still lies in several components, against the member closest to the group's consensus registers (the
-common original of many edited copies). Members that even then stay in another component than someone
-they met are held against each other, in blocks, until no pair of a group that could link is left
-unjudged; nothing is capped.
+What a group returns is a spanning forest, never its pairs. Every class first goes to its home, the
+largest group it is in, and is held there against the members of one block (and a few leaders of a
+larger group), but only where the two still lie in different components. The forests of all homes are
+contracted. Of the groups that still hold several components, the large ones are dealt into other
+blocks as long as that merges anything; then every pair of different components that meets in a group
+is judged, once, in the first band that it shares. In a group beyond a block's size the largest
+component is held against the rest, and the rest against itself; nothing is capped.
 
 Defined cases: a null text or a text without words has the empty set and links with nothing; a text
-of fewer words than a shingle is one shingle; repeated rows are equal sets and so linked; a null
-doc_id takes no part in links; other columns pass through ``keep_first``; an empty table gives an
-empty result.
+of fewer words than a shingle is one shingle; repeated rows are equal sets and so linked; of rows that
+share a doc_id each text is a document of its own, and component_id is the smallest doc_id of the
+component; a null doc_id takes no part in links and stays; other columns, whatever their names, pass
+through ``keep_first``, which keeps one row of a component (the smallest doc_id, of equal ones the
+smallest row hash); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,10 +39,10 @@ from .pieces import slices
 BANDS, ROWS = 25, 5
 #: base and truncation of the registers, and how many standard errors below the threshold a pair's estimate may lie
 BASE, LIMIT, SLACK = 1.05, 65_000, 4.0
-#: members of a group that one task holds against each other
-BLOCK = 512
-#: members of a group among which one task looks for the consensus
-CROWD = 20_000
+#: members of a group that one task holds against each other, and leaders that all blocks of a larger group share
+BLOCK, LEADERS = 512, 8
+#: pairs that are estimated at once, bytes of text whose sets are made at once, shingles of sets that a task remembers
+PAIRS, STEP, REMEMBERED = 2048, 4 << 20, 8 << 20
 
 _MULT = (np.random.default_rng(20240229).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -125,7 +130,7 @@ def floor_of(least: float) -> float:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), set_key (128 bits of the sorted set), regs."""
+    """row, doc_id, n (set size), set_key (128 bits of the sorted set), regs."""
 
     def run(batches):
         import hashlib
@@ -137,15 +142,19 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
             raw, regs = x.astype("<u8").tobytes(), registers(x, starts)
             keys = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(starts, starts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").combine_chunks(), pa.array(np.diff(starts)), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                ["doc_id", "n", "set_key", "regs"],
+                [part.column("row").combine_chunks(), part.column("doc_id").combine_chunks(), pa.array(np.diff(starts)), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
+                ["row", "doc_id", "n", "set_key", "regs"],
             )
 
-    return common.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_key binary, regs binary")
+    return _keyed(docs).mapInArrow(run, "row long, doc_id long, n long, set_key binary, regs binary")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return common.texts(docs).select(common.row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(band, rep): the hash of each band's registers."""
+    """(band, nth, node): the hash and number of each band."""
 
     def run(batches):
         import pyarrow as pa
@@ -157,64 +166,11 @@ def _bands(reps: DataFrame) -> DataFrame:
             h = np.arange(1, BANDS + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
             for i in range(ROWS):
                 h = mix(h * np.uint64(0x9FB21C651E98DF25) + regs[:, :, i])
-            rep = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(rep)], ["band", "rep"])
-
-    return reps.select("rep", "regs").mapInArrow(run, "band long, rep long")
-
-
-def _promising(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose set sizes and register estimate leave a similarity of ``least`` possible."""
-    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    half = common.cut(pairs.join(one, "a"), "half")
-    both = half.join(two, "b").where(F.least("na", "nb") >= F.floor(F.greatest("na", "nb") * F.lit(least) * (1 - 1e-9)))
-    line = floor_of(least)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                p = batch.slice(at, 4096)
-                a, b = (np.frombuffer(b"".join(p.column(i).to_pylist()), np.uint16).reshape(p.num_rows, -1) for i in (3, 5))
-                est = estimate(a, b, p.column(2).to_numpy().astype(float), p.column(4).to_numpy().astype(float))
-                yield p.select(["a", "b"]).filter(pa.array(est >= line))
-
-    return both.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with den * |A and B| >= num * |A or B| on the full sets."""
-    text = common.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    one = text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    two = text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    half = common.cut(pairs.join(one, "a"), "half")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for part in slices([batch], "tb", 1 << 20):
-                ab = part.column("ta").to_pylist() + part.column("tb").to_pylist()
-                distinct = {t: i for i, t in enumerate(dict.fromkeys(ab))}
-                x, starts = shingles(list(distinct), k)
-                sets = [x[p:q] for p, q in zip(starts, starts[1:])]
-                good = []
-                for ta, tb in zip(ab[: part.num_rows], ab[part.num_rows :]):
-                    p, q = sets[distinct[ta]], sets[distinct[tb]]
-                    common_ = len(np.intersect1d(p, q, assume_unique=True))
-                    good.append(den * common_ >= num * (len(p) + len(q) - common_))
-                yield from part.select(["a", "b"]).filter(pa.array(good, pa.bool_())).to_batches()
-
-    return half.join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+            node = np.repeat(batch.column(0).to_numpy(), BANDS)
+            nth = np.tile(np.arange(BANDS, dtype=np.int8), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(nth), pa.array(node)], ["band", "nth", "node"])
 
-
-def _mixed(met: DataFrame, comp: DataFrame, name: str) -> DataFrame:
-    """(band, rep, component, size) of the groups whose members lie in several components."""
-    placed = common.cut(met.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component")), "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return common.cut(placed.join(common.cut(mixed.select("band", "size"), "sizes"), "band"), name)
+    return reps.select("node", "regs").mapInArrow(run, "band long, nth byte, node long")
 
 
 def _whole_groups(batches, keys: int):
@@ -241,113 +197,204 @@ def _whole_groups(batches, keys: int):
         yield described(rest)
 
 
-def _registers_of(table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+class _Sets:
+    """Full shingle sets of a table's rows, made when a pair asks for them; equal memory whatever the table."""
 
+    def __init__(self, table, k: int):
+        import pyarrow.compute as pc
 
-def _consensus(mixed: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of the member that agrees most with its group's modal registers and every other member.
-    Groups of one size are judged side by side."""
-    rows = mixed.join(reps.select("rep", "regs"), "rep")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CROWD)).cast("int"))
+        self.text, self.k = table.column("text"), k
+        self.bytes = pc.binary_length(self.text).to_numpy().astype(np.int64)
+        self.sets: dict[int, np.ndarray] = {}
+        self.held = 0
+
+    def have(self, rows: list[int]) -> None:
+        new = [r for r in rows if r not in self.sets]
+        if self.held > REMEMBERED:
+            self.sets, self.held, new = {}, 0, rows
+        if new:
+            x, starts = shingles(self.text.take(new).to_pylist(), self.k)
+            self.sets |= {r: x[a:b].copy() for r, a, b in zip(new, starts, starts[1:])}
+            self.held += len(x)
+
+    def common(self, i: int, j: int) -> int:
+        a, b = self.sets[i], self.sets[j]
+        both = np.concatenate([a, b])
+        both.sort()
+        return int((both[1:] == both[:-1]).sum())
 
-    def run(batches):
-        import pyarrow as pa
 
-        for table, starts, sizes in _whole_groups(batches, 2):
-            regs, rep = _registers_of(table), table.column("rep").to_numpy()
-            for g in np.unique(sizes[sizes > 1]):
-                of_size, many = starts[sizes == g], max(1, CROWD // int(g))
-                for begin in range(0, len(of_size), many):
-                    at = of_size[begin : begin + many, None] + np.arange(g)
-                    members = regs[at]
-                    ordered = np.sort(members, axis=1)
-                    # the modal value of each register: the longest run of its sorted values
-                    length = np.ones(ordered.shape, np.int32)
-                    for i in range(1, g):
-                        length[:, i] += np.where(ordered[:, i] == ordered[:, i - 1], length[:, i - 1], 0)
-                    mode = np.take_along_axis(ordered, length.argmax(1)[:, None], 1)
-                    best = (members == mode).sum(2).argmax(1)  # members are sorted: ties to the smallest
-                    hub = np.repeat(rep[at[np.arange(len(at)), best]], g)
-                    other = rep[at.ravel()]
-                    hub, other = hub[other != hub], other[other != hub]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, hub)), pa.array(np.maximum(other, hub))], ["a", "b"])
-
-    dealt = rows.select("band", "own", "rep", "regs").repartition("band", "own").sortWithinPartitions("band", "own", "rep")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _across(mixed: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs of one group that lie in different components and could still link: every member is held against
-    the one ``shift`` places on, for all groups of a batch at once."""
-    rows = mixed.join(reps.select("rep", "n", "regs"), "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    cells = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("band", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "rep", "own", "component", "n", "regs")
+def _forest(cells: DataFrame, members: DataFrame, k: int, num: int, den: int, each: bool) -> DataFrame:
+    """(a, b): a spanning forest over the components that verified links join within each cell (band, lo, hi) of
+    ``cells`` (band, nth, lo, hi, side, node, component). Rows of one side meet only where lo = hi. With ``each``
+    a pair is judged in the first band that it shares alone."""
+    least = num / den
     line = floor_of(least)
 
     def run(batches):
         import pyarrow as pa
 
         for table, starts, sizes in _whole_groups(batches, 3):
-            regs = _registers_of(table)
-            lo, hi, rep, own, comp_, n = (table.column(c).to_numpy() for c in ("lo", "hi", "rep", "own", "component", "n"))
-            left = np.repeat(starts + sizes, sizes) - np.arange(table.num_rows)  # rows up to the group's end
-            first = np.arange(table.num_rows)
+            if int(sizes.max()) < 2:
+                continue
+            regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+            nth, lo, hi, side, comp, n = (table.column(c).to_numpy() for c in ("nth", "lo", "hi", "side", "component", "n"))
+            label, sets, found = comp.copy(), _Sets(table, k), []
+            begin, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+
+            def judged(i, j):
+                good = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float))
+                order = np.argsort(-good, kind="stable")
+                order = order[good[order] >= line]
+                pairs = list(zip(i[order].tolist(), j[order].tolist()))
+                at = 0
+                while at < len(pairs):
+                    rows: dict[int, None] = {}
+                    some, size = [], 0
+                    while at < len(pairs) and (not some or size < STEP):
+                        a, b = pairs[at]
+                        at += 1
+                        if label[a] != label[b]:
+                            some.append((a, b))
+                            for r in (a, b):
+                                if r not in rows:
+                                    rows[r] = None
+                                    size += int(sets.bytes[r])
+                    if some:
+                        sets.have([*rows])
+                    for a, b in some:
+                        if label[a] != label[b]:
+                            both = sets.common(a, b)
+                            if den * both >= num * (n[a] + n[b] - both):
+                                found.append((comp[a], comp[b]))
+                                own = label[begin[a] : end[a]]
+                                own[own == label[b]] = label[a]
+
+            first, held, waiting = np.arange(table.num_rows), [], 0
             for shift in range(1, int(sizes.max())):
-                first = first[left[first] > shift]
+                first = first[first + shift < end[first]]
                 i, j = first, first + shift
-                ok = (comp_[i] != comp_[j]) & ((lo[i] == hi[i]) | (own[i] != own[j]))
+                ok = (label[i] != label[j]) & ((lo[i] == hi[i]) | (side[i] != side[j]))
                 ok &= np.minimum(n[i], n[j]) >= np.floor(np.maximum(n[i], n[j]) * least * (1 - 1e-9))
                 i, j = i[ok], j[ok]
-                ok = (regs[i] == regs[j]).sum(1) >= equal_floor(least, n[i].astype(float), n[j].astype(float))
-                i, j = i[ok], j[ok]
-                if len(i):
-                    likely = estimate(regs[i], regs[j], n[i].astype(float), n[j].astype(float)) >= line
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[i[likely]]), pa.array(rep[j[likely]])], ["a", "b"])
-
-    dealt = cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: links are pairs with den * intersection >= num * union."""
-    spark = docs.sparkSession
-    least = num / den
+                if not len(i):
+                    continue
+                same = regs[i] == regs[j]
+                ok = same.sum(1) >= equal_floor(least, n[i].astype(float), n[j].astype(float))
+                if each:
+                    shared = same[ok].reshape(-1, BANDS, ROWS).all(2)
+                    ok[ok] = shared.argmax(1) == nth[i[ok]]
+                held.append((i[ok], j[ok]))
+                waiting += int(ok.sum())
+                if shift < 4 or waiting >= PAIRS:
+                    judged(*map(np.concatenate, zip(*held)))
+                    held, waiting = [], 0
+            if held:
+                judged(*map(np.concatenate, zip(*held)))
+            if found:
+                a, b = map(np.array, zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = cells.join(members, cells["node"] == members["row"]).select("band", "lo", "hi", "nth", "side", "node", "component", "n", "regs", "text")
+    dealt = rows.repartition(common.partitions(cells.sparkSession), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
+    return common.cut(dealt.mapInArrow(run, "a long, b long"), "forest")
+
+
+def _homes(met: DataFrame, turn: int) -> DataFrame:
+    """Cells of ``met`` (band, nth, node, c, component): each node in a block of its largest group, with the
+    group's leaders in every block."""
+    home = met.groupBy("node").agg(F.max(F.struct("c", "band", "nth", "component")).alias("h")).select("node", "h.*")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    mine = home.select("band", "nth", F.pmod(F.xxhash64("node", F.lit(turn)), blocks.cast("long")).cast("int").alias("lo"), "node", "component")
+    rank = F.xxhash64("node", F.lit(turn + 1000))
+    leads = home.where(F.col("c") > BLOCK).groupBy("band", "c", F.pmod(rank, F.lit(LEADERS)).alias("s")).agg(F.min_by(F.struct("nth", "node", "component"), rank).alias("l"))
+    leads = leads.select("band", "l.nth", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("lo"), "l.node", "l.component")
+    both = mine.unionByName(leads)
+    return both.select("band", "nth", "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"), "node", "component")
+
+
+def _every(mixed: DataFrame) -> DataFrame:
+    """Cells in which every pair of different components of a group meets: one for a group within a block; beyond
+    it blocks of the largest component against blocks of the rest, and blocks of the rest against each other."""
+    small = mixed.where(F.col("c") <= BLOCK).select("band", "nth", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), "node", "component")
+    large = mixed.where(F.col("c") > BLOCK)
+    most = large.groupBy("band", "component").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
+    rows = large.join(most, "band").withColumn("rest", F.col("component") != F.col("top.component"))
+    lb, rb = F.ceil(F.col("top.m") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int")
+    rows = rows.withColumn("lb", lb).withColumn("rb", rb)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rb")).otherwise(F.col("lb")).cast("long")).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cell = lambda lo, hi, side: F.struct(lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+    against_top = F.transform(upto("lb"), lambda i: cell(i, -1 - F.col("own"), F.lit(2)))
+    each_other = F.transform(upto("rb"), lambda j: cell(F.least("own", j), F.greatest("own", j), F.col("own") + 3))
+    cells = F.when(F.col("rest"), F.concat(against_top, each_other)).otherwise(F.transform(upto("rb"), lambda j: cell(F.col("own"), -1 - j, F.lit(1))))
+    wide = rows.select("band", "nth", F.explode(cells).alias("x"), "node", "component").select("band", "nth", "x.lo", "x.hi", "x.side", "node", "component")
+    return small.unionByName(wide)
+
+
+def _resolved(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """row, doc_id, n, component (null where a row takes no part in links), component_id."""
     rows = common.cut(describe(docs, k), "sets")
     some = rows.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    reps = some.groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     reps = common.cut(reps, "reps")
     bands = common.cut(_bands(reps), "bands")
-    groups = common.cut(bands.groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("c")).where("c > 1").select("band", "center"), "groups")
-    met = common.cut(bands.join(groups, "band"), "met")
-    pairs = met.where("center <> rep").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    met = met.select("band", "rep")
-    seen = todo = common.cut(_promising(common.cut(pairs, "pairs"), reps, least), "likely")
-    edges = common.cut(_verified(todo, docs, k, num, den), "linked")
-    comp = components(edges)
-    for step in range(64):
-        mixed = _mixed(met, comp, "mixed")
-        if not mixed.limit(1).count():
-            break
-        found = _promising(common.cut(_consensus(mixed, reps), "hubs"), reps, least) if step == 0 else _across(mixed, reps, least)
-        todo = common.cut(found.join(seen, ["a", "b"], "left_anti"), "open")  # a pair is judged once
-        if step and not todo.limit(1).count():
+    groups = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    met = common.cut(bands.join(common.cut(groups, "groups"), "band"), "met")
+    needed = reps.select("node", "n", "regs").join(met.select("node").distinct(), "node", "left_semi")
+    texts = _keyed(docs).select("row", "text").dropDuplicates(["row"])
+    members = common.bucketed(texts.join(needed.hint("merge"), F.col("row") == F.col("node")).select("row", "n", "regs", "text"), "row", dealt=True)
+    comp, turn, moved = None, 0, 0
+    cells = _homes(met.withColumn("component", F.col("node")), 0)
+    while True:
+        edges = _forest(cells, members, k, num, den, turn < 0)
+        merged = edges.count()
+        if merged:
+            step = components(edges)
+            known = step.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+            if comp is None:
+                comp = step
+            else:  # contract what was known, and add what is new
+                old = comp.join(known, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+                comp = common.cut(old.unionByName(step.join(comp.select("node"), "node", "left_anti")), "contracted")
+        if turn < 0:
             break
-        seen = seen.unionByName(todo)
-        edges = edges.unionByName(common.cut(_verified(todo, docs, k, num, den), "linked"))
-        comp = components(edges)
-    known = reps.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("component"))
-    known = common.cut(known, "known")
-    tied = rows.withColumn("_link", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")))
-    out = tied.join(known, F.col("_link") == F.col("_key"), "left")
-    comp_id = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), (F.col("doc_id") == comp_id).alias("kept"))
+        placed = met if comp is None else met.join(comp, "node", "left")
+        placed = placed.select("band", "nth", "node", "c", F.coalesce(F.col("component"), F.col("node")).alias("component") if comp is not None else F.col("node").alias("component"))
+        placed = common.cut(placed, "placed")
+        several = placed.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band")
+        mixed = common.cut(placed.join(common.cut(several, "several"), "band"), "mixed")
+        crowd = mixed.where(F.col("c") > BLOCK)
+        if (turn == 0 or merged * 50 >= moved) and crowd.limit(1).count():
+            turn, moved = turn + 1, crowd.select("node").distinct().count()
+            cells = _homes(crowd, turn)
+        else:
+            turn, cells = -1, _every(mixed)
+    reps = reps.select("set_key", "node", "least_id")
+    tied = reps.join(comp, "node", "left").select("set_key", "least_id", F.coalesce("component", "node").alias("component")) if comp is not None else reps.select("set_key", "least_id", F.col("node").alias("component"))
+    tied = common.cut(tied, "tied")
+    ids = tied.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    tied = tied.join(ids, "component").select(F.col("set_key").alias("_key"), "component", "component_id")
+    linked = rows.withColumn("_link", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")))
+    out = linked.join(tied, F.col("_link") == F.col("_key"), "left")
+    return out.select("row", "doc_id", "n", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: links are pairs with den * intersection >= num * union."""
+    out = _resolved(docs, k, num, den)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component, with all its columns; rows without doc_id stay."""
-    gone = near_duplicates(docs, k, num, den).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each component, with all its columns; rows that take no part in links stay."""
+    found = common.cut(_resolved(docs, k, num, den).where("component is not null").select("row", "doc_id", "component"), "resolved")
+    stay = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("s")).select(F.col("s.row").alias("row"))
+    gone = found.select("row").distinct().join(stay, "row", "left_anti")
+    whole = docs.select(common.row_key().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    left = whole.join(gone, "row", "left_anti").withColumn("nth", F.row_number().over(W.partitionBy("row").orderBy("row")))
+    apart = F.col("whole.doc_id").isNull() | ~F.coalesce(F.col("whole.text"), F.lit("")).rlike(r"[^ \x09-\x0D]")
+    return left.where((F.col("nth") == 1) | apart).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

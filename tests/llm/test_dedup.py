@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from airwave.llm import sketch, suffix
 
 
@@ -25,31 +28,44 @@ def test_suffix(spark, sf):
         assert bytes(got[d]["kept"]) == bytes(b for b, g in zip(t, gone) if not g), d
 
 
-def test_sketch(spark, sf):
-    rows, docs = table(spark, sf)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in sketch.near_duplicates(docs, 3, 85, 100).collect()}
+def components_of(sets, num, den):
+    """The smallest id of each component by brute force over the sets of all pairs."""
+    comp = {d: d for d in sets}
+
+    def find(d):
+        while comp[d] != d:
+            d = comp[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    return {d: find(d) for d in sets}
+
+
+def shingle_sets(rows, k):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    space = str.maketrans("\t\n\v\f\r", "     ")
     sets = {}
     for d, t in rows:
-        w = (t or "").translate(lower).replace("\n", " ").split(" ")
-        w = [x for x in w if x]
-        sets[d] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set())
-    comp = {d: d for d in sets}
-    for _ in comp:
-        for a in sets:
-            for b in sets:
-                if a < b and comp[a] != comp[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) > 0:
-                    comp[a] = comp[b] = min(comp[a], comp[b])
-        break
+        w = [x for x in (t or "").translate(lower).translate(space).split(" ") if x]
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    return sets
+
+
+def test_sketch(spark, sf):
+    rows, docs = table(spark, sf)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in sketch.near_duplicates(docs, 3, 85, 100).collect()}
+    sets = shingle_sets(rows, 3)
+    comp = components_of(sets, 85, 100)
     assert got == {d: (len(s), comp[d]) for d, s in sets.items()}
 
 
-def test_families_of_edits_equal_brute_force(spark, monkeypatch):
-    """Chains and stars of edited copies, in groups that are dealt over several blocks, batches and tasks."""
+def families():
     import random
 
-    monkeypatch.setattr(sketch, "BLOCK", 7)
-    monkeypatch.setattr(sketch, "CROWD", 11)
     rnd, rows = random.Random(5), []
     for family in range(4):
         base = [f"w{rnd.randrange(400)}" for _ in range(120)]
@@ -62,23 +78,52 @@ def test_families_of_edits_equal_brute_force(spark, monkeypatch):
             chain[rnd.randrange(120)] = f"y{rnd.randrange(10**6)}"
             rows += [(len(rows), " ".join(star)), (len(rows) + 1, " ".join(chain))]
     rnd.shuffle(rows)
-    sets = {d: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for d, w in ((d, t.split()) for d, t in rows)}
-    comp = {d: d for d in sets}
+    return rows
 
-    def find(d):
-        while comp[d] != d:
-            d = comp[d]
-        return d
 
-    for a in sets:
-        for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                comp[max(x, y)] = min(x, y)
+@pytest.mark.parametrize("block,leaders", [(512, 8), (7, 2), (7, 1)])
+def test_families_of_edits_equal_brute_force(spark, monkeypatch, block, leaders):
+    """Chains and stars of edited copies, in groups that are dealt over several blocks, batches and tasks."""
+    monkeypatch.setattr(sketch, "BLOCK", block)
+    monkeypatch.setattr(sketch, "LEADERS", leaders)
+    rows = families()
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
     try:
         got = {r["doc_id"]: r["component_id"] for r in sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert got == {d: find(d) for d in sets}
+    assert got == components_of(shingle_sets(rows, 3), 85, 100)
+
+
+def test_estimate_keeps_links():
+    """Pairs at the threshold pass the register estimate: what is cut is hopeless."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 302)]
+        other = [*words[:276], *(f"v{x}" for x in rng.integers(0, 10**6, 26))]
+        texts += [" ".join(words), " ".join(other)]
+    x, starts = sketch.shingles(texts, 3)
+    regs, n = sketch.registers(x, starts), np.diff(starts).astype(float)
+    a, b = regs[::2], regs[1::2]
+    j = [len(np.intersect1d(x[starts[i] : starts[i + 1]], x[starts[i + 1] : starts[i + 2]])) for i in range(0, 800, 2)]
+    real = np.array(j) / (n[::2] + n[1::2] - np.array(j))
+    assert (np.abs(real - 0.85) < 0.02).all()
+    assert (sketch.estimate(a, b, n[::2], n[1::2]) >= sketch.floor_of(0.85)).all()
+    assert ((a == b).sum(1) >= sketch.equal_floor(0.85, n[::2], n[1::2])).all()
+
+
+def test_keep_first_rows_and_columns(spark):
+    """One row a component, by row and not by doc_id; columns of any name, null ids and empty texts pass."""
+    long_ = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(7, "a b c d e f g"), (7, "quite another text of its own"), (1, "a b c d e f g"), (None, "a b c d e f g"), (3, None), (3, None), (4, " "), (9, "one two"), (9, "one two"), (10, long_), (11, long_ + " end")]
+    docs = spark.createDataFrame([(d, t, "h", "r", "c") for d, t in rows], "doc_id long, text string, row string, component string, `all.x` string")
+    kept = sketch.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0), (r["text"] or "-")[:20]) for r in kept.collect())
+    assert got == [(0, "a b c d e f g"), (1, "a b c d e f g"), (3, "-"), (3, "-"), (4, " "), (7, "quite another text o"), (9, "one two"), (10, long_[:20])]
+    assert sketch.keep_first(docs.limit(0)).count() == 0
+    assert sketch.near_duplicates(docs.limit(0)).count() == 0
+    near = sorted((r["doc_id"] or 0, r["component_id"] or 0, bool(r["kept"])) for r in sketch.near_duplicates(docs).collect())
+    assert near == [(0, 0, False), (1, 1, True), (3, 3, True), (3, 3, True), (4, 4, True), (7, 1, False), (7, 7, True), (9, 9, True), (9, 9, True), (10, 10, True), (11, 10, False)]
