@@ -1,14 +1,16 @@
 """Embedding near-dedup over a pivot-permutation index.
 
 A vector is described by its ``NEAREST`` reference points in order of closeness. Inverted lists per
-(label, pivot) hold the vectors described by that pivot; within a list, pairs that share at least
-``SHARED`` pivots are candidates, and each pair is judged in the list of the first pivot it shares.
-Candidates are verified by cosine in double precision. Equal vectors of a label are one class with a
+(label, pivot) hold the vectors described by that pivot. Where a list is read, the postings of the
+members' other pivots are walked and the shared pivots of each pair that meets there are counted; pairs
+that share at least ``SHARED`` are candidates, each in the list of the first pivot it shares, and only
+candidates are verified by cosine in double precision. Equal vectors of a label are one class with a
 weight, a long list is cut into blocks that meet pairwise, and a block pair returns counts and a
-spanning forest, never its pairs. The pivots are a sample of fixed size; every row is indexed.
+spanning forest, never its pairs. The number of pivots follows the square root of the number of vectors,
+so lists grow as slowly; the pivots come from a sample of four times as many, and every row is indexed.
 
 Defined cases: null, zero or empty vectors, vectors with null or non-finite components and rows with
-a null label link with nothing; vectors of different lengths never link; a repeated vec_id is one
+a null label or vec_id link with nothing; vectors of different lengths never link; a repeated vec_id is one
 vector per row of its class; other columns are left out; an empty table gives an empty result.
 """
 
@@ -22,8 +24,10 @@ from pyspark.sql import types as T
 from . import common
 from .components import components
 
-#: pivots at most, length of the permutation prefix, shared pivots of a candidate, rows of a block
-PIVOTS, NEAREST, SHARED, BLOCK = 256, 10, 3, 1024
+#: fewest and most pivots (which bounds what is broadcast), length of the permutation prefix, shared pivots of a candidate, rows of a block
+PIVOTS, MOST, NEAREST, SHARED, BLOCK = 256, 4096, 10, 4, 1024
+#: pairs whose shared pivots are counted at once
+CELLS = 1 << 22
 #: cosine that two pivots stay below
 APART = 0.8
 
@@ -31,7 +35,7 @@ APART = 0.8
 def usable() -> Column:
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.coalesce(F.col("label").isNotNull() & v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def classes(vectors: DataFrame) -> DataFrame:
@@ -46,14 +50,16 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def spread(sample: np.ndarray) -> np.ndarray:
-    """Up to PIVOTS of the sample, each at a cosine below APART from those before it: crowded
+def spread(sample: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` of the sample, each at a cosine below APART from those before it: crowded
     reference points would be ordered by noise."""
-    chosen = sample[:1]
-    for v in sample[1:]:
-        if len(chosen) < PIVOTS and (chosen @ v).max() < APART:
-            chosen = np.vstack([chosen, v])
-    return chosen
+    near = sample @ sample.T >= APART
+    taken, shut = [], np.zeros(len(sample), bool)
+    for i in range(len(sample)):
+        if len(taken) < most and not shut[i]:
+            taken.append(i)
+            shut |= near[i]
+    return sample[taken]
 
 
 def describe(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
@@ -76,19 +82,46 @@ def describe(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("perm", T.ArrayType(T.IntegerType()))]))
 
 
+def _postings(perms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pivots in order, the members that each describes, and where each pivot's members begin."""
+    member = np.repeat(np.arange(len(perms)), [len(p) for p in perms])
+    pivot = np.concatenate(perms)
+    order = np.argsort(pivot, kind="stable")
+    known, first = np.unique(pivot[order], return_index=True)
+    return known, member[order], np.r_[first, len(order)]
+
+
+def candidates(left: list[np.ndarray], right: list[np.ndarray], pivot: int, need: int):
+    """(i, j) of members of both sides that share ``need`` pivots, none of them before ``pivot``, from the
+    postings of the right side."""
+    known, member, first = _postings(right)
+    width = len(right)
+    for begin in range(0, len(left), max(1, CELLS // width)):
+        part = left[begin : begin + max(1, CELLS // width)]
+        row = np.repeat(np.arange(len(part)), [len(p) for p in part])
+        p = np.concatenate(part)
+        at = np.minimum(np.searchsorted(known, p), len(known) - 1)
+        row, p, at = (x[known[at] == p] for x in (row, p, at))
+        n = first[at + 1] - first[at]
+        hit = member[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        cell = np.repeat(row, n) * width + hit
+        shared = np.bincount(cell, minlength=len(part) * width)
+        shared[cell[np.repeat(p, n) < pivot]] = 0  # judged in the list of an earlier pivot
+        found = np.flatnonzero(shared >= need)
+        yield begin + found // width, found % width
+
+
 def _judge(left, right, pivot: int, least: float, same: bool):
     """Link counts of both blocks' vectors and a forest over the links between them."""
-    n = max(PIVOTS, pivot + 1)
-    marks = []
-    for block in (left, right):
-        m = np.zeros((len(block), n), np.float32)
-        m[np.repeat(np.arange(len(block)), [len(p) for p in block["perm"]]), np.concatenate([np.asarray(p) for p in block["perm"]])] = 1
-        marks.append(m)
-    need = min(SHARED, *(len(p) for p in left["perm"]))
-    near = marks[0] @ marks[1].T >= need
-    near &= marks[0][:, :pivot] @ marks[1][:, :pivot].T == 0  # judged in the list of the first shared pivot
-    cos = _unit(left["embedding"].tolist()) @ _unit(right["embedding"].tolist()).T
-    link = near & (cos >= least)
+    one, two = ([np.asarray(p) for p in block["perm"]] for block in (left, right))
+    need = min(SHARED, *map(len, one), *map(len, two))
+    a, b = _unit(left["embedding"].tolist()), _unit(right["embedding"].tolist())
+    link = np.zeros((len(left), len(right)), bool)
+    for i, j in candidates(one, two, pivot, need):
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            near = np.einsum("ij,ij->i", a[x], b[y]) >= least
+            link[x[near], y[near]] = True
     if same:
         np.fill_diagonal(link, False)
     counts = {}
@@ -120,10 +153,11 @@ def _judge(left, right, pivot: int, least: float, same: bool):
 def links(reps: DataFrame, least: float = 0.98) -> DataFrame:
     """(a, b, n): n links of a where b is null; an edge of a spanning forest a - b where n is null."""
     spark = reps.sparkSession
-    chosen = reps.orderBy(F.xxhash64("rep", "label"), "rep").limit(4 * PIVOTS).select("embedding").collect()
+    most = min(MOST, max(PIVOTS, int(reps.count() ** 0.5)))
+    chosen = reps.orderBy(F.xxhash64("rep", "label"), "rep").limit(4 * most).select("embedding").collect()
     pivots: dict[int, np.ndarray] = {}
     for size in {len(r["embedding"]) for r in chosen}:
-        pivots[size] = spread(_unit([r["embedding"] for r in chosen if len(r["embedding"]) == size]))
+        pivots[size] = spread(_unit([r["embedding"] for r in chosen if len(r["embedding"]) == size]), most)
     sized = reps.where(F.size("embedding").isin([*pivots])) if pivots else reps.limit(0)
     other = reps.where(~F.size("embedding").isin([*pivots])) if pivots else reps.limit(0)
     described = describe(sized, pivots)
