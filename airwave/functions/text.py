@@ -1,20 +1,49 @@
-"""Column functions over text; each is a JVM expression."""
+"""Column functions over text; each is a JVM expression but for the optional exact NFKC."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def clean_text(col: Column) -> Column:
-    """Tags, entities, links and mentions go; zero-width characters go; repeated letters and marks shrink
-    (three or more to one); white space is squeezed. The order matters: a link may hold what looks like a mention."""
-    for pattern, to in (
-        (r"<[^>]*>", " "), (r"&[a-zA-Z#0-9]+;", " "), (r"(?:https?://|www\.)\S+", " "), (r"@[\w.-]+", " "),
-        ("[​-‍﻿]", ""), (r"(\p{L})\1{2,}", "$1"), (r"([^\w\s])\1+", "$1"), (r"\s+", " "),
-    ):
+#: what stands for a run of laughter while digits are squeezed
+_LAUGH = "\u0000L\u0000"
+#: fixed values: the clean-up rules in their order; a link may hold what looks like a mention, and laughter is a run of digits
+_STRIP = (
+    (r"<[^>]+>", " "), (r"&(?:[a-zA-Z]+|#\d+);", " "), (r"(?i)(?:https?://|www\.)\S+", " "), (r"(?U)@[\w.\-]+", " "),
+    ("[\u200b-\u200f\u202a-\u202e\ufeff\u00ad]", ""),
+)
+_SQUEEZE = (
+    ("5{3,}", _LAUGH), ("\u0e46{2,}", "\u0e46"), (r"(?<![\d,.])(\d)\1{2,}(?![\d,.])", "$1"), (r"(\p{L})\1{2,}", "$1"),
+    (r"(?U)([^\w\s\x00])\1+", "$1"), (_LAUGH, " 555 "),
+)
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+
+
+def nfkc(col: Column, exact: bool = False) -> Column:
+    """Compatibility forms: full-width letters, digits and marks become plain in the JVM; ``exact`` applies the whole
+    normalisation in Arrow batches on Python workers."""
+    if not exact:
+        return F.translate(col, _WIDE, _NARROW)
+    import unicodedata
+
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    def normal(s):
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return pandas_udf(normal, "string", PandasUDFType.SCALAR)(col)
+
+
+def clean_text(col: Column, keep_emoji: bool = True, exact: bool = False) -> Column:
+    """Text ready for analysis: compatibility forms, then tags, entities, links and mentions go; zero-width characters
+    go; laughter (555...) is kept apart; three or more equal digits that stand alone, three or more equal letters and
+    two or more equal marks become one; white space is squeezed. Null stays null."""
+    col = nfkc(col, exact)
+    for pattern, to in (*_STRIP, *_SQUEEZE):
         col = F.regexp_replace(col, pattern, to)
-    return F.trim(col)
+    col = col if keep_emoji else F.regexp_replace(col, r"[\p{So}\p{Sk}]", "")
+    return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
 
 
 def script_ratio(col: Column, letters: str = "a-zA-Z") -> Column:
@@ -24,7 +53,7 @@ def script_ratio(col: Column, letters: str = "a-zA-Z") -> Column:
 
 
 def is_noise(col: Column, letters: str = "a-zA-Z", min_ratio: float = 0.2, min_len: int = 2) -> Column:
-    """Too short, without letters, or short and hardly in script."""
+    """Of cleaned text: too short, without letters, or below 15 characters and hardly in script."""
     ratio, n = script_ratio(col, letters), F.length(col)
     return (n < min_len) | ~F.rlike(col, F.lit(r"\p{L}")) | ((n < 15) & (ratio < min_ratio))
 
@@ -38,26 +67,153 @@ def sentence_split(col: Column) -> Column:
     return F.filter(F.transform(F.split(col, r"[.!?\n]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def kept_tokens(tokens: Column, stop: list[str], protected: list[str] = (), min_len: int = 2, drop_numbers: bool = True) -> Column:
+    """Tokens without stop words, short ones, numbers and what holds no letter or digit; protected words stay."""
+
+    def keep(t: Column) -> Column:
+        fine = ~t.isin(stop) & (F.length(t) >= min_len) & F.rlike(t, F.lit(r"[\p{L}\p{N}]"))
+        fine = fine & ~F.rlike(t, F.lit(r"^\p{Nd}+$")) if drop_numbers else fine
+        return fine | t.isin([*protected]) if protected else fine
+
+    return F.filter(tokens, keep)
+
+
+def keyword_candidates(tokens: Column, stop: list[str], exclude: list[str] = (), letters: str = "a-zA-Z", min_len: int = 2) -> Column:
+    """Tokens that may become keywords: filtered without protecting any, in script, and not excluded."""
+    fine = lambda t: F.rlike(t, F.lit(f"[{letters}]")) & ~t.isin([*exclude, ""])
+    return F.filter(kept_tokens(tokens, stop, min_len=min_len), fine)
+
+
 def word_ngrams(tokens: Column) -> Column:
     """Tokens and their a_b pairs."""
     pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))
     return F.concat(tokens, pairs)
 
 
+def char_wb_ngrams(tokens: Column, lo: int = 2, hi: int = 4) -> Column:
+    """Character n-grams of lo to hi letters inside each word, which has a blank on either side; a word shorter than n
+    gives itself once."""
+
+    def grams(t: Column) -> Column:
+        padded = F.concat(F.lit(" "), t, F.lit(" "))
+        size = F.length(padded)
+        of = lambda n: F.when(size > n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(padded, i, F.lit(n))))
+        short = F.array(padded)
+        parts = [F.coalesce(of(n), F.when(size == n, short), short if n == lo else F.array().cast("array<string>")) for n in range(lo, hi + 1)]
+        return F.concat(*parts)
+
+    return F.flatten(F.transform(tokens, grams))
+
+
+def token_offsets(text: Column, tokens: Column) -> Column:
+    """Place of each token in ``text``, searched from the end of the one before; where it is not found, that end."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        place = F.call_function("locate", t, text, s["at"] + 1)
+        at = F.when(place > 0, place - 1).otherwise(s["at"])
+        return F.struct((at + F.length(t)).alias("at"), F.concat(s["found"], F.array(at)).alias("found"))
+
+    return F.aggregate(tokens, start, step, lambda s: s["found"])
+
+
 def video_id_from(col: Column) -> Column:
     """The 11-character id of a watch, live, embed, shorts or short link, or a bare id; null otherwise."""
     found = F.regexp_extract(col, r"(?:[?&]v=|/live/|/embed/|/shorts/|youtu\.be/)([A-Za-z0-9_-]{11})(?:[^A-Za-z0-9_-]|$)", 1)
-    bare = F.regexp_extract(col, r"^([A-Za-z0-9_-]{11})$", 1)
+    bare = F.regexp_extract(F.trim(col), r"^([A-Za-z0-9_-]{11})$", 1)
     return F.coalesce(F.nullif(found, F.lit("")), F.nullif(bare, F.lit("")))
 
 
-def clean_headline(col: Column, cap: int = 120) -> Column:
-    """First line with content, without surrounding quotes and label, capped; null if nothing is left."""
-    line = F.trim(F.regexp_extract(col, r"([^\n]*\S[^\n]*)", 1))
-    line = F.regexp_replace(F.regexp_replace(line, r"^(?i:headline|title)\s*:\s*", ""), "^[\"'“]+|[\"'”]+$", "")
-    return F.nullif(F.left(F.trim(line), F.lit(cap)), F.lit(""))
+def require_video_id(col: Column) -> Column:
+    """As ``video_id_from``, but a value without an id fails the query."""
+    found = video_id_from(col)
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no video id in: "), F.coalesce(col, F.lit("null")))))
 
 
-def normalise_sentiment(col: Column) -> Column:
+#: name of a stream without a usable title
+NAMELESS = "Live chat"
+
+
+def tidy_title(col: Column, cap: int = 48) -> Column:
+    """A stream's title without livestream decoration and quotes, shortened; ``NAMELESS`` where nothing is left."""
+    c = F.regexp_replace(F.coalesce(col, F.lit("")), "(?i)(?:^|\\s)(?:\U0001f534|\u2b55|\U0001f7e2|\u25b6\ufe0f?|LIVE\\s*!*\\s*:?|สด\\s*:|ถ่ายทอดสด\\s*:)+", " ")
+    c = F.regexp_replace(F.regexp_replace(c, "[\"“”]", ""), r"\s{2,}", " ")
+    c = F.regexp_replace(c, "^[ :|\\-–—#']+|[ :|\\-–—#']+$", "")
+    c = F.when(F.length(c) > cap, F.concat(F.rtrim(F.substring(c, 1, cap)), F.lit("…"))).otherwise(c)
+    return F.when(c == "", NAMELESS).otherwise(c)
+
+
+def window_title(start: Column, stream_title: Column, keywords: Column, count: Column, cap: int = 160) -> Column:
+    """k1 · k2 · k3 · k4 — title (stamp), or without keywords the title with stamp and size."""
+    stamp, base = F.date_format(start, "dd MMM HH:mm"), tidy_title(stream_title)
+    lead = F.array_join(F.slice(F.coalesce(keywords, F.array().cast("array<string>")), 1, 4), " · ")
+    plain = F.concat(base, F.lit(" — "), stamp, F.lit(" ("), count.cast("string"), F.lit(" messages)"))
+    title = F.when(lead != "", F.concat(lead, F.lit(" — "), base, F.lit(" ("), stamp, F.lit(")"))).otherwise(plain)
+    return F.when(F.length(title) > cap, F.concat(F.rtrim(F.substring(title, 1, cap - 1)), F.lit("…"))).otherwise(title)
+
+
+def clean_cue_text(col: Column) -> Column:
+    """struct(text, non_speech, speaker_change) of a caption: a leading >> marks another speaker, bracketed marks of up
+    to 24 characters are not speech, and a caption of nothing else is non-speech."""
+    c = F.regexp_replace(F.coalesce(col, F.lit("")), "\u00a0", " ")
+    said = F.regexp_replace(c, r"^\s*>>\s*", "")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(said, r"\[[^\]]{1,24}\]", ""), r"\s+", " "))
+    return F.struct(plain.alias("text"), (F.rlike(said, F.lit(r"\[[^\]]{1,24}\]")) & (plain == "")).alias("non_speech"), F.rlike(c, F.lit(r"^\s*>>")).alias("speaker_change"))
+
+
+_QUOTES = "[\"'“”‘’「」\\s]+"
+#: scripts that a headline in the wanted script never holds
+FOREIGN = "[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\u0400-\u04ff]"
+
+
+def clean_headline(col: Column, cap: int = 120, letters: str = "A-Za-z", foreign: str = FOREIGN, labels: str = "headline|title|summary", preamble: str = "(?:this|the) (?:text|story|clip|article) (?:is about|talks about|reports)") -> Column:
+    """A model's answer as a bare headline: first line with content, without surrounding quotes, its own label and a
+    preamble, capped; null where nothing is left, a foreign script shows or no letter of the wanted script does."""
+    bare = lambda c: F.regexp_replace(c, f"^{_QUOTES}|{_QUOTES}$", "")
+    line = bare(F.regexp_replace(F.regexp_extract(F.coalesce(col, F.lit("")), r"([^\n]*\S[^\n]*)", 1), r"\s+", " "))
+    line = bare(F.regexp_replace(line, f"^(?i:{labels})\\s*[:：]\\s*", ""))
+    line = bare(F.regexp_replace(line, f"^(?i:{preamble})\\s*", ""))
+    short = F.when(F.length(line) > cap, F.concat(F.rtrim(F.substring(line, 1, cap - 1)), F.lit("…"))).otherwise(line)
+    return F.when(F.rlike(line, F.lit(f"[{letters}]")) & ~F.rlike(line, F.lit(foreign)), short)
+
+
+def apply_corrections(text: Column, pairs: Column) -> Column:
+    """``text`` with each pair's ``asr`` replaced by its ``fixed``, the longest first."""
+    ordered = F.array_sort(F.filter(F.transform(pairs, lambda p: F.struct((-F.length(p["asr"])).alias("n"), p["asr"].alias("asr"), p["fixed"].alias("fixed"))), lambda p: p["asr"] != ""))
+    return F.aggregate(F.coalesce(ordered, F.array().cast("array<struct<n:int,asr:string,fixed:string>>")), F.coalesce(text, F.lit("")), lambda t, p: F.replace(t, p["asr"], p["fixed"]))
+
+
+def normalise_label(col: Column, aliases: dict[str, str], fallback: str) -> Column:
+    """The label that a slug, name or alias in any case stands for, else the fallback."""
     c = F.lower(F.trim(col))
-    return F.when(c.isin("pos", "positive", "1"), "positive").when(c.isin("neg", "negative", "-1"), "negative").otherwise("neutral")
+    by: dict[str, list[str]] = {}
+    for alias, label in aliases.items():
+        by.setdefault(label, []).append(alias.lower())
+    out = F.lit(None).cast("string")
+    for label, known in by.items():
+        out = F.when(c.isin(known), label).otherwise(out)
+    return F.coalesce(out, F.lit(fallback))
+
+
+def normalise_topic(col: Column, topics: dict[str, list[str]], fallback: str = "other") -> Column:
+    """``topics``: slug -> its names in any language."""
+    return normalise_label(col, {name: slug for slug, names in topics.items() for name in (slug, *names)}, fallback)
+
+
+#: fixed values: spellings of the three sentiments
+SENTIMENT_ALIASES = {"positive": "positive", "pos": "positive", "neutral": "neutral", "neu": "neutral", "negative": "negative", "neg": "negative", "บวก": "positive", "กลาง": "neutral", "ลบ": "negative", "1": "positive", "0": "neutral", "-1": "negative"}
+
+
+def normalise_sentiment(col: Column) -> Column:
+    return normalise_label(col, SENTIMENT_ALIASES, "neutral")
+
+
+def utc_datetime(col: Column) -> Column:
+    """An ISO time as a timestamp; one without a zone is UTC, whatever the session's zone; null if it is none."""
+    zoned = F.when(F.rlike(col, F.lit(r"(?:[Zz]|[+-]\d{2}:?\d{2})$")), col).otherwise(F.concat(col, F.lit("Z")))
+    return F.try_to_timestamp(zoned)
+
+
+def usec_to_datetime(col: Column) -> Column:
+    """Microseconds since 1970, as text or number; what is none becomes the time of reading."""
+    return F.coalesce(F.timestamp_micros(col.try_cast("bigint")), F.current_timestamp())

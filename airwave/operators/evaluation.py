@@ -15,23 +15,33 @@ def confusion_matrix(rows: DataFrame, truth: str, guess: str, labels: list[int])
 
 
 def classification_metrics(confusion: DataFrame) -> DataFrame:
-    """Per label precision, recall, f1 and support; a zero denominator gives 0."""
+    """Per label precision, recall, f1 and support, then accuracy (as recall), macro and weighted means; a zero
+    denominator gives 0."""
     right = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
     a = confusion.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support"), right.alias("tp"))
     p = confusion.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("guessed"))
     div = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
     out = a.join(p, "label").withColumn("precision", div(F.col("tp"), F.col("guessed"))).withColumn("recall", div(F.col("tp"), F.col("support")))
-    f1 = div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return out.select("label", "support", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f1, 6).alias("f1"))
-
-
-def leaderboard(predictions: DataFrame) -> DataFrame:
-    """Accuracy and macro-F1 of each model over rows (model, actual, predicted)."""
+    out = out.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    names = ("precision", "recall", "f1")
+    total = F.sum("support")
+    sums = out.agg(total.alias("support"), (F.sum("tp") / total).alias("accuracy"), *(F.avg(c).alias(f"m_{c}") for c in names), *((F.sum(F.col(c) * F.col("support")) / total).alias(f"w_{c}") for c in names))
+    none = F.lit(None).cast("double")
+    row = lambda label, x: F.struct(F.lit(label).alias("label"), "support", *(F.round(v, 6).alias(c) for c, v in zip(names, x)))
+    means = F.array(row("accuracy", (none, F.col("accuracy"), none)), row("macro", [F.col(f"m_{c}") for c in names]), row("weighted", [F.col(f"w_{c}") for c in names]))
+    each = out.select(F.col("label").cast("string").alias("label"), "support", *(F.round(c, 6).alias(c) for c in names))
+    return each.unionByName(sums.select(F.explode(means).alias("x")).select("x.*"))
+
+
+def leaderboard(predictions: DataFrame, classes: int, active: str | None = None) -> DataFrame:
+    """Accuracy and macro-F1 of each model over rows (model, actual, predicted), with the accuracy of guessing among
+    ``classes``, the gain over it, and which model serves."""
     c = predictions.groupBy("model", "actual", "predicted").agg(F.count("*").alias("n"))
     a = c.groupBy("model", F.col("actual").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
     p = c.groupBy("model", F.col("predicted").alias("label")).agg(F.sum("n").alias("guessed"))
     j = a.join(p, ["model", "label"], "left").withColumn("f1", 2 * F.col("tp") / (F.col("support") + F.coalesce("guessed", F.lit(0))))
-    return j.groupBy("model").agg(F.round(F.sum("tp") / F.sum("support"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"), F.sum("support").alias("rows"))
+    out = j.groupBy("model").agg((F.sum("tp") / F.sum("support")).alias("acc"), F.avg("f1").alias("f"), F.sum("support").alias("rows"))
+    return out.select("model", F.round("acc", 6).alias("accuracy"), F.round("f", 6).alias("macro_f1"), "rows", F.lit(1 / classes).alias("baseline"), F.round(F.col("acc") - 1 / classes, 6).alias("gain"), (F.col("model") == F.lit(active)).alias("active"))
 
 
 def complementarity(rows: DataFrame) -> DataFrame:
@@ -39,19 +49,36 @@ def complementarity(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("neither"), F.round(F.count_if(a | b) / F.count("*"), 6).alias("ceiling"))
 
 
+def erfc(z):
+    """Complementary error function of z >= 0 by a published polynomial (error below 2e-7)."""
+    u = 1 / (1 + 0.3275911 * z)
+    #: fixed values
+    terms = ((0.254829592, 1), (-0.284496736, 2), (1.421413741, 3), (-1.453152027, 4), (1.061405429, 5))
+    return F.exp(-z * z) * sum((a * F.pow(u, F.lit(n)) for a, n in terms[1:]), terms[0][0] * u)
+
+
 def mcnemar(rows: DataFrame) -> DataFrame:
-    """Discordant pairs and the corrected chi-square statistic."""
+    """Discordant pairs, the corrected chi-square statistic and its p-value (one degree of freedom)."""
     c = complementarity(rows).select("only_a", "only_b")
     n = F.col("only_a") + F.col("only_b")
-    return c.withColumn("statistic", F.when(n > 0, F.round(F.pow(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(2)) / n, 6)).otherwise(0.0))
+    x = F.when(n > 0, F.pow(F.greatest(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(0)), F.lit(2)) / n).otherwise(0.0)
+    return c.withColumn("_x", x).select("only_a", "only_b", F.round("_x", 6).alias("statistic"), F.round(erfc(F.sqrt(F.col("_x") / 2)), 6).alias("p_value"))
 
 
 def confidence_bands(rows: DataFrame, edges: tuple[float, ...] = (0.4, 0.6, 0.8)) -> DataFrame:
+    """Rows, share and accuracy of each band, and the coverage and accuracy of answering only from the band upwards."""
+    from pyspark.sql import Window as W
+
     band = F.lit(len(edges))
     for i, e in reversed([*enumerate(edges)]):
         band = F.when(F.col("confidence_a") < e, i).otherwise(band)
-    right = F.avg((F.col("y_a") == F.col("y_true")).cast("double"))
-    return rows.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(right, 6).alias("accuracy"))
+    per = rows.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.count_if(F.col("y_a") == F.col("y_true")).alias("k"))
+    up = W.orderBy(F.desc("band"))  # over one row a band
+    total = F.sum("n").over(W.partitionBy())
+    return per.select(
+        "band", "n", F.round(F.col("k") / F.col("n"), 6).alias("accuracy"), F.round(F.col("n") / total, 6).alias("share"),
+        F.round(F.sum("n").over(up) / total, 6).alias("coverage"), F.round(F.sum("k").over(up) / F.sum("n").over(up), 6).alias("kept_accuracy"),
+    )
 
 
 def blend(rows: DataFrame, alpha: float) -> DataFrame:
@@ -64,6 +91,11 @@ def blend(rows: DataFrame, alpha: float) -> DataFrame:
 
 
 def label_distribution(rows: DataFrame) -> DataFrame:
+    """Actual and predicted counts per label, how many labels are predicted at all, and whether the model has
+    collapsed to a third of the classes or fewer."""
     t = rows.groupBy(F.col("y_true").alias("label")).agg(F.count("*").alias("actual"))
     p = rows.groupBy(F.col("y_a").alias("label")).agg(F.count("*").alias("predicted"))
-    return t.join(p, "label", "full").select("label", F.coalesce("actual", F.lit(0)).alias("actual"), F.coalesce("predicted", F.lit(0)).alias("predicted"))
+    out = t.join(p, "label", "full").select("label", F.coalesce("actual", F.lit(0)).alias("actual"), F.coalesce("predicted", F.lit(0)).alias("predicted"))
+    sums = out.agg(F.count_if(F.col("predicted") > 0).alias("distinct_predicted"), F.count_if(F.col("actual") > 0).alias("_classes"))
+    sums = sums.select("distinct_predicted", (F.col("distinct_predicted") <= F.greatest(F.lit(1), F.floor(F.col("_classes") / 3))).alias("collapsed"))
+    return out.crossJoin(F.broadcast(sums))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_text, is_noise
+
 #: sort keys of the explorer; the id closes every tie
 SORTS = {
     "newest": [F.desc, "published_at"],
@@ -44,12 +46,31 @@ def window_messages(messages: DataFrame, membership: DataFrame, per_window: int
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_window)
 
 
-def segment_cards(segments: DataFrame) -> DataFrame:
-    """Duration, timecode H:MM:SS and the second a link starts from (two before the segment, not below 0)."""
+def segment_cards(segments: DataFrame, labels: DataFrame, fallback: str = "#94a3b8", preview: int = 600, lead_s: int = 2) -> DataFrame:
+    """Duration, timecode H:MM:SS, the second a link starts from (two before the segment, not below 0), the first
+    characters of the text, and the topic's label and colour of ``labels`` (ord, slug, colour), with fallbacks."""
     s = F.floor(F.col("start_ms") / 1000)
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     code = F.concat(F.floor(s / 3600).cast("string"), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60))
-    return segments.select("segment_id", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), code.alias("timecode"), F.greatest(s - 2, F.lit(0)).alias("link_s"))
+    short = F.when(F.length("text") > preview, F.concat(F.rtrim(F.substring("text", 1, preview)), F.lit("…"))).otherwise(F.col("text"))
+    named = segments.join(labels.select(F.col("ord").alias("topic_ord"), F.col("slug").alias("_slug"), F.col("colour").alias("_colour")), "topic_ord", "left")
+    return named.select(
+        "segment_id", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), code.alias("timecode"), F.greatest(s - lead_s, F.lit(0)).alias("link_s"),
+        short.alias("preview"), F.coalesce("_slug", F.lit("unknown")).alias("label"), F.coalesce("_colour", F.lit(fallback)).alias("colour"),
+    )
+
+
+def segment_listing(segments: DataFrame, streams: DataFrame | None = None, topic: int | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of the segments, of chosen ``streams`` (stream_id) and a topic if given, by stream and start, with the total."""
+    rows = segments if streams is None else segments.join(streams, "stream_id", "left_semi")
+    rows = rows if topic is None else rows.where(F.col("topic_ord") == topic)
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy("stream_id", "start_ms", "segment_id").offset(offset).limit(limit).crossJoin(F.broadcast(total))
+
+
+def noise_filter(messages: DataFrame, letters: str = "a-zA-Z", min_ratio: float = 0.2, min_len: int = 2) -> DataFrame:
+    """Messages with something to analyse, judged on their cleaned text."""
+    return messages.where(~is_noise(clean_text(F.coalesce("text", F.lit(""))), letters, min_ratio, min_len))
 
 
 def unclear(messages: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -63,12 +84,17 @@ def identity():
     return F.coalesce(F.nullif(F.col("message_id"), F.lit("")), F.concat(F.lit("fp_"), F.substring(F.sha2(parts, 256), 1, 32)))
 
 
-def upsert_messages(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Existing rows and, once each, the batch's rows whose identity is new."""
+def new_messages(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows of ``batch`` whose identity in their stream is new, once each."""
     new = batch.withColumn("_id", identity())
     new = new.withColumn("_nth", F.row_number().over(W.partitionBy("stream_id", "_id").orderBy("us", "text"))).where("_nth = 1")
     known = existing.select("stream_id", identity().alias("_id"))
-    return existing.unionByName(new.join(known, ["stream_id", "_id"], "left_anti").drop("_id", "_nth"))
+    return new.join(known, ["stream_id", "_id"], "left_anti").drop("_id", "_nth")
+
+
+def upsert_messages(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """Existing rows and, once each, the batch's rows whose identity is new."""
+    return existing.unionByName(new_messages(existing, batch))
 
 
 def upsert_streams(existing: DataFrame, batch: DataFrame) -> DataFrame:
@@ -96,16 +122,41 @@ def dedupe_entities(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "text").agg(F.min("pos").alias("pos"))
 
 
-def validate_labelled(rows: DataFrame) -> DataFrame:
-    """Problems (id, problem, first_id) of rows (id, title, content): empty title, short content, repeated title or content."""
-    first = lambda c: F.min("id").over(W.partitionBy(c))
+def validate_labelled(rows: DataFrame, topics: list | None = None, sentiments: list | None = None) -> DataFrame:
+    """Problems (id, problem, first_id) of rows (id, title, content, topic, sentiment): empty title, short content,
+    labels outside the given ones, repeated title or content with the first row that has it. Repeats meet by hash
+    and count, so contents are not sorted and a title that all rows share is counted before it is shuffled."""
     none = F.lit(None).cast("long")
-    parts = [
-        rows.where("trim(title) = ''").select("id", F.lit("empty title").alias("problem"), none.alias("first_id")),
-        rows.where("length(content) < 40").select("id", F.lit("short content").alias("problem"), none.alias("first_id")),
-        *(rows.withColumn("first_id", first(c)).where("id <> first_id").select("id", F.lit(f"duplicate {c}").alias("problem"), "first_id") for c in ("title", "content")),
-    ]
+    rules = [("empty title", F.trim(F.coalesce("title", F.lit(""))) == ""), ("short content", F.length(F.coalesce("content", F.lit(""))) < 40)]
+    rules += [("unknown topic", ~F.coalesce(F.col("topic").isin(topics), F.lit(False)))] if topics is not None else []
+    rules += [("unknown sentiment", ~F.coalesce(F.col("sentiment").isin(sentiments), F.lit(False)))] if sentiments is not None else []
+    found = F.filter(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules)), lambda x: x.isNotNull())
+    parts = [rows.select("id", F.explode(found).alias("problem"), none.alias("first_id"))]
+    for column in ("title", "content"):
+        keyed = rows.where(F.col(column).isNotNull()).select("id", F.sha2(column, 256).alias("_h"))
+        first = keyed.groupBy("_h").agg(F.min("id").alias("first_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        parts.append(keyed.join(first, "_h").where("id <> first_id").select("id", F.lit(f"duplicate {column}").alias("problem"), "first_id"))
+    return union_problems(*parts)
+
+
+def union_problems(*parts: DataFrame) -> DataFrame:
+    """All problem lists (id, problem, first_id) as one; none gives an error."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def union_corpora(**parts: DataFrame) -> DataFrame:
+    """Named corpora one after the other with their name in ``part``; a column that one lacks is null there."""
+    out = None
+    for name, rows in parts.items():
+        rows = rows.withColumn("part", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def top_probabilities(rows: DataFrame, k: int = 4) -> DataFrame:
+    """(id, rank, label, probability): the k likeliest labels of a map of probabilities, ties to the smaller label."""
+    ordered = F.array_sort(F.transform(F.map_entries("probabilities"), lambda e: F.struct((-e["value"]).alias("minus"), e["key"].alias("label"))))
+    return rows.select("id", F.posexplode(F.slice(ordered, 1, k)).alias("_p", "x")).select("id", (F.col("_p") + 1).alias("rank"), "x.label", (-F.col("x.minus")).alias("probability"))

@@ -28,6 +28,16 @@ def chat_count_by_segment(messages: DataFrame, segments: DataFrame) -> DataFrame
     return segments.select("segment_id").join(counts, "segment_id", "left").select("segment_id", F.coalesce("n", F.lit(0)).alias("chat_count"))
 
 
+def enrichment_plan(segments: DataFrame, chat_counts: DataFrame, least: int = 5) -> DataFrame:
+    """(segment_id, kind): work still to do. A headline where ``enriched_by`` is not the model; a reaction where no
+    chat summary says anything and at least ``least`` messages were on air."""
+    rows = segments.join(chat_counts, "segment_id")
+    headline = F.when(~F.coalesce(F.col("enriched_by") == "llm", F.lit(False)), "headline")
+    reaction = F.when((F.trim(F.coalesce("chat_summary", F.lit(""))) == "") & (F.col("chat_count") >= least), "reaction")
+    kinds = F.filter(F.array(headline, reaction), lambda k: k.isNotNull())
+    return rows.select("segment_id", F.explode(kinds).alias("kind"))
+
+
 def reaction_overview(messages: DataFrame, segments: DataFrame) -> DataFrame:
     """Totals and sentiment mix per segment; a null sentiment counts in the total only; mood is the leading
     label, ``mixed`` on a tie of the first two, null without scored messages."""
@@ -50,17 +60,21 @@ def reaction_words(messages: DataFrame, segments: DataFrame, k: int = 8) -> Data
 
 
 def cue_block_overlap(cues: DataFrame, block_ms: int = 30_000) -> DataFrame:
-    """Cues with the grid blocks they touch: start < block end and end > block start."""
-    last = F.greatest(F.floor((F.col("end_ms") - 1) / block_ms), F.floor(F.col("start_ms") / block_ms))
-    return cues.where("end_ms > start_ms").withColumn("block", F.explode(F.sequence(F.floor(F.col("start_ms") / block_ms), last)))
+    """Cues with the grid blocks they touch: start < block end and end > block start. A cue without length is in
+    the block around it, and in none if it lies on the grid."""
+    first, last = F.floor(F.col("start_ms") / block_ms), F.floor((F.col("end_ms") - 1) / block_ms)
+    return cues.where(first <= last).withColumn("block", F.explode(F.sequence(first, last)))
 
 
-def interval_lookup(points: DataFrame, fragments: DataFrame, key: str) -> DataFrame:
+def interval_lookup(points: DataFrame, fragments: DataFrame, key: str, bucket_ms: int = DAY) -> DataFrame:
     """Points with the fragment, of fragments laid end to end, in which they fall; past the end the last one."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy(key).orderBy("fragment")
-    stop = F.sum("duration").over(w)
-    bounds = fragments.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("duration")).withColumn("final", F.lead("fragment").over(w).isNull())
-    hit = (F.col("at") >= F.col("start")) & ((F.col("at") < F.col("stop")) | F.col("final"))
-    return points.join(bounds.drop("duration"), key).where(hit)
+    bounds = fragments.withColumn("end_ms", F.sum("duration").over(w)).withColumn("start_ms", F.col("end_ms") - F.col("duration"))
+    ends = bounds.groupBy(key).agg(F.max("end_ms").alias("_end"), F.max_by("fragment", "fragment").alias("_last"))
+    rows = points.join(ends, key)
+    late = rows.where(F.col("at") >= F.col("_end")).withColumn("fragment", F.col("_last")).drop("_end", "_last")
+    within = rows.where(F.col("at") < F.col("_end")).drop("_end", "_last")
+    found = bucketed_range_join(within, bounds.select(key, "fragment", "start_ms", "end_ms"), key, "at", bucket_ms).drop("start_ms", "end_ms")
+    return found.unionByName(late)

@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: fixed values: words that turn the next three tokens around, and words that strengthen the next one
-NEGATORS = ["no", "non", "nicht", "not"]
-INTENSIFIERS = ["muy", "sehr", "so", "very"]
-
+from .joins import enrichment_plan
 
 def class_balance(docs: DataFrame, sentiments: list[str]) -> DataFrame:
-    """Documents per topic and sentiment with a totals row (topic null)."""
+    """Documents per topic and sentiment with a totals row (topic null), and the sizes of the smallest and largest topic."""
     parts = [F.count_if(F.col("sentiment") == s).alias(s) for s in sentiments]
-    return docs.rollup("topic_ord").agg(*parts, F.count("*").alias("total"))
+    rows = docs.rollup("topic_ord").agg(*parts, F.count("*").alias("total"))
+    sizes = docs.groupBy("topic_ord").agg(F.count("*").alias("n")).agg(F.min("n").alias("smallest"), F.max("n").alias("largest"))
+    return rows.crossJoin(F.broadcast(sizes))
 
 
 def documents_with_analysis(docs: DataFrame, analyses: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -23,11 +22,16 @@ def documents_with_analysis(docs: DataFrame, analyses: DataFrame, ids: DataFrame
     return docs.join(analyses, "id", "left")
 
 
-def programme_overview(segments: DataFrame, chat_counts: DataFrame) -> DataFrame:
-    """Per stream: segments, segments with chat, and chat on air."""
-    return segments.join(chat_counts, "segment_id").groupBy("stream_id").agg(
-        F.count("*").alias("segment_count"), F.count_if(F.col("chat_count") > 0).alias("chat_segments"), F.sum("chat_count").alias("chat_messages")
+def programme_overview(segments: DataFrame, chat_counts: DataFrame, facts: DataFrame) -> DataFrame:
+    """Per stream: segments, segments with chat, chat on air, headlines and reactions still to be written, and the
+    transcript's facts (video_id, ...), null where there is no transcript."""
+    plan = enrichment_plan(segments, chat_counts).groupBy("segment_id").agg(F.count_if(F.col("kind") == "headline").alias("h"), F.count_if(F.col("kind") == "reaction").alias("r"))
+    rows = segments.select("segment_id", "stream_id").join(chat_counts, "segment_id").join(plan, "segment_id", "left")
+    per = rows.groupBy("stream_id").agg(
+        F.count("*").alias("segment_count"), F.count_if(F.col("chat_count") > 0).alias("chat_segments"), F.sum("chat_count").alias("chat_messages"),
+        F.coalesce(F.sum("h"), F.lit(0)).alias("pending_headlines"), F.coalesce(F.sum("r"), F.lit(0)).alias("pending_reactions"),
     )
+    return per.join(facts.withColumnRenamed("video_id", "stream_id"), "stream_id", "left")
 
 
 def window_membership(messages: DataFrame, membership: DataFrame) -> DataFrame:
@@ -35,28 +39,19 @@ def window_membership(messages: DataFrame, membership: DataFrame) -> DataFrame:
     return messages.join(membership, ["stream_id", "message_id"], "left").select("stream_id", "message_id", "window_index")
 
 
-def filter_tokens(tokens: DataFrame, stop: DataFrame, protected: list[str], min_len: int = 2) -> DataFrame:
-    """Tokens (doc_id, pos, token) without stop words and short ones; protected words stay whatever else holds."""
+def filter_tokens(tokens: DataFrame, stop: DataFrame, protected: list[str], min_len: int = 2, drop_numbers: bool = True) -> DataFrame:
+    """Tokens (doc_id, pos, token) without stop words, short ones, numbers and what holds no letter or digit;
+    protected words stay whatever else holds."""
     kept = F.col("token").isin(protected)
     listed = stop.select(F.col("term").alias("token"), F.lit(True).alias("_stop")).distinct()
-    rows = tokens.join(listed, "token", "left").where(kept | (F.col("_stop").isNull() & (F.length("token") >= min_len)))
-    return rows.select("doc_id", "pos", "token")
-
-
-def topic_evidence(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row per match of a topic term, with topic and weight."""
-    return tokens.join(terms, F.col("token") == F.col("term")).select("doc_id", "pos", "term", "topic_ord", "weight")
+    fine = F.col("_stop").isNull() & (F.length("token") >= min_len) & F.rlike("token", F.lit(r"[\p{L}\p{N}]"))
+    fine = fine & ~F.rlike("token", F.lit(r"^\p{Nd}+$")) if drop_numbers else fine
+    return tokens.join(listed, "token", "left").where(kept | fine).select("doc_id", "pos", "token")
 
 
-def sentiment_evidence(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row per polar word: its base value, whether one of the three tokens before negates it (-0.8 times
-    the value) and whether the one before strengthens it (1.5 times)."""
-    w = W.partitionBy("doc_id").orderBy("pos")
-    negated = F.coalesce(F.max(F.col("token").isin(NEGATORS)).over(w.rowsBetween(-3, -1)), F.lit(False))
-    strong = F.coalesce(F.lag("token").over(w).isin(INTENSIFIERS), F.lit(False))
-    rows = tokens.withColumn("negated", negated).withColumn("strong", strong).join(terms, F.col("token") == F.col("term"))
-    score = F.col("polarity") * F.when(F.col("negated"), -0.8).otherwise(1.0) * F.when(F.col("strong"), 1.5).otherwise(1.0)
-    return rows.select("doc_id", "pos", "term", F.col("polarity").alias("base"), "negated", "strong", F.round(score, 6).alias("score"))
+def topic_evidence(matches: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row per match and topic: how the term matched, topic and weight."""
+    return matches.join(terms, "term").select("doc_id", "pos", "term", "via", "topic_ord", "weight")
 
 
 def name_lexicon(tokens: DataFrame, titles: list[str], blocked: DataFrame, weight: int = 1) -> DataFrame:
@@ -72,9 +67,12 @@ def content_key(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(text, "[ \t\n\r]+", " ")), 256)
 
 
-def enrichment_lookup(docs: DataFrame, cache: DataFrame) -> DataFrame:
-    """Documents with the cached headline (content_key, headline) of their content; null on a miss."""
-    return docs.withColumn("content_key", content_key(F.col("content"))).join(cache, "content_key", "left")
+def enrichment_lookup(docs: DataFrame, cache: DataFrame, model: str, version: int) -> DataFrame:
+    """Documents with the cached headline of their content by one model in the present shape: ``cache`` has
+    content_key, model, version and headline; a headline that says nothing is a miss, and so is null."""
+    usable = cache.where((F.col("model") == model) & (F.col("version") == version) & (F.trim("headline") != ""))
+    usable = usable.groupBy("content_key").agg(F.max("headline").alias("headline"))
+    return docs.withColumn("content_key", content_key(F.col("content"))).join(usable, "content_key", "left")
 
 
 def split_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -5,41 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.files import keep
 from .joins import cue_block_overlap
 
 BLOCK_MS = 30_000
 
 
 def build_blocks(cues: DataFrame, block_ms: int = BLOCK_MS, usable: int = 40) -> DataFrame:
-    """(video_id, block, text, chars, non_speech_ms, usable): speech of each grid block in cue order; a
-    non-speech cue counts whole in every block it touches."""
+    """(video_id, block, start_ms, end_ms, text, chars, non_speech_ms, usable): every block of the grid up to the last
+    cue's end, which ends the last block; speech in cue order, empty where nobody speaks; a non-speech cue counts
+    whole in every block it touches."""
     rows = cue_block_overlap(cues, block_ms)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("non_speech"), F.struct("cue_idx", "text")))), lambda x: x["text"]), "")
     quiet = F.sum(F.when(F.col("non_speech"), F.col("end_ms") - F.col("start_ms")).otherwise(0))
-    out = rows.groupBy("video_id", "block").agg(text.alias("text"), quiet.alias("non_speech_ms"))
-    return out.select("video_id", "block", "text", F.length("text").alias("chars"), "non_speech_ms", (F.length("text") >= usable).alias("usable"))
+    said = rows.groupBy("video_id", "block").agg(text.alias("text"), quiet.alias("non_speech_ms"))
+    ends = cues.groupBy("video_id").agg(F.max("end_ms").alias("_end")).where("_end > 0")
+    grid = ends.select("video_id", "_end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_end") - 1) / block_ms))).alias("block"))
+    out = grid.join(said, ["video_id", "block"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    start = F.col("block") * block_ms
+    return out.select("video_id", "block", start.alias("start_ms"), F.least(start + block_ms, F.col("_end")).alias("end_ms"), "text", F.length("text").alias("chars"), F.coalesce("non_speech_ms", F.lit(0)).alias("non_speech_ms"), (F.length("text") >= usable).alias("usable"))
 
 
 def music_gaps(blocks: DataFrame, least_ms: int = 4000) -> DataFrame:
     return blocks.where((F.col("block") > 0) & (F.col("non_speech_ms") >= least_ms))
 
 
-def cohesion(terms: DataFrame, k: int = 3) -> DataFrame:
-    """(video_id, gap, similarity): cosine of term counts of the k blocks before a gap and the k from it on,
-    over rows (video_id, block, term). A gap exists before each block from the second on."""
-    counts = terms.groupBy("video_id", "block", "term").agg(F.count("*").alias("n"))
-    left = counts.select("video_id", "term", "n", F.explode(F.sequence(F.col("block") + 1, F.col("block") + k)).alias("gap"), F.lit(1).alias("side"))
-    right = counts.where("block >= 1").select("video_id", "term", "n", F.explode(F.sequence(F.greatest(F.col("block") - k + 1, F.lit(1)), F.col("block"))).alias("gap"), F.lit(0).alias("side"))
-    ends = counts.groupBy("video_id").agg(F.max("block").alias("last"))
-    left = left.join(ends, "video_id").where("gap <= last").drop("last")
-    both = left.unionByName(right).groupBy("video_id", "gap", "term").agg(F.sum(F.col("n") * F.col("side")).alias("l"), F.sum(F.col("n") * (1 - F.col("side"))).alias("r"))
-    s = both.groupBy("video_id", "gap").agg(F.sum(F.col("l") * F.col("r")).alias("d"), F.sum(F.col("l") * F.col("l")).alias("a"), F.sum(F.col("r") * F.col("r")).alias("b"))
-    return s.select("video_id", "gap", F.round(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("d") / F.sqrt(F.col("a").cast("double") * F.col("b"))).otherwise(0.0), 6).alias("similarity"))
+def cohesion(blocks: DataFrame, terms: DataFrame, k: int = 3) -> DataFrame:
+    """(video_id, gap, similarity) before every block of ``blocks`` (video_id, block): cosine of the term counts of the
+    k blocks before the gap and the k from it on, over rows (video_id, block, term). Gap 0 is 1, and a side without
+    terms gives 0.
+
+    Counts meet once, on (video_id, term), as products of two blocks at most 2k - 1 apart; a gap's sums are sums of
+    such products, of which there are 2k a block whatever the vocabulary."""
+    counts = terms.groupBy("video_id", "term", "block").agg(F.count("*").alias("n"))
+    near = W.partitionBy("video_id", "term").orderBy("block").rangeBetween(0, 2 * k - 1)
+    pairs = counts.withColumn("xs", F.collect_list(F.struct("block", "n")).over(near)).withColumn("x", F.explode("xs"))
+    dots = pairs.groupBy("video_id", F.col("block").alias("i"), F.col("x.block").alias("j")).agg(F.sum(F.col("n") * F.col("x.n")).alias("dot"))
+    # products within one side count twice, as (i, j) and (j, i), but for a block with itself
+    twice = F.when(F.col("i") == F.col("j"), F.col("dot")).otherwise(2 * F.col("dot"))
+    spread = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    one = F.lit(0).cast("long")
+    across = dots.where("i < j").select("video_id", spread(F.greatest(F.col("i") + 1, F.col("j") - k + 1), F.least(F.col("j"), F.col("i") + k)).alias("gap"), F.col("dot").alias("d"), one.alias("a"), one.alias("b"))
+    close = dots.where(F.col("j") - F.col("i") < k)
+    left = close.select("video_id", spread(F.col("j") + 1, F.col("i") + k).alias("gap"), one.alias("d"), twice.alias("a"), one.alias("b"))
+    right = close.select("video_id", spread(F.col("j") - k + 1, F.col("i")).alias("gap"), one.alias("d"), one.alias("a"), twice.alias("b"))
+    sums = across.unionByName(left).unionByName(right).groupBy("video_id", "gap").agg(*(F.sum(c).alias(c) for c in "dab"))
+    cosine = F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("d") / F.sqrt(F.col("a").cast("double") * F.col("b"))).otherwise(0.0)
+    gaps = blocks.select("video_id", F.col("block").cast("long").alias("gap")).distinct()
+    rows = gaps.join(sums, ["video_id", "gap"], "left")
+    return rows.select("video_id", "gap", F.when(F.col("gap") == 0, 1.0).otherwise(F.round(F.coalesce(cosine, F.lit(0.0)), 6)).alias("similarity"))
 
 
 def spans_from_boundaries(boundaries: DataFrame, ends: DataFrame) -> DataFrame:
     """(video_id, start_ms, end_ms): cuts at 0 and every boundary (video_id, at_ms), up to the programme's end."""
+    ends = ends.select("video_id", "end_ms")
     cuts = boundaries.select("video_id", F.col("at_ms").alias("start_ms")).unionByName(ends.select("video_id", F.lit(0).cast("long").alias("start_ms"))).distinct()
     after = F.lead("start_ms").over(W.partitionBy("video_id").orderBy("start_ms"))
     return cuts.withColumn("_next", after).join(ends, "video_id").select("video_id", "start_ms", F.coalesce("_next", "end_ms").alias("end_ms")).where("start_ms < end_ms")
@@ -60,14 +81,15 @@ def cue_start_offsets(cues: DataFrame) -> DataFrame:
 
 
 def block_topics(blocks: DataFrame, terms: DataFrame, fallback: int = 14) -> DataFrame:
-    """(video_id, block, topic) of usable blocks by the gazetteer; a block without a token takes the fallback."""
+    """(video_id, block, topic, confidence) of usable blocks by the gazetteer; a block without a match takes the fallback."""
     from ..functions.text import tokenize
+    from .lexicon import term_matches
     from .stats import gazetteer_topic
 
-    usable = blocks.where("usable")
-    tokens = usable.select(F.struct("video_id", "block").alias("doc_id"), F.explode(tokenize(F.col("text"))).alias("token"))
-    found = gazetteer_topic(tokens, terms, fallback=fallback).select("doc_id.video_id", "doc_id.block", "topic_ord")
-    return usable.select("video_id", "block").join(found, ["video_id", "block"], "left").select("video_id", "block", F.coalesce("topic_ord", F.lit(fallback)).alias("topic"))
+    usable = blocks.where("usable").select(F.struct("video_id", "block").alias("doc_id"), "text")
+    tokens = usable.select("doc_id", F.posexplode(tokenize(F.col("text"))).alias("pos", "token"))
+    found = gazetteer_topic(usable, term_matches(tokens, terms), terms, fallback=fallback)
+    return found.select("doc_id.video_id", "doc_id.block", F.col("topic_ord").alias("topic"), "confidence")
 
 
 def detect_boundaries(blocks: DataFrame, similarities: DataFrame, topics: DataFrame) -> DataFrame:
@@ -92,12 +114,175 @@ def detect_boundaries(blocks: DataFrame, similarities: DataFrame, topics: DataFr
     return found.select("video_id", "block", (F.col("block") * BLOCK_MS).alias("at_ms"), "reasons", F.least(F.lit(1.0), F.size("reasons") * F.lit(0.34)).alias("confidence"))
 
 
-def segment_programmes(cues: DataFrame, terms_of, topics_of, min_ms: int = 60_000) -> DataFrame:
-    """Stories of all programmes: cohesion dips, topic changes and music gaps cut, short spans merge. ``terms_of``:
-    blocks -> (video_id, block, term); ``topics_of``: blocks -> (video_id, block, topic) of the usable ones."""
+def refine_boundaries(boundaries: DataFrame, cues: DataFrame, terms: DataFrame, search_ms: int = 30_000, context_ms: int = 45_000, bonus: float = 0.12) -> DataFrame:
+    """``boundaries`` (video_id, at_ms, ...) moved off the grid, with coarse_ms and refined.
+
+    Within half of ``search_ms`` on either side: the end of the last non-speech cue that starts there (music-cut);
+    else, of two or more spoken cues there, the start of the one whose ``context_ms`` before and after share least
+    vocabulary, 1 - cosine plus ``bonus`` where the speaker changes, the first of the best (lexical-cut or
+    speaker-cut); else the grid. A time that is not after the one before falls back to the grid, and a boundary that
+    even then is not after the one before goes. ``terms``: rows (video_id, cue_idx, term) of spoken cues.
+
+    Candidates meet the cues around them through buckets of time; counts per candidate, side and term are summed
+    before the cosine, so nothing larger than a candidate's context is in one place."""
+    half, bucket = search_ms // 2, max(search_ms, context_ms)
+    b = keep(boundaries.withColumn("coarse_ms", F.col("at_ms")).drop("at_ms"), "grid")
+    cues = keep(cues, "cues")
+    wide = b.select("video_id", "coarse_ms", F.explode(F.sequence(F.floor(F.greatest(F.col("coarse_ms") - half, F.lit(0)) / bucket), F.floor((F.col("coarse_ms") + half) / bucket))).alias("_t"))
+    c = cues.withColumn("_t", F.floor(F.col("start_ms") / bucket))
+    near = wide.join(c, ["video_id", "_t"]).where((F.col("start_ms") >= F.greatest(F.col("coarse_ms") - half, F.lit(0))) & (F.col("start_ms") <= F.col("coarse_ms") + half))
+    near = keep(near, "near")
+    music = near.where("non_speech").groupBy("video_id", "coarse_ms").agg(F.max_by("end_ms", F.struct("start_ms", "cue_idx")).alias("music_ms"))
+    spoken = near.where("not non_speech and text <> ''").select("video_id", "coarse_ms", "cue_idx", F.col("start_ms").alias("cut"), "speaker_change")
+    counts = spoken.groupBy("video_id", "coarse_ms").agg(F.count("*").alias("_n")).where("_n >= 2").select("video_id", "coarse_ms")
+    cand = keep(spoken.join(counts, ["video_id", "coarse_ms"]).join(music, ["video_id", "coarse_ms"], "left_anti"), "candidates")
+    cuts = cand.select("video_id", "cut").distinct()
+    around = cuts.select("video_id", "cut", F.explode(F.sequence(F.floor(F.greatest(F.col("cut") - context_ms, F.lit(0)) / bucket), F.floor((F.col("cut") + context_ms) / bucket))).alias("_t"))
+    # a cue is filed under every bucket that it touches, and taken in the first one shared with a context
+    c = cues.where("not non_speech and text <> ''").select("video_id", "cue_idx", "start_ms", "end_ms", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket), F.greatest(F.floor((F.col("end_ms") - 1) / bucket), F.floor(F.col("start_ms") / bucket)))).alias("_t"))
+    lo, mid, hi = F.col("cut") - context_ms, F.col("cut"), F.col("cut") + context_ms
+    before, after = (F.col("start_ms") < mid) & (F.col("end_ms") > lo), (F.col("start_ms") < hi) & (F.col("end_ms") > mid)
+    side = around.join(c, ["video_id", "_t"]).where(before | after).select("video_id", "cut", "cue_idx", before.alias("l"), after.alias("r")).distinct()
+    n = side.join(terms, ["video_id", "cue_idx"]).groupBy("video_id", "cut", "term").agg(F.count_if("l").alias("l"), F.count_if("r").alias("r"))
+    s = n.groupBy("video_id", "cut").agg(F.sum(F.col("l") * F.col("r")).alias("d"), F.sum(F.col("l") * F.col("l")).alias("a"), F.sum(F.col("r") * F.col("r")).alias("b")).where("a > 0 and b > 0")
+    score = F.round(1 - F.col("d") / F.sqrt(F.col("a").cast("double") * F.col("b")) + F.when(F.col("speaker_change"), bonus).otherwise(0.0), 9)
+    scored = cand.join(s, ["video_id", "cut"]).withColumn("score", score)
+    best = scored.groupBy("video_id", "coarse_ms").agg(F.max_by(F.struct("cut", "speaker_change"), F.struct("score", -F.col("cue_idx"))).alias("best"))
+    rows = b.join(music, ["video_id", "coarse_ms"], "left").join(best, ["video_id", "coarse_ms"], "left")
+    rows = rows.withColumn("_ms", F.coalesce("music_ms", "best.cut", "coarse_ms"))
+    why = F.when(F.col("music_ms").isNotNull(), "music-cut").when(F.col("best").isNull(), "grid").when(F.col("best.speaker_change"), "speaker-cut").otherwise("lexical-cut")
+    rows = rows.withColumn("_why", why).drop("music_ms", "best")
+    return _in_order(rows)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Boundaries of each programme in order with the last time as only state."""
+    schema = T.StructType([*(f for f in rows.schema if f.name not in ("_ms", "_why")), T.StructField("at_ms", T.LongType()), T.StructField("refined", T.StringType())])
+
+    def scan(batches):
+        import pyarrow as pa
+
+        video, last = None, 0
+        for batch in batches:
+            keep, at, refined = [], [], []
+            for i, (v, coarse, ms, why) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("video_id", "coarse_ms", "_ms", "_why")))):
+                if v != video:
+                    video, last = v, 0
+                ms, why = (ms, why) if ms > last else (coarse, "grid")
+                if ms > last:
+                    keep.append(i)
+                    at.append(ms)
+                    refined.append(why)
+                    last = ms
+            out = batch.take(pa.array(keep, pa.int64())).drop_columns(["_ms", "_why"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at, pa.int64()), pa.array(refined, pa.string())], [*out.schema.names, "at_ms", "refined"])
+
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "coarse_ms").mapInArrow(scan, schema)
+
+
+def text_between(spans: DataFrame, cues: DataFrame, bucket_ms: int = 600_000) -> DataFrame:
+    """``spans`` with text: the speech of every cue that touches [start_ms, end_ms), in order, unseparated."""
+    last = lambda: F.greatest(F.floor((F.col("end_ms") - 1) / bucket_ms), F.floor(F.col("start_ms") / bucket_ms))
+    s = spans.select("video_id", "start_ms", "end_ms").withColumn("_t", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), last())))
+    c = cues.where("not non_speech and text <> ''").withColumn("_t", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), last())))
+    c = c.select("video_id", "_t", "cue_idx", "text", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"))
+    hit = s.join(c, ["video_id", "_t"]).where((F.col("_s") < F.col("end_ms")) & (F.col("_e") > F.col("start_ms")))
+    hit = hit.select("video_id", "start_ms", "end_ms", "cue_idx", "text").distinct()
+    said = hit.groupBy("video_id", "start_ms", "end_ms").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cue_idx", "text"))), lambda x: x["text"]), "").alias("text"))
+    return spans.join(said, ["video_id", "start_ms", "end_ms"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def assemble_segments(spans: DataFrame, boundaries: DataFrame, cues: DataFrame, least: int = 40) -> DataFrame:
+    """(video_id, position, start_ms, end_ms, text, reasons, confidence): stories with text, in order; spans that say
+    less than ``least`` characters go; the reasons end with how the boundary was refined, and a span that begins at
+    no boundary is ``programme-start`` for certain."""
+    rows = text_between(spans, cues).where(F.length("text") >= least)
+    at = boundaries.select("video_id", F.col("at_ms").alias("start_ms"), F.concat("reasons", F.array("refined")).alias("reasons"), "confidence")
+    rows = rows.join(at, ["video_id", "start_ms"], "left")
+    position = (F.row_number().over(W.partitionBy("video_id").orderBy("start_ms")) - 1).cast("long")
+    return rows.select("video_id", position.alias("position"), "start_ms", "end_ms", "text", F.coalesce("reasons", F.array(F.lit("programme-start"))).alias("reasons"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+
+
+def boundary_report(boundaries: DataFrame) -> DataFrame:
+    """Per programme over refined boundaries: how many, how many for each reason, the share off the grid and the
+    upper median of how far they moved."""
+    moved = F.abs(F.col("at_ms") - F.col("coarse_ms"))
+    rows = boundaries.withColumn("_m", moved).withColumn("_r", F.row_number().over(W.partitionBy("video_id").orderBy("_m", "at_ms"))).withColumn("_n", F.count("*").over(W.partitionBy("video_id")))
+    has = lambda r: F.count_if(F.array_contains("reasons", r))
+    return rows.groupBy("video_id").agg(
+        F.count("*").alias("boundaries"), has("lexical-cohesion").alias("lexical_cohesion"), has("topic-change").alias("topic_change"), has("music-break").alias("music_break"),
+        F.count_if(F.col("refined") == "music-cut").alias("music_cut"), F.count_if(F.col("refined") == "speaker-cut").alias("speaker_cut"), F.count_if(F.col("refined") == "lexical-cut").alias("lexical_cut"),
+        F.round(F.avg((F.col("_m") > 0).cast("double")), 6).alias("off_grid"), F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("_m"))).alias("median_shift_ms"),
+    )
+
+
+def split_mixed_spans(spans: DataFrame, cues: DataFrame, terms: DataFrame, topics_of, min_ms: int = 60_000, apart: float = 0.72, depth: int = 3) -> DataFrame:
+    """``spans`` cut where their halves have different topics and some inner cue divides them by at least ``apart``
+    (1 - cosine of all that the span says before and after it), with ``min_ms`` left on both sides; the pieces are
+    looked at again, ``depth`` rounds at most. ``topics_of``: (video_id, block, text) -> (video_id, block, topic)."""
+    cues, terms = keep(cues, "cues"), keep(terms, "terms")
+    for _ in range(depth):
+        spans = keep(spans, "spans")
+        mid = F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
+        long = spans.where(F.col("end_ms") - F.col("start_ms") >= 2 * min_ms)
+        halves = long.select("video_id", "start_ms", mid.alias("end_ms"), F.col("start_ms").alias("_s")).unionByName(long.select("video_id", mid.alias("start_ms"), "end_ms", F.col("start_ms").alias("_s")))
+        said = text_between(halves, cues).select("video_id", F.col("start_ms").alias("block"), "text", "_s").withColumn("usable", F.length("text") >= 40)
+        topics = topics_of(said).select("video_id", "block", "topic")
+        told = said.where("usable").join(topics, ["video_id", "block"]).groupBy("video_id", "_s").agg(F.min("topic").alias("a"), F.max("topic").alias("b")).where("a <> b").select("video_id", F.col("_s").alias("start_ms"))
+        mixed = keep(long.join(told, ["video_id", "start_ms"]), "mixed")
+        if not mixed.limit(1).count():
+            break
+        inner = mixed.join(cues.where("not non_speech and text <> ''").select("video_id", "cue_idx", F.col("start_ms").alias("cut")), "video_id").where((F.col("cut") >= F.col("start_ms") + min_ms) & (F.col("cut") <= F.col("end_ms") - min_ms))
+        words = mixed.join(cues.select("video_id", "cue_idx", F.col("start_ms").alias("at")), "video_id").where((F.col("at") >= F.col("start_ms")) & (F.col("at") < F.col("end_ms"))).join(terms, ["video_id", "cue_idx"])
+        words = words.groupBy("video_id", "start_ms", "term", "at").agg(F.count("*").alias("n"))
+        # running counts of each term over the span's cues; between two of its occurrences they do not change
+        w = W.partitionBy("video_id", "start_ms", "term").orderBy("at")
+        words = words.withColumn("l", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy("video_id", "start_ms", "term"))).withColumn("next", F.lead("at").over(w))
+        l, r = F.col("l").cast("double"), (F.col("all") - F.col("l")).cast("double")
+        before = F.col("l") - F.col("n")
+        l0, r0 = before.cast("double"), (F.col("all") - before).cast("double")
+        change = words.select("video_id", "start_ms", "at", (l * r - l0 * r0).alias("d"), (l * l - l0 * l0).alias("a"), (r * r - r0 * r0).alias("b"))
+        base = words.groupBy("video_id", "start_ms", "term").agg(F.max("all").alias("all")).groupBy("video_id", "start_ms").agg(F.sum(F.col("all").cast("double") * F.col("all")).alias("_b"))
+        steps = change.groupBy("video_id", "start_ms", "at").agg(*(F.sum(c).alias(c) for c in "dab"))
+        run = W.partitionBy("video_id", "start_ms").orderBy("at")
+        steps = steps.select("video_id", "start_ms", "at", *(F.sum(c).over(run).alias(c) for c in "dab"), F.lead("at").over(run).alias("next"))
+        seen = inner.join(steps, ["video_id", "start_ms"]).where((F.col("at") < F.col("cut")) & (F.col("next").isNull() | (F.col("next") >= F.col("cut")))).join(base, ["video_id", "start_ms"])
+        right = F.col("b") + F.col("_b")
+        score = F.round(1 - F.col("d") / F.sqrt(F.col("a") * right), 9)
+        best = seen.where((F.col("a") > 0) & (right > 0)).withColumn("score", score).groupBy("video_id", "start_ms").agg(F.max(F.struct("score", -F.col("cut"))).alias("m")).where(F.col("m.score") >= apart)
+        best = best.select("video_id", "start_ms", (-F.col("m.col2")).alias("cut"))
+        rows = spans.join(best, ["video_id", "start_ms"], "left")
+        parts = F.when(F.col("cut").isNull(), F.array(F.struct(F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))).otherwise(F.array(F.struct(F.col("start_ms").alias("s"), F.col("cut").alias("e")), F.struct(F.col("cut").alias("s"), F.col("end_ms").alias("e"))))
+        spans = rows.select("video_id", F.explode(parts).alias("p")).select("video_id", F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms"))
+    return spans
+
+
+def cue_terms(cues: DataFrame) -> DataFrame:
+    """(video_id, cue_idx, term) of spoken cues: words of more than one letter."""
+    from ..functions.text import tokenize
+
+    return cues.where("not non_speech").select("video_id", "cue_idx", F.explode(tokenize(F.col("text"))).alias("term")).where("length(term) > 1")
+
+
+def find_boundaries(cues: DataFrame, topic_terms: DataFrame) -> DataFrame:
+    """The boundaries of all programmes on the grid; blocks and similarities are written once."""
+    from ..functions.text import tokenize
+
+    blocks = keep(build_blocks(cues), "blocks")
+    terms = blocks.where("usable").select("video_id", "block", F.explode(tokenize(F.col("text"))).alias("term")).where("length(term) > 1")
+    return detect_boundaries(blocks, keep(cohesion(blocks, terms), "similarities"), keep(block_topics(blocks, topic_terms), "topics"))
+
+
+def segment_programmes(cues: DataFrame, topic_terms: DataFrame, min_ms: int = 60_000, refine: bool = True, split: bool = False) -> DataFrame:
+    """Stories of all programmes: cohesion dips, topic changes and music gaps cut, boundaries move off the grid, mixed
+    spans split if asked for, short ones merge, and what is left gets its text, reasons and confidence. Cues, blocks
+    and boundaries are written once each, since several steps read them."""
     from .windows import merge_short_spans
 
-    blocks = build_blocks(cues)
-    cuts = detect_boundaries(blocks, cohesion(terms_of(blocks)), topics_of(blocks)).select("video_id", "at_ms")
-    ends = blocks.groupBy("video_id").agg(((F.max("block") + 1) * BLOCK_MS).alias("end_ms"))
-    return merge_short_spans(spans_from_boundaries(cuts, ends), min_ms)
+    cues = keep(cues, "cues")
+    found = keep(find_boundaries(cues, topic_terms), "found")
+    bounds = keep(refine_boundaries(found, cues, cue_terms(cues)), "bounds") if refine else found.withColumn("coarse_ms", F.col("at_ms")).withColumn("refined", F.lit("grid"))
+    ends = cues.groupBy("video_id").agg(F.max("end_ms").alias("end_ms")).where("end_ms > 0")
+    spans = spans_from_boundaries(bounds, ends)
+    spans = split_mixed_spans(spans, cues, cue_terms(cues), lambda said: block_topics(said, topic_terms), min_ms) if split else spans
+    return assemble_segments(merge_short_spans(spans, min_ms), bounds, cues)

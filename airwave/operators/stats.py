@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import window_title
+
 SENTIMENTS = ("positive", "neutral", "negative")
 
 
@@ -16,9 +18,11 @@ def zero_fill(dimension: DataFrame, facts: DataFrame, on: str) -> DataFrame:
 
 
 def by_sentiment(docs: DataFrame) -> DataFrame:
-    counts = docs.groupBy("sentiment").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("sentiment", "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("percentage"))
+    """Count and share of every sentiment, absent ones as 0; shares are of all documents, 0 without any."""
+    row = docs.agg(F.count("*").alias("total"), *(F.count_if(F.col("sentiment") == s).alias(s) for s in SENTIMENTS))
+    each = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(s).alias("sentiment"), F.col(s).alias("n")) for i, s in enumerate(SENTIMENTS)))
+    share = F.when(F.col("total") > 0, F.round(F.col("x.n") * 100.0 / F.col("total"), 1)).otherwise(0.0)
+    return row.select("total", F.explode(each).alias("x")).select("x.ord", "x.sentiment", "x.n", share.alias("percentage"))
 
 
 def topic_sentiment(docs: DataFrame) -> DataFrame:
@@ -70,25 +74,43 @@ def window_sentiment(messages: DataFrame, membership: DataFrame, share: float =
 
 
 def window_documents(messages: DataFrame, membership: DataFrame) -> DataFrame:
-    """Each window as one document: texts in order, bounds, count and hash."""
+    """Each window as one document: title with its time and size, texts in order, bounds, span, count and hash."""
     rows = membership.join(messages, ["stream_id", "message_id"])
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("us", F.col("message_id").cast("long").alias("i"), "text"))), lambda x: x["text"]), "\n")
     d = rows.groupBy("stream_id", "window_index").agg(texts.alias("content"), F.count("*").alias("message_count"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+    title = window_title(F.timestamp_micros("start_us"), F.lit(None).cast("string"), F.array().cast("array<string>"), F.col("message_count"))
+    d = d.withColumn("title", title).withColumn("span_ms", F.floor((F.col("end_us") - F.col("start_us")) / 1000))
     return d.withColumn("content_hash", F.sha2("content", 256))
 
 
+def stream_rates(messages: DataFrame, membership: DataFrame) -> DataFrame:
+    """Per stream: messages, minutes, messages a minute (null for no time), windows and messages a window."""
+    w = membership.groupBy("stream_id").agg(F.countDistinct("window_index").alias("windows"), F.count("*").alias("_kept"))
+    minutes = (F.col("last_us") - F.col("first_us")) / 60_000_000
+    rows = stream_counters(messages).join(w, "stream_id", "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
+    rate = F.when(minutes > 0, F.round(F.col("message_count") / minutes, 4))
+    mean = F.when(F.col("windows") > 0, F.round(F.col("_kept") / F.col("windows"), 4)).otherwise(0.0)
+    return rows.select("stream_id", F.col("message_count").alias("messages"), F.round(minutes, 4).alias("minutes"), rate.alias("per_minute"), "windows", mean.alias("per_window"))
+
+
 def stream_counters(messages: DataFrame) -> DataFrame:
     return messages.groupBy("stream_id").agg(F.count("*").alias("message_count"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
-def ingest_report(messages: DataFrame) -> DataFrame:
-    """Scored and skipped messages per stream, and overall in the row without a stream."""
-    return messages.rollup("stream_id").agg(F.count("*").alias("messages"), F.count_if(~F.col("is_spam")).alias("scored"), F.count_if("is_spam").alias("skipped"))
+def ingest_report(messages: DataFrame, membership: DataFrame) -> DataFrame:
+    """Messages, scored and skipped ones, streams and windows, per stream and overall in the row without a stream."""
+    w = membership.groupBy("stream_id").agg(F.countDistinct("window_index").alias("windows"))
+    per = messages.groupBy("stream_id").agg(F.count("*").alias("messages"), F.count_if(~F.col("is_spam")).alias("scored"), F.count_if("is_spam").alias("skipped"))
+    per = per.join(w, "stream_id", "left").withColumn("windows", F.coalesce("windows", F.lit(0))).withColumn("streams", F.lit(1).cast("long"))
+    return per.rollup("stream_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("messages", "scored", "skipped", "windows", "streams")))
 
 
-def keyword_cloud(keywords: DataFrame, limit: int = 40) -> DataFrame:
-    """(word, count, score) of rows (word, score): documents per word and best score; the top words, ties to the smaller."""
-    return keywords.where("trim(word) <> ''").groupBy("word").agg(F.count("*").alias("count"), F.max("score").alias("score")).orderBy(F.desc("count"), "word").limit(limit)
+def keyword_cloud(keywords: DataFrame, limit: int = 40, topic: int | None = None) -> DataFrame:
+    """(word, count, score) of rows (word, score, topic_ord), of one topic if given: documents per word and best
+    score, a missing score counting 0; the top words, ties to the smaller."""
+    rows = keywords.where("trim(word) <> ''")
+    rows = rows if topic is None else rows.where(F.col("topic_ord") == topic)
+    return rows.groupBy("word").agg(F.count("*").alias("count"), F.max(F.coalesce("score", F.lit(0.0))).alias("score")).orderBy(F.desc("count"), "word").limit(limit)
 
 
 def fit_idf(tokens: DataFrame) -> DataFrame:
@@ -96,31 +118,39 @@ def fit_idf(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.countDistinct("doc_id").alias("df")).withColumnRenamed("token", "term")
 
 
-def tfidf_keywords(tokens: DataFrame, k: int = 10, min_len: int = 2) -> DataFrame:
-    """The k terms of each document with most tf-idf: tf a share of its candidates, idf ln((1+N)/(1+df)) + 1."""
-    t = tokens.where(F.length("token") >= min_len)
-    tf = t.groupBy("doc_id", "token").agg(F.count("*").alias("occ"))
-    per = tf.groupBy("doc_id").agg(F.sum("occ").alias("total"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    n = per.agg(F.count("*").alias("n"))
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df")).cast("double")) + 1
-    scored = tf.join(df, "token").join(per, "doc_id").crossJoin(F.broadcast(n)).select("doc_id", "token", F.round(F.col("occ") / F.col("total") * idf, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "token"))).where(F.col("rank") <= k)
+def idf_weight(n: Column, df: Column) -> Column:
+    return F.log((1 + n) / (1 + df).cast("double")) + 1
+
 
+def tfidf_keywords(docs: DataFrame, idf: DataFrame | None, documents: int = 0, k: int = 10, boost: float = 1.6) -> DataFrame:
+    """The k candidates of each document with most tf-idf, over rows (doc_id, tokens array, title_tokens array).
 
-def gazetteer_topic(tokens: DataFrame, terms: DataFrame, topics: int = 15, floor: float = 0.02, least: float = 0.9, fallback: int = 14) -> DataFrame:
-    """(doc_id, topic_ord, confidence): term weights summed per topic and smoothed; weak evidence falls back."""
-    hits = tokens.join(F.broadcast(terms), tokens["token"] == terms["term"]).groupBy("doc_id", "topic_ord").agg(F.sum("weight").alias("score"))
-    best = hits.groupBy("doc_id").agg(F.sum("score").alias("total"), F.max(F.struct("score", -F.col("topic_ord"))).alias("b"))
-    docs = tokens.select("doc_id").distinct().join(best, "doc_id", "left")
-    sure = (F.col("b.score") + floor) / (F.col("total") + floor * topics)
-    weak = F.col("b.score") < least
-    topic = F.when(F.col("b").isNull() | weak, fallback).otherwise(-F.col("b.col2"))
-    return docs.select("doc_id", topic.cast("int").alias("topic_ord"), F.round(F.coalesce(sure, F.lit(1.0)), 6).alias("confidence"))
+    tf is a term's share of the document's candidates, idf ln((1+N)/(1+df)) + 1 over ``documents`` with an unseen
+    term at df 0; without ``idf`` (term, df) longer terms weigh more, 1 + min(length, 12) / 12. A term of the title
+    weighs ``boost`` times."""
+    marked = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.coalesce(F.array_contains("title_tokens", t), F.lit(False)).alias("title")))
+    rows = docs.select("doc_id", F.size("tokens").alias("_total"), F.explode(marked).alias("x"))
+    rows = rows.groupBy("doc_id", "_total", F.col("x.token").alias("token"), F.col("x.title").alias("_title")).agg(F.count("*").alias("occ"))
+    if idf is None:
+        weight = 1 + F.least(F.length("token"), F.lit(12)) / 12
+    else:
+        rows = rows.join(idf.withColumnRenamed("term", "token"), "token", "left")
+        weight = idf_weight(F.lit(documents), F.coalesce("df", F.lit(0)))
+    score = F.col("occ") / F.col("_total") * weight * F.when(F.col("_title"), boost).otherwise(1.0)
+    scored = rows.select("doc_id", "token", F.round(score, 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "token"))).where(F.col("rank") <= k)
 
 
-def lexicon_sentiment(tokens: DataFrame, terms: DataFrame, neutral: float = 0.35) -> DataFrame:
-    """(doc_id, total, sentiment): polarities of matched terms summed; below the band in either direction neutral."""
-    hits = tokens.join(F.broadcast(terms), tokens["token"] == terms["term"]).groupBy("doc_id").agg(F.round(F.sum("polarity"), 6).alias("total"))
-    label = F.when(F.abs("total") < neutral, "neutral").when(F.col("total") > 0, "positive").otherwise("negative")
-    return hits.withColumn("sentiment", label)
+def gazetteer_topic(docs: DataFrame, matches: DataFrame, terms: DataFrame, topics: int = 15, floor: float = 0.02, least: float = 0.9, fallback: int = 14) -> DataFrame:
+    """(doc_id, topic_ord, confidence) of every row of ``docs``: weights of the matched terms (doc_id, term) summed
+    per topic and smoothed. Below ``least`` the fallback takes over with its own probability; without evidence it is
+    certain. Ties go to the earlier topic."""
+    hits = matches.join(terms, "term").groupBy("doc_id", "topic_ord").agg(F.sum("weight").alias("score"))
+    own = F.sum(F.when(F.col("topic_ord") == fallback, F.col("score")).otherwise(0.0))
+    best = hits.groupBy("doc_id").agg(F.sum("score").alias("total"), own.alias("own"), F.max(F.struct("score", -F.col("topic_ord"))).alias("b"))
+    rows = docs.select("doc_id").join(best, "doc_id", "left")
+    weak, none = F.col("b.score") < least, F.col("b").isNull() | (F.col("b.score") <= 0)
+    share = lambda c: (F.col(c) + floor) / (F.col("total") + floor * topics)
+    topic = F.when(none | weak, fallback).otherwise(-F.col("b.col2"))
+    sure = F.when(none, 1.0).when(weak, share("own")).otherwise(share("b.score"))
+    return rows.select("doc_id", topic.cast("int").alias("topic_ord"), F.round(sure, 6).alias("confidence"))

@@ -11,34 +11,42 @@ from pyspark.sql import functions as F
 def greedy_windows(messages: DataFrame, size: int = 200, minutes: int = 60, min_messages: int = 5) -> DataFrame:
     """(stream_id, message_id, window_index): a window ends when ``size`` is reached or a message comes
     ``minutes`` or more after its first (0: no time bound); windows under the floor go, the rest are numbered
-    from 0. A stream is read in order in Arrow batches with the open window as only state, so a stream
-    of any length needs bounded memory."""
+    from 0. A stream is read in order in Arrow batches; the open window and the messages that wait for it to reach
+    the floor are the only state, so a stream of any length needs bounded memory and is read once."""
     if size < 1:
         raise ValueError("size must be at least 1")
     span = minutes * 60_000_000 if minutes else np.iinfo(np.int64).max // 2
 
     def scan(batches):
         stream = start = None
-        count = index = 0
+        count = number = 0
+        waiting: list = []  # messages of the open window, from batches before, while it is under the floor
         for pdf in batches:
-            ids, us = pdf["stream_id"].to_numpy(), pdf["us"].to_numpy()
-            out, at = np.empty(len(pdf), np.int64), 0
-            cuts = np.r_[np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)] if len(ids) else []
-            for end in cuts:
+            if not len(pdf):
+                continue
+            ids, us, rows = pdf["stream_id"].to_numpy(), pdf["us"].to_numpy(), pdf[["stream_id", "message_id"]]
+            out, at, first = np.full(len(pdf), -1), 0, 0
+            for end in np.r_[np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)]:
                 if ids[at] != stream:
-                    stream, start, count, index = ids[at], us[at], 0, 0
+                    stream, start, count, number, first = ids[at], us[at], 0, 0, at
+                    waiting.clear()
                 while at < end:
                     to = at + min(end - at, size - count, int(np.searchsorted(us[at:end], start + span)))
-                    out[at:to], count, at = index, count + to - at, to
+                    count, at = count + to - at, to
+                    if count >= min_messages:
+                        out[first:at] = number
+                        while waiting:
+                            yield waiting.pop(0).assign(window_index=number)
                     if at < end:
-                        index, start, count = index + 1, us[at], 0
-            yield pdf[["stream_id", "message_id"]].assign(raw=out)
+                        number += count >= min_messages
+                        start, count, first = us[at], 0, at
+                        waiting.clear()
+            yield rows.assign(window_index=out)[out >= 0]
+            if count < min_messages:
+                waiting.append(rows.iloc[first:])
 
     ordered = messages.select("stream_id", "message_id", "us").repartition("stream_id").sortWithinPartitions("stream_id", "us", F.col("message_id").cast("long"), "message_id")
-    raw = ordered.mapInPandas(scan, "stream_id long, message_id string, raw long")
-    windows = raw.groupBy("stream_id", "raw").agg(F.count("*").alias("n")).where(F.col("n") >= min_messages)
-    windows = windows.withColumn("window_index", F.row_number().over(W.partitionBy("stream_id").orderBy("raw")) - 1)
-    return raw.join(windows, ["stream_id", "raw"]).select("stream_id", "message_id", F.col("window_index").cast("long").alias("window_index"))
+    return ordered.mapInPandas(scan, "stream_id long, message_id string, window_index long")
 
 
 def resolve_cue_ends(cues: DataFrame, max_gap_ms: int = 10_000) -> DataFrame:
@@ -123,21 +131,37 @@ def _short(start: int | None, end: int | None, least: int) -> bool:
     return start is not None and end is not None and end - start < least
 
 
+def _ranked(rows: DataFrame, label: str, h) -> DataFrame:
+    """Adds _h, _rank (from 1, in hash order within the class) and _size of the class. A row's place is its place in
+    a range of hashes after the counted ranges before it, so that a class of any size is dealt out."""
+    rows = rows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
+    counts = rows.groupBy(label, "_b").agg(F.count("*").alias("_n"))  # 4,096 rows a class at most
+    w = W.partitionBy(label)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(label).alias("_l"), F.col("_b").alias("_c"), before.alias("_before"), F.sum("_n").over(w).alias("_size"))
+    near = rows.join(counts, rows[label].eqNullSafe(counts["_l"]) & (rows["_b"] == counts["_c"])).drop("_l", "_c")
+    within = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", "id"))
+    return near.withColumn("_rank", F.col("_before") + within).drop("_before", "_b")
+
+
 def stratified_sample(rows: DataFrame, label: str, per: int = 3, total: int = 50, seed: int = 0) -> DataFrame:
     """At least ``per`` of each class in hash order, the rest of ``total`` filled in hash order over all."""
-    h = F.md5(F.concat_ws(":", F.lit(seed), F.col("id")))
-    rows = rows.withColumn("_h", h).withColumn("_c", F.row_number().over(W.partitionBy(label).orderBy("_h", "id")))
-    return rows.orderBy((F.col("_c") > per).cast("int"), "_h", "id").limit(total).drop("_h", "_c")
+    ranked = _ranked(rows, label, F.md5(F.concat_ws(":", F.lit(seed), F.col("id"))))
+    return ranked.orderBy((F.col("_rank") > per).cast("int"), "_h", "id").limit(total).drop("_h", "_rank", "_size")
 
 
 def stratified_folds(rows: DataFrame, label: str, k: int = 5) -> DataFrame:
     """Adds fold: classes dealt evenly in hash order."""
-    w = W.partitionBy(label).orderBy(F.md5(F.col("id").cast("string")), "id")
-    return rows.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    return _ranked(rows, label, F.md5(F.col("id").cast("string"))).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_rank", "_size")
+
+
+def fold_count(rows: DataFrame, label: str, k: int = 5) -> int:
+    """Folds that every class can fill; fewer than two mean that nothing can be validated."""
+    least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
+    return min(k, least)
 
 
 def stratified_split(rows: DataFrame, label: str, share: float = 0.2) -> DataFrame:
     """Adds is_test: the first share of each class in hash order."""
-    w = W.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(F.md5(F.col("id").cast("string")), "id"))
-    return rows.withColumn("is_test", rank <= F.floor(F.count("*").over(w) * F.lit(share) + F.lit(0.5)))
+    ranked = _ranked(rows, label, F.md5(F.col("id").cast("string")))
+    return ranked.withColumn("is_test", F.col("_rank") <= F.floor(F.col("_size") * F.lit(share) + F.lit(0.5))).drop("_h", "_rank", "_size")

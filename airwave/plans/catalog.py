@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from airwave.functions import privacy, text
-from airwave.operators import evaluation, filters, joins, segment, stats, windows
+from airwave.operators import evaluation, filters, joins, lexicon, segment, stats, windows
 from airwave.plans.testviews import duck, view
 
 _Q: dict = {}
@@ -25,13 +25,13 @@ def register(name: str, sql: str | None = None):
 
 
 def queries():
-    from airwave.plans import lookups, reports  # noqa: F401  register their own
+    from airwave.plans import documents, lookups, models, reports, stories, tables  # noqa: F401  register their own
 
     return dict(_Q)
 
 
 def oracle_sql():
-    from airwave.plans import lookups, reports  # noqa: F401  register their own
+    from airwave.plans import documents, lookups, models, reports, stories, tables  # noqa: F401  register their own
 
     return dict(_SQL)
 
@@ -62,7 +62,8 @@ def _(v):
     return stats.window_sentiment(v("t_messages"), _members(v))
 
 
-@register("window_documents", _WINDOWS + "SELECT stream_id, window_index, string_agg(text, chr(10) ORDER BY us, event_id) AS content, count(*) AS message_count, min(us) AS start_us, max(us) AS end_us, sha256(string_agg(text, chr(10) ORDER BY us, event_id)) AS content_hash FROM k GROUP BY ALL")
+@register("window_documents", _WINDOWS + """SELECT stream_id, window_index, string_agg(text, chr(10) ORDER BY us, event_id) AS content, count(*) AS message_count, min(us) AS start_us, max(us) AS end_us, (max(us) - min(us)) // 1000 AS span_ms,
+ 'Live chat — ' || strftime(make_timestamp(min(us)), '%d %b %H:%M') || ' (' || CAST(count(*) AS VARCHAR) || ' messages)' AS title, sha256(string_agg(text, chr(10) ORDER BY us, event_id)) AS content_hash FROM k GROUP BY ALL""")
 def _(v):
     return stats.window_documents(v("t_messages"), _members(v))
 
@@ -72,11 +73,10 @@ def _(v):
     return filters.window_messages(v("t_messages"), _members(v), 5).select("stream_id", "window_index", "message_id", "rank")
 
 
-@register("stream_rates", _WINDOWS + ", c AS (SELECT stream_id, count(*) AS messages, (max(us) - min(us)) / 60000000.0 AS minutes FROM t_messages GROUP BY 1), n AS (SELECT stream_id, count(DISTINCT window_index) AS windows FROM k GROUP BY 1) SELECT c.stream_id, messages, round(CAST(minutes AS DOUBLE), 4) AS minutes, coalesce(windows, 0) AS windows FROM c LEFT JOIN n USING (stream_id)")
+@register("stream_rates", _WINDOWS + """, c AS (SELECT stream_id, count(*) AS messages, (max(us) - min(us)) / 60000000.0 AS minutes FROM t_messages GROUP BY 1), n AS (SELECT stream_id, count(DISTINCT window_index) AS windows, count(*) AS kept FROM k GROUP BY 1)
+ SELECT c.stream_id, messages, round(CAST(minutes AS DOUBLE), 4) AS minutes, CASE WHEN minutes > 0 THEN round(CAST(messages AS DOUBLE) / minutes, 4) END AS per_minute, coalesce(windows, 0) AS windows, CASE WHEN windows > 0 THEN round(CAST(kept AS DOUBLE) / windows, 4) ELSE 0.0 END AS per_window FROM c LEFT JOIN n USING (stream_id)""")
 def _(v):
-    w = _members(v).groupBy("stream_id").agg(F.countDistinct("window_index").alias("windows"))
-    c = stats.stream_counters(v("t_messages"))
-    return c.join(w, "stream_id", "left").select("stream_id", F.col("message_count").alias("messages"), F.round((F.col("last_us") - F.col("first_us")) / 60_000_000, 4).alias("minutes"), F.coalesce("windows", F.lit(0)).alias("windows"))
+    return stats.stream_rates(v("t_messages"), _members(v))
 
 
 _AIR = "FROM t_segments s JOIN t_messages m ON s.stream_id = m.stream_id AND m.offset_ms >= s.start_ms AND m.offset_ms < s.end_ms AND NOT m.is_spam"
@@ -109,21 +109,24 @@ def _(v):
     return joins.reaction_words(v("t_messages"), v("t_segments"))
 
 
-@register("enrichment_plan", f"WITH c AS (SELECT s.segment_id, count(m.message_id) AS n {_AIR.replace('JOIN', 'LEFT JOIN')} GROUP BY 1) SELECT segment_id, 'headline' AS kind FROM c UNION ALL SELECT segment_id, 'reaction' AS kind FROM c WHERE n >= 5")
+@register("enrichment_plan", f"WITH c AS (SELECT s.segment_id, s.position, count(m.message_id) AS n {_AIR.replace('JOIN', 'LEFT JOIN')} GROUP BY ALL) SELECT segment_id, 'headline' AS kind FROM c WHERE position % 4 <> 0 UNION ALL SELECT segment_id, 'reaction' AS kind FROM c WHERE n >= 5 AND position % 3 <> 0")
 def _(v):
-    c = joins.chat_count_by_segment(v("t_messages"), v("t_segments"))
-    kinds = F.when(F.col("chat_count") >= 5, F.array(F.lit("headline"), F.lit("reaction"))).otherwise(F.array(F.lit("headline")))
-    return c.select("segment_id", F.explode(kinds).alias("kind"))
+    done = v("t_segments").withColumn("enriched_by", F.when(F.col("position") % 4 == 0, "llm").when(F.col("position") % 4 == 1, "rules")).withColumn("chat_summary", F.when(F.col("position") % 3 == 0, "said").when(F.col("position") % 3 == 1, " "))
+    return joins.enrichment_plan(done, joins.chat_count_by_segment(v("t_messages"), v("t_segments")))
 
 
-@register("segment_cards", "SELECT segment_id, end_ms - start_ms AS duration_ms, CAST(start_ms // 1000 // 3600 AS VARCHAR) || ':' || lpad(CAST(start_ms // 1000 // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_ms // 1000 % 60 AS VARCHAR), 2, '0') AS timecode, greatest(start_ms // 1000 - 2, 0) AS link_s FROM t_segments")
+@register("segment_cards", """SELECT segment_id, end_ms - start_ms AS duration_ms, CAST(start_ms // 1000 // 3600 AS VARCHAR) || ':' || lpad(CAST(start_ms // 1000 // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_ms // 1000 % 60 AS VARCHAR), 2, '0') AS timecode, greatest(start_ms // 1000 - 2, 0) AS link_s,
+ CASE WHEN length(d.text) > 600 THEN rtrim(substr(d.text, 1, 600)) || '…' ELSE d.text END AS preview, coalesce(t.slug, 'unknown') AS label, CASE WHEN t.ord IS NULL THEN '#94a3b8' ELSE '#' || lpad(CAST(t.ord * 60000 AS VARCHAR), 6, '0') END AS colour
+ FROM t_segments s JOIN documents d ON d.doc_id = s.stream_id LEFT JOIN t_taxonomy t ON t.ord = s.topic_ord AND t.ord < 12""")
 def _(v):
-    return filters.segment_cards(v("t_segments"))
+    colours = v("t_taxonomy").where("ord < 12").withColumn("colour", F.concat(F.lit("#"), F.lpad((F.col("ord") * 60000).cast("string"), 6, "0")))
+    text_of = v("t_documents").select(F.col("id").alias("stream_id"), F.col("content").alias("text"))
+    return filters.segment_cards(v("t_segments").join(text_of, "stream_id"), colours)
 
 
-@register("segment_listing", "SELECT segment_id, start_ms FROM t_segments WHERE topic_ord = 3 ORDER BY stream_id, start_ms LIMIT 50 OFFSET 10")
+@register("segment_listing", "SELECT segment_id, start_ms, (SELECT count(*) FROM t_segments WHERE topic_ord = 3) AS total FROM t_segments WHERE topic_ord = 3 ORDER BY stream_id, start_ms LIMIT 50 OFFSET 10")
 def _(v):
-    return v("t_segments").where("topic_ord = 3").orderBy("stream_id", "start_ms").offset(10).limit(50).select("segment_id", "start_ms")
+    return filters.segment_listing(v("t_segments"), topic=3, limit=50, offset=10).select("segment_id", "start_ms", "total")
 
 
 @register("explore", "SELECT id, sentiment_confidence, (SELECT count(*) FROM t_documents WHERE sentiment = 'positive' AND sentiment_confidence >= 0.2) AS total FROM t_documents WHERE sentiment = 'positive' AND sentiment_confidence >= 0.2 ORDER BY sentiment_confidence DESC, id LIMIT 20 OFFSET 20")
@@ -141,10 +144,11 @@ def _(v):
     return filters.unclear(v("t_messages")).select("message_id", "sentiment", "unclear")
 
 
-@register("upsert_messages", "SELECT stream_id, message_id FROM t_messages WHERE event_id % 3 <> 0 OR event_id % 2 = 0")
+@register("upsert_messages", "SELECT stream_id, message_id, count(*) AS n FROM t_messages GROUP BY ALL")
 def _(v):
     m = v("t_messages")
-    return filters.upsert_messages(m.where("event_id % 3 <> 0"), m.where("event_id % 2 = 0").union(m.where("event_id % 4 = 0"))).select("stream_id", "message_id")
+    both = filters.upsert_messages(m.where("event_id % 3 <> 0"), m.where("event_id % 2 = 0 OR event_id % 3 = 0").union(m.where("event_id % 4 = 0")))
+    return both.groupBy("stream_id", "message_id").agg(F.count("*").alias("n"))
 
 
 @register("upsert_streams", "WITH s AS (SELECT DISTINCT stream_id FROM t_messages) SELECT stream_id, CASE WHEN stream_id % 2 = 0 AND stream_id % 4 <> 0 THEN 'new' WHEN stream_id % 3 <> 0 THEN 'old' END AS title, CASE WHEN stream_id % 2 = 0 THEN 'poll' ELSE 'file' END AS collector FROM s WHERE stream_id % 3 <> 0 OR stream_id % 2 = 0")
@@ -174,9 +178,11 @@ def _(v):
 
 @register("validate_labelled", """WITH r AS (SELECT *, min(id) OVER (PARTITION BY title) AS ft, min(id) OVER (PARTITION BY content) AS fc FROM t_documents)
 SELECT id, 'empty title' AS problem, CAST(NULL AS BIGINT) AS first_id FROM r WHERE trim(title) = '' UNION ALL SELECT id, 'short content', NULL FROM r WHERE length(content) < 40
+UNION ALL SELECT id, 'unknown topic', NULL FROM r WHERE topic_ord > 12 UNION ALL SELECT id, 'unknown sentiment', NULL FROM r WHERE sentiment = 'neutral'
 UNION ALL SELECT id, 'duplicate title', ft FROM r WHERE id <> ft UNION ALL SELECT id, 'duplicate content', fc FROM r WHERE id <> fc""")
 def _(v):
-    return filters.validate_labelled(v("t_documents").select("id", "title", "content"))
+    rows = v("t_documents").select("id", "title", "content", F.col("topic_ord").alias("topic"), "sentiment")
+    return filters.validate_labelled(rows, [*range(13)], ["positive", "negative"])
 
 
 @register("dashboard_totals", """SELECT d.*, m.*, t.topic_ord AS top_topic, t.n AS top_count FROM
@@ -192,9 +198,9 @@ def _(v):
     return stats.zero_fill(v("t_taxonomy"), v("t_documents"), "topic_ord")
 
 
-@register("by_sentiment", "SELECT sentiment, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM t_documents), 1)::DOUBLE AS percentage FROM t_documents GROUP BY 1")
+@register("by_sentiment", "SELECT CAST(s.ord AS INT) AS ord, s.sentiment, count(d.id) AS n, coalesce(round(count(d.id) * 100.0 / (SELECT count(*) FROM t_documents WHERE sentiment <> 'neutral'), 1), 0)::DOUBLE AS percentage FROM (VALUES (0, 'positive'), (1, 'neutral'), (2, 'negative')) s(ord, sentiment) LEFT JOIN t_documents d ON d.sentiment = s.sentiment AND d.sentiment <> 'neutral' GROUP BY ALL")
 def _(v):
-    return stats.by_sentiment(v("t_documents"))
+    return stats.by_sentiment(v("t_documents").where("sentiment <> 'neutral'"))
 
 
 @register("topic_sentiment", "SELECT topic_ord, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative, count(*) AS total FROM t_documents GROUP BY 1")
@@ -209,9 +215,10 @@ for _name, _format in (("daily", "%Y-%m-%d"), ("weekly", "%Y-W%W"), ("monthly",
         return stats.trend(v("t_documents"), name)
 
 
-@register("keyword_cloud", "SELECT token AS word, count(*) AS count, CAST(max(length(token)) AS DOUBLE) AS score FROM (SELECT DISTINCT doc_id, token FROM t_tokens) GROUP BY 1 ORDER BY count DESC, word LIMIT 40")
+@register("keyword_cloud", "SELECT token AS word, count(*) AS count, CAST(max(pos) AS DOUBLE) AS score FROM (SELECT doc_id, token, max(pos) AS pos FROM t_tokens GROUP BY ALL) JOIN t_documents ON id = doc_id WHERE topic_ord = 4 GROUP BY 1 ORDER BY count DESC, word LIMIT 40")
 def _(v):
-    return stats.keyword_cloud(v("t_tokens").select("doc_id", F.col("token").alias("word"), F.length("token").cast("double").alias("score")).distinct())
+    words = v("t_tokens").groupBy("doc_id", F.col("token").alias("word")).agg(F.max("pos").cast("double").alias("score"))
+    return stats.keyword_cloud(words.join(v("t_documents").select(F.col("id").alias("doc_id"), "topic_ord"), "doc_id"), topic=4)
 
 
 @register("stream_counters", "SELECT stream_id, count(*) AS message_count, min(us) AS first_us, max(us) AS last_us FROM t_messages GROUP BY 1")
@@ -224,9 +231,10 @@ def _(v):
     return stats.stream_counters(v("t_messages")).orderBy(F.desc("message_count"), "stream_id").limit(25).select("stream_id", "message_count")
 
 
-@register("ingest_report", "SELECT stream_id, count(*) AS messages, count(*) FILTER (NOT is_spam) AS scored, count(*) FILTER (is_spam) AS skipped FROM t_messages GROUP BY ROLLUP (stream_id)")
+@register("ingest_report", _WINDOWS + """, ws AS (SELECT stream_id, count(DISTINCT window_index) AS windows FROM k GROUP BY 1), p AS (SELECT stream_id, count(*) AS messages, count(*) FILTER (NOT is_spam) AS scored, count(*) FILTER (is_spam) AS skipped FROM t_messages GROUP BY 1)
+ SELECT p.stream_id, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(scored) AS BIGINT) AS scored, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(sum(coalesce(windows, 0)) AS BIGINT) AS windows, count(*) AS streams FROM p LEFT JOIN ws ON p.stream_id = ws.stream_id GROUP BY ROLLUP (p.stream_id)""")
 def _(v):
-    return stats.ingest_report(v("t_messages"))
+    return stats.ingest_report(v("t_messages"), _members(v))
 
 
 @register("fit_idf", "SELECT token AS term, count(DISTINCT doc_id) AS df FROM t_tokens GROUP BY 1")
@@ -234,21 +242,71 @@ def _(v):
     return stats.fit_idf(v("t_tokens"))
 
 
-@register("tfidf_keywords", """WITH t AS (SELECT * FROM t_tokens WHERE length(token) >= 2), tf AS (SELECT doc_id, token, count(*) AS occ FROM t GROUP BY ALL), per AS (SELECT doc_id, sum(occ) AS total FROM tf GROUP BY 1), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM per),
-s AS (SELECT tf.doc_id, tf.token, round(CAST(occ AS DOUBLE) / total * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1), 6) AS score FROM tf JOIN df USING (token) JOIN per ON tf.doc_id = per.doc_id, n), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token) AS rank FROM s) SELECT doc_id, token, score, rank FROM r WHERE rank <= 10""")
+def _candidates(v):
+    """(doc_id, tokens, title_tokens) with the tokens that may become keywords."""
+    t = lambda c: F.filter(text.tokenize(F.col(c)), lambda x: F.length(x) >= 2)
+    return v("t_documents").select(F.col("id").alias("doc_id"), t("content").alias("tokens"), t("title").alias("title_tokens"))
+
+
+_TFIDF = """WITH t AS (SELECT doc_id, token FROM t_tokens WHERE length(token) >= 2), h AS (SELECT DISTINCT id AS doc_id, lower(unnest(regexp_split_to_array(title, '[^\\p{L}]+'))) AS token FROM t_documents),
+tf AS (SELECT doc_id, token, count(*) AS occ FROM t GROUP BY ALL), per AS (SELECT doc_id, sum(occ) AS total FROM tf GROUP BY 1), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM t_documents),
+s AS (SELECT tf.doc_id, tf.token, round(CAST(occ AS DOUBLE) / total * {weight} * CASE WHEN h.token IS NULL THEN 1.0 ELSE CAST(1.6 AS DOUBLE) END, 6) AS score FROM tf JOIN df USING (token) JOIN per ON tf.doc_id = per.doc_id LEFT JOIN h ON h.doc_id = tf.doc_id AND h.token = tf.token, n),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token) AS rank FROM s) """
+_FITTED = _TFIDF.replace("{weight}", "(ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1)")
+
+
+def _keywords(v, k=10):
+    idf = stats.fit_idf(v("t_tokens").where("length(token) >= 2"))
+    return stats.tfidf_keywords(_candidates(v), idf, v("t_documents").count(), k)
+
+
+@register("tfidf_keywords", _FITTED + "SELECT doc_id, token, score, rank FROM r WHERE rank <= 10")
 def _(v):
-    return stats.tfidf_keywords(v("t_tokens")).select("doc_id", "token", "score", "rank")
+    return _keywords(v).select("doc_id", "token", "score", "rank")
 
 
-@register("gazetteer_topic", """WITH h AS (SELECT doc_id, topic_ord, sum(weight) AS score FROM t_tokens JOIN t_terms ON token = term GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic_ord) AS r, sum(score) OVER (PARTITION BY doc_id) AS total FROM h)
-SELECT d.doc_id, CAST(CASE WHEN b.score IS NULL OR b.score < 0.9 THEN 14 ELSE b.topic_ord END AS INT) AS topic_ord, round(coalesce((b.score + 0.02) / (b.total + 0.3), 1.0), 6) AS confidence FROM (SELECT DISTINCT doc_id FROM t_tokens) d LEFT JOIN b ON d.doc_id = b.doc_id AND b.r = 1""")
+@register("top_keywords_per_doc", _TFIDF.replace("{weight}", "(1 + least(length(tf.token), 12) / CAST(12 AS DOUBLE))") + "SELECT doc_id, token, score, rank FROM r WHERE rank <= 3")
 def _(v):
-    return stats.gazetteer_topic(v("t_tokens"), v("t_terms"))
+    return stats.tfidf_keywords(_candidates(v), None, k=3).select("doc_id", "token", "score", "rank")
+
+
+def _matches(v):
+    return lexicon.term_matches(v("t_tokens"), v("t_terms"))
 
 
-@register("lexicon_sentiment", "WITH h AS (SELECT doc_id, round(sum(polarity), 6) AS total FROM t_tokens JOIN t_terms ON token = term GROUP BY 1) SELECT doc_id, total, CASE WHEN abs(total) < 0.35 THEN 'neutral' WHEN total > 0 THEN 'positive' ELSE 'negative' END AS sentiment FROM h")
+@register("gazetteer_topic", """WITH h AS (SELECT doc_id, topic_ord, sum(weight) AS score FROM t_tokens JOIN t_terms ON token = term GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic_ord) AS r, sum(score) OVER (PARTITION BY doc_id) AS total, coalesce(sum(CASE WHEN topic_ord = 5 THEN score END) OVER (PARTITION BY doc_id), 0) AS own FROM h)
+SELECT d.id AS doc_id, CAST(CASE WHEN b.score IS NULL OR b.score < 30.9 THEN 5 ELSE b.topic_ord END AS INT) AS topic_ord, round(CASE WHEN b.score IS NULL THEN 1.0 WHEN b.score < 30.9 THEN (b.own + 0.02) / (b.total + 0.3) ELSE (b.score + 0.02) / (b.total + 0.3) END, 6) AS confidence FROM t_documents d LEFT JOIN b ON d.id = b.doc_id AND b.r = 1""")
 def _(v):
-    return stats.lexicon_sentiment(v("t_tokens"), v("t_terms"))
+    docs = v("t_documents").select(F.col("id").alias("doc_id"))
+    return stats.gazetteer_topic(docs, _matches(v), v("t_terms"), least=30.9, fallback=5)
+
+
+_FACTOR = "CASE token " + " ".join(f"WHEN '{w}' THEN {x}" for w, x in lexicon.MODIFIERS.items()) + " ELSE 1.0 END"
+_NO = ", ".join(f"'{w}'" for w in lexicon.NEGATORS)
+#: the test view's terms are single words, so that no token lies inside a match
+_EVIDENCE = f"""WITH f AS (SELECT t.doc_id, t.pos, t.token, m.term, m.polarity AS base, CAST({_FACTOR} AS DOUBLE) AS factor FROM t_tokens t LEFT JOIN t_terms m ON t.token = m.term),
+g AS (SELECT *, count(term) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nth, max(CASE WHEN term IS NULL AND token IN ({_NO}) THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS no_at, coalesce(lead(factor) OVER (PARTITION BY doc_id ORDER BY pos), 1) AS after FROM f),
+p AS (SELECT *, exp(sum(CASE WHEN term IS NULL THEN ln(factor) ELSE 0 END) OVER (PARTITION BY doc_id, nth ORDER BY pos)) * after AS m FROM g),
+e AS (SELECT doc_id, pos, term, base, coalesce(pos <= no_at + 3, false) AS negated, round(m, 6) AS multiplier, round(base * round(m, 6) * CASE WHEN coalesce(pos <= no_at + 3, false) THEN CAST(-0.8 AS DOUBLE) ELSE 1 END, 6) AS score FROM p WHERE term IS NOT NULL) """
+
+
+def _evidence(v):
+    return lexicon.sentiment_evidence(v("t_tokens"), _matches(v), v("t_terms"))
+
+
+@register("sentiment_evidence", _EVIDENCE + "SELECT * FROM e")
+def _(v):
+    return _evidence(v)
+
+
+@register("lexicon_sentiment", _EVIDENCE + """, t AS (SELECT doc_id, round(sum(score), 6) AS total FROM e GROUP BY 1), w AS (SELECT doc_id, count(*) AS words FROM t_tokens GROUP BY 1),
+d AS (SELECT id AS doc_id, coalesce(words, 0) AS words, coalesce(total, 0) AS total FROM t_documents LEFT JOIN w ON w.doc_id = id LEFT JOIN t ON t.doc_id = id),
+l AS (SELECT *, 1.6 * total AS a, 1.6 * 1.4 * (0.35 - abs(total)) AS b, -1.6 * total AS c, greatest(1.6 * total, 1.6 * 1.4 * (0.35 - abs(total)), -1.6 * total) AS z FROM d),
+x AS (SELECT doc_id, total, CASE WHEN abs(total) < 0.35 THEN 'neutral' WHEN total > 0 THEN 'positive' ELSE 'negative' END AS sentiment, CASE WHEN words > 0 THEN round(exp(a - z) / (exp(a - z) + exp(b - z) + exp(c - z)), 6) ELSE 0 END AS positive, CASE WHEN words > 0 THEN round(exp(b - z) / (exp(a - z) + exp(b - z) + exp(c - z)), 6) ELSE 1 END AS neutral, CASE WHEN words > 0 THEN round(exp(c - z) / (exp(a - z) + exp(b - z) + exp(c - z)), 6) ELSE 0 END AS negative FROM l)
+SELECT *, CASE sentiment WHEN 'positive' THEN positive WHEN 'neutral' THEN neutral ELSE negative END AS confidence FROM x""")
+def _(v):
+    docs = v("t_documents").select(F.col("id").alias("doc_id"), F.size(text.tokenize(F.col("content"))).alias("words"))
+    return lexicon.lexicon_sentiment(docs, _evidence(v))
 
 
 _ENDS = """WITH e AS (SELECT *, greatest(least(least(coalesce(lead(start_ms) OVER (PARTITION BY video_id ORDER BY start_ms, cue_idx), start_ms + greatest(duration_ms, 1000)), start_ms + duration_ms), start_ms + 10000), start_ms) AS end_ms FROM t_cues) """
@@ -263,8 +321,10 @@ def _(v):
     return _cues(v).select("video_id", "cue_idx", "start_ms", "end_ms")
 
 
-_BLOCKS = _ENDS + """, o AS (SELECT *, unnest(range(start_ms // 30000, (end_ms - 1) // 30000 + 1)) AS block FROM e WHERE end_ms > start_ms),
-b AS (SELECT video_id, block, coalesce(string_agg(text, '' ORDER BY cue_idx) FILTER (NOT non_speech), '') AS text, CAST(sum(CASE WHEN non_speech THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS non_speech_ms FROM o GROUP BY ALL) """
+_BLOCKS = _ENDS + """, o AS (SELECT *, unnest(range(start_ms // 30000, (end_ms - 1) // 30000 + 1)) AS block FROM e),
+said AS (SELECT video_id, block, coalesce(string_agg(text, '' ORDER BY cue_idx) FILTER (NOT non_speech), '') AS text, CAST(sum(CASE WHEN non_speech THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS non_speech_ms FROM o GROUP BY ALL),
+fin AS (SELECT video_id, max(end_ms) AS fin FROM e GROUP BY 1 HAVING max(end_ms) > 0), grid AS (SELECT video_id, fin, unnest(range(0, (fin - 1) // 30000 + 1)) AS block FROM fin),
+b AS (SELECT g.video_id, g.block, g.block * 30000 AS start_ms, least(g.block * 30000 + 30000, fin) AS end_ms, coalesce(s.text, '') AS text, CAST(length(coalesce(s.text, '')) AS INT) AS chars, coalesce(s.non_speech_ms, 0) AS non_speech_ms, length(coalesce(s.text, '')) >= 40 AS usable FROM grid g LEFT JOIN said s ON s.video_id = g.video_id AND s.block = g.block) """
 
 
 @register("cue_block_overlap", _BLOCKS + "SELECT video_id, cue_idx, block FROM o")
@@ -272,7 +332,7 @@ def _(v):
     return joins.cue_block_overlap(_cues(v)).select("video_id", "cue_idx", "block")
 
 
-@register("build_blocks", _BLOCKS + "SELECT video_id, block, text, CAST(length(text) AS INT) AS chars, non_speech_ms, length(text) >= 40 AS usable FROM b")
+@register("build_blocks", _BLOCKS + "SELECT * FROM b")
 def _(v):
     return segment.build_blocks(_cues(v))
 
@@ -296,30 +356,40 @@ def _terms(v):
     return v("t_tokens").where("length(token) > 1").select(F.col("doc_id").alias("video_id"), F.floor(F.col("pos") / 20).alias("block"), F.col("token").alias("term"))
 
 
-_COHESION = """WITH c AS (SELECT doc_id AS video_id, pos // 20 AS block, token AS term, count(*) AS n FROM t_tokens WHERE length(token) > 1 GROUP BY ALL), z AS (SELECT video_id, max(block) AS last FROM c GROUP BY 1),
-s AS (SELECT c.video_id, term, n, block + k AS gap, 1 AS side FROM c, (VALUES (1), (2), (3)) x(k) UNION ALL SELECT c.video_id, term, n, block - k AS gap, 0 AS side FROM c, (VALUES (0), (1), (2)) x(k)),
-f AS (SELECT s.video_id, gap, term, sum(n * side) AS l, sum(n * (1 - side)) AS r FROM s JOIN z ON s.video_id = z.video_id WHERE gap >= 1 AND gap <= last GROUP BY ALL),
-h AS (SELECT video_id, gap, round(CASE WHEN sum(l * l) > 0 AND sum(r * r) > 0 THEN CAST(sum(l * r) AS DOUBLE) / sqrt(CAST(sum(l * l) AS DOUBLE) * CAST(sum(r * r) AS DOUBLE)) ELSE 0 END, 6) AS similarity FROM f GROUP BY ALL) """
+def _grid(v):
+    last = v("t_tokens").groupBy(F.col("doc_id").alias("video_id")).agg(F.max(F.floor(F.col("pos") / 20)).alias("_last"))
+    return last.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("block"))
+
+
+#: similarities h of counts c (video_id, block, term, n) over the gaps gr (video_id, gap)
+_SIMILAR = """s AS (SELECT video_id, term, n, block + k AS gap, 1 AS side FROM c, (VALUES (1), (2), (3)) x(k) UNION ALL SELECT video_id, term, n, block - k AS gap, 0 AS side FROM c, (VALUES (0), (1), (2)) x(k)),
+f AS (SELECT video_id, gap, term, sum(n * side) AS l, sum(n * (1 - side)) AS r FROM s GROUP BY ALL),
+y AS (SELECT video_id, gap, round(CASE WHEN sum(l * l) > 0 AND sum(r * r) > 0 THEN CAST(sum(l * r) AS DOUBLE) / sqrt(CAST(sum(l * l) AS DOUBLE) * CAST(sum(r * r) AS DOUBLE)) ELSE 0 END, 6) AS similarity FROM f GROUP BY ALL),
+h AS (SELECT gr.video_id, gr.gap, CASE WHEN gr.gap = 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(y.similarity, 0) END AS similarity FROM gr LEFT JOIN y ON y.video_id = gr.video_id AND y.gap = gr.gap) """
+_COHESION = """WITH c AS (SELECT doc_id AS video_id, pos // 20 AS block, token AS term, count(*) AS n FROM t_tokens WHERE length(token) > 1 GROUP BY ALL), z AS (SELECT doc_id AS video_id, max(pos // 20) AS last FROM t_tokens GROUP BY 1),
+gr AS (SELECT video_id, unnest(range(0, last + 1)) AS gap FROM z), """ + _SIMILAR
 
 
 @register("cohesion", _COHESION + "SELECT video_id, gap, similarity FROM h")
 def _(v):
-    return segment.cohesion(_terms(v))
+    return segment.cohesion(_grid(v), _terms(v))
 
 
-_DEPTH = _COHESION + """, q AS (SELECT *, lag(similarity) OVER w AS lg, lead(similarity) OVER w AS ld FROM h WINDOW w AS (PARTITION BY video_id ORDER BY gap)),
+_DEEP = """q AS (SELECT *, lag(similarity) OVER w AS lg, lead(similarity) OVER w AS ld FROM h WINDOW w AS (PARTITION BY video_id ORDER BY gap)),
 g AS (SELECT *, sum(CASE WHEN lg < similarity THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY gap) AS lb, sum(CASE WHEN ld < similarity THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY gap DESC) AS rb FROM q),
-d AS (SELECT video_id, gap, round(CASE WHEN lg IS NULL OR ld IS NULL THEN 0 ELSE first_value(similarity) OVER (PARTITION BY video_id, lb ORDER BY gap) + first_value(similarity) OVER (PARTITION BY video_id, rb ORDER BY gap DESC) - 2 * similarity END, 6) AS depth FROM g) """
+d AS (SELECT video_id, gap, round(CASE WHEN lg IS NULL OR ld IS NULL THEN 0 ELSE first_value(similarity) OVER (PARTITION BY video_id, lb ORDER BY gap) + first_value(similarity) OVER (PARTITION BY video_id, rb ORDER BY gap DESC) - 2 * similarity END, 6) AS depth FROM g),
+cutoff AS (SELECT video_id, avg(depth) + 0.5 * stddev_pop(depth) AS cut FROM d WHERE depth > 0 GROUP BY 1), dips AS (SELECT d.video_id, gap, depth FROM d JOIN cutoff l ON d.video_id = l.video_id WHERE depth >= cut - 1e-9 AND depth > 0 AND gap > 0) """
+_DEPTH = _COHESION + ", " + _DEEP
 
 
 @register("depth_scores", _DEPTH + "SELECT video_id, gap, depth FROM d")
 def _(v):
-    return windows.depth_scores(segment.cohesion(_terms(v))).select("video_id", "gap", F.round("depth", 6).alias("depth"))
+    return windows.depth_scores(segment.cohesion(_grid(v), _terms(v))).select("video_id", "gap", F.round("depth", 6).alias("depth"))
 
 
-@register("depth_cutoff", _DEPTH + ", l AS (SELECT video_id, avg(depth) + 0.5 * stddev_pop(depth) AS cut FROM d WHERE depth > 0 GROUP BY 1) SELECT d.video_id, gap, depth FROM d JOIN l ON d.video_id = l.video_id WHERE depth >= cut - 1e-9 AND depth > 0")
+@register("depth_cutoff", _DEPTH + "SELECT video_id, gap, depth FROM dips")
 def _(v):
-    d = windows.depth_scores(segment.cohesion(_terms(v))).withColumn("depth", F.round("depth", 6)).withColumn("depth", F.col("depth"))
+    d = windows.depth_scores(segment.cohesion(_grid(v), _terms(v))).withColumn("depth", F.round("depth", 6))
     return windows.depth_cutoff(d).select("video_id", "gap", "depth")
 
 
@@ -347,19 +417,6 @@ def _(v):
     return windows.majority(v("t_messages").select("stream_id", (F.col("event_id") % 7).cast("int").alias("label")), "stream_id", "label")
 
 
-@register("merge_short_spans")
-def _(v):
-    w = W.partitionBy("stream_id").orderBy("offset_ms")
-    spans = v("t_messages").select("stream_id", "offset_ms").distinct().select(F.col("stream_id").alias("video_id"), F.col("offset_ms").alias("start_ms"), F.lead("offset_ms").over(w).alias("end_ms"))
-    return windows.merge_short_spans(spans.where("end_ms is not null"), 3 * joins.DAY)
-
-
-@register("segment_programmes")
-def _(v):
-    terms = lambda b: b.select("video_id", "block", F.explode(text.tokenize(F.col("text"))).alias("term")).where("length(term) > 1")
-    return segment.segment_programmes(_cues(v), terms, lambda b: segment.block_topics(b, v("t_terms")))
-
-
 @register("stratified_sample", "WITH h AS (SELECT *, md5('0:' || CAST(id AS VARCHAR)) AS h FROM t_predictions), c AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY h, id) AS c FROM h) SELECT id, y_true FROM c ORDER BY CASE WHEN c > 3 THEN 1 ELSE 0 END, h, id LIMIT 50")
 def _(v):
     return windows.stratified_sample(v("t_predictions"), "y_true").select("id", "y_true")
@@ -383,18 +440,26 @@ def _(v):
     return evaluation.confusion_matrix(v("t_predictions"), "y_true", "y_a", [0, 1])
 
 
-@register("classification_metrics", _CONFUSION + """, a AS (SELECT actual AS label, CAST(sum(n) AS BIGINT) AS support, sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS tp FROM m GROUP BY 1), p AS (SELECT predicted AS label, sum(n) AS guessed FROM m GROUP BY 1), x AS (SELECT a.label, support, CASE WHEN guessed > 0 THEN CAST(tp AS DOUBLE) / guessed ELSE 0 END AS pr, CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0 END AS re FROM a JOIN p ON a.label = p.label)
-SELECT label, support, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM x""")
+_METRICS = """, a AS (SELECT actual AS label, sum(n) AS support, sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS tp FROM m GROUP BY 1), p AS (SELECT predicted AS label, sum(n) AS guessed FROM m GROUP BY 1), x AS (SELECT a.label, support, tp, CASE WHEN guessed > 0 THEN CAST(tp AS DOUBLE) / guessed ELSE 0 END AS pr, CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0 END AS re FROM a JOIN p ON a.label = p.label),
+ y AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f FROM x)
+SELECT CAST(label AS VARCHAR) AS label, CAST(support AS BIGINT) AS support, round(pr, 6) AS precision, round(re, 6) AS recall, round(f, 6) AS f1 FROM y
+UNION ALL SELECT 'accuracy', CAST(sum(support) AS BIGINT), NULL, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6), NULL FROM y
+UNION ALL SELECT 'macro', CAST(sum(support) AS BIGINT), round(avg(pr), 6), round(avg(re), 6), round(avg(f), 6) FROM y
+UNION ALL SELECT 'weighted', CAST(sum(support) AS BIGINT), round(sum(pr * support) / sum(support), 6), round(sum(re * support) / sum(support), 6), round(sum(f * support) / sum(support), 6) FROM y"""
+
+
+@register("classification_metrics", _CONFUSION + _METRICS)
 def _(v):
     return evaluation.classification_metrics(evaluation.confusion_matrix(v("t_predictions"), "y_true", "y_a", [0, 1]))
 
 
-@register("model_leaderboard", """WITH u AS (SELECT 'a' AS model, y_true AS actual, y_a AS predicted FROM t_predictions UNION ALL SELECT 'b', y_true, y_b FROM t_predictions), l AS (SELECT model, actual AS label, count(*) AS support, count(*) FILTER (actual = predicted) AS tp FROM u GROUP BY ALL), p AS (SELECT model, predicted AS label, count(*) AS guessed FROM u GROUP BY ALL)
-SELECT l.model, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy, round(avg(2.0 * tp / (support + coalesce(guessed, 0)))::DOUBLE, 6) AS macro_f1, CAST(sum(support) AS BIGINT) AS rows FROM l LEFT JOIN p ON l.model = p.model AND l.label = p.label GROUP BY 1""")
+@register("model_leaderboard", """WITH u AS (SELECT 'a' AS model, y_true AS actual, y_a AS predicted FROM t_predictions UNION ALL SELECT 'b', y_true, y_b FROM t_predictions), l AS (SELECT model, actual AS label, count(*) AS support, count(*) FILTER (actual = predicted) AS tp FROM u GROUP BY ALL), p AS (SELECT model, predicted AS label, count(*) AS guessed FROM u GROUP BY ALL),
+ b AS (SELECT l.model, CAST(sum(tp) AS DOUBLE) / sum(support) AS acc, avg(2.0 * tp / (support + coalesce(guessed, 0)))::DOUBLE AS f, CAST(sum(support) AS BIGINT) AS rows FROM l LEFT JOIN p ON l.model = p.model AND l.label = p.label GROUP BY 1)
+SELECT model, round(acc, 6) AS accuracy, round(f, 6) AS macro_f1, rows, CAST(0.5 AS DOUBLE) AS baseline, round(acc - 0.5, 6) AS gain, model = 'b' AS active FROM b""")
 def _(v):
     t = v("t_predictions")
     one = lambda m: t.select(F.lit(m).alias("model"), F.col("y_true").alias("actual"), F.col(f"y_{m}").alias("predicted"))
-    return evaluation.leaderboard(one("a").unionByName(one("b")))
+    return evaluation.leaderboard(one("a").unionByName(one("b")), 2, active="b")
 
 
 _COMP = "SELECT count(*) FILTER (y_a = y_true AND y_b = y_true) AS both, count(*) FILTER (y_a = y_true AND y_b <> y_true) AS only_a, count(*) FILTER (y_a <> y_true AND y_b = y_true) AS only_b, count(*) FILTER (y_a <> y_true AND y_b <> y_true) AS neither, round(CAST(count(*) FILTER (y_a = y_true OR y_b = y_true) AS DOUBLE) / count(*), 6) AS ceiling FROM t_predictions"
@@ -405,17 +470,23 @@ def _(v):
     return evaluation.complementarity(v("t_predictions"))
 
 
-@register("mcnemar", f"WITH c AS ({_COMP}) SELECT only_a, only_b, CASE WHEN only_a + only_b > 0 THEN round(pow(abs(only_a - only_b) - 1, 2) / (only_a + only_b), 6) ELSE 0.0 END AS statistic FROM c")
+#: fixed values: coefficients of a published polynomial for the complementary error function (error below 2e-7)
+_ERFC = "exp(-z * z) * (0.254829592 * u - 0.284496736 * pow(u, 2) + 1.421413741 * pow(u, 3) - 1.453152027 * pow(u, 4) + 1.061405429 * pow(u, 5))"
+
+
+@register("mcnemar", f"WITH c AS ({_COMP}), s AS (SELECT only_a, only_b, CASE WHEN only_a + only_b > 0 THEN pow(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b) ELSE 0.0 END AS x FROM c), z AS (SELECT *, sqrt(x / 2) AS z, 1 / (1 + 0.3275911 * sqrt(x / 2)) AS u FROM s) SELECT only_a, only_b, round(x, 6) AS statistic, round({_ERFC}, 6) AS p_value FROM z")
 def _(v):
     return evaluation.mcnemar(v("t_predictions"))
 
 
-@register("confidence_bands", "SELECT CAST(CASE WHEN confidence_a < 0.4 THEN 0 WHEN confidence_a < 0.6 THEN 1 WHEN confidence_a < 0.8 THEN 2 ELSE 3 END AS INT) AS band, count(*) AS n, round(avg(CASE WHEN y_a = y_true THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM t_predictions GROUP BY 1")
+@register("confidence_bands", """WITH b AS (SELECT CAST(CASE WHEN confidence_a < 0.4 THEN 0 WHEN confidence_a < 0.6 THEN 1 WHEN confidence_a < 0.8 THEN 2 ELSE 3 END AS INT) AS band, count(*) AS n, count(*) FILTER (y_a = y_true) AS k FROM t_predictions GROUP BY 1)
+ SELECT band, n, round(CAST(k AS DOUBLE) / n, 6) AS accuracy, round(CAST(n AS DOUBLE) / sum(n) OVER (), 6) AS share, round(CAST(sum(n) OVER w AS DOUBLE) / sum(n) OVER (), 6) AS coverage, round(CAST(sum(k) OVER w AS DOUBLE) / sum(n) OVER w, 6) AS kept_accuracy FROM b WINDOW w AS (ORDER BY band DESC)""")
 def _(v):
     return evaluation.confidence_bands(v("t_predictions"))
 
 
-@register("label_distribution", "WITH t AS (SELECT y_true AS label, count(*) AS actual FROM t_predictions GROUP BY 1), p AS (SELECT y_a AS label, count(*) AS predicted FROM t_predictions GROUP BY 1) SELECT coalesce(t.label, p.label) AS label, coalesce(actual, 0) AS actual, coalesce(predicted, 0) AS predicted FROM t FULL JOIN p ON t.label = p.label")
+@register("label_distribution", """WITH t AS (SELECT y_true AS label, count(*) AS actual FROM t_predictions GROUP BY 1), p AS (SELECT y_a AS label, count(*) AS predicted FROM t_predictions GROUP BY 1), j AS (SELECT coalesce(t.label, p.label) AS label, coalesce(actual, 0) AS actual, coalesce(predicted, 0) AS predicted FROM t FULL JOIN p ON t.label = p.label)
+ SELECT *, count(*) FILTER (predicted > 0) OVER () AS distinct_predicted, count(*) FILTER (predicted > 0) OVER () <= greatest(1, count(*) FILTER (actual > 0) OVER () // 3) AS collapsed FROM j""")
 def _(v):
     return evaluation.label_distribution(v("t_predictions"))
 
@@ -428,20 +499,35 @@ def _(v):
     return evaluation.blend(t, 0.85)
 
 
-_HANDLE = "@([A-Za-z0-9_.]{3,})"
+_HANDLE = "@([A-Za-z0-9_.\\-]{3,})"
+_D = "substring(sha256('airwave|' || {}), 1, 8)"
+_NAMED = "CASE WHEN event_id % 3 = 0 THEN 'Some Name-' || CAST(stream_id AS VARCHAR) WHEN event_id % 3 = 1 THEN author END"
+
 
+def _named(v):
+    """Messages whose authors are handles, plain names and nobody."""
+    return v("t_messages").withColumn("author", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Some Name-"), F.col("stream_id").cast("string"))).when(F.col("event_id") % 3 == 1, F.col("author")))
 
-@register("pseudonymise", "SELECT message_id, '@u_' || substring(sha256('airwave' || substring(author, 2)), 1, 8) AS author, regexp_replace(text, '@user[0-9]+', '@u_' || substring(sha256('airwave' || regexp_extract(text, '@(user[0-9]+)', 1)), 1, 8)) AS text FROM t_messages")
+
+@register("pseudonymise", f"SELECT message_id, 'viewer #' || {_D.format(_NAMED)} AS author, regexp_replace(text, '@user[0-9]+', '@viewer-' || {_D.format("regexp_extract(text, '(@user[0-9]+)', 1)")}) AS text FROM t_messages")
 def _(v):
-    return privacy.pseudonymise(v("t_messages"), SALT).select("message_id", "author", "text")
+    return privacy.pseudonymise(_named(v), SALT).select("message_id", "author", "text")
 
 
-@register("anonymise_report", f"WITH h AS (SELECT regexp_extract_all(text, '{_HANDLE}', 1) AS h FROM t_messages) SELECT count(*) FILTER (len(h) > 0) AS rows, CAST(sum(len(h)) AS BIGINT) AS mentions, (SELECT count(DISTINCT x) FROM (SELECT unnest(h) AS x FROM h)) AS handles FROM h")
+@register("pseudonymise_documents", f"SELECT stream_id, count(*) AS n, string_agg(regexp_replace(text, '@user[0-9]+', '@viewer-' || {_D.format("regexp_extract(text, '(@user[0-9]+)', 1)")}), chr(10) ORDER BY us, event_id) AS content FROM t_messages GROUP BY 1")
 def _(v):
-    return privacy.anonymise_report(v("t_messages"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id", "text"))), lambda x: x["text"]), "\n")
+    docs = v("t_messages").groupBy("stream_id").agg(F.count("*").alias("n"), joined.alias("content"))
+    return privacy.pseudonymise_documents(docs.withColumn("title", F.lit(None).cast("string")).withColumn("summary", F.lit("")), SALT).select("stream_id", "n", "content")
 
 
-@register("privacy_audit", "WITH a AS (SELECT id, len(regexp_extract_all(content, '([A-Za-z0-9._]+@[A-Za-z0-9-]+\\.[A-Za-z]+)', 1)) AS emails, len(regexp_extract_all(content, '([0-9]{9,})', 1)) AS digit_runs FROM t_documents) SELECT * FROM a WHERE emails > 0 OR digit_runs > 0")
+@register("anonymise_report", f"WITH h AS (SELECT regexp_extract_all(text, '{_HANDLE}', 1) AS h, {_NAMED} AS author FROM t_messages) SELECT count(*) FILTER (len(h) > 0) AS rows, CAST(sum(len(h)) AS BIGINT) AS mentions, (SELECT count(DISTINCT x) FROM (SELECT unnest(h) AS x FROM h)) AS handles, count(author) AS authored, count(DISTINCT author) AS authors FROM h")
+def _(v):
+    return privacy.anonymise_report(_named(v))
+
+
+@register("privacy_audit", """WITH a AS (SELECT id, len(regexp_extract_all(content, '([A-Za-z0-9._]+@[A-Za-z0-9-]+\\.[A-Za-z]+)', 1)) AS emails, len(list_filter(regexp_extract_all(content, '([0-9]{9,})', 1), lambda d: len(list_distinct(string_split(d, ''))) >= 4)) AS digit_runs,
+ len(regexp_extract_all(content, '(?:^|[^A-Za-z0-9._])@([A-Za-z0-9_.\\-]{3,})', 1)) AS handles FROM t_documents) SELECT * FROM a WHERE emails > 0 OR digit_runs > 0 OR handles > 0""")
 def _(v):
     return privacy.privacy_audit(v("t_documents"))
 
@@ -451,9 +537,15 @@ def _(v):
     return v("t_documents").select("id", F.round(text.script_ratio(F.col("content")), 6).alias("ratio"))
 
 
-@register("noise_filter", "SELECT message_id FROM t_messages WHERE NOT (length(text) < 2 OR NOT regexp_matches(text, '\\p{L}'))")
+#: cleaning written for an engine without back-references: mentions and runs of the marks that the messages hold
+_CLEAN = """trim(regexp_replace(regexp_replace(regexp_replace(text, '@[A-Za-z0-9_.-]+', ' ', 'g'), '"+', '"', 'g'), '\\s+', ' ', 'g'))"""
+_SCRIPT = "CAST(length(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS DOUBLE) / length(regexp_replace(t, '\\s', '', 'g'))"
+
+
+@register("noise_filter", f"WITH c AS (SELECT message_id, substr({_CLEAN}, CAST(1 + event_id % 16 AS INT)) AS t FROM t_messages) SELECT message_id FROM c WHERE NOT (length(trim(t)) < 2 OR NOT regexp_matches(t, '\\p{{L}}') OR (length(trim(t)) < 15 AND {_SCRIPT} < 0.6))")
 def _(v):
-    return v("t_messages").where(~text.is_noise(F.col("text"), min_ratio=0.0)).select("message_id")
+    short = F.expr("substr(trim(regexp_replace(regexp_replace(text, '@[A-Za-z0-9_.-]+', ' '), '\\\\s+', ' ')), CAST(1 + event_id % 16 AS INT))")
+    return filters.noise_filter(v("t_messages").withColumn("text", short), min_ratio=0.6).select("message_id")
 
 
 @register("tokenize", "SELECT doc_id, count(*) AS tokens, count(DISTINCT token) AS unique_tokens FROM t_tokens GROUP BY 1")

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airwave.functions import text
-from airwave.operators import joins, lookups
+from airwave.operators import joins, lexicon, lookups
 from airwave.plans.catalog import _WINDOWS, _members, register
-from airwave.plans.testviews import SENTIMENTS
+from airwave.plans.testviews import SENTIMENTS, TERMS
 
 _COUNTS = ", ".join(f"count(*) FILTER (sentiment = '{s}') AS {s}" for s in SENTIMENTS)
 _KEY = "sha256(trim(regexp_replace(content, '[ \\t\\n\\r]+', ' ', 'g')))"
 
 
-@register("class_balance", f"SELECT topic_ord, {_COUNTS}, count(*) AS total FROM t_documents GROUP BY ROLLUP (topic_ord)")
+@register("class_balance", f"WITH r AS (SELECT topic_ord, {_COUNTS}, count(*) AS total FROM t_documents GROUP BY ROLLUP (topic_ord)) SELECT *, min(total) FILTER (topic_ord IS NOT NULL) OVER () AS smallest, max(total) FILTER (topic_ord IS NOT NULL) OVER () AS largest FROM r")
 def _(v):
     return lookups.class_balance(v("t_documents"), SENTIMENTS)
 
@@ -34,11 +34,15 @@ def _(v):
     return docs.join(taxonomy, docs["topic_ord"] == taxonomy["ord"], "left").select("id", "slug")
 
 
-@register("programme_overview", """WITH c AS (SELECT s.segment_id, s.stream_id, count(m.message_id) AS n FROM t_segments s LEFT JOIN t_messages m
- ON m.stream_id = s.stream_id AND NOT m.is_spam AND m.offset_ms >= s.start_ms AND m.offset_ms < s.end_ms GROUP BY ALL)
- SELECT stream_id, count(*) AS segment_count, count(*) FILTER (n > 0) AS chat_segments, CAST(sum(n) AS BIGINT) AS chat_messages FROM c GROUP BY stream_id""")
+@register("programme_overview", """WITH c AS (SELECT s.segment_id, s.stream_id, s.position, count(m.message_id) AS n FROM t_segments s LEFT JOIN t_messages m
+ ON m.stream_id = s.stream_id AND NOT m.is_spam AND m.offset_ms >= s.start_ms AND m.offset_ms < s.end_ms GROUP BY ALL),
+ f AS (SELECT doc_id AS stream_id, 1 + length(text) - length(replace(text, chr(10), '')) AS cue_count FROM documents),
+ o AS (SELECT stream_id, count(*) AS segment_count, count(*) FILTER (n > 0) AS chat_segments, CAST(sum(n) AS BIGINT) AS chat_messages, count(*) FILTER (position % 4 <> 0) AS pending_headlines, count(*) FILTER (n >= 5 AND position % 3 <> 0) AS pending_reactions FROM c GROUP BY stream_id)
+ SELECT o.*, f.cue_count FROM o LEFT JOIN f ON f.stream_id = o.stream_id""")
 def _(v):
-    return lookups.programme_overview(v("t_segments"), joins.chat_count_by_segment(v("t_messages"), v("t_segments")))
+    done = v("t_segments").withColumn("enriched_by", F.when(F.col("position") % 4 == 0, "llm")).withColumn("chat_summary", F.when(F.col("position") % 3 == 0, "said"))
+    facts = v("t_cues").groupBy("video_id").agg(F.count("*").alias("cue_count"))
+    return lookups.programme_overview(done, joins.chat_count_by_segment(v("t_messages"), v("t_segments")), facts)
 
 
 @register("window_membership_join", _WINDOWS + "SELECT m.stream_id, m.message_id, k.window_index FROM t_messages m LEFT JOIN k ON m.stream_id = k.stream_id AND m.message_id = k.message_id")
@@ -54,12 +58,13 @@ def _(v):
     return joins.interval_lookup(v("t_messages").select("stream_id", "message_id", F.col("offset_ms").alias("at")), fragments, "stream_id").select("message_id", "fragment")
 
 
-@register("token_stats", """SELECT d.id, coalesce(x.n, 0) AS token_count, coalesce(x.u, 0) AS unique_count FROM t_documents d LEFT JOIN
- (SELECT doc_id, count(*) AS n, count(DISTINCT token) AS u FROM t_tokens GROUP BY doc_id) x ON d.id = x.doc_id""")
+@register("token_stats", """SELECT d.id, coalesce(x.n, 0) AS token_count, coalesce(x.u, 0) AS unique_count, coalesce(x.s, 0) AS stopword_removed FROM t_documents d LEFT JOIN
+ (SELECT doc_id, count(*) AS n, count(DISTINCT token) AS u, count(*) FILTER (token IN (SELECT term FROM t_terms) OR length(token) < 2) AS s FROM t_tokens GROUP BY doc_id) x ON d.id = x.doc_id""")
 def _(v):
     tokens = F.coalesce(text.tokenize(F.col("content")), F.array().cast("array<string>"))
-    rows = v("t_documents").select("id", tokens.alias("t"))
-    return rows.select("id", F.size("t").cast("long").alias("token_count"), F.size(F.array_distinct("t")).cast("long").alias("unique_count"))
+    kept = text.kept_tokens(F.col("t"), [t for t, *_ in TERMS])
+    rows = v("t_documents").select("id", tokens.alias("t")).withColumn("k", kept)
+    return rows.select("id", F.size("t").cast("long").alias("token_count"), F.size(F.array_distinct("t")).cast("long").alias("unique_count"), (F.size("t") - F.size("k")).cast("long").alias("stopword_removed"))
 
 
 @register("filter_tokens", "SELECT doc_id, pos, token FROM t_tokens WHERE token IN ('it') OR (token NOT IN (SELECT term FROM t_terms) AND length(token) >= 2)")
@@ -67,20 +72,15 @@ def _(v):
     return lookups.filter_tokens(v("t_tokens"), v("t_terms"), ["it"])
 
 
-@register("topic_evidence", "SELECT doc_id, pos, term, topic_ord, weight FROM t_tokens JOIN t_terms ON token = term")
+@register("keyword_candidates", "SELECT doc_id, count(*) AS candidates FROM t_tokens WHERE token NOT IN (SELECT term FROM t_terms) AND length(token) >= 2 AND regexp_matches(token, '[a-z]') AND token NOT IN ('und', 'les') GROUP BY 1")
 def _(v):
-    return lookups.topic_evidence(v("t_tokens"), v("t_terms"))
+    c = text.keyword_candidates(text.tokenize(F.col("content")), [t for t, *_ in TERMS], exclude=["und", "les"])
+    return v("t_documents").select(F.col("id").alias("doc_id"), F.size(c).cast("long").alias("candidates")).where("candidates > 0")
 
 
-_NEG, _INT = (", ".join(f"'{x}'" for x in words) for words in (lookups.NEGATORS, lookups.INTENSIFIERS))
-
-
-@register("sentiment_evidence", f"""WITH s AS (SELECT *, coalesce(bool_or(token IN ({_NEG})) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), false) AS negated,
- coalesce(lag(token) OVER (PARTITION BY doc_id ORDER BY pos) IN ({_INT}), false) AS strong FROM t_tokens)
- SELECT doc_id, pos, term, polarity AS base, negated, strong,
- round(polarity * CASE WHEN negated THEN CAST(-0.8 AS DOUBLE) ELSE 1 END * CASE WHEN strong THEN CAST(1.5 AS DOUBLE) ELSE 1 END, 6) AS score FROM s JOIN t_terms ON token = term""")
+@register("topic_evidence", "SELECT doc_id, pos, term, 'exact' AS via, topic_ord, weight FROM t_tokens JOIN t_terms ON token = term")
 def _(v):
-    return lookups.sentiment_evidence(v("t_tokens"), v("t_terms"))
+    return lookups.topic_evidence(lexicon.term_matches(v("t_tokens"), v("t_terms")), v("t_terms"))
 
 
 @register("name_lexicon", """SELECT name, count(*) AS support FROM (SELECT token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS name FROM t_tokens)
@@ -90,11 +90,13 @@ def _(v):
 
 
 @register("enrichment_lookup", f"""WITH c AS (SELECT {_KEY} AS content_key, max(title) AS headline FROM t_documents WHERE source_type = 'chat_window' GROUP BY ALL)
- SELECT d.id, d.content_key, c.headline FROM (SELECT id, {_KEY} AS content_key FROM t_documents) d LEFT JOIN c ON d.content_key = c.content_key""")
+ SELECT d.id, d.content_key, c.headline FROM (SELECT id, {_KEY} AS content_key FROM t_documents) d LEFT JOIN c ON d.content_key = c.content_key AND trim(c.headline) <> ''""")
 def _(v):
     docs = v("t_documents").select("id", "title", "content", "source_type")
     cache = docs.where("source_type = 'chat_window'").groupBy(lookups.content_key(F.col("content")).alias("content_key")).agg(F.max("title").alias("headline"))
-    return lookups.enrichment_lookup(docs, cache).select("id", "content_key", "headline")
+    cache = cache.withColumn("model", F.lit("m1")).withColumn("version", F.lit(2))
+    stale = cache.withColumn("headline", F.lit("of another model")).withColumn("model", F.lit("m0")).unionByName(cache.withColumn("headline", F.lit("old shape")).withColumn("version", F.lit(1)))
+    return lookups.enrichment_lookup(docs, cache.unionByName(stale), "m1", 2).select("id", "content_key", "headline")
 
 
 @register("split_overlap_check", f"SELECT {_KEY} AS content_key FROM t_documents WHERE source_type = 'article' INTERSECT SELECT {_KEY} FROM t_documents WHERE source_type = 'chat_window'")

@@ -1,54 +1,161 @@
-"""Readers and writers of chat snapshots, captions, labelled parts and category corpora."""
+"""Readers and writers of chat, captions, transcripts, articles and labelled rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_LINE = "_stream struct<video_id:string,title:string,channel:string>, message_id string, author string, text string, published_at string, offset_ms bigint"
+from ..functions.text import clean_cue_text, usec_to_datetime, utc_datetime
+
+_HEAD = "struct<video_id:string,title:string,channel:string,message_count:bigint>"
+_LINE = f"_stream {_HEAD}, message_id string, author string, text string, published_at string, offset_ms bigint"
+_TEXT = "struct<simpleText:string,runs:array<struct<text:string,emoji:struct<emojiId:string,isCustomEmoji:boolean,shortcuts:array<string>>>>>"
+_RENDERER = f"struct<id:string,timestampUsec:string,authorName:struct<simpleText:string>,message:{_TEXT},headerSubtext:{_TEXT}>"
+#: fixed values: renderers of chat with text of its own, and of announcements
+_RENDERERS = (("liveChatTextMessageRenderer", "message"), ("liveChatPaidMessageRenderer", "message"), ("liveChatMembershipItemRenderer", "headerSubtext"))
+_ITEM = "struct<item:struct<" + ",".join(f"{name}:{_RENDERER}" for name, _ in _RENDERERS) + ">>"
+_RAW = f"replayChatItemAction struct<videoOffsetTimeMsec:string,actions:array<struct<addChatItemAction:{_ITEM}>>>, addChatItemAction {_ITEM}, videoOffsetTimeMsec string"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/airwave-scratch"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def keep(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once in the shared folder: what several steps read is made once, and a lost executor takes
+    nothing with it."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _stem(pattern: str) -> Column:
+    """The video of a file: its folder ``video=...``, or its name without the ending."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/video=([^/]+)/[^/]*$", 1)
+    return F.coalesce(F.nullif(folder, F.lit("")), F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds _n, the place of each line in its file: blocks of a file in order, lines of a block in order."""
+    order = W.partitionBy("_path").orderBy("_block", "_line")
+    rows = rows.withColumn("_line", F.monotonically_increasing_id())
+    return rows.withColumn("_n", F.row_number().over(order)).drop("_line", "_block")
 
 
 def read_chat_snapshots(spark: SparkSession, path: str, limit: int = 20_000) -> DataFrame:
     """Messages of JSON-lines snapshots, one file per video: a header line may name the stream, else the file
-    does; malformed lines and blank texts go; a bad time becomes the time of reading; ``limit`` lines per file."""
-    rows = spark.read.schema(_LINE + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    rows = rows.where("_bad is null").withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.jsonl?)?$", 1))
-    head = rows.where("_stream is not null").groupBy("_file").agg(F.first("_stream.video_id").alias("_video"))
-    body = rows.where("_stream is null and trim(text) <> ''").withColumn("_n", F.row_number().over(W.partitionBy("_file").orderBy(F.monotonically_increasing_id())))
-    body = body.where(F.col("_n") <= limit).join(head, "_file", "left")
-    ts = F.coalesce(F.try_to_timestamp("published_at"), F.current_timestamp())
+    does; malformed lines and blank texts go; a bad time becomes the time of reading, one without zone is UTC;
+    the first ``limit`` messages of each file."""
+    rows = spark.read.schema(_LINE + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).json(path)
+    rows = rows.where("_bad is null").withColumns({"_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_file": _stem(r"^(.*?)(?:\.jsonl?|\.txt)?$")})
+    head = rows.where("_stream is not null").groupBy("_path").agg(F.first("_stream.video_id", ignorenulls=True).alias("_video"))
+    body = _numbered(rows.where("_stream is null and trim(text) <> ''")).where(F.col("_n") <= limit).join(head, "_path", "left")
+    ts = F.coalesce(utc_datetime(F.col("published_at")), F.current_timestamp())
     return body.select(F.coalesce("_video", "_file").alias("video_id"), "message_id", "author", "text", ts.alias("published_at"), "offset_ms")
 
 
+def _run_text(message: Column) -> Column:
+    """Plain text of a message: its simple text, or its runs with emoji as characters and custom ones as :shortcut:."""
+    one = lambda r: F.coalesce(r["text"], F.when(r["emoji"]["isCustomEmoji"], F.get(r["emoji"]["shortcuts"], F.lit(0))).otherwise(r["emoji"]["emojiId"]), F.lit(""))
+    return F.coalesce(message["simpleText"], F.array_join(F.transform(message["runs"], one), ""), F.lit(""))
+
+
+def read_raw_live_chat(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of a platform's live-chat capture (JSON lines): replay wrappers and bare live actions; plain, paid and
+    membership messages; everything else, blank texts and malformed lines go."""
+    raw = spark.read.schema(_RAW + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", _stem(r"^(.*?)(?:\.live_chat)?(?:\.jsonl?)?$"))
+    raw = raw.where("_bad is null")
+    replay = raw.where("replayChatItemAction is not null").select("_file", F.coalesce("replayChatItemAction.videoOffsetTimeMsec", "videoOffsetTimeMsec").alias("_at"), F.explode("replayChatItemAction.actions.addChatItemAction").alias("a"))
+    live = raw.where("replayChatItemAction is null").select("_file", F.col("videoOffsetTimeMsec").alias("_at"), F.col("addChatItemAction").alias("a"))
+    items = replay.unionByName(live).where("a.item is not null")
+    found = F.array(*(F.when(F.col(f"a.item.{name}").isNotNull(), F.struct(F.col(f"a.item.{name}.id").alias("id"), F.col(f"a.item.{name}.timestampUsec").alias("us"), F.col(f"a.item.{name}.authorName.simpleText").alias("author"), _run_text(F.col(f"a.item.{name}.{field}")).alias("text"))) for name, field in _RENDERERS))
+    rows = items.select("_file", "_at", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("m")).where("trim(m.text) <> ''")
+    return rows.select(F.col("_file").alias("video_id"), F.col("m.id").alias("message_id"), F.nullif("m.author", F.lit("")).alias("author"), "m.text", usec_to_datetime(F.col("m.us")).alias("published_at"), F.col("_at").try_cast("bigint").alias("offset_ms"))
+
+
 def write_chat_snapshots(messages: DataFrame, path: str) -> None:
-    """One folder per video; refuses to put a smaller snapshot in place of a larger one."""
+    """One snapshot per video (video_id, title, channel, and the message columns): a header line, then the messages in
+    order of time; refuses to put a smaller snapshot in place of a larger one."""
     spark = messages.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = messages.groupBy("video_id").agg(F.count("*").alias("new"), F.max("title").alias("title"), F.max("channel").alias("channel"))
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        old = spark.read.json(path).groupBy("video_id").agg(F.count("*").alias("old"))
-        new = messages.groupBy("video_id").agg(F.count("*").alias("new"))
+        old = read_chat_snapshots(spark, path, 1 << 62).groupBy("video_id").agg(F.count("*").alias("old"))
         shrunk = [r["video_id"] for r in old.join(new, "video_id").where("new < old").limit(20).collect()]
         if shrunk:
             raise ValueError(f"smaller than what is stored: {shrunk}")
-    messages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").json(path)
+    head = F.to_json(F.struct(F.struct("video_id", "title", "channel", F.col("new").alias("message_count")).alias("_stream")))
+    heads = new.select(F.col("video_id").alias("video"), F.lit(None).cast("timestamp").alias("_t"), F.lit("").alias("_id"), head.alias("value"))
+    iso = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    lines = F.to_json(F.struct("message_id", "author", "text", iso.alias("published_at"), "offset_ms"))
+    body = messages.select(F.col("video_id").alias("video"), F.col("published_at").alias("_t"), F.coalesce("message_id", F.lit("")).alias("_id"), lines.alias("value"))
+    ordered = heads.unionByName(body).repartition("video").sortWithinPartitions("video", F.asc_nulls_first("_t"), "_id")
+    ordered.select("video", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").text(path)
+
+
+def snapshot_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, title, channel, message_count, size_kb) of every snapshot; a broken header leaves nulls."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("_block"), _stem(r"^(.*?)(?:\.jsonl?|\.txt)?$").alias("video_id"), "value")
+    first = lines.where("_block = 0").withColumn("_line", F.monotonically_increasing_id()).groupBy("_path").agg(F.min_by("value", "_line").alias("value"), F.first("_size").alias("_size"), F.first("video_id").alias("video_id"))
+    head = F.from_json("value", f"_stream {_HEAD}")["_stream"]
+    return first.withColumn("h", head).select("video_id", "h.title", "h.channel", "h.message_count", F.round(F.col("_size") / 1024, 1).alias("size_kb"))
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    """Caption events (one JSON file per video) as cues in time order."""
+    """Caption events (one JSON file per video) as cues in time order: text, non_speech and speaker_change from the
+    captions' marks; events of layout alone go."""
     schema = "events array<struct<tStartMs:bigint,dDurationMs:bigint,segs:array<struct<utf8:string>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("video_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json3?)?$", 1))
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("video_id", _stem(r"^(.*?)(?:\.json3?)?$"))
     e = rows.select("video_id", F.posexplode("events").alias("_pos", "e"))
-    text = F.trim(F.regexp_replace(F.array_join(F.transform("e.segs", lambda s: s["utf8"]), ""), r"\s+", " "))
-    cues = e.select("video_id", "_pos", F.col("e.tStartMs").alias("start_ms"), F.coalesce("e.dDurationMs", F.lit(0)).alias("duration_ms"), text.alias("text")).where("text <> ''")
+    said = clean_cue_text(F.array_join(F.transform("e.segs", lambda s: s["utf8"]), ""))
+    cues = e.select("video_id", "_pos", F.col("e.tStartMs").alias("start_ms"), F.coalesce("e.dDurationMs", F.lit(0)).alias("duration_ms"), said.alias("c")).select("video_id", "_pos", "start_ms", "duration_ms", "c.*").where("text <> '' or non_speech")
     return cues.withColumn("cue_idx", (F.row_number().over(W.partitionBy("video_id").orderBy("start_ms", "_pos")) - 1).cast("long")).drop("_pos")
 
 
+def read_transcript_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Compact transcripts (one JSON file per video, cues {t, e, x, n, s}) as cues in time order."""
+    schema = "video_id string, language string, cues array<struct<t:bigint,e:bigint,x:string,n:boolean,s:boolean>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1))
+    c = rows.select(F.coalesce("video_id", "_file").alias("video_id"), F.posexplode("cues").alias("_pos", "c")).where("c.t is not null")
+    flag = lambda x: F.coalesce(F.col(x), F.lit(False))
+    c = c.select("video_id", "_pos", F.col("c.t").alias("start_ms"), F.coalesce("c.e", "c.t").alias("end_ms"), F.coalesce("c.x", F.lit("")).alias("text"), flag("c.n").alias("non_speech"), flag("c.s").alias("speaker_change"))
+    return c.withColumn("cue_idx", (F.row_number().over(W.partitionBy("video_id").orderBy("start_ms", "_pos")) - 1).cast("long")).drop("_pos")
+
+
+def write_transcript_snapshots(cues: DataFrame, path: str) -> None:
+    """Compact transcripts, one line and folder per video; a programme's cues are one value, as the format has it."""
+    cue = F.struct("cue_idx", F.struct(F.col("start_ms").alias("t"), F.col("end_ms").alias("e"), F.col("text").alias("x"), F.col("non_speech").alias("n"), F.col("speaker_change").alias("s")).alias("c"))
+    rows = cues.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(cue)), lambda x: x["c"]).alias("cues"))
+    rows.withColumn("video", F.col("video_id")).write.partitionBy("video").json(path)
+
+
 def read_labelled_parts(spark: SparkSession, path: str) -> DataFrame:
     """All CSV parts (title, content, topic, sentiment) with the file each row came from."""
     return spark.read.schema("title string, content string, topic string, sentiment string").option("header", True).option("multiLine", True).option("escape", '"').csv(path).withColumn("part", F.col("_metadata.file_name"))
 
 
+def write_labelled_dataset(rows: DataFrame, path: str) -> None:
+    """The four columns, trimmed, as CSV."""
+    rows.select(*(F.trim(F.col(c).cast("string")).alias(c) for c in ("title", "content", "topic", "sentiment"))).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+
+
+def read_articles_csv(spark: SparkSession, path: str, source: str = "sample") -> DataFrame:
+    """Articles for display: title, content, source (a default where it is empty), url and published_at; a time that is
+    none is null, one without zone is UTC."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("title string, content string, source string, url string, published_at string").csv(path)
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return rows.select("title", "content", F.coalesce(blank("source"), F.lit(source)).alias("source"), blank("url").alias("url"), utc_datetime(F.trim("published_at")).alias("published_at"))
+
+
 def read_category_corpus(spark: SparkSession, path: str, keep_questions: bool = False) -> DataFrame:
     """Parquet (texts, category 0..3) as text and sentiment; questions go, or count as neutral; blank texts go."""
     #: fixed values: categories in the corpus's order
@@ -56,3 +163,8 @@ def read_category_corpus(spark: SparkSession, path: str, keep_questions: bool =
     rows = spark.read.parquet(path).where("trim(texts) <> '' and category between 0 and 3")
     rows = rows.select(F.col("texts").alias("text"), F.element_at(F.lit(names), F.col("category").cast("int") + 1).alias("sentiment"))
     return rows.replace("question", "neutral", "sentiment") if keep_questions else rows.where("sentiment <> 'question'")
+
+
+def replace_stream_results(rows: DataFrame, path: str, key: str = "stream_id") -> None:
+    """Results of the streams in ``rows`` take the place of theirs; other streams' results stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

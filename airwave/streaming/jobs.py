@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "stream_id long, message_id string, author string, text string, ts timestamp, offset_ms long, sentiment string, is_spam boolean"
+from ..functions.text import utc_datetime
+from ..operators import filters, stats
+
+SCHEMA = "stream_id long, message_id string, author string, text string, ts string, offset_ms long, sentiment string, is_spam boolean"
 
 
 def stream_messages(spark: SparkSession, path: str) -> DataFrame:
-    """New snapshot files under ``path`` become micro-batches."""
-    return spark.readStream.schema(SCHEMA).json(path)
+    """New snapshot files under ``path`` become micro-batches; header lines and blank texts go, a missing id becomes a
+    fingerprint, a bad time the time of reading."""
+    rows = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).json(path).where("trim(text) <> ''")
+    rows = rows.withColumn("ts", F.coalesce(utc_datetime(F.col("ts")), F.current_timestamp())).withColumn("us", F.unix_micros("ts"))
+    return rows.withColumn("message_id", filters.identity()).withColumn("is_spam", F.coalesce("is_spam", F.lit(False)))
 
 
 def stream_dedupe(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -18,17 +26,90 @@ def stream_dedupe(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
     return messages.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["stream_id", "message_id"])
 
 
-def stream_trend(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Messages per day and sentiment, emitted once a day is behind the watermark."""
-    w = messages.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "sentiment").agg(F.count("*").alias("n"))
-    return w.select(F.date_format("w.start", "yyyy-MM-dd").alias("period"), "sentiment", "n")
+def stream_trend(messages: DataFrame, granularity: str = "daily", delay: str = "1 hour") -> DataFrame:
+    """Messages per day, week or month by sentiment (an unknown one counts as neutral), emitted once a day, from which
+    weeks and months are summed, is behind the watermark."""
+    s = F.when(F.col("sentiment").isin("positive", "negative"), F.col("sentiment")).otherwise("neutral")
+    w = messages.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), s.alias("sentiment")).agg(F.count("*").alias("n"))
+    return w.select(stats.period(F.col("w.start"), granularity).alias("period"), "sentiment", "n")
+
+
+def stream_reactions(messages: DataFrame, segments: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Live chat against the known segments on air, a stream-static range join, as totals per segment, sentiment and
+    hour, each emitted once its hour is behind the watermark."""
+    rows = stream_on_air(messages, segments).withWatermark("ts", delay)
+    sums = rows.groupBy(F.window("ts", "1 hour").alias("w"), "segment_id", "sentiment").agg(F.count("*").alias("n"))
+    return sums.select("segment_id", "sentiment", F.col("w.start").alias("hour"), "n")
 
 
-def stream_reactions(messages: DataFrame, segments: DataFrame) -> DataFrame:
-    """Live chat with the known segment on air: a stream-static range join."""
+def stream_on_air(messages: DataFrame, segments: DataFrame) -> DataFrame:
+    """Each message with the segment during which it came, spam left out."""
     s = segments.select("segment_id", F.col("stream_id").alias("_s"), "start_ms", "end_ms")
     on_air = (F.col("stream_id") == F.col("_s")) & (F.col("offset_ms") >= F.col("start_ms")) & (F.col("offset_ms") < F.col("end_ms"))
-    return messages.where(~F.col("is_spam")).join(s, on_air).select("segment_id", "stream_id", "message_id", "offset_ms")
+    return messages.where(~F.col("is_spam")).join(s, on_air).select("segment_id", "stream_id", "message_id", "offset_ms", "sentiment", "ts")
+
+
+def stream_greedy_windows(messages: DataFrame, size: int = 200, minutes: int = 60, min_messages: int = 5, delay: str = "1 hour") -> DataFrame:
+    """(stream_id, window_index, start_us, end_us, messages) of closed windows: as ``greedy_windows``, one stream's open
+    window as state. Messages wait until the watermark passes them, so that they are taken in order; a window is also
+    closed by the watermark once its time is over. Windows under the floor go and take no number."""
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    span = minutes * 60_000_000 if minutes else 1 << 62
+
+    def step(key, frames: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        start, count, last, number, waiting = state.get if state.exists else (0, 0, 0, 0, [])
+        waiting = sorted([*waiting, *(int(x) for f in frames for x in f["us"])])
+        line = state.getCurrentWatermarkMs() * 1000
+        ready = [x for x in waiting if x < line]
+        out = []
+
+        def close():
+            nonlocal number
+            if count >= min_messages:
+                out.append((key[0], number, start, last, count))
+                number += 1
+
+        for us in ready:
+            if count and (us - start >= span or count == size):
+                close()
+                count = 0
+            start, last, count = (us if not count else start), us, count + 1
+        if count and start + span <= line:
+            close()
+            count = 0
+        waiting = waiting[len(ready) :]
+        if count or waiting or number:
+            state.update((start, count, last, number, waiting))
+            due = min([start + span] * bool(count) + waiting[:1], default=None)
+            if due is not None:
+                state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["stream_id", "window_index", "start_us", "end_us", "messages"])
+
+    rows = messages.withWatermark("ts", delay).select("stream_id", "ts", "us")
+    return rows.groupBy("stream_id").applyInPandasWithState(
+        step, "stream_id long, window_index long, start_us long, end_us long, messages long",
+        "start long, count long, last long, number long, waiting array<long>", "append", "EventTimeTimeout",
+    )
+
+
+def stream_upsert(messages: DataFrame, path: str, checkpoint: str):
+    """Each micro-batch's new messages are added to the Parquet table ``path``: identities that it holds, and repeats in
+    the batch, go. A batch writes the partition ``batch`` of its own number over, so that a batch that runs again
+    after a failure leaves the same rows. Returns the query; the caller waits for it."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        rows = batch.drop("ts")
+        there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+        stored = spark.read.parquet(path).where(F.col("batch") != number).select(rows.columns) if there else rows.limit(0)
+        new = filters.new_messages(stored, rows)
+        new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -110,10 +110,17 @@ def test_chat_snapshot_reader(spark, tmp_path):
 
 def test_snapshot_refuses_to_shrink(spark, tmp_path):
     path = str(tmp_path / "out")
-    rows = spark.createDataFrame([("v", str(i)) for i in range(5)], "video_id string, message_id string")
+    rows = spark.createDataFrame([("v", "T", None, str(i), "a", f"t{i}", 1_700_000_000 + i, i) for i in range(5)], "video_id string, title string, channel string, message_id string, author string, text string, s long, offset_ms long")
+    rows = rows.selectExpr("* except (s)", "timestamp_seconds(s) AS published_at")
     files.write_chat_snapshots(rows, path)
     with pytest.raises(ValueError):
         files.write_chat_snapshots(rows.limit(2), path)
+    assert [r["message_id"] for r in files.read_chat_snapshots(spark, path, 3).orderBy("message_id").collect()] == ["0", "1", "2"]
+    head = files.snapshot_inventory(spark, path).first()
+    assert (head["video_id"], head["title"], head["channel"], head["message_count"]) == ("v", "T", None, 5)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "w.jsonl").write_text("{not json\n")
+    assert files.snapshot_inventory(spark, str(tmp_path / "broken")).first()["title"] is None
 
 
 def test_captions(spark, tmp_path):
@@ -138,7 +145,7 @@ def test_streaming_twins(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
     segments = spark.createDataFrame([(7, 1, 0, 25)], "segment_id long, stream_id long, start_ms long, end_ms long")
-    for name, make, n in (("d", jobs.stream_dedupe, 40), ("r", lambda s: jobs.stream_reactions(s, segments), 25)):
+    for name, make, n in (("d", jobs.stream_dedupe, 40), ("r", lambda s: jobs.stream_on_air(s, segments), 25)):
         jobs.drain(make(jobs.stream_messages(spark, str(tmp_path / "in"))), str(tmp_path / name), str(tmp_path / f"c{name}"))
         assert spark.read.parquet(str(tmp_path / name)).count() == n
 
