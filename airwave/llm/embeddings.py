@@ -164,7 +164,9 @@ def links(reps: DataFrame, least: float = 0.98) -> DataFrame:
     alone = other.withColumn("perm", F.array(F.lit(0)))  # lengths without a pivot: one list each, compared whole
     rows = described.unionByName(alone).withColumn("_size", F.size("embedding"))
     rows = common.cut(rows, "described")
-    posted = rows.withColumn("pivot", F.explode("perm"))
+    # of pivots in order the first that a pair shares has SHARED - 1 shared ones after it in both: the others need no list
+    first = F.size("perm") - F.least(F.lit(SHARED), F.size("perm")) + 1
+    posted = rows.withColumn("pivot", F.explode(F.slice(F.sort_array("perm"), F.lit(1), first)))
     sizes = posted.groupBy("label", "_size", "pivot").agg(F.count("*").alias("_n"))
     sizes = common.cut(sizes.where("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")), "lists")
     posted = posted.join(sizes.select("label", "_size", "pivot", "_blocks"), ["label", "_size", "pivot"])

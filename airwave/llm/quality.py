@@ -152,9 +152,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, k: int)
 
 
 def select(docs: DataFrame, scores: DataFrame, keep: Column) -> DataFrame:
-    """The rows of ``docs`` whose score satisfies ``keep``, each as often as it stands there."""
-    good = scores.where(keep).select(F.col("row_key").alias("_row_key")).distinct()
-    return docs.withColumn("_key", common.row_key()).join(good, F.col("_key") == F.col("_row_key"), "left_semi").drop("_key")
+    """The rows of ``docs`` whose score satisfies ``keep``, each as often as it stands there, with all their columns."""
+    good = scores.where(keep).select(F.col("row_key").alias("row")).distinct()
+    whole = docs.select(common.row_key().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    return whole.join(good, "row", "left_semi").select("whole.*")
 
 
 #: Grades of the labels table: low quality, good but toxic, good and clean.

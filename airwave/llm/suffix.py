@@ -93,7 +93,7 @@ class _Ids:
 
 def store(docs: DataFrame) -> DataFrame:
     """(row, text, rest): documents dealt by row_key once, with all other columns inside ``rest``."""
-    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("rest")
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
     return common.bucketed(docs.select(common.row_key().alias("row"), F.col("text").cast("string").alias("text"), rest), "row")
 
 

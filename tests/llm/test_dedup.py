@@ -127,3 +127,38 @@ def test_keep_first_rows_and_columns(spark):
     assert sketch.near_duplicates(docs.limit(0)).count() == 0
     near = sorted((r["doc_id"] or 0, r["component_id"] or 0, bool(r["kept"])) for r in sketch.near_duplicates(docs).collect())
     assert near == [(0, 0, False), (1, 1, True), (3, 3, True), (3, 3, True), (4, 4, True), (7, 1, False), (7, 7, True), (9, 9, True), (9, 9, True), (10, 10, True), (11, 10, False)]
+
+
+def removed_by_brute_force(texts, span=200):
+    seen = Counter(t[i : i + span] for t in texts for i in range(len(t) - span + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - span + 1):
+            if seen[t[i : i + span]] > 1:
+                gone[i : i + span] = b"\1" * span
+        out.append(bytes(b for b, g in zip(t, gone) if not g))
+    return out
+
+
+@pytest.mark.parametrize("local", [1000, 0])
+def test_suffix_crowded_and_odd_rows(spark, monkeypatch, local):
+    """One passage with many different surroundings, with and without the side-by-side refinement; a very long text,
+    null ids, repeated ids and rows, columns of any name, and an empty table."""
+    import random
+
+    monkeypatch.setattr(suffix, "LOCAL", local)
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage, long_ = word(260), word(400_000)
+    texts = [word(rnd.randint(0, 120)) + passage[rnd.randint(0, 40) : 260 - rnd.randint(0, 40)] + word(rnd.randint(0, 120)) for _ in range(60)]
+    texts += [long_, long_[1000:1500] + word(50), "ab" * 600, None, "", texts[0], word(199), "é" * 150]
+    ids = [*range(60), 60, 61, None, 63, 63, 0, 66, 67]
+    docs = spark.createDataFrame([(d, t, "r", "s", i) for i, (d, t) in enumerate(zip(ids, texts))], "doc_id long, text string, row string, spans string, `a.b` int")
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["kept"])) for r in suffix.strip(docs).collect())
+    kept = removed_by_brute_force([(t or "").encode() for t in texts])
+    assert got == sorted((d is not None, d or 0, k) for d, k in zip(ids, kept))
+    short = suffix.shorten(docs)
+    assert short.columns == docs.columns
+    assert {r["a.b"]: r["text"] for r in short.collect()} == {i: None if t is None else k.decode(errors="ignore") for i, (t, k) in enumerate(zip(texts, kept))}
+    assert suffix.strip(docs.limit(0)).count() == 0 and suffix.shorten(docs.limit(0)).count() == 0

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 
@@ -312,3 +313,91 @@ def test_toxicity_counts_rare_expressions_and_every_fold(spark):
     rows = [(i, t + (" onlyhere" if i == four else "")) for i, t in rows if i <= 200] + [(1001, "onlyhere"), (1002, "")]
     got = {r["doc_id"]: r["llr"] for r in toxicity.score(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert got[1001] > got[1002]
+
+
+def plain_model(learn, docs):
+    """The score's evidence in plain Python: (doc_id, text, toxic) learnt from, texts scored."""
+    words = lambda t: [w.lower() for w in re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", t)]
+    pair, single = {}, {}
+    for _, t, toxic in learn:
+        ws = words(t)
+        for table, found in ((single, set(ws)), (pair, set(zip([None, *ws], ws)))):
+            for g in found:
+                table.setdefault(g, [0, 0])[0 if toxic else 1] += 1
+    n = [sum(c[i] for c in single.values()) for i in (0, 1)]
+    k = [sum(c[i] > 0 for c in single.values()) for i in (0, 1)]
+    follows = {}
+    for _, w in pair:
+        follows[w] = follows.get(w, 0) + 1
+    D, context = toxicity.DISCOUNT, {}
+    for (h, _), c in pair.items():
+        x = context.setdefault(h, [[0, 0], [0, 0]])
+        for i in (0, 1):
+            x[0][i] += c[i]
+            x[1][i] += c[i] > 0
+
+    def sure(c, p):
+        s, seen = math.log(p[0] / p[1]), math.log((c[0] + 0.5) / (c[1] * n[0] / n[1] + 0.5))
+        doubt = math.sqrt(1 / (c[0] + 0.5) + 1 / (c[1] + 0.5)) + toxicity.MARGIN
+        borne = min(abs(s), abs(seen)) if s * seen > 0 else 0.0
+        return math.copysign(max(borne - doubt, 0.0), s) if borne > doubt else 0.0, abs(seen) > doubt
+
+    p1 = {w: [max(c[i] - D, 0) / n[i] + D * k[i] / n[i] * follows[w] / len(pair) for i in (0, 1)] for w, c in single.items()}
+    plain = {w: toxicity.LEAK * math.log(p[0] / p[1]) for w, p in p1.items()}
+    one = {w: sure(single[w], p1[w])[0] + plain[w] for w in single}
+    two = {}
+    for (h, w), c in pair.items():
+        size, kinds = context[h]
+        p = [(max(c[i] - D, 0) + D * kinds[i] * p1[w][i]) / size[i] if size[i] else p1[w][i] for i in (0, 1)]
+        s, clear = sure(c, p)
+        if clear and s:
+            two[h, w] = s + plain[w]
+    out = {}
+    for d, t, *_ in docs:
+        ws = words(t)
+        total = sum(two.get((h, w)) or one.get(w, 0.0) for h, w in zip([None, *ws], ws))
+        out[d] = math.asinh(toxicity.STRETCH * total / len(ws)) if ws else 0.0
+    return out
+
+
+def test_toxicity_equals_the_written_out_model(spark):
+    """Counts, shared continuation counts, discounts and evidence against plain Python."""
+    from pyspark.sql import functions as F
+
+    from airwave.llm import common
+
+    rnd = random.Random(11)
+    common_, bad = [f"w{i}" for i in range(25)], ["vile", "Rotten", "über"]
+    learn = []
+    for i in range(240):
+        toxic = int(i % 4 == 0)
+        ws = [rnd.choice(common_) for _ in range(rnd.randint(1, 12))] + [rnd.choice(bad) for _ in range(rnd.randint(1, 2) if toxic else rnd.random() < 0.03)]
+        rnd.shuffle(ws)
+        learn.append((i, " ".join(ws), toxic))
+    docs_ = learn + [(900, "", 0), (901, "unseen vile w1!", 0), (902, "vile rotten", 0)]
+    rows = spark.createDataFrame(learn, "doc_id long, text string, toxic int").withColumn("_fold", F.col("doc_id") % 5)
+    grams = toxicity.table(common.cut(toxicity.count(rows)).select("key", "t", "o"))
+    got = {r["doc_id"]: r["llr"] for r in toxicity.evidence(spark.createDataFrame([d[:2] for d in docs_], "doc_id long, text string"), grams).collect()}
+    want = plain_model(learn, docs_)
+    assert got.keys() == want.keys()
+    assert all(abs(got[d] - want[d]) < 1e-4 for d in want), [(d, got[d], want[d]) for d in want if abs(got[d] - want[d]) > 1e-4][:5]
+    assert want[902] > want[900] and len({round(x, 6) for x in want.values()}) > 50
+
+
+def test_chat_edge_rows(spark):
+    """Null trees, clashing columns, a very long text, repeated turns and an empty table."""
+    long_ = "</s>" * 300_000
+    rows = [(1, 0, "user", long_), (1, 1, "assistant", "ok"), (1, 1, "assistant", "ok"), (2, 0, "assistant", None), (None, 5, "user", "lost")]
+    d = spark.createDataFrame([(*r, "c", "c") for r in rows], "conv_id long, turn long, role string, text string, tree string, node string")
+    got = {r["tree"]: r for r in chat.read_back(chat.format_paths(chat.linear(d))).collect()}
+    assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 4 and got[1]["formatted_chars"] > len(long_)
+    assert got[2]["n_turns"] == 1 and got[2]["loss_chars"] == 0
+
+
+def test_quality_select_keeps_columns(spark):
+    d = spark.createDataFrame([(1, "a b", "k", "r", 1.0), (2, "!!", "k", "r", 2.0), (1, "a b", "k", "r", 3.0), (None, None, "k", "r", 4.0)], "doc_id long, text string, _key string, row_key string, tails double")
+    scores = quality.score(d, None, 3)
+    kept = quality.select(d, scores, scores["expected_grade"] >= 0)
+    assert kept.columns == d.columns and kept.count() == 4
+    assert quality.select(d, scores, scores["doc_id"] == 1).count() == 2
+    assert quality.keep_scored(d, None).columns == d.columns
