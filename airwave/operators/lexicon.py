@@ -76,7 +76,7 @@ def lexicon_sentiment(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     """(doc_id, total, sentiment, confidence, positive, neutral, negative) of every row of ``docs`` (doc_id, words):
     contributions summed, neutral within the band, and a softmax over the three. A document without words is neutral
     for certain."""
-    total = evidence.groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("total"))
+    total = evidence.groupBy("doc_id").agg((F.round(F.sum("score"), 6) + 0.0).alias("total"))  # no negative zero
     rows = docs.select("doc_id", "words").join(total, "doc_id", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
     t = F.col("total")
     logit = {"positive": SCALE * t, "neutral": SCALE * CALM * (BAND - F.abs(t)), "negative": -SCALE * t}

@@ -14,7 +14,7 @@ SENTIMENTS = ("positive", "neutral", "negative")
 def zero_fill(dimension: DataFrame, facts: DataFrame, on: str) -> DataFrame:
     """Counts per label of a fixed dimension; absent labels show 0."""
     counts = facts.groupBy(on).agg(F.count("*").alias("n"))
-    return F.broadcast(dimension).join(counts, dimension["ord"] == counts[on], "left").select("ord", "slug", F.coalesce("n", F.lit(0)).alias("n"))
+    return dimension.join(counts, dimension["ord"] == counts[on], "left").select("ord", "slug", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def by_sentiment(docs: DataFrame) -> DataFrame:

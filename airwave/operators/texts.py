@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, is_noise, kept_tokens, keyword_candidates, sentence_split, token_offsets, tokenize
+from ..functions.text import clean_text, find_in_order, is_noise, kept_tokens, keyword_candidates, sentence_split, tokenize
 from . import lexicon, reports, stats
 
 #: versions of the rules, kept with each analysis
@@ -52,23 +52,21 @@ def extract_headline(docs: DataFrame, idf: DataFrame | None, documents: int, sto
     they took two hundred times as long."""
     found = r"[\p{L}\p{N}]+"
     rows = docs.select("doc_id", F.trim("text").alias("body"), F.coalesce("keywords", F.array().cast("array<string>")).alias("kw"), F.coalesce("cue_starts", F.array().cast("array<int>")).alias("cs"))
-    rows = rows.withColumn("ts", F.regexp_extract_all("body", F.lit(f"({found})"), 1)).withColumn("offs", token_offsets(F.col("body"), F.col("ts")))
-    tok = rows.select("doc_id", "kw", F.posexplode(F.arrays_zip("ts", "offs")).alias("pos", "x")).select("doc_id", "kw", "pos", F.lower("x.ts").alias("t"), F.col("x.offs").alias("off"))
+    rows = rows.withColumn("ts", F.regexp_extract_all("body", F.lit(f"({found})"), 1))
+    tok = rows.select("doc_id", "kw", F.posexplode("ts").alias("pos", "raw")).withColumn("t", F.lower("raw"))
     if idf is None:
         tok = tok.withColumn("w", F.lit(1.0))
     else:
         tok = tok.join(idf.select(F.col("term").alias("t"), "df"), "t", "left").withColumn("w", stats.idf_weight(F.lit(documents), F.coalesce("df", F.lit(0))))
     is_content = (F.length("t") >= 2) & F.rlike("t", F.lit(f"[{letters}]")) & ~F.col("t").isin([*stop, *filler])
     item = F.struct(
-        "pos", "t", "off", F.round("w", 9).alias("w"), is_content.alias("c"), F.array_contains("kw", F.col("t")).alias("k"),
+        "pos", "t", "raw", F.round("w", 9).alias("w"), is_content.alias("c"), F.array_contains("kw", F.col("t")).alias("k"),
         F.col("t").isin(filler).alias("f"), F.rlike("t", F.lit(r"^\p{Nd}+$")).alias("d"), F.col("t").isin([*edge, *filler]).alias("e"),
     )
     arrays = rows.select("doc_id", "body", "cs", (F.size("kw") > 0).alias("wanted")).join(tok.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("a")), "doc_id")
     arrays = arrays.withColumn("n", F.size("a")).where(F.col("n") >= shortest)
-    # the end of the span before token i: where token i begins, or the text ends
-    ends = arrays.withColumn("o", F.concat(F.transform("a", lambda x: x["off"]), F.array(F.length("body"))))
-    flags = [F.col(f"a.{c}").alias(c) for c in "twckfde"]
-    made = ends.select("doc_id", "body", "o", "cs", "wanted", *flags).mapInArrow(lambda b: _headlines(b, shortest, longest, cap, content), "doc_id long, headline string")
+    columns = [F.col(f"a.{c}").alias(c) for c in ("t", "raw", "w", "c", "k", "f", "d", "e")]
+    made = arrays.select("doc_id", "body", "cs", "wanted", *columns).mapInArrow(lambda b: _headlines(b, shortest, longest, cap, content), "doc_id long, headline string")
     return docs.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.coalesce("headline", F.lit("")).alias("headline"))
 
 
@@ -80,7 +78,9 @@ def _headlines(batches, shortest: int, longest: int, cap: int, content: int):
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            n, off = len(r["t"]), np.array(r["o"])
+            n = len(r["t"])
+            # the end of the span before token i: where token i begins, or the text ends
+            off = np.array([*find_in_order(r["body"], r["raw"]), len(r["body"])])
             seen: dict[str, int] = {}
             before = np.empty(n, int)  # where the token stood last
             for i, t in enumerate(r["t"]):

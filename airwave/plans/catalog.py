@@ -210,11 +210,16 @@ def _(v):
 
 for _name, _format in (("daily", "%Y-%m-%d"), ("weekly", "%Y-W%W"), ("monthly", "%Y-%m")):
 
-    @register(f"trend_{_name}", f"SELECT strftime(published_at, '{_format}') AS period, count(*) AS total, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative FROM t_documents GROUP BY 1")
+    @register(f"trend_{_name}", _trend_sql := f"SELECT strftime(published_at, '{_format}') AS period, count(*) AS total, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative FROM t_documents GROUP BY 1")
     def _(v, name=_name):
         return stats.trend(v("t_documents"), name)
 
 
+@register("trend", _trend_sql)
+def _(v):
+    return stats.trend(v("t_documents"), "monthly")
+
+
 @register("keyword_cloud", "SELECT token AS word, count(*) AS count, CAST(max(pos) AS DOUBLE) AS score FROM (SELECT doc_id, token, max(pos) AS pos FROM t_tokens GROUP BY ALL) JOIN t_documents ON id = doc_id WHERE topic_ord = 4 GROUP BY 1 ORDER BY count DESC, word LIMIT 40")
 def _(v):
     words = v("t_tokens").groupBy("doc_id", F.col("token").alias("word")).agg(F.max("pos").cast("double").alias("score"))
@@ -299,7 +304,7 @@ def _(v):
     return _evidence(v)
 
 
-@register("lexicon_sentiment", _EVIDENCE + """, t AS (SELECT doc_id, round(sum(score), 6) AS total FROM e GROUP BY 1), w AS (SELECT doc_id, count(*) AS words FROM t_tokens GROUP BY 1),
+@register("lexicon_sentiment", _EVIDENCE + """, t AS (SELECT doc_id, round(sum(score), 6) + 0.0::DOUBLE AS total FROM e GROUP BY 1), w AS (SELECT doc_id, count(*) AS words FROM t_tokens GROUP BY 1),
 d AS (SELECT id AS doc_id, coalesce(words, 0) AS words, coalesce(total, 0) AS total FROM t_documents LEFT JOIN w ON w.doc_id = id LEFT JOIN t ON t.doc_id = id),
 l AS (SELECT *, 1.6 * total AS a, 1.6 * 1.4 * (0.35 - abs(total)) AS b, -1.6 * total AS c, greatest(1.6 * total, 1.6 * 1.4 * (0.35 - abs(total)), -1.6 * total) AS z FROM d),
 x AS (SELECT doc_id, total, CASE WHEN abs(total) < 0.35 THEN 'neutral' WHEN total > 0 THEN 'positive' ELSE 'negative' END AS sentiment, CASE WHEN words > 0 THEN round(exp(a - z) / (exp(a - z) + exp(b - z) + exp(c - z)), 6) ELSE 0 END AS positive, CASE WHEN words > 0 THEN round(exp(b - z) / (exp(a - z) + exp(b - z) + exp(c - z)), 6) ELSE 1 END AS neutral, CASE WHEN words > 0 THEN round(exp(c - z) / (exp(a - z) + exp(b - z) + exp(c - z)), 6) ELSE 0 END AS negative FROM l)
@@ -542,6 +547,17 @@ _CLEAN = """trim(regexp_replace(regexp_replace(regexp_replace(text, '@[A-Za-z0-9
 _SCRIPT = "CAST(length(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS DOUBLE) / length(regexp_replace(t, '\\s', '', 'g'))"
 
 
+@register("thai_ratio", "WITH d AS (SELECT id, CASE WHEN id % 2 = 0 THEN title || ' ข่าววันนี้' ELSE title END AS t FROM t_documents) SELECT id, round(CASE WHEN length(regexp_replace(t, '\\s', '', 'g')) > 0 THEN CAST(length(regexp_replace(t, '[^\\x{0E00}-\\x{0E7F}]', '', 'g')) AS DOUBLE) / length(regexp_replace(t, '\\s', '', 'g')) ELSE 0 END, 6) AS ratio FROM d")
+def _(v):
+    said = F.when(F.col("id") % 2 == 0, F.concat("title", F.lit(" ข่าววันนี้"))).otherwise(F.col("title"))
+    return v("t_documents").select("id", F.round(text.script_ratio(said, "\u0e00-\u0e7f"), 6).alias("ratio"))
+
+
+@register("is_noise", "WITH c AS (SELECT token, count(*) AS n FROM t_tokens GROUP BY 1) SELECT token, length(token) < 2 OR (length(token) < 15 AND CAST(length(regexp_replace(token, '[^a-z]', '', 'g')) AS DOUBLE) / length(token) < 0.9) AS noise FROM c")
+def _(v):
+    return v("t_tokens").select("token").distinct().select("token", text.is_noise(F.col("token"), "a-z", 0.9).alias("noise"))
+
+
 @register("noise_filter", f"WITH c AS (SELECT message_id, substr({_CLEAN}, CAST(1 + event_id % 16 AS INT)) AS t FROM t_messages) SELECT message_id FROM c WHERE NOT (length(trim(t)) < 2 OR NOT regexp_matches(t, '\\p{{L}}') OR (length(trim(t)) < 15 AND {_SCRIPT} < 0.6))")
 def _(v):
     short = F.expr("substr(trim(regexp_replace(regexp_replace(text, '@[A-Za-z0-9_.-]+', ' '), '\\\\s+', ' ')), CAST(1 + event_id % 16 AS INT))")

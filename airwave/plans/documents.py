@@ -240,7 +240,8 @@ def _(v):
     return texts.score_messages(rows, terms, min_ratio=0.4)
 
 
-@register("stage_status")
+@register("stage_status", """SELECT x.*, (SELECT count(*) FROM t_documents WHERE source_type = 'article') AS documents FROM (VALUES ('tokenizer', 'letters', 'letters', false, NULL), ('topic', 'classifier', 'classifier', true, NULL), ('sentiment', 'classifier', 'lexicon', false, 'classifier is not available, lexicon serves'),
+ ('keywords', 'tfidf', 'tfidf', false, NULL), ('summary', 'abstractive', 'extractive', false, 'abstractive is not available, extractive serves'), ('entities', 'rules', 'rules', false, NULL)) x(stage, requested, active, trained, note)""")
 def _(v):
     asked = {"topic": "classifier", "sentiment": "classifier", "summary": "abstractive"}
     docs = v("t_documents").where("source_type = 'article'").count()
