@@ -23,22 +23,31 @@ def term_matches(tokens: DataFrame, terms: DataFrame, max_phrase: int = 3, min_s
     term of at least ``min_sub`` characters inside a longer token (of equal lengths the smaller term).
 
     Parts of tokens are made once per distinct token and meet the terms in an equality join. Only runs of phrases
-    that overlap are looked at in order, each run by itself."""
+    that overlap are looked at in order, each run by itself; without phrases among the terms nothing is ordered at all."""
     terms = terms.select("term").distinct()
-    grams, gram = [], F.col("token")
-    for n in range(1, max_phrase + 1):
-        gram = F.concat(gram, F.lit(sep), F.lead("token", n - 1).over(_ordered())) if n > 1 else gram
-        grams.append(F.struct(F.lit(n).alias("words"), gram.alias("term")))
-    rows = tokens.select("doc_id", "pos", "token", F.array(*grams).alias("gs"))
-    found = rows.select("doc_id", "pos", F.explode("gs").alias("g")).select("doc_id", "pos", "g.words", "g.term").join(terms, "term")
-    phrase = found.groupBy("doc_id", "pos").agg(F.max(F.struct("words", "term")).alias("m")).select("doc_id", "pos", "m.words", "m.term")
+    widest = terms.agg(F.max(F.size(F.split("term", sep))) if sep else F.lit(max_phrase), F.max(F.length("term"))).first()
+    max_phrase, inner = min(max_phrase, widest[0] or 1), (widest[1] or 0) >= min_sub
+    if max_phrase == 1:  # no phrase among the terms: a token is one or it is not
+        phrase = tokens.join(terms, F.col("token") == F.col("term")).select("doc_id", "pos", F.lit(1).alias("words"), "term")
+    else:
+        grams, gram = [], F.col("token")
+        for n in range(1, max_phrase + 1):
+            gram = F.concat(gram, F.lit(sep), F.lead("token", n - 1).over(_ordered())) if n > 1 else gram
+            grams.append(F.struct(F.lit(n).alias("words"), gram.alias("term")))
+        rows = tokens.select("doc_id", "pos", "token", F.array(*grams).alias("gs"))
+        found = rows.select("doc_id", "pos", F.explode("gs").alias("g")).select("doc_id", "pos", "g.words", "g.term").join(terms, "term")
+        phrase = found.groupBy("doc_id", "pos").agg(F.max(F.struct("words", "term")).alias("m")).select("doc_id", "pos", "m.words", "m.term")
+    both = phrase.withColumn("via", F.when(F.col("words") > 1, "phrase").otherwise("exact"))
+    if not inner and max_phrase == 1:
+        return both
     long = tokens.where(F.length("token") > min_sub).select("token").distinct()
     starts = F.transform(F.sequence(F.lit(1), F.length("token") - min_sub + 1), lambda i: F.transform(F.sequence(F.lit(min_sub), F.length("token") - i + 1), lambda n: F.substring("token", i, n)))
     parts = long.select("token", F.explode(F.array_distinct(F.flatten(starts))).alias("term")).where("term <> token").join(terms, "term")
     inside = parts.groupBy("token").agg(F.min(F.struct((-F.length("term")).alias("n"), "term"))["term"].alias("term"))
     compound = tokens.join(inside, "token").select("doc_id", "pos", F.lit(1).alias("words"), "term")
-    both = phrase.withColumn("via", F.when(F.col("words") > 1, "phrase").otherwise("exact"))
     both = both.unionByName(compound.join(phrase.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").withColumn("via", F.lit("compound")))
+    if max_phrase == 1:
+        return both
     reach = F.max(F.col("pos") + F.col("words")).over(_ordered().rowsBetween(W.unboundedPreceding, -1))
     runs = both.withColumn("_run", F.sum(F.when(reach > F.col("pos"), 0).otherwise(1)).over(_ordered()))
     one = F.struct("pos", "words", "term", "via")
