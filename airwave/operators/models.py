@@ -84,10 +84,19 @@ def estimator(algo: str, n: int, C: float | None = None, rounds: int = 50) -> Es
     raise ValueError(f"unknown algorithm {algo}")
 
 
+def _gathered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Weighted rows, kept, in as many partitions as they fill, and their number: a fit reads them many times."""
+    n = max(rows.count(), 1)
+    return balanced(rows).coalesce(-(-n // 20_000)).persist(), n
+
+
 def train_classifier(rows: DataFrame, algo: str = "logistic", C: float | None = None, rounds: int = 50) -> Model:
     """A model over rows (features, label); classes weigh the same."""
-    rows = balanced(rows)
-    return estimator(algo, max(rows.count(), 1), C, rounds).fit(rows)
+    kept, n = _gathered(rows)
+    try:
+        return estimator(algo, n, C, rounds).fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def scores(rows: DataFrame, model: Model) -> DataFrame:
@@ -197,8 +206,7 @@ def cross_validate(predicted: DataFrame, folds: int) -> list[tuple[int, float, f
 
 def grid_search(rows: DataFrame, folds: int, grids: dict[str, list[float]], parallel: int = 4, rounds: int = 30) -> list[tuple[str, float, float]]:
     """(algo, C, macro_f1) of every grid point by cross-validation over ``fold``, the best first."""
-    rows, found = balanced(rows).withColumn("fold", F.col("fold").cast("int")), []
-    n = max(rows.count(), 1)
+    (rows, n), found = _gathered(rows.withColumn("fold", F.col("fold").cast("int"))), []
     for algo, values in grids.items():
         base = estimator(algo, n, rounds=rounds)
         if algo == "svm":  # the penalty belongs to the inner classifier
@@ -206,7 +214,7 @@ def grid_search(rows: DataFrame, folds: int, grids: dict[str, list[float]], para
         else:
             grid = ParamGridBuilder().addGrid(base.smoothing if algo == "bayes" else base.regParam, [c if algo == "bayes" else 1 / (c * n) for c in values]).build()
         cv = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=MacroF1(), foldCol="fold", numFolds=folds, parallelism=parallel)
-        found += [(algo, c, round(m, 6)) for c, m in zip(values, cv.fit(rows).avgMetrics)]
+        found += [(algo, c, round(float(m), 6)) for c, m in zip(values, cv.fit(rows).avgMetrics)]
     return sorted(found, key=lambda r: (-r[2], r[0], r[1]))
 
 

@@ -56,7 +56,7 @@ def _(v):
 @register("predict")
 def _(v):
     rows = _features(v)
-    return models.predict(rows, models.train_classifier(rows, "svm", rounds=ROUNDS), NAMES, "ordinary").select("id", "label", F.round("confidence", 6).alias("confidence"))
+    return models.predict(rows, models.train_classifier(rows, "svm", rounds=5), NAMES, "ordinary").select("id", "label", F.round("confidence", 6).alias("confidence"))
 
 
 @register("save_model")
@@ -93,7 +93,7 @@ def _(v):
 @register("grid_search")
 def _(v):
     rows = _features(v)
-    found = models.grid_search(rows, FOLDS, {"logistic": [1.0, 4.0], "svm": [0.5], "bayes": [0.5, 1.0]}, rounds=10)
+    found = models.grid_search(rows, FOLDS, {"logistic": [1.0, 4.0], "svm": [0.5], "bayes": [0.5, 1.0]}, rounds=5)
     return rows.sparkSession.createDataFrame(found, "algo string, C double, macro_f1 double")
 
 
@@ -117,11 +117,11 @@ def _(v):
     rows = _features(v)
     folds = None
     for k in range(FOLDS):
-        m = models.train_classifier(rows.where(F.col("fold") != k), "svm", rounds=ROUNDS)
+        m = models.train_classifier(rows.where(F.col("fold") != k), "svm", rounds=5)
         from pyspark.ml.functions import vector_to_array
 
         part = m.transform(rows.where(F.col("fold") == k)).select("label", vector_to_array("rawPrediction").alias("raw"))
         folds = part if folds is None else folds.unionByName(part)
     curves = models.calibrate(folds.persist(), 2)
-    model = models.train_classifier(rows, "svm", rounds=ROUNDS)
+    model = models.train_classifier(rows, "svm", rounds=5)
     return models.calibrated(rows, model, curves).select("id", "label", F.round(F.get("p", F.lit(1)), 6).alias("p_toxic"))
