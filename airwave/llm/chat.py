@@ -7,8 +7,9 @@ path becomes one formatted conversation with a loss mask over its assistant text
 
 Defined cases: null role or text count as empty; a message whose parent does not exist is a root;
 messages that reach no root (a cycle) are left out; equal branch scores go to the smaller leaf;
-repeated rows of a linear conversation are turns of their own; an empty table gives no conversation;
-other columns are left out.
+repeated rows of a linear conversation are turns of their own; rows with a null conv_id are one
+conversation, whose conv_id comes back null; an empty table gives no conversation; other columns are
+left out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: stands for a null conv_id between the steps
+NO_ID = -(2**63)
 #: Fixed by the template: what opens and closes a turn. A control string begins with < or [, and
 #: these two and the backslash are escaped by a backslash wherever text or role hold them.
 USER, ASSISTANT, OTHER = ("[INST] ", " [/INST]"), (" ", " </s>"), ("<<", ">>", "<</>>")
@@ -118,7 +121,7 @@ def linear(conversations: DataFrame) -> DataFrame:
     """Conversations by turn as reply trees of one branch: each row answers the row before it."""
     c = conversations.select(F.col("conv_id").cast("long").alias("tree"), "turn", "role", "text")
     c = c.withColumn("node", F.row_number().over(W.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), "role", "text")).cast("long"))
-    return c.select(F.coalesce("tree", F.lit(-(2**63))).alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    return c.select(F.coalesce("tree", F.lit(NO_ID)).alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -149,7 +152,8 @@ EXTRA = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string"))
-    return read_back(format_paths(linear(rows))).withColumnRenamed("tree", "conv_id")
+    conv_id = F.when(F.col("tree") != NO_ID, F.col("tree"))
+    return read_back(format_paths(linear(rows))).select(conv_id.alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 SQL = """

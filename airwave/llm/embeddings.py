@@ -10,8 +10,9 @@ spanning forest, never its pairs. The number of pivots follows the square root o
 so lists grow as slowly; the pivots come from a sample of four times as many, and every row is indexed.
 
 Defined cases: null, zero or empty vectors, vectors with null or non-finite components and rows with
-a null label or vec_id link with nothing; vectors of different lengths never link; a repeated vec_id is one
-vector per row of its class; other columns are left out; an empty table gives an empty result.
+a null label or vec_id link with nothing; vectors of different lengths never link; rows that share a
+vec_id are vectors of their own, each with its own links; other columns are left out; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -39,9 +40,11 @@ def usable() -> Column:
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """(label, embedding, rep, weight): equal vectors of a label; combined before they are shuffled."""
+    """(label, embedding, rep, least_id, weight): equal vectors of a label; combined before they are shuffled. rep numbers
+    the classes once the table is written; the ids of different vectors may be equal."""
     rows = vectors.where(usable()).select("label", "embedding", "vec_id")
-    return rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    found = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
+    return found.withColumn("rep", F.monotonically_increasing_id())
 
 
 def _unit(vectors) -> np.ndarray:
@@ -154,14 +157,14 @@ def links(reps: DataFrame, least: float = 0.98) -> DataFrame:
     """(a, b, n): n links of a where b is null; an edge of a spanning forest a - b where n is null."""
     spark = reps.sparkSession
     most = min(MOST, max(PIVOTS, int(reps.count() ** 0.5)))
-    chosen = reps.orderBy(F.xxhash64("rep", "label"), "rep").limit(4 * most).select("embedding").collect()
+    chosen = reps.orderBy(F.xxhash64("embedding", "label"), "rep").limit(4 * most).select("embedding").collect()
     pivots: dict[int, np.ndarray] = {}
     for size in {len(r["embedding"]) for r in chosen}:
         pivots[size] = spread(_unit([r["embedding"] for r in chosen if len(r["embedding"]) == size]), most)
     sized = reps.where(F.size("embedding").isin([*pivots])) if pivots else reps.limit(0)
     other = reps.where(~F.size("embedding").isin([*pivots])) if pivots else reps.limit(0)
     described = describe(sized, pivots)
-    alone = other.withColumn("perm", F.array(F.lit(0)))  # lengths without a pivot: one list each, compared whole
+    alone = other.select("label", "embedding", "rep", "weight", F.array(F.lit(0)).alias("perm"))  # lengths without a pivot: one list each, compared whole
     rows = described.unionByName(alone).withColumn("_size", F.size("embedding"))
     rows = common.cut(rows, "described")
     # of pivots in order the first that a pair shares has SHARED - 1 shared ones after it in both: the others need no list
@@ -197,9 +200,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     reps = common.cut(classes(rows), "classes")
     found = links(reps, least)
     counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    comp = components(found.where("b is not null").select("a", "b"))
-    known = reps.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    known = common.cut(known.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
+    comp = common.cut(components(found.where("b is not null").select("a", "b")), "components")
+    named = reps.select("rep", "least_id").join(comp.withColumnRenamed("node", "rep"), "rep")
+    named = comp.join(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select(F.col("node").alias("rep"), "component_id")
+    known = reps.join(counts, "rep", "left").join(named, "rep", "left")
+    known = common.cut(known.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "known")
     good = usable()
     tied = rows.withColumn("_l", F.when(good, F.col("label"))).withColumn("_e", F.when(good, F.xxhash64("embedding")))
     known = known.withColumn("_h", F.xxhash64("embedding")).withColumnRenamed("label", "_kl").withColumnRenamed("embedding", "_ke")

@@ -1,12 +1,13 @@
 """Packing token ids into fixed windows by minimum bin slack.
 
 Every document is cut into full windows of ``capacity`` ids and one remainder. Whole windows stand
-alone. The remainders are described by one count per length (at most capacity - 1 counts, whatever
+alone and are numbered where they are cut, after the counts of the tasks before. The remainders are described by one count per length (at most capacity - 1 counts, whatever
 the corpus size). Over these counts a bitset subset-sum program finds the multiset of lengths whose
 sum comes closest to the capacity, backtracking gives how often each length is in it, and that
 pattern is used as often as the counts allow. Each use exhausts some length, so there are few
 patterns. Remainders are then dealt to the pattern's places by their rank among their own length;
-ranks are formed in salted groups, so that a very common length needs no task of its own.
+ranks are formed in salted groups of some ``GROUP`` remainders, so that a very common length needs no
+task of its own, whatever the corpus size.
 
 Defined cases: a null text is empty and packs its end id alone; repeated rows are packed each on
 its own; other columns of the input are left out; an empty table gives no piece.
@@ -24,16 +25,18 @@ from pyspark.sql import functions as F
 from . import common
 from .pieces import STEP, slices, units
 
-SALT = 64
+#: remainders of one length that one task ranks
+GROUP = 1 << 18
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids): pieces of at most ``capacity`` ids (little-endian uint32), whole text, end id last."""
+    """(doc_id, start, length, doc_tokens, ids, nth): pieces of at most ``capacity`` ids (little-endian uint32), whole text,
+    end id last; nth numbers the full windows of a task from 0 and is null for remainders."""
 
     def run(batches):
         import pyarrow as pa
 
-        tok = units(path, False)
+        tok, windows = units(path, False), 0
         for part in slices(batches, "text", STEP):
             ids, stop = tok.encode(part.column("text").to_pylist())
             raw = np.insert(ids, stop, end_id).astype("<u4").tobytes()
@@ -44,10 +47,13 @@ def tokenize(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFram
                 out += [(doc, at, min(capacity, n - at), n, raw[4 * (begin + at) : 4 * min(begin + at + capacity, end)]) for at in range(0, n, capacity)]
                 begin = end
             cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
+            full = np.array(cols[2], np.int64) == capacity
+            nth = pa.array(windows + np.cumsum(full) - 1, mask=~full)
+            windows += int(full.sum())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), nth], ["doc_id", "start", "length", "doc_tokens", "ids", "nth"])
 
     source = common.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return source.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary, nth long")
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -107,15 +113,20 @@ def pack(
     ``payload``, made from ids where they are (default: the ids themselves)."""
     spark = docs.sparkSession
     payload = payload or {"ids": F.col("ids")}
-    made = tokenize(docs, path, end_id, capacity).select("doc_id", "start", "length", "doc_tokens", *(c.alias(k) for k, c in payload.items()))
-    made = common.cut(made.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    salted = made.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALT)))
+    made = tokenize(docs, path, end_id, capacity).select("doc_id", "start", "length", "doc_tokens", *(c.alias(k) for k, c in payload.items()), "nth")
+    made = common.cut(made.withColumns({"_row": F.monotonically_increasing_id(), "_task": F.spark_partition_id()}), "pieces")
+    windows, rest = made.where("nth is not null"), made.where("nth is null")
+    # one row per task that has cut windows, and the windows of the tasks before it
+    tasks = windows.groupBy("_task").agg(F.count("*").alias("_n"))
+    tasks = common.cut(tasks.withColumn("_before", F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")), "tasks")
+    full = tasks.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    counts = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = spark.createDataFrame([(k, -(-n // GROUP)) for k, n in counts.items()], "length long, _salts long")
+    salted = rest.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")))
     groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    # every length's places before this salt; lengths and salts are bounded, so is this table
+    # every length's places before this salt: a row for each length, and for each GROUP remainders
     groups = common.cut(groups.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "lengths")
-    counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    full = counts.pop(capacity, 0)
-    places = [(capacity, 0, full, 1, 0, 0)] if full else []
+    places: list[tuple] = []
     base, taken = full, dict.fromkeys(counts, 0)
     for copies, used in plan(counts, capacity):
         offset = 0
@@ -134,11 +145,13 @@ def pack(
     index = table.groupBy(F.col("p_length").alias("length")).agg(F.sort_array(F.collect_list(F.struct("p_from", "p_to", "p_n", "p_base", "p_offset"))).alias("_places"))
     out = ranked.join(F.broadcast(index), "length").withColumn("_p", F.filter("_places", lambda p: (p["p_from"] <= F.col("_rank")) & (F.col("_rank") < p["p_to"]))[0])
     local = F.col("_rank") - F.col("_p.p_from")
-    return out.select(
+    alone = windows.join(F.broadcast(tasks.select("_task", "_before")), "_task")
+    alone = alone.select("doc_id", "start", "length", "doc_tokens", *payload, (F.col("_before") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return alone.unionByName(out.select(
         "doc_id", "start", "length", "doc_tokens", *payload,
         (F.col("_p.p_base") + F.floor(local / F.col("_p.p_n"))).cast("long").alias("sequence_id"),
         (F.col("_p.p_offset") + F.pmod(local, F.col("_p.p_n")) * F.col("length")).cast("long").alias("offset"),
-    )
+    ))
 
 
 def padding(pieces_: DataFrame, capacity: int) -> DataFrame:

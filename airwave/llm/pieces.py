@@ -2,10 +2,11 @@
 
 Three kinds of place always separate two pre-tokens of the tokenizers used here: before a single blank
 that a visible character follows, between a letter and a following mark, and after a line feed between
-two visible characters. A text is cut there on its bytes with numpy; every unit is named by a 64-bit
-hash of its bytes and length, and only units that the worker's table does not hold become Python
-strings and go through the encoder. The table is made of arrays, not objects; when it is full it starts
-anew, which costs time, never results.
+two visible characters. A text is cut there on its bytes with numpy; every unit is looked up by a 64-bit
+hash of its bytes and length and then compared byte by byte, and only units that the worker's table does
+not hold become Python strings and go through the encoder. Should two units share a hash, the table starts
+anew with another seed. It is made of arrays, not objects; when it is full it starts anew, which costs
+time, never results.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .hashing import concatenate, stretch_hash
+from .hashing import concatenate, same_bytes, stretch_hash
 
 #: Units that a worker's table holds, and bytes of text cut at a time.
 CACHE, STEP = 2_000_000, 4 << 20
@@ -71,36 +72,47 @@ class Units:
     ``learn`` gives (ids, number of ids of each) of a list of new units."""
 
     def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], blanks_count: bool):
-        self.learn, self.blanks_count = learn, blanks_count
+        self.learn, self.blanks_count, self.seed = learn, blanks_count, 0
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = [np.zeros(0, np.uint32)]
-        self.total = 0
+        self.begin, self.stop = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.bytes = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
+        self.total = self.held = 0
 
     def _add(self, buf: np.ndarray, keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
         raw = buf.tobytes()
-        ids, n = self.learn([raw[a:b].decode() for a, b in zip(first.tolist(), last.tolist())])
+        units = [raw[a:b] for a, b in zip(first.tolist(), last.tolist())]
+        ids, n = self.learn([u.decode() for u in units])
         where = np.searchsorted(self.keys, keys)
+        stop = self.held + np.cumsum(last - first)
         self.at = np.insert(self.at, where, self.total + np.cumsum(n) - n)
         self.size = np.insert(self.size, where, n)
+        self.begin, self.stop = np.insert(self.begin, where, stop - (last - first)), np.insert(self.stop, where, stop)
         self.keys = np.insert(self.keys, where, keys)
         self.ids.append(ids.astype(np.uint32))
+        self.bytes.append(np.frombuffer(b"".join(units), np.uint8))
         self.total += len(ids)
+        self.held = int(stop[-1]) if len(stop) else self.held
 
     def _place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
         return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        buf, starts = concatenate(texts)
-        first, last = cut_units(buf, starts, self.blanks_count)
-        h = stretch_hash(buf, first, last)
-        keys, one, inverse = np.unique(h, return_index=True, return_inverse=True)
+    def _looked_up(self, buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray | None:
+        """Where the table has each unit; None if two different units share a hash."""
+        keys, one, inverse = np.unique(stretch_hash(buf, first, last, self.seed), return_index=True, return_inverse=True)
+        if not same_bytes(buf, first, last, buf, first[one][inverse], last[one][inverse]).all():
+            return None
         at, known = self._place(keys)
+        if len(self.bytes) > 1:
+            self.bytes = [np.concatenate(self.bytes)]
+        there, mine = at[known], one[known]
+        if not same_bytes(buf, first[mine], last[mine], self.bytes[0], self.begin[there], self.stop[there]).all():
+            return None
         if not known.all():
             if len(self.keys) + int((~known).sum()) > CACHE:
                 self._clear()
@@ -108,9 +120,16 @@ class Units:
             new = one[~known]
             self._add(buf, keys[~known], first[new], last[new])
             at, _ = self._place(keys)
+        return at[inverse]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        buf, starts = concatenate(texts)
+        first, last = cut_units(buf, starts, self.blanks_count)
+        while (own := self._looked_up(buf, first, last)) is None:
+            self.seed += 1
+            self._clear()
         if len(self.ids) > 1:
             self.ids = [np.concatenate(self.ids)]
-        own = at[inverse]
         ids, ends = gather(self.ids[0], self.at, self.size, own)
         # units before each text's end
         before = np.searchsorted(first, starts[1:])

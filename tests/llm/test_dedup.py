@@ -63,6 +63,14 @@ def test_sketch(spark, sf):
     assert got == {d: (len(s), comp[d]) for d, s in sets.items()}
 
 
+def test_twins_of_a_polynomial_hash_are_not_linked(spark):
+    parity = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    twin = parity.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x {parity} y"), (2, f"x {twin} y"), (3, f"x {parity} y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in sketch.near_duplicates(docs, 3, 85, 100).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def families():
     import random
 

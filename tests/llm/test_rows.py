@@ -77,6 +77,14 @@ def test_chat(spark, sf):
     assert chat.format_paths(chat.linear(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_chat_null_conversation(spark, tmp_path):
+    """Rows without a conv_id are one conversation, which stays without one."""
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (7, 0, "user", "c")]
+    spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, tree string, node int").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.query(spark, str(tmp_path)).collect()}
+    assert got == {None: (2, 1), 7: (1, 0), -1: (2, 21)}
+
+
 def test_chat_branches(spark):
     rnd = random.Random(1)
     nodes, parent = [], {}
@@ -167,6 +175,13 @@ def test_embedding_edge_rows(spark):
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_embeddings_that_share_a_vec_id(spark):
+    """Each vector has its own links, whatever its id."""
+    rows = [(1, [0.0, 1.0], 1), (1, [1.0, 0.0], 1), (2, [0.01, 1.0], 1), (3, [1.0, 0.01], 1), (4, [1.0, -0.01], 1), (5, [1.0, 1.0], 1)]
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True)]
+
+
 def test_embedding_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     rng = np.random.default_rng(0)

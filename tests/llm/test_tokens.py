@@ -5,10 +5,11 @@ import hashlib
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
-from airwave.llm import bpe, packing, tokenfiles
+from airwave.llm import bpe, packing, pieces, tokenfiles
 
 ODD = ["", None, " ", "a", "a  b", " x\n\ny ", "it's 'sOne two", "tab\tand 　wide", "é combining", "aaaa aaaaaaa", "<|endoftext|> x", "日本語 テスト  ", "end \x1c mark", "word " * 3000]
 
@@ -64,6 +65,77 @@ def test_bpe_random_words_against_tiktoken():
             assert ids[a:b].tolist() == enc.encode_ordinary(w), w
 
 
+#: the parity of the ones in each place's number: a polynomial hash modulo 2 ** 64 takes the two for equal
+PARITY = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+TWINS = [PARITY, PARITY.translate(str.maketrans("ab", "ba"))]
+
+
+def test_twins_of_a_polynomial_hash_keep_their_own_ids(spark):
+    import tiktoken
+
+    rows, t, u = list(enumerate(TWINS * 2)), tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
+    coder = pieces.units(P.path("byte_bpe_50k.json"), True)
+    got, ends = coder.encode(TWINS)
+    assert [got[a:b].tolist() for a, b in zip([0, *ends], ends)] == [t.encode(x, add_special_tokens=False).ids for x in TWINS]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert {r["doc_id"]: list(r["ids"]) for r in bpe.encode(frame(spark, rows), path, P.PATTERN).collect()} == {d: enc.encode_ordinary(x) for d, x in rows}
+    for r in packing.pack(frame(spark, rows), packing.tokenizer_path(), 1, 4096).collect():
+        assert list(struct.unpack(f"<{r['length']}I", r["ids"])) == u.encode(rows[r["doc_id"]][1], add_special_tokens=False).ids + [1]
+
+
+def test_units_that_share_a_hash_are_told_apart(monkeypatch):
+    """A hash of two bits: bytes decide, and the table starts anew until no two units meet."""
+    from airwave.llm import hashing
+
+    texts = ["one two three", "two four"]
+    learn = lambda units: (np.array([len(u) for u in units], np.uint32), np.ones(len(units), np.int64))
+    weak = lambda buf, first, last, seed=0: hashing.stretch_hash(buf, first, last, seed) & np.uint64(15)
+    monkeypatch.setattr(pieces, "stretch_hash", weak)
+    table = pieces.Units(learn, False)
+    for _ in range(2):
+        ids, ends = table.encode(texts)
+        assert ids.tolist() == [3, 3, 5, 3, 4] and ends.tolist() == [3, 5]
+
+
+def test_same_bytes():
+    from airwave.llm import hashing
+
+    buf, starts = hashing.concatenate(["a" * 600 + "b", "a" * 600 + "c", "a" * 600 + "b", "", "xy", "xz"])
+    first, last = starts[:-1], starts[1:] - 1
+    pairs = [(0, 1), (0, 2), (3, 3), (4, 5), (4, 4), (0, 4)]
+    i, j = map(np.array, zip(*pairs))
+    assert hashing.same_bytes(buf, first[i], last[i], buf, first[j], last[j]).tolist() == [False, True, True, False, True, False]
+    h = hashing.stretch_hash(buf, first, last)
+    assert h[0] == h[2] and len({*h.tolist()}) == 5
+
+
+def test_pack_ranks_in_groups(spark, monkeypatch):
+    """Remainders of one length over many groups, and windows of several tasks: every place is taken once."""
+    monkeypatch.setattr(packing, "GROUP", 3)
+    rows = [(i, "word " * (5 + i % 4)) for i in range(60)] + [(100 + i, "word " * (90 + i)) for i in range(12)]
+    out = packing.pack(frame(spark, rows).repartition(5), packing.tokenizer_path(), 1, 32).collect()
+    windows = {}
+    for r in out:
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(windows) == list(range(len(windows)))
+    for w in windows.values():
+        at = 0
+        for offset, n in sorted(w):
+            assert offset == at
+            at += n
+        assert at <= 32
+
+
+def test_token_operators_leave_clashing_columns_out(spark):
+    rows = spark.createDataFrame([(1, "a b", 9, "x", 3, 4)], "doc_id long, text string, ids long, nth string, _row long, length int")
+    assert packing.pack(rows, packing.tokenizer_path(), 1).columns == ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
+    assert packing.pack(rows, packing.tokenizer_path(), 1).count() == 1
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.encode(rows, path, P.PATTERN).columns == ["doc_id", "ids"] and bpe.encode(rows.limit(0), path, P.PATTERN).count() == 0
+
+
 def test_pack(spark, documents):
     t = tokenizer("word_bpe_49k.json")
     out = packing.pack(frame(spark, documents), packing.tokenizer_path(), 1, 256).collect()
