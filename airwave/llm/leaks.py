@@ -253,6 +253,7 @@ def scanned(docs: DataFrame, index: Index | None) -> DataFrame:
             yield from pa.table(cols, [*(f.name for f in others), "n_words", "spans", "items"]).to_batches()
 
     more = T._parse_datatype_string(f"n_words long, spans {_SPANS}, items array<long>")
+    more = T.StructType.fromDDL(f"n_words long, spans {_SPANS}, items array<long>")
     return docs.mapInArrow(run, T.StructType([*others, *more.fields]))
 
 
