@@ -97,3 +97,22 @@ def words(buf: np.ndarray, starts: np.ndarray, inside: np.ndarray, fold: bool =
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     h = stretch_hash(LOWER[buf] if fold else buf, first, last)
     return h, np.searchsorted(starts, first, "right") - 1, first, last
+
+
+class Probe:
+    """Which of many hashes are in a set: a bit table first, then the sorted set."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = np.uint64(max(1 << 12, 1 << int(16 * len(keys)).bit_length()) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[keys & self.mask] = True
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``x`` that hold a key, and which one."""
+        some = np.flatnonzero(self.bits[x & self.mask])
+        if not len(self.keys):
+            return some, some
+        at = np.minimum(np.searchsorted(self.keys, x[some]), len(self.keys) - 1)
+        good = self.keys[at] == x[some]
+        return some[good], at[good]

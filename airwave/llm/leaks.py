@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .hashing import ALNUM, LOWER, concatenate, mix, same_bytes, words
+from .hashing import ALNUM, LOWER, Probe, concatenate, mix, same_bytes, words
 from .pieces import slices
 
 #: words of a shingle, pairs of window and item that are broadcast at once, bytes of text judged at a time, and
@@ -76,23 +76,6 @@ def shingles(t: Text, k: int) -> tuple[np.ndarray, np.ndarray]:
     return x[at], at
 
 
-class Probe:
-    """Which of many hashes are in a set: a bit table first, then the sorted set."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.mask = np.uint64(max(1 << 12, 1 << int(16 * len(keys)).bit_length()) - 1)
-        self.bits = np.zeros(int(self.mask) + 1, bool)
-        self.bits[keys & self.mask] = True
-
-    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``x`` that hold a key, and which one."""
-        some = np.flatnonzero(self.bits[x & self.mask])
-        at = np.minimum(np.searchsorted(self.keys, x[some]), len(self.keys) - 1)
-        good = self.keys[at] == x[some]
-        return some[good], at[good]
-
-
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     """(item_id, window binary, size): every item's windows, words folded and joined by blanks."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, codes, embeddings, exact, leaks, packing, quality, sketch, suffix, tokenfiles, toxicity
+from . import bpe, chat, codes, embeddings, exact, leaks, packing, phrases, quality, sketch, suffix, tokenfiles, toxicity
 
 
 def queries():
@@ -18,9 +18,10 @@ def queries():
         "op9_token_files": tokenfiles.query,
         "op10_embedding_neardup": embeddings.query,
         "op11_vector_codes": codes.query,
+        "op12_collocations": phrases.query,
         "op13_decontamination": leaks.query,
     }
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": exact.SQL, "op6_chat_formatting": chat.SQL, "op11_vector_codes": codes.SQL, "op13_decontamination": leaks.SQL}
+    return {"op5_exact_dedup": exact.SQL, "op6_chat_formatting": chat.SQL, "op11_vector_codes": codes.SQL, "op12_collocations": phrases.SQL, "op13_decontamination": leaks.SQL}
