@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from airwave.llm import hashing, phrases
+from airwave.llm import phrases
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -64,14 +64,17 @@ def test_collocations_equal_plain_counting(spark, monkeypatch, whole, small, hel
 def test_words_that_share_a_key_take_another_seed(spark, monkeypatch):
     rows = some_rows()[:60]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    plain = hashing.stretch_hash
+    plain, seeds = phrases.read_words, []
 
-    def weak(buf, first, last, seed=0):
-        return plain(buf, first, last, seed) & np.uint64(7 if seed == 0 else 2**64 - 1)
+    def weak(part, seed):
+        key, *more = plain(part, seed)
+        return key & np.uint64(7 if seed == 0 else 2**64 - 1), *more
 
-    monkeypatch.setattr(phrases, "stretch_hash", weak)
+    counted = phrases.vocabulary
+    monkeypatch.setattr(phrases, "read_words", weak)
+    monkeypatch.setattr(phrases, "vocabulary", lambda rows, seed: seeds.append(seed) or counted(rows, seed))
     found, words = phrases.frequent(d, 3, 3)
-    assert words.groupBy("key").count().where("count > 1").count() == 0 and found.count() > 5
+    assert words.groupBy("key").count().where("count > 1").count() == 0 and found.count() > 5 and seeds == [0, 1]
 
 
 def test_scores_beyond_64_bits(spark):
