@@ -93,7 +93,8 @@ def same_bytes(a: np.ndarray, a_first: np.ndarray, a_last: np.ndarray, b: np.nda
 def words(buf: np.ndarray, starts: np.ndarray, inside: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number, first and last+1 byte of each maximal run of bytes that ``inside`` marks."""
     keep = inside[buf]
-    edge = np.diff(np.concatenate([[0], keep.view(np.int8), [0]]))
+    none = np.zeros(1, np.int8)
+    edge = np.diff(np.concatenate([none, keep.view(np.int8), none]))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     h = stretch_hash(LOWER[buf] if fold else buf, first, last)
     return h, np.searchsorted(starts, first, "right") - 1, first, last

@@ -36,7 +36,7 @@ from .hashing import LOWER, Probe, concatenate, mix, stretch_hash
 from .pieces import gather, slices
 
 #: frequent words or pairs that are broadcast, bytes of text read at a time, suffixes that a task holds before it sends them
-WHOLE, STEP, HELD = 1 << 22, 8 << 20, 6 << 20
+WHOLE, STEP, HELD = 1 << 22, 4 << 20, 2 << 20
 #: pointers of a partition that a plain sort finishes, and candidates that one task ranks
 SMALL, RANKED = 1 << 12, 1 << 17
 
@@ -53,7 +53,8 @@ def read_words(part, seed: int):
     """Key of every word of the texts, whether the next word is in the same piece, text, folded bytes, first and last+1 byte."""
     buf, starts = concatenate(part.column("text").to_pylist())
     inside = ~(BREAK | BLANK)[buf]
-    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    none = np.zeros(1, np.int8)
+    edge = np.diff(np.concatenate([none, inside.view(np.int8), none]))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     low = LOWER[buf]
     doc = np.searchsorted(starts, first, "right") - 1
@@ -210,7 +211,9 @@ def counts(rows: DataFrame, seed: int, least: int, words_known, pairs_known, lon
         held: list[list[np.ndarray]] = []
 
         def sent():
-            columns, n = distinct([np.concatenate(c) for c in zip(*held)], small)
+            columns = [np.concatenate(c).astype(np.uint64) for c in zip(*held)]
+            held.clear()
+            columns, n = distinct(columns, small)
             for at in range(0, len(made := list(route(columns[:longest], n, lead, buckets, coder.kind))), 4096):
                 cols = list(zip(*made[at : at + 4096]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "size", "blob"])
@@ -232,10 +235,9 @@ def counts(rows: DataFrame, seed: int, least: int, words_known, pairs_known, lon
             for d in range(1, longest):
                 on = on & more[at + d - 1]
                 columns.append(np.where(on, wide[at + d], coder.end))
-            held.append(columns)
+            held.append([c.astype(coder.kind) for c in columns])
             if sum(len(h[0]) for h in held) >= HELD:
                 yield from sent()
-                held.clear()
         if held:
             yield from sent()
 
