@@ -1,49 +1,63 @@
-"""Column functions over text; each is a JVM expression but for the optional exact NFKC."""
+"""Column functions over text; each is a JVM expression but for the dictionary tokenizer."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: what stands for a run of laughter while digits are squeezed
-_LAUGH = "\u0000L\u0000"
 #: fixed values: the clean-up rules in their order; a link may hold what looks like a mention, and laughter is a run of digits
 _STRIP = (
     (r"<[^>]+>", " "), (r"&(?:[a-zA-Z]+|#\d+);", " "), (r"(?i)(?:https?://|www\.)\S+", " "), (r"(?U)@[\w.\-]+", " "),
     ("[\u200b-\u200f\u202a-\u202e\ufeff\u00ad]", ""),
 )
 _SQUEEZE = (
-    ("5{3,}", _LAUGH), ("\u0e46{2,}", "\u0e46"), (r"(?<![\d,.])(\d)\1{2,}(?![\d,.])", "$1"), (r"(\p{L})\1{2,}", "$1"),
-    (r"(?U)([^\w\s\x00])\1+", "$1"), (_LAUGH, " 555 "),
+    ("\u0e46{2,}", "\u0e46"), (r"(?<![\d,.])(\d)\1{2,}(?![\d,.])", "$1"), (r"(\p{L})\1{2,}", "$1"), (r"(?U)([^\w\s])\1+", "$1"),
+)
+LAUGHTER = "5{3,}"
+#: characters of the Thai script
+THAI = "\u0e00-\u0e7f"
+#: fixed values: the canonical order of Thai marks. A doubled SARA E is SARA AE; NIKHAHIT and SARA AA are SARA AM; vowels
+#: above and below come before tone marks, SARA AM and the vowels that follow come after them; repeated marks are one
+_THAI_ORDER = (
+    ("\u0e40\u0e40", "\u0e41"), ("\u0e4d([\u0e48-\u0e4b]?)\u0e32", "$1\u0e33"), ("([\u0e48-\u0e4b])\u0e4d\u0e32", "$1\u0e33"),
+    ("([\u0e48-\u0e4c]+)([\u0e31\u0e34-\u0e3a\u0e47]+)", "$2$1"), ("([\u0e30\u0e32\u0e33\u0e45]+)([\u0e48-\u0e4b]+)", "$2$1"),
+    ("([\u0e30-\u0e3a\u0e40-\u0e45\u0e47-\u0e4e])\\1+", "$1"),
 )
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
-_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 
-def nfkc(col: Column, exact: bool = False) -> Column:
-    """Compatibility forms: full-width letters, digits and marks become plain in the JVM; ``exact`` applies the whole
-    normalisation in Arrow batches on Python workers."""
-    if not exact:
-        return F.translate(col, _WIDE, _NARROW)
-    import unicodedata
+def nfkc(col: Column) -> Column:
+    """Compatibility forms by Unicode's NFKC, with the collation library that the JVM side has loaded; plain ASCII, which
+    they leave as it is, is not sent through it."""
+    normal = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(True))
+    return F.when(F.rlike(col, F.lit(r"[^\x00-\x7F]")), normal).otherwise(col)
 
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-    def normal(s):
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-    return pandas_udf(normal, "string", PandasUDFType.SCALAR)(col)
+def ordered_marks(col: Column) -> Column:
+    """Thai marks in their canonical order, each once in a row."""
+    for pattern, to in _THAI_ORDER:
+        col = F.regexp_replace(col, pattern, to)
+    return col
 
 
-def clean_text(col: Column, keep_emoji: bool = True, exact: bool = False) -> Column:
+def clean_text(col: Column, keep_emoji: bool = True) -> Column:
     """Text ready for analysis: compatibility forms, then tags, entities, links and mentions go; zero-width characters
     go; laughter (555...) is kept apart; three or more equal digits that stand alone, three or more equal letters and
-    two or more equal marks become one; white space is squeezed. Null stays null."""
-    col = nfkc(col, exact)
-    for pattern, to in (*_STRIP, *_SQUEEZE):
+    two or more equal marks become one; Thai marks take their order; white space is squeezed. Null stays null."""
+
+    def squeezed(c: Column) -> Column:
+        for pattern, to in _SQUEEZE:
+            c = F.regexp_replace(c, pattern, to)
+        return c
+
+    col = nfkc(col)
+    for pattern, to in _STRIP:
         col = F.regexp_replace(col, pattern, to)
+    # what stands between two bursts of laughter is squeezed by itself
+    col = F.array_join(F.transform(F.split(col, LAUGHTER), squeezed), " 555 ")
     col = col if keep_emoji else F.regexp_replace(col, r"[\p{So}\p{Sk}]", "")
-    return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(ordered_marks(col), r"(?U)\s+", " "))
 
 
 def script_ratio(col: Column, letters: str = "a-zA-Z") -> Column:
@@ -58,13 +72,107 @@ def is_noise(col: Column, letters: str = "a-zA-Z", min_ratio: float = 0.2, min_l
     return (n < min_len) | ~F.rlike(col, F.lit(r"\p{L}")) | ((n < 15) & (ratio < min_ratio))
 
 
-def tokenize(col: Column) -> Column:
-    return F.filter(F.split(F.lower(col), r"[^\p{L}]+"), lambda t: t != "")
+#: words (letters with their marks, and digits) and pictographs
+TOKEN = r"[\p{L}\p{M}\p{N}]+|\p{So}"
+Tokenizer = Callable[[Column], Column]
 
 
-def sentence_split(col: Column) -> Column:
-    """Line feeds are hard boundaries; . ! ? end a sentence; pieces are trimmed and empty ones go."""
-    return F.filter(F.transform(F.split(col, r"[.!?\n]"), lambda s: F.trim(s)), lambda s: s != "")
+def tokenize(col: Column) -> Column:
+    """Runs of letters, marks and digits in lower case, and pictographs one by one; white space and punctuation go."""
+    return F.regexp_extract_all(F.lower(col), F.lit(f"({TOKEN})"), 1)
+
+
+def _runs(col: Column, script: str) -> Column:
+    """As ``tokenize``, with runs of ``script`` apart from other letters."""
+    return F.regexp_extract_all(F.lower(col), F.lit(rf"([{script}]+|(?:(?![{script}])[\p{{L}}\p{{M}}\p{{N}}])+|\p{{So}})"), 1)
+
+
+def locale_tokenizer(language: str = "th", country: str = "TH", script: str = THAI) -> Tokenizer:
+    """Tokens of text whose ``script`` has no blanks between words: its runs are cut by the JVM's word breaks for the
+    locale, everything else as ``tokenize`` does."""
+
+    def cut(col: Column) -> Column:
+        inner = lambda r: F.when(F.rlike(r, F.lit(f"[{script}]")), F.flatten(F.sentences(r, F.lit(language), F.lit(country)))).otherwise(F.array(r))
+        return F.flatten(F.transform(_runs(col, script), inner))
+
+    return cut
+
+
+def dictionary_tokenizer(words: list[str], script: str = THAI) -> Tokenizer:
+    """Tokens of text whose ``script`` has no blanks between words, by a dictionary: of all ways to cover a run with
+    words, the one that leaves the fewest characters uncovered, then has the fewest words, then the longer words first.
+    A word ends where a cluster does, never before a mark or a following vowel or after a leading one; what no word
+    covers stays together. ``words`` goes to every worker, so it is a list of a bounded size."""
+    known = Lattice(words)
+
+    def cut(col: Column) -> Column:
+        from pyspark.sql.functions import pandas_udf
+
+        def tokens(lists):
+            return lists.map(lambda rs: None if rs is None else [t for r in rs for t in known.cut(r)])
+
+        tokens.__annotations__ = {}
+        return pandas_udf(tokens, "array<string>", F.PandasUDFType.SCALAR)(_runs(col, script))
+
+    return cut
+
+
+class Lattice:
+    """Shortest paths over dictionary words, which a trie finds from every place at once."""
+
+    #: fixed values: Thai vowels that follow their consonant and those that are written before it
+    AFTER, BEFORE = frozenset("\u0e30\u0e32\u0e33\u0e45"), frozenset("\u0e40\u0e41\u0e42\u0e43\u0e44")
+
+    def __init__(self, words: list[str]):
+        self.root: dict = {}
+        for word in words:
+            node = self.root
+            for ch in word.lower():
+                node = node.setdefault(ch, {})
+            node[""] = True
+        self.letters = {ch for word in words for ch in word.lower()}
+
+    def _breaks(self, run: str) -> list[bool]:
+        import unicodedata
+
+        inside = [unicodedata.category(c)[0] == "M" or c in self.AFTER for c in run]
+        return [True, *(not inside[i] and run[i - 1] not in self.BEFORE for i in range(1, len(run))), True]
+
+    def cut(self, run: str) -> list[str]:
+        if not self.letters.intersection(run):
+            return [run]
+        n, breaks = len(run), self._breaks(run)
+        best: list = [None] * n + [(0, 0)]  # uncovered characters and words from here on
+        step = [0] * n
+        for i in range(n - 1, -1, -1):
+            if not breaks[i]:
+                continue
+            j = i + 1
+            while not breaks[j]:
+                j += 1
+            best[i], step[i] = (best[j][0] + j - i, best[j][1] + 1), -j
+            node, k = self.root, i
+            while k < n and (node := node.get(run[k])) is not None:
+                k += 1
+                # among equals the longer word, which is found later
+                if "" in node and breaks[k] and (best[k][0], best[k][1] + 1) <= best[i]:
+                    best[i], step[i] = (best[k][0], best[k][1] + 1), k
+        out, i, open_ = [], 0, False
+        while i < n:
+            j = abs(step[i])
+            if step[i] < 0 and open_:
+                out[-1] += run[i:j]
+            else:
+                out.append(run[i:j])
+            open_, i = step[i] < 0, j
+        return out
+
+
+def sentence_split(col: Column, unmarked: str | None = None) -> Column:
+    """Line feeds are hard boundaries; . ! ? end a sentence; pieces are trimmed and empty ones go. In the script
+    ``unmarked``, which ends its sentences with a blank, a blank between two of its characters is a boundary as well."""
+    parts = F.split(col, r"[.!?\n]" if unmarked is None else rf"[.!?\n]|(?<=[{unmarked}])\s+(?=[{unmarked}])")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def kept_tokens(tokens: Column, stop: list[str], protected: list[str] = (), min_len: int = 2, drop_numbers: bool = True) -> Column:
@@ -220,8 +328,12 @@ def normalise_sentiment(col: Column) -> Column:
 
 
 def utc_datetime(col: Column) -> Column:
-    """An ISO time as a timestamp; one without a zone is UTC, whatever the session's zone; null if it is none."""
-    zoned = F.when(F.rlike(col, F.lit(r"(?:[Zz]|[+-]\d{2}:?\d{2})$")), col).otherwise(F.concat(col, F.lit("Z")))
+    """An ISO date or time as a timestamp: a date alone is its midnight, the offset may be hours alone, and what has no
+    zone is UTC, whatever the session's zone; null if it is none."""
+    c = F.trim(col)
+    dated = F.when(F.rlike(c, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.concat(c, F.lit("T00:00:00"))).otherwise(c)
+    timed = F.rlike(dated, F.lit(r"^[^Tt ]+[Tt ].*(?:[Zz]|[+-]\d{2}(?::?\d{2})?)$"))
+    zoned = F.when(F.rlike(dated, F.lit(r"[Tt ].*[+-]\d{2}$")), F.concat(dated, F.lit(":00"))).when(timed, dated).otherwise(F.concat(dated, F.lit("Z")))
     return F.try_to_timestamp(zoned)
 
 

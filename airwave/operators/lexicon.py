@@ -1,11 +1,18 @@
-"""Weighted terms in token lists: matching, and the polarity that matched terms add up to."""
+"""Weighted terms in token lists: matching, and the polarity that matched terms add up to.
+
+Matching and weighing look at a token's neighbours, which its row holds in order; so both work on token arrays where
+they are, in Arrow batches, and only matches leave a row. Tokens are looked at once per distinct token of a batch;
+what is neither a term, the beginning of one, a modifier nor a negator costs no step of its own."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import keep
+
 #: fixed values: words that turn the next tokens around, and factors of words that strengthen or weaken
 NEGATORS = ["no", "non", "nicht", "not"]
 MODIFIERS = {"muy": 1.5, "sehr": 1.5, "so": 1.3, "very": 1.5, "wenig": 0.6, "poco": 0.6, "peu": 0.6, "slightly": 0.6}
@@ -13,80 +20,211 @@ MODIFIERS = {"muy": 1.5, "sehr": 1.5, "so": 1.3, "very": 1.5, "wenig": 0.6, "poc
 SCOPE, FLIPPED, BAND, SCALE, CALM = 3, -0.8, 0.35, 1.6, 1.4
 
 
-def _ordered():
-    return W.partitionBy("doc_id").orderBy("pos")
-
-
-def term_matches(tokens: DataFrame, terms: DataFrame, max_phrase: int = 3, min_sub: int = 5, sep: str = " ") -> DataFrame:
-    """(doc_id, pos, words, term, via) of the distinct ``terms`` in ``tokens`` (doc_id, pos, token), from the left
-    and without overlap: the longest phrase of up to ``max_phrase`` tokens that begins at a token, else the longest
-    term of at least ``min_sub`` characters inside a longer token (of equal lengths the smaller term).
-
-    Parts of tokens are made once per distinct token and meet the terms in an equality join. Only runs of phrases
-    that overlap are looked at in order, each run by itself; without phrases among the terms nothing is ordered at all."""
-    terms = terms.select("term").distinct()
-    widest = terms.agg(F.max(F.size(F.split("term", sep))) if sep else F.lit(max_phrase), F.max(F.length("term"))).first()
-    max_phrase, inner = min(max_phrase, widest[0] or 1), (widest[1] or 0) >= min_sub
-    if max_phrase == 1:  # no phrase among the terms: a token is one or it is not
-        phrase = tokens.join(terms, F.col("token") == F.col("term")).select("doc_id", "pos", F.lit(1).alias("words"), "term")
-    else:
-        grams, gram = [], F.col("token")
-        for n in range(1, max_phrase + 1):
-            gram = F.concat(gram, F.lit(sep), F.lead("token", n - 1).over(_ordered())) if n > 1 else gram
-            grams.append(F.struct(F.lit(n).alias("words"), gram.alias("term")))
-        rows = tokens.select("doc_id", "pos", "token", F.array(*grams).alias("gs"))
-        found = rows.select("doc_id", "pos", F.explode("gs").alias("g")).select("doc_id", "pos", "g.words", "g.term").join(terms, "term")
-        phrase = found.groupBy("doc_id", "pos").agg(F.max(F.struct("words", "term")).alias("m")).select("doc_id", "pos", "m.words", "m.term")
-    both = phrase.withColumn("via", F.when(F.col("words") > 1, "phrase").otherwise("exact"))
-    if not inner and max_phrase == 1:
-        return both
-    long = tokens.where(F.length("token") > min_sub).select("token").distinct()
-    starts = F.transform(F.sequence(F.lit(1), F.length("token") - min_sub + 1), lambda i: F.transform(F.sequence(F.lit(min_sub), F.length("token") - i + 1), lambda n: F.substring("token", i, n)))
-    parts = long.select("token", F.explode(F.array_distinct(F.flatten(starts))).alias("term")).where("term <> token").join(terms, "term")
+#: terms, and characters of terms, up to which an automaton goes to every worker
+MOST_TERMS, MOST_CHARS = 1 << 18, 1 << 23
+#: stands for a null in a token list; no term holds it
+NO_TOKEN = "\x00"
+_MATCH = "array<struct<pos:int,words:int,term:string,via:string>>"
+
+
+class _Lists:
+    """The values of a list column as codes of its distinct values, and where each row's begin."""
+
+    def __init__(self, column: pa.Array):
+        import pyarrow.compute as pc
+
+        n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        self.starts = np.concatenate([[0], np.cumsum(n)])
+        coded = pc.fill_null(column.flatten(), NO_TOKEN).dictionary_encode()
+        self.words, self.codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+    def table(self, value) -> np.ndarray:
+        """``value`` of each distinct word."""
+        return np.array([value(w) for w in self.words]) if self.words else np.zeros(0, bool)
+
+    def lists(self, row, values: pa.Array) -> pa.ListArray:
+        """``values``, in order of their ``row``, as a list a row."""
+        ends = np.searchsorted(np.asarray(row, np.int64), np.arange(len(self.starts)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+class Matcher:
+    """An Aho-Corasick automaton over the terms; built where it is used."""
+
+    def __init__(self, terms: list[str], max_phrase: int, min_sub: int, sep: str):
+        self.terms, self.max_phrase, self.min_sub, self.sep = terms, max_phrase, min_sub, sep
+        self.known = self.tree = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "known": None, "tree": None}
+
+    def _built(self):
+        if self.known is None:
+            import ahocorasick
+
+            self.known, self.tree = frozenset(self.terms), ahocorasick.Automaton()
+            for t in self.terms:
+                self.tree.add_word(t, t)
+            self.tree.make_automaton()
+
+    def inside(self, word: str) -> str | None:
+        """The longest term of ``min_sub`` characters or more inside a longer word; of equal ones the smaller."""
+        if len(word) <= self.min_sub or not self.terms:
+            return None
+        fits = [t for _, t in self.tree.iter(word) if self.min_sub <= len(t) < len(word)]
+        return min(fits, key=lambda t: (-len(t), t), default=None)
+
+    def __call__(self, column: pa.Array) -> pa.Array:
+        self._built()
+        lists = _Lists(column)
+        words, codes, starts = lists.words, lists.codes, lists.starts
+        exact = lists.table(self.known.__contains__)
+        leads = lists.table(lambda w: self.max_phrase > 1 and w != "" and self.tree.match(w + self.sep))
+        part = [None if e else self.inside(w) for w, e in zip(words, exact)]
+        some = exact | leads | np.array([p is not None for p in part], bool)
+        at = np.flatnonzero(some[codes]) if len(codes) else np.zeros(0, np.int64)
+        row = np.searchsorted(starts, at, "right") - 1
+        found, free = [], 0  # the next token that no match covers
+        for i, d in zip(at.tolist(), row.tolist()):
+            if i < free:
+                continue
+            code, n, term = codes[i], 0, None
+            if leads[code]:
+                for n in range(min(self.max_phrase, int(starts[d + 1]) - i), 1, -1):
+                    term = self.sep.join(words[c] for c in codes[i : i + n])
+                    if term in self.known:
+                        break
+                else:
+                    n = 0
+            if n > 1:
+                via = "phrase"
+            elif exact[code]:
+                n, term, via = 1, words[code], "exact"
+            elif part[code] is not None:
+                n, term, via = 1, part[code], "compound"
+            else:
+                continue
+            free = i + n
+            found.append((d, i - int(starts[d]), n, term, via))
+        d, pos, n, term, via = zip(*found) if found else ((),) * 5
+        values = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(term, pa.string()), pa.array(via, pa.string())], ["pos", "words", "term", "via"])
+        return lists.lists(d, values)
+
+
+def _weigh(column: pa.Array, matches: pa.Array) -> pa.Array:
+    """Of each match the product of the factors that wait for it and of one right after it, and whether it is negated."""
+    lists, m = _Lists(column), matches.flatten()
+    codes, starts = lists.codes, lists.starts
+    factor, no = lists.table(lambda w: MODIFIERS.get(w, 1.0)), lists.table(NEGATORS.__contains__)
+    first, words = (x.to_numpy() for x in m.flatten()[:2])
+    per_row = np.asarray(matches.value_lengths().fill_null(0))
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    begin = first + starts[row]
+    turns = np.flatnonzero((factor != 1.0)[codes] | no[codes]) if len(codes) else np.zeros(0, np.int64)
+    product, negated, k = np.ones(len(begin)), np.zeros(len(begin), bool), 0
+    own = last_end = -1
+    for j, (i, d, n) in enumerate(zip(begin.tolist(), row.tolist(), words.tolist())):
+        if d != own:
+            own, last_end, said_no = d, int(starts[d]), -SCOPE - 1
+        held = 1.0
+        while k < len(turns) and turns[k] < i:
+            t = int(turns[k])
+            k += 1
+            if t >= last_end:  # of this row, and no match covers it
+                held *= factor[codes[t]]
+                if no[codes[t]]:
+                    said_no = t
+        after = i + n
+        if after < starts[d + 1]:
+            held *= factor[codes[after]]
+        product[j], negated[j], last_end = held, i <= said_no + SCOPE, after
+    values = pa.StructArray.from_arrays([pa.array(product), pa.array(negated)], ["multiplier", "negated"])
+    return lists.lists(row, values)
+
+
+def with_matches(rows: DataFrame, terms: DataFrame, max_phrase: int = 3, min_sub: int = 5, sep: str = " ", tokens: str = "tokens", into: str = "matches") -> DataFrame:
+    """``rows`` with the matches of the distinct ``terms`` in their ``tokens``, from the left and without overlap: the
+    longest phrase of up to ``max_phrase`` tokens (joined by ``sep``) that begins at a token, else the longest term of at
+    least ``min_sub`` characters inside a longer token (of equal lengths the smaller term).
+
+    Up to ``MOST_TERMS`` terms one automaton serves every worker; more of them meet the tokens in joins."""
+    distinct = terms.where("term <> ''").select("term").distinct()
+    size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"), F.max(F.size(F.split("term", sep)) if sep else F.lit(max_phrase)).alias("wide")).first()
+    wide = min(max_phrase, size["wide"] or 1)
+    if size["n"] > MOST_TERMS or size["chars"] > MOST_CHARS:
+        return _joined(rows, distinct, wide, min_sub, sep, tokens, into)
+    matcher = Matcher(sorted(r["term"] for r in distinct.collect()), wide, min_sub, sep)
+
+    def find(column: pa.Array) -> pa.Array:
+        return matcher(column)
+
+    return rows.withColumn(into, F.arrow_udf(find, _MATCH)(F.col(tokens)))
+
+
+def _joined(rows: DataFrame, terms: DataFrame, max_phrase: int, min_sub: int, sep: str, tokens: str, into: str) -> DataFrame:
+    """As ``with_matches`` for terms of any number. Grams are made inside the row, parts once per distinct token, and both
+    meet the terms in an equality join; overlaps are settled inside the row again."""
+    kept = keep(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    n, t = F.size(tokens), F.col(tokens)
+    upto = lambda i: F.sequence(F.lit(1), F.least(F.lit(max_phrase), n - i))
+    gram = lambda i: F.transform(upto(i), lambda m: F.struct(i.cast("int").alias("pos"), m.cast("int").alias("words"), F.array_join(F.slice(t, i + 1, m), sep, NO_TOKEN).alias("term")))
+    grams = kept.where(n > 0).select("_row", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), gram))).alias("g")).select("_row", "g.*")
+    hits = grams.join(terms, "term").select("_row", "pos", "words", "term", F.when(F.col("words") > 1, "phrase").otherwise("exact").alias("via"))
+    single = kept.select("_row", F.posexplode(tokens).alias("pos", "token")).where(F.length("token") > min_sub)
+    starts = F.transform(F.sequence(F.lit(1), F.length("token") - min_sub + 1), lambda i: F.transform(F.sequence(F.lit(min_sub), F.length("token") - i + 1), lambda m: F.substring("token", i, m)))
+    parts = single.select("token").distinct().select("token", F.explode(F.array_distinct(F.flatten(starts))).alias("term")).where("term <> token").join(terms, "term")
     inside = parts.groupBy("token").agg(F.min(F.struct((-F.length("term")).alias("n"), "term"))["term"].alias("term"))
-    compound = tokens.join(inside, "token").select("doc_id", "pos", F.lit(1).alias("words"), "term")
-    both = both.unionByName(compound.join(phrase.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").withColumn("via", F.lit("compound")))
-    if max_phrase == 1:
-        return both
-    reach = F.max(F.col("pos") + F.col("words")).over(_ordered().rowsBetween(W.unboundedPreceding, -1))
-    runs = both.withColumn("_run", F.sum(F.when(reach > F.col("pos"), 0).otherwise(1)).over(_ordered()))
-    one = F.struct("pos", "words", "term", "via")
-    runs = runs.groupBy("doc_id", "_run").agg(F.sort_array(F.collect_list(one)).alias("ms"))
-    kind = runs.schema["ms"].dataType.simpleString()
-    kept = F.aggregate("ms", F.array().cast(kind), lambda a, m: F.when((F.size(a) == 0) | (F.try_element_at(a, F.lit(-1))["pos"] + F.try_element_at(a, F.lit(-1))["words"] <= m["pos"]), F.concat(a, F.array(m))).otherwise(a))
-    return runs.select("doc_id", F.explode(kept).alias("m")).select("doc_id", "m.*")
-
-
-def sentiment_evidence(tokens: DataFrame, matches: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, pos, term, base, negated, multiplier, score): what each matched term contributes.
+    compound = single.join(inside, "token").select("_row", "pos", F.lit(0).alias("words"), "term", F.lit("compound").alias("via"))
+    # at one place the most words first, a part last; then from the left
+    one = F.struct("pos", (-F.col("words")).alias("order"), F.greatest("words", F.lit(1)).alias("words"), "term", "via")
+    every = hits.unionByName(compound).groupBy("_row").agg(F.sort_array(F.collect_list(one)).alias("ms"))
+    bare = lambda m: F.struct(m["pos"].alias("pos"), m["words"].alias("words"), m["term"].alias("term"), m["via"].alias("via"))
+    end = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["pos"] + F.try_element_at(a, F.lit(-1))["words"], F.lit(0))
+    settled = F.aggregate("ms", F.array().cast(_MATCH), lambda a, m: F.when(m["pos"] >= end(a), F.concat(a, F.array(bare(m)))).otherwise(a))
+    out = kept.join(every.select("_row", settled.alias(into)), "_row", "left").drop("_row")
+    return out.withColumn(into, F.coalesce(into, F.array().cast(_MATCH)))
+
+
+def with_evidence(rows: DataFrame, tokens: str = "tokens", matches: str = "matches", into: str = "evidence") -> DataFrame:
+    """``rows`` with multiplier and negated of each of their ``matches``, in the same order.
 
     A modifier waits for the next term however far, one right after a term counts for it as well and then waits
     for the next; a negator reaches ``SCOPE`` tokens; a token inside a match is neither."""
-    m = matches.select("doc_id", "pos", "words", "term").join(terms.select("term", F.col("polarity").alias("base")), "term")
-    rows = tokens.select("doc_id", "pos", "token").join(m, ["doc_id", "pos"], "left")
-    w = _ordered()
-    covered = F.coalesce(F.max(F.col("pos") + F.col("words")).over(w.rowsBetween(W.unboundedPreceding, -1)) > F.col("pos"), F.lit(False)) | F.col("term").isNotNull()
-    factor = F.lit(1.0)
-    for word, by in MODIFIERS.items():
-        factor = F.when(F.col("token") == word, by).otherwise(factor)
-    rows = rows.withColumn("_factor", factor).withColumn("_waits", F.when(covered, 1.0).otherwise(factor))
-    rows = rows.withColumn("_no", F.max(F.when(~covered & F.col("token").isin(NEGATORS), F.col("pos"))).over(w))
-    rows = rows.withColumn("_nth", F.sum(F.when(F.col("term").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, -1)))
-    rows = rows.withColumn("_held", F.exp(F.sum(F.log("_waits")).over(W.partitionBy("doc_id", F.coalesce("_nth", F.lit(0))).orderBy("pos"))))
-    after = [F.coalesce(F.lead("_factor", n).over(w), F.lit(1.0)) for n in (1, 2, 3)]
-    rows = rows.withColumn("_after", F.when(F.col("words") == 1, after[0]).when(F.col("words") == 2, after[1]).otherwise(after[2]))
-    hits = rows.where("term is not null").withColumn("multiplier", F.round(F.col("_held") * F.col("_after"), 6))
-    hits = hits.withColumn("negated", F.coalesce(F.col("pos") <= F.col("_no") + SCOPE, F.lit(False)))
+
+    def weigh(column: pa.Array, found: pa.Array) -> pa.Array:
+        return _weigh(column, found)
+
+    return rows.withColumn(into, F.arrow_udf(weigh, "array<struct<multiplier:double,negated:boolean>>")(F.col(tokens), F.col(matches)))
+
+
+def term_matches(rows: DataFrame, terms: DataFrame, max_phrase: int = 3, min_sub: int = 5, sep: str = " ", key: str = "doc_id") -> DataFrame:
+    """(key, pos, words, term, via): the matches of rows (key, tokens), as ``with_matches`` finds them, one a row."""
+    found = with_matches(rows.select(key, "tokens"), terms, max_phrase, min_sub, sep)
+    return found.select(key, F.explode("matches").alias("m")).select(key, "m.*")
+
+
+def weighed(rows: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, term, base, negated, multiplier, score): what each match of rows (key, tokens, matches) contributes by
+    its polarity in ``terms``."""
+    both = with_evidence(rows.select(key, "tokens", "matches"))
+    each = both.select(key, F.explode(F.arrays_zip("matches", "evidence")).alias("x"))
+    hits = each.select(key, "x.matches.pos", "x.matches.term", "x.evidence.negated", F.round("x.evidence.multiplier", 6).alias("multiplier"))
+    hits = hits.join(terms.select("term", F.col("polarity").alias("base")), "term")
     score = F.col("base") * F.col("multiplier") * F.when(F.col("negated"), FLIPPED).otherwise(1.0)
-    return hits.select("doc_id", "pos", "term", "base", "negated", "multiplier", F.round(score, 6).alias("score"))
+    return hits.select(key, "pos", "term", "base", "negated", "multiplier", F.round(score, 6).alias("score"))
+
+
+def sentiment_evidence(rows: DataFrame, terms: DataFrame, max_phrase: int = 3, min_sub: int = 5, sep: str = " ", key: str = "doc_id") -> DataFrame:
+    """As ``weighed`` for rows (key, tokens)."""
+    return weighed(with_matches(rows.select(key, "tokens"), terms, max_phrase, min_sub, sep), terms, key)
 
 
-def lexicon_sentiment(docs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(doc_id, total, sentiment, confidence, positive, neutral, negative) of every row of ``docs`` (doc_id, words):
+def lexicon_sentiment(docs: DataFrame, evidence: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, total, sentiment, confidence, positive, neutral, negative) of every row of ``docs`` (key, words):
     contributions summed, neutral within the band, and a softmax over the three. A document without words is neutral
     for certain."""
-    total = evidence.groupBy("doc_id").agg((F.round(F.sum("score"), 6) + 0.0).alias("total"))  # no negative zero
-    rows = docs.select("doc_id", "words").join(total, "doc_id", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    total = evidence.groupBy(key).agg((F.sum(F.col("score").cast("decimal(18,6)")).cast("double") + 0.0).alias("total"))  # no negative zero
+    rows = docs.select(key, "words").join(total, key, "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
     t = F.col("total")
     logit = {"positive": SCALE * t, "neutral": SCALE * CALM * (BAND - F.abs(t)), "negative": -SCALE * t}
     top = F.greatest(*logit.values())
@@ -96,4 +234,4 @@ def lexicon_sentiment(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     for k in logit:
         rows = rows.withColumn(k, F.when(F.col("words") > 0, F.round(e[k] / all_, 6)).otherwise(1.0 if k == "neutral" else 0.0))
     sure = F.when(label == "neutral", F.col("neutral")).when(label == "positive", F.col("positive")).otherwise(F.col("negative"))
-    return rows.select("doc_id", "total", label.alias("sentiment"), sure.alias("confidence"), "positive", "neutral", "negative")
+    return rows.select(key, "total", label.alias("sentiment"), sure.alias("confidence"), "positive", "neutral", "negative")

@@ -6,7 +6,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import char_wb_ngrams, tokenize, word_ngrams
+from ..sources.files import keep
 
 #: version of the stored form of a model
 VERSION = 1
@@ -50,19 +51,19 @@ def weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, index, view, term, weight): (1 + ln tf) * idf, of length one per document and view."""
     rows = counts.join(vocabulary, ["view", "term"]).withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     norm = rows.groupBy("id", "view").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norm, ["id", "view"]).select("id", "index", "view", "term", F.round(F.col("w") / F.col("norm"), 9).alias("weight"))
+    return rows.join(norm, ["id", "view"]).select("id", "index", "view", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def vectorize(docs: DataFrame, counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``docs`` with features, one sparse vector a row; a text without known terms has the empty vector."""
+    """``docs`` with features, one sparse vector a row, written once: a fit reads it many times, and a lost executor costs
+    nothing but reading. A text without known terms has the empty vector. A vector's parts are put together as plain
+    columns, and become vectors where the table is read."""
     size = vocabulary.count()
-
-    @F.udf(VectorUDT())
-    def vector(pairs):
-        return SparseVector(size, [p["index"] for p in pairs or ()], [p["weight"] for p in pairs or ()])
-
-    rows = weights(counts, vocabulary).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("pairs"))
-    return docs.join(rows, "id", "left").withColumn("features", vector("pairs")).drop("pairs")
+    rows = weights(counts, vocabulary).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("_pairs"))
+    part = lambda c, kind: F.coalesce(F.col(f"_pairs.{c}"), F.array()).cast(f"array<{kind}>")
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), part("index", "int").alias("indices"), part("weight", "double").alias("values"))
+    made = docs.join(rows, "id", "left").withColumn("features", sparse).drop("_pairs")
+    return keep(made, "vectors", {"features": VectorUDT()})
 
 
 def balanced(rows: DataFrame) -> DataFrame:

@@ -86,9 +86,8 @@ def block_topics(blocks: DataFrame, terms: DataFrame, fallback: int = 14) -> Dat
     from .lexicon import term_matches
     from .stats import gazetteer_topic
 
-    usable = blocks.where("usable").select(F.struct("video_id", "block").alias("doc_id"), "text")
-    tokens = usable.select("doc_id", F.posexplode(tokenize(F.col("text"))).alias("pos", "token"))
-    found = gazetteer_topic(usable, term_matches(tokens, terms), terms, fallback=fallback)
+    usable = blocks.where("usable").select(F.struct("video_id", "block").alias("doc_id"), tokenize(F.col("text")).alias("tokens"))
+    found = gazetteer_topic(usable, term_matches(usable, terms), terms, fallback=fallback)
     return found.select("doc_id.video_id", "doc_id.block", F.col("topic_ord").alias("topic"), "confidence")
 
 

@@ -122,35 +122,35 @@ def idf_weight(n: Column, df: Column) -> Column:
     return F.log((1 + n) / (1 + df).cast("double")) + 1
 
 
-def tfidf_keywords(docs: DataFrame, idf: DataFrame | None, documents: int = 0, k: int = 10, boost: float = 1.6) -> DataFrame:
-    """The k candidates of each document with most tf-idf, over rows (doc_id, tokens array, title_tokens array).
+def tfidf_keywords(docs: DataFrame, idf: DataFrame | None, documents: int = 0, k: int = 10, boost: float = 1.6, key: str = "doc_id") -> DataFrame:
+    """The k candidates of each document with most tf-idf, over rows (key, tokens array, title_tokens array).
 
     tf is a term's share of the document's candidates, idf ln((1+N)/(1+df)) + 1 over ``documents`` with an unseen
     term at df 0; without ``idf`` (term, df) longer terms weigh more, 1 + min(length, 12) / 12. A term of the title
     weighs ``boost`` times."""
     marked = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.coalesce(F.array_contains("title_tokens", t), F.lit(False)).alias("title")))
-    rows = docs.select("doc_id", F.size("tokens").alias("_total"), F.explode(marked).alias("x"))
-    rows = rows.groupBy("doc_id", "_total", F.col("x.token").alias("token"), F.col("x.title").alias("_title")).agg(F.count("*").alias("occ"))
+    rows = docs.select(key, F.size("tokens").alias("_total"), F.explode(marked).alias("x"))
+    rows = rows.groupBy(key, "_total", F.col("x.token").alias("token"), F.col("x.title").alias("_title")).agg(F.count("*").alias("occ"))
     if idf is None:
         weight = 1 + F.least(F.length("token"), F.lit(12)) / 12
     else:
         rows = rows.join(idf.withColumnRenamed("term", "token"), "token", "left")
         weight = idf_weight(F.lit(documents), F.coalesce("df", F.lit(0)))
     score = F.col("occ") / F.col("_total") * weight * F.when(F.col("_title"), boost).otherwise(1.0)
-    scored = rows.select("doc_id", "token", F.round(score, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "token"))).where(F.col("rank") <= k)
+    scored = rows.select(key, "token", F.round(score, 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "token"))).where(F.col("rank") <= k)
 
 
-def gazetteer_topic(docs: DataFrame, matches: DataFrame, terms: DataFrame, topics: int = 15, floor: float = 0.02, least: float = 0.9, fallback: int = 14) -> DataFrame:
-    """(doc_id, topic_ord, confidence) of every row of ``docs``: weights of the matched terms (doc_id, term) summed
-    per topic and smoothed. Below ``least`` the fallback takes over with its own probability; without evidence it is
+def gazetteer_topic(docs: DataFrame, matches: DataFrame, terms: DataFrame, topics: int = 15, floor: float = 0.02, least: float = 0.9, fallback: int = 14, key: str = "doc_id") -> DataFrame:
+    """(key, topic_ord, confidence) of every row of ``docs``: weights of the matched terms (key, term) summed
+    per topic, as decimals and so in any order the same, and smoothed. Below ``least`` the fallback takes over with its own probability; without evidence it is
     certain. Ties go to the earlier topic."""
-    hits = matches.join(terms, "term").groupBy("doc_id", "topic_ord").agg(F.sum("weight").alias("score"))
-    own = F.sum(F.when(F.col("topic_ord") == fallback, F.col("score")).otherwise(0.0))
-    best = hits.groupBy("doc_id").agg(F.sum("score").alias("total"), own.alias("own"), F.max(F.struct("score", -F.col("topic_ord"))).alias("b"))
-    rows = docs.select("doc_id").join(best, "doc_id", "left")
+    hits = matches.join(terms, "term").groupBy(key, "topic_ord").agg(F.sum(F.col("weight").cast("decimal(18,6)")).alias("score"))
+    own = F.sum(F.when(F.col("topic_ord") == fallback, F.col("score")).otherwise(F.lit(0).cast("decimal(18,6)")))
+    best = hits.groupBy(key).agg(F.sum("score").alias("total"), own.alias("own"), F.max(F.struct("score", -F.col("topic_ord"))).alias("b"))
+    rows = docs.select(key).join(best, key, "left")
     weak, none = F.col("b.score") < least, F.col("b").isNull() | (F.col("b.score") <= 0)
-    share = lambda c: (F.col(c) + floor) / (F.col("total") + floor * topics)
+    share = lambda c: (F.col(c).cast("double") + floor) / (F.col("total").cast("double") + floor * topics)
     topic = F.when(none | weak, fallback).otherwise(-F.col("b.col2"))
     sure = F.when(none, 1.0).when(weak, share("own")).otherwise(share("b.score"))
-    return rows.select("doc_id", topic.cast("int").alias("topic_ord"), F.round(sure, 6).alias("confidence"))
+    return rows.select(key, topic.cast("int").alias("topic_ord"), sure.alias("confidence"))

@@ -5,39 +5,40 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, find_in_order, is_noise, kept_tokens, keyword_candidates, sentence_split, tokenize
+from ..functions.text import Tokenizer, clean_text, find_in_order, is_noise, kept_tokens, keyword_candidates, sentence_split, tokenize
+from ..sources.files import keep
 from . import lexicon, reports, stats
 
 #: versions of the rules, kept with each analysis
 VERSIONS = {"topic": "gazetteer-1", "sentiment": "lexicon-1", "keywords": "tfidf-1", "summary": "extractive-1", "entities": "rules-1"}
 
 
-def extractive_summary(docs: DataFrame, stop: list[str], lo: int = 2, hi: int = 4, least: int = 12, lead: float = 0.35) -> DataFrame:
-    """(doc_id, summary, sentences) of rows (doc_id, text): of sentences of ``least`` characters or more (all, where none
+def extractive_summary(docs: DataFrame, stop: list[str], lo: int = 2, hi: int = 4, least: int = 12, lead: float = 0.35, tokenizer: Tokenizer = tokenize, unmarked: str | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, summary, sentences) of rows (key, text), one row a key: of sentences of ``least`` characters or more (all, where none
     is that long) the ``hi`` most central in their order; ``lo`` or fewer are all taken.
 
     A sentence's centrality is the mean over the others of the idf of shared words over the root of both sizes. With
     S(t) the sum of 1 / sqrt(size) of the sentences that hold t, it is sum(idf(t) * (S(t) - 1 / sqrt(size))) / sqrt(size):
     linear in the words, whatever the number of sentences."""
-    s = docs.select("doc_id", F.posexplode(sentence_split(F.col("text"))).alias("at", "sentence"))
-    long = F.max((F.length("sentence") >= least).cast("int")).over(W.partitionBy("doc_id")) == 1
+    s = docs.select(key, F.posexplode(sentence_split(F.col("text"), unmarked)).alias("at", "sentence"))
+    long = F.max((F.length("sentence") >= least).cast("int")).over(W.partitionBy(key)) == 1
     s = s.withColumn("_long", long).where(~F.col("_long") | (F.length("sentence") >= least)).drop("_long")
-    s = s.withColumn("i", F.row_number().over(W.partitionBy("doc_id").orderBy("at")) - 1).withColumn("n", F.count("*").over(W.partitionBy("doc_id")))
-    words = s.select("doc_id", "i", "n", F.array_distinct(kept_tokens(tokenize(F.col("sentence")), stop)).alias("ts")).withColumn("size", F.size("ts"))
-    t = words.select("doc_id", "i", "n", "size", F.explode("ts").alias("t"))
-    same = W.partitionBy("doc_id", "t")
+    s = s.withColumn("i", F.row_number().over(W.partitionBy(key).orderBy("at")) - 1).withColumn("n", F.count("*").over(W.partitionBy(key)))
+    words = s.select(key, "i", "n", F.array_distinct(kept_tokens(tokenizer(F.col("sentence")), stop)).alias("ts")).withColumn("size", F.size("ts"))
+    t = words.select(key, "i", "n", "size", F.explode("ts").alias("t"))
+    same = W.partitionBy(key, "t")
     t = t.withColumn("df", F.count("*").over(same)).withColumn("S", F.sum(1 / F.sqrt("size")).over(same))
     each = stats.idf_weight(F.col("n"), F.col("df")) * (F.col("S") - 1 / F.sqrt("size")) / F.sqrt("size")
-    central = t.groupBy("doc_id", "i").agg((F.sum(each) / F.greatest(F.max("n") - 1, F.lit(1)) + F.lit(lead) * (1 - F.max("i") / F.max("n"))).alias("score"))
-    scored = s.join(central, ["doc_id", "i"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "i"))
+    central = t.groupBy(key, "i").agg((F.sum(each) / F.greatest(F.max("n") - 1, F.lit(1)) + F.lit(lead) * (1 - F.max("i") / F.max("n"))).alias("score"))
+    scored = s.join(central, [key, "i"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "i"))
     kept = scored.withColumn("r", rank).where((F.col("n") <= lo) | (F.col("r") <= F.greatest(F.lit(lo), F.least(F.lit(hi), F.col("n")))))
-    out = kept.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]).alias("sentences"))
-    return docs.select("doc_id").join(out, "doc_id", "left").select("doc_id", F.coalesce(F.array_join("sentences", " "), F.lit("")).alias("summary"), F.coalesce(F.size("sentences"), F.lit(0)).alias("sentences"))
+    out = kept.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]).alias("sentences"))
+    return docs.select(key).join(out, key, "left").select(key, F.coalesce(F.array_join("sentences", " "), F.lit("")).alias("summary"), F.coalesce(F.size("sentences"), F.lit(0)).alias("sentences"))
 
 
 def extract_headline(docs: DataFrame, idf: DataFrame | None, documents: int, stop: list[str], filler: list[str], edge: list[str], letters: str = "a-zA-Z", shortest: int = 7, longest: int = 20, cap: int = 85, content: int = 4) -> DataFrame:
@@ -50,7 +51,7 @@ def extract_headline(docs: DataFrame, idf: DataFrame | None, documents: int, sto
     1.2 a filler and 0.6 a number, over the root of its length, less 1.2 times its place in the text. Ties go to the
     earlier, then the shorter span. Spans are judged inside the row, in Arrow batches: as array expressions of the JVM
     they took two hundred times as long."""
-    found = r"[\p{L}\p{N}]+"
+    found = r"[\p{L}\p{M}\p{N}]+"
     rows = docs.select("doc_id", F.trim("text").alias("body"), F.coalesce("keywords", F.array().cast("array<string>")).alias("kw"), F.coalesce("cue_starts", F.array().cast("array<int>")).alias("cs"))
     rows = rows.withColumn("ts", F.regexp_extract_all("body", F.lit(f"({found})"), 1))
     tok = rows.select("doc_id", "kw", F.posexplode("ts").alias("pos", "raw")).withColumn("t", F.lower("raw"))
@@ -144,38 +145,59 @@ def trim_welded_suffix(names: DataFrame, words: DataFrame, least: int = 2) -> Da
     return names.join(best, "name", "left").withColumn("trimmed", F.expr("left(name, length(name) - coalesce(k, 0))")).drop("k")
 
 
-def entities(docs: DataFrame, g: Gazetteers, sep: str = " ", least: int = 2) -> DataFrame:
-    """(doc_id, text, label, nth) of rows (doc_id, text), each (text, label) once in the order of its first find:
+def _untrimmed(name: Column, words: list[str], least: int) -> Column:
+    """``name`` without the longest of ``words`` that ends it, if ``least`` characters are left."""
+    import re
+
+    ends = [re.escape(w) for w in sorted(words) if len(w) >= least]
+    if not ends:
+        return name
+    stem = F.regexp_extract(name, rf"(?s)^(.{{{least},}}?)(?:{'|'.join(ends)})$", 1)
+    return F.when(F.length(name) >= 2 * least, F.coalesce(F.nullif(stem, F.lit("")), name)).otherwise(name)
+
+
+def _hit_of(label: str, kind: int):
+    return lambda x, i: F.struct(F.trim(x).alias("text"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), i.alias("pos"))
+
+
+def entities(docs: DataFrame, g: Gazetteers, sep: str = " ", least: int = 2, tokenizer: Tokenizer | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, text, label, nth) of rows (key, text), one row a key; each (text, label) once in the order of its first find:
     a title and up to two words after it (PERSON, until a title, number, stop word or mark, welded endings cut);
     a prefix and the word after it, or a word that begins with the prefix (ORGANIZATION, LOCATION); known places, an
-    ambiguous one only after a place prefix; and patterns over the whole text."""
-    tokens = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("pos", "t"))
-    w = W.partitionBy("doc_id").orderBy("pos")
-    tokens = tokens.withColumn("a", F.lead("t", 1).over(w)).withColumn("b", F.lead("t", 2).over(w)).withColumn("p", F.lag("t").over(w))
-    named = lambda c: F.coalesce(F.rlike(c, F.lit(r"\p{L}")) & ~F.col(c).isin([*g.titles, *g.name_stop, *g.not_person]), F.lit(False))
-    people = tokens.where(F.col("t").isin(g.titles) & ~F.coalesce(F.col("a").isin(g.not_person), F.lit(False)) & named("a"))
-    people = people.withColumn("name", F.when(named("b"), F.concat("a", F.lit(sep), "b")).otherwise(F.col("a")))
-    spark = docs.sparkSession
-    welded = spark.createDataFrame([(x,) for x in {*g.name_stop, *g.not_person}], "term string")
-    people = trim_welded_suffix(people, welded, least).where(F.length("trimmed") >= least)
-    found = [people.select("doc_id", F.concat("t", F.lit(sep), "trimmed").alias("text"), F.lit("PERSON").alias("label"), F.lit(0).alias("kind"), "pos")]
-    usable = F.rlike("a", F.lit(r"\p{L}")) & ~F.col("a").isin([*g.name_stop, ""])
-    for kind, (label, prefixes) in enumerate((("ORGANIZATION", g.organisations), ("LOCATION", g.places)), 1):
-        if prefixes:
-            # the first prefix of the list that fits decides
-            made = F.coalesce(*(F.when(F.col("t") == p, F.when(usable, F.concat(F.lit(p + sep), "a")).otherwise(F.lit(""))).when(F.startswith("t", F.lit(p)), F.col("t")) for p in prefixes))
-            found.append(tokens.select("doc_id", made.alias("text"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), "pos").where("text <> ''"))
-    if g.known_places:
-        sure = ~F.col("t").isin([*g.ambiguous, ""]) | F.coalesce(F.col("p").isin([*g.places, ""]), F.lit(False))
-        found.append(tokens.where(F.col("t").isin(g.known_places) & sure).select("doc_id", F.col("t").alias("text"), F.lit("LOCATION").alias("label"), F.lit(3).alias("kind"), "pos"))
+    ambiguous one only after a place prefix; and patterns over the whole text. A token meets its neighbours inside its
+    row, and only finds leave it."""
+    ts = tokenizer(F.col("text")) if tokenizer else F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
+    rows = docs.select(key, "text", ts.alias("_ts"))
+    titles, stops = F.array(*map(F.lit, g.titles)).cast("array<string>"), [*g.name_stop, *g.not_person]
+
+    def finds(i: Column) -> Column:
+        """What is found at token i, as structs (text, label, kind, pos)."""
+        t, a, b, p = F.get("_ts", i), F.get("_ts", i + 1), F.get("_ts", i + 2), F.when(i > 0, F.get("_ts", i - 1))
+        named = lambda c: F.coalesce(F.rlike(c, F.lit(r"\p{L}")) & ~c.isin([*g.titles, *stops, ""]), F.lit(False))
+        found = lambda text, label, kind: F.struct(text.alias("text"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), i.cast("int").alias("pos"))
+        name = _untrimmed(F.when(named(b), F.concat(a, F.lit(sep), b)).otherwise(a), stops, least)
+        out = [F.when(F.array_contains(titles, t) & named(a) & (F.length(name) >= least), found(F.concat(t, F.lit(sep), name), "PERSON", 0))]
+        usable = F.coalesce(F.rlike(a, F.lit(r"\p{L}")) & ~a.isin([*g.name_stop, ""]), F.lit(False))
+        for kind, (label, prefixes) in enumerate((("ORGANIZATION", g.organisations), ("LOCATION", g.places)), 1):
+            if prefixes:
+                # the first prefix of the list that fits decides
+                made = F.coalesce(*(F.when(t == x, F.when(usable, F.concat(F.lit(x + sep), a)).otherwise(F.lit(""))).when(F.startswith(t, F.lit(x)), t) for x in prefixes))
+                out.append(F.when(made != "", found(made, label, kind)))
+        if g.known_places:
+            sure = ~t.isin([*g.ambiguous, ""]) | F.coalesce(p.isin([*g.places, ""]), F.lit(False))
+            out.append(F.when(t.isin(g.known_places) & sure, found(t, "LOCATION", 3)))
+        return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+    # tokens that can begin a find at all
+    begins = lambda t: F.array_contains(titles, t) | t.isin([*g.known_places, ""]) | F.exists(F.array(*map(F.lit, [*g.organisations, *g.places])).cast("array<string>"), lambda x: F.startswith(t, x))
+    places = F.filter(F.transform("_ts", lambda t, i: F.when(begins(t), i)), lambda i: i.isNotNull())
+    parts = [F.flatten(F.transform(places, finds))]
     for kind, (label, pattern) in enumerate(g.patterns.items(), 4):
-        hits = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("pos", "text"))
-        found.append(hits.select("doc_id", F.trim("text").alias("text"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), "pos"))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    first = rows.groupBy("doc_id", "text", "label").agg(F.min(F.struct("kind", "pos")).alias("f"))
-    return first.select("doc_id", "text", "label", F.row_number().over(W.partitionBy("doc_id").orderBy("f", "text", "label")).alias("nth"))
+        hits = F.regexp_extract_all("text", F.lit(pattern), 1)
+        parts.append(F.transform(hits, _hit_of(label, kind)))
+    each = rows.select(key, F.explode(F.concat(*parts)).alias("x")).select(key, "x.*")
+    first = each.groupBy(key, "text", "label").agg(F.min(F.struct("kind", "pos")).alias("f"))
+    return first.select(key, "text", "label", F.row_number().over(W.partitionBy(key).orderBy("f", "text", "label")).alias("nth"))
 
 
 def repair_segment_names(people: DataFrame, lexicon_: DataFrame, droppable: DataFrame, titles: list[str], sep: str = " ") -> DataFrame:
@@ -194,37 +216,42 @@ def repair_segment_names(people: DataFrame, lexicon_: DataFrame, droppable: Data
     return rows.select("doc_id", text.alias("text"), "label").distinct()
 
 
-def analyse_documents(docs: DataFrame, terms: DataFrame, stop: list[str], gazetteers: Gazetteers, idf: DataFrame | None = None, documents: int = 0, k: int = 10) -> DataFrame:
-    """One row per document (doc_id, title, content): cleaned text, token counts, topic and sentiment with confidence,
+def analyse_documents(docs: DataFrame, terms: DataFrame, stop: list[str], gazetteers: Gazetteers, idf: DataFrame | None = None, documents: int = 0, k: int = 10, tokenizer: Tokenizer = tokenize, unmarked: str | None = None, letters: str = "a-zA-Z", sep: str = " ") -> DataFrame:
+    """One row per row of ``docs`` (doc_id, title, content): cleaned text, token counts, topic and sentiment with confidence,
     keywords, summary, entities and the versions of the rules. Title and body are classified together, the summary is
-    of the body alone; sentiment sees all tokens, topic the filtered ones. Everything is keyed by doc_id; the cleaned
-    text and its tokens are made once each."""
-    base = docs.select("doc_id", clean_text(F.coalesce("title", F.lit(""))).alias("title"), clean_text(F.coalesce("content", F.lit(""))).alias("body"))
-    base = base.withColumn("text", F.trim(F.concat("title", F.lit(" "), "body"))).withColumn("tokens", tokenize(F.col("text"))).withColumn("filtered", kept_tokens(F.col("tokens"), stop, [*lexicon.NEGATORS, *lexicon.MODIFIERS]))
-    every = base.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    topical = base.select("doc_id", F.posexplode("filtered").alias("pos", "token"))
-    topic = stats.gazetteer_topic(base, lexicon.term_matches(topical, terms), terms).select("doc_id", F.col("topic_ord").alias("topic"), F.col("confidence").alias("topic_confidence"))
-    evidence = lexicon.sentiment_evidence(every, lexicon.term_matches(every, terms), terms)
-    mood = lexicon.lexicon_sentiment(base.select("doc_id", F.size("tokens").alias("words")), evidence).select("doc_id", "sentiment", F.col("confidence").alias("sentiment_confidence"))
-    candidates = base.select("doc_id", keyword_candidates(F.col("tokens"), stop).alias("tokens"), kept_tokens(tokenize(F.col("title")), stop).alias("title_tokens"))
-    words = stats.tfidf_keywords(candidates, idf, documents, k).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "token", "score"))), lambda x: F.struct(x["token"].alias("word"), x["score"].alias("score"))).alias("keywords"))
-    said = extractive_summary(docs.select("doc_id", F.coalesce("content", F.lit("")).alias("text")), stop).select("doc_id", "summary")
-    names = entities(base.select("doc_id", "text"), gazetteers).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "text", "label"))), lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("entities"))
-    out = base.select("doc_id", F.col("text").alias("cleaned_text"), F.size("tokens").alias("token_count"), F.size(F.array_distinct("tokens")).alias("unique_count"), F.size("filtered").alias("filtered_count"))
+    of the body alone; sentiment sees all tokens, topic the filtered ones.
+
+    Texts are cleaned, cut into tokens and matched in one pass, and written once with a number for each row, so that rows
+    that share a doc_id are analysed each on its own; every part reads its columns of that table."""
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.coalesce("content", F.lit("")).alias("said"), clean_text(F.coalesce("title", F.lit(""))).alias("title"), clean_text(F.coalesce("content", F.lit(""))).alias("body"))
+    base = base.select("_row", "doc_id", "said", "title", F.trim(F.concat("title", F.lit(" "), "body")).alias("text"))
+    base = base.withColumns({"tokens": tokenizer(F.col("text")), "title_tokens": kept_tokens(tokenizer(F.col("title")), stop)})
+    base = base.withColumn("filtered", kept_tokens(F.col("tokens"), stop, [*lexicon.NEGATORS, *lexicon.MODIFIERS]))
+    base = lexicon.with_matches(base, terms, sep=sep)
+    base = keep(lexicon.with_matches(base, terms, sep=sep, tokens="filtered", into="topical"), "analysis")
+    topical = base.select("_row", F.explode("topical").alias("m")).select("_row", "m.term")
+    topic = stats.gazetteer_topic(base, topical, terms, key="_row").select("_row", F.col("topic_ord").alias("topic"), F.col("confidence").alias("topic_confidence"))
+    mood = lexicon.lexicon_sentiment(base.select("_row", F.size("tokens").alias("words")), lexicon.weighed(base, terms, "_row"), "_row").select("_row", "sentiment", F.col("confidence").alias("sentiment_confidence"))
+    candidates = base.select("_row", keyword_candidates(F.col("tokens"), stop, letters=letters).alias("tokens"), "title_tokens")
+    words = stats.tfidf_keywords(candidates, idf, documents, k, key="_row").groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "token", "score"))), lambda x: F.struct(x["token"].alias("word"), x["score"].alias("score"))).alias("keywords"))
+    said = extractive_summary(base.select("_row", F.col("said").alias("text")), stop, tokenizer=tokenizer, unmarked=unmarked, key="_row").select("_row", "summary")
+    names = entities(base.select("_row", "text"), gazetteers, sep, key="_row").groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "text", "label"))), lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("entities"))
+    out = base.select("_row", "doc_id", F.col("text").alias("cleaned_text"), F.size("tokens").alias("token_count"), F.size(F.array_distinct("tokens")).alias("unique_count"), F.size("filtered").alias("filtered_count"))
     for part in (topic, mood, words, said, names):
-        out = out.join(part, "doc_id", "left")
+        out = out.join(part, "_row", "left")
     versions = F.create_map(*(F.lit(x) for kv in VERSIONS.items() for x in kv))
-    return out.withColumn("model_versions", versions)
-
-
-def score_messages(messages: DataFrame, terms: DataFrame, letters: str = "a-zA-Z", min_ratio: float = 0.2) -> DataFrame:
-    """(doc_id, sentiment, confidence, is_spam) of rows (doc_id, text): the lexicon reads the text as typed; what has
-    nothing to analyse is spam and has no sentiment."""
-    rows = messages.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tokens", tokenize(F.col("text"))).withColumn("is_spam", is_noise(clean_text(F.col("text")), letters, min_ratio))
-    tokens = rows.where(~F.col("is_spam")).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    evidence = lexicon.sentiment_evidence(tokens, lexicon.term_matches(tokens, terms), terms)
-    mood = lexicon.lexicon_sentiment(rows.where(~F.col("is_spam")).select("doc_id", F.size("tokens").alias("words")), evidence)
-    return rows.select("doc_id", "is_spam").join(mood.select("doc_id", "sentiment", "confidence"), "doc_id", "left")
+    return out.drop("_row").withColumn("model_versions", versions)
+
+
+def score_messages(messages: DataFrame, terms: DataFrame, letters: str = "a-zA-Z", min_ratio: float = 0.2, tokenizer: Tokenizer = tokenize, sep: str = " ") -> DataFrame:
+    """(doc_id, sentiment, confidence, is_spam) of each row (doc_id, text), whether or not others share its doc_id: the
+    lexicon reads the text as typed; what has nothing to analyse is spam and has no sentiment."""
+    text = F.coalesce("text", F.lit(""))
+    rows = messages.select(F.monotonically_increasing_id().alias("_row"), "doc_id", tokenizer(text).alias("tokens"), is_noise(clean_text(text), letters, min_ratio).alias("is_spam"))
+    rows = rows.withColumn("tokens", F.when(~F.col("is_spam"), F.col("tokens")).otherwise(F.array().cast("array<string>")))
+    rows = keep(lexicon.with_matches(rows, terms, sep=sep), "scored")
+    mood = lexicon.lexicon_sentiment(rows.where(~F.col("is_spam")).select("_row", F.size("tokens").alias("words")), lexicon.weighed(rows, terms, "_row"), "_row")
+    return rows.select("_row", "doc_id", "is_spam").join(mood.select("_row", "sentiment", "confidence"), "_row", "left").drop("_row")
 
 
 #: the stages of an analysis, and what each falls back to

@@ -253,7 +253,7 @@ def _candidates(v):
     return v("t_documents").select(F.col("id").alias("doc_id"), t("content").alias("tokens"), t("title").alias("title_tokens"))
 
 
-_TFIDF = """WITH t AS (SELECT doc_id, token FROM t_tokens WHERE length(token) >= 2), h AS (SELECT DISTINCT id AS doc_id, lower(unnest(regexp_split_to_array(title, '[^\\p{L}]+'))) AS token FROM t_documents),
+_TFIDF = """WITH t AS (SELECT doc_id, token FROM t_tokens WHERE length(token) >= 2), h AS (SELECT DISTINCT id AS doc_id, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{M}\\p{N}]+|\\p{So}')) AS token FROM t_documents),
 tf AS (SELECT doc_id, token, count(*) AS occ FROM t GROUP BY ALL), per AS (SELECT doc_id, sum(occ) AS total FROM tf GROUP BY 1), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM t_documents),
 s AS (SELECT tf.doc_id, tf.token, round(CAST(occ AS DOUBLE) / total * {weight} * CASE WHEN h.token IS NULL THEN 1.0 ELSE CAST(1.6 AS DOUBLE) END, 6) AS score FROM tf JOIN df USING (token) JOIN per ON tf.doc_id = per.doc_id LEFT JOIN h ON h.doc_id = tf.doc_id AND h.token = tf.token, n),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token) AS rank FROM s) """
@@ -275,12 +275,17 @@ def _(v):
     return stats.tfidf_keywords(_candidates(v), None, k=3).select("doc_id", "token", "score", "rank")
 
 
+def _arrays(v):
+    """(doc_id, tokens) of every document."""
+    return v("t_documents").select(F.col("id").alias("doc_id"), text.tokenize(F.col("content")).alias("tokens"))
+
+
 def _matches(v):
-    return lexicon.term_matches(v("t_tokens"), v("t_terms"))
+    return lexicon.term_matches(_arrays(v), v("t_terms"))
 
 
-@register("gazetteer_topic", """WITH h AS (SELECT doc_id, topic_ord, sum(weight) AS score FROM t_tokens JOIN t_terms ON token = term GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic_ord) AS r, sum(score) OVER (PARTITION BY doc_id) AS total, coalesce(sum(CASE WHEN topic_ord = 5 THEN score END) OVER (PARTITION BY doc_id), 0) AS own FROM h)
-SELECT d.id AS doc_id, CAST(CASE WHEN b.score IS NULL OR b.score < 30.9 THEN 5 ELSE b.topic_ord END AS INT) AS topic_ord, round(CASE WHEN b.score IS NULL THEN 1.0 WHEN b.score < 30.9 THEN (b.own + 0.02) / (b.total + 0.3) ELSE (b.score + 0.02) / (b.total + 0.3) END, 6) AS confidence FROM t_documents d LEFT JOIN b ON d.id = b.doc_id AND b.r = 1""")
+@register("gazetteer_topic", """WITH h AS (SELECT doc_id, topic_ord, sum(CAST(weight AS DECIMAL(18, 6))) AS score FROM t_tokens JOIN t_terms ON token = term GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic_ord) AS r, sum(score) OVER (PARTITION BY doc_id) AS total, coalesce(sum(CASE WHEN topic_ord = 5 THEN score END) OVER (PARTITION BY doc_id), 0) AS own FROM h)
+SELECT d.id AS doc_id, CAST(CASE WHEN b.score IS NULL OR b.score < 30.9 THEN 5 ELSE b.topic_ord END AS INT) AS topic_ord, CASE WHEN b.score IS NULL THEN CAST(1 AS DOUBLE) ELSE (CAST(CASE WHEN b.score < 30.9 THEN b.own ELSE b.score END AS DOUBLE) + CAST(0.02 AS DOUBLE)) / (CAST(b.total AS DOUBLE) + CAST(0.3 AS DOUBLE)) END AS confidence FROM t_documents d LEFT JOIN b ON d.id = b.doc_id AND b.r = 1""")
 def _(v):
     docs = v("t_documents").select(F.col("id").alias("doc_id"))
     return stats.gazetteer_topic(docs, _matches(v), v("t_terms"), least=30.9, fallback=5)
@@ -291,12 +296,12 @@ _NO = ", ".join(f"'{w}'" for w in lexicon.NEGATORS)
 #: the test view's terms are single words, so that no token lies inside a match
 _EVIDENCE = f"""WITH f AS (SELECT t.doc_id, t.pos, t.token, m.term, m.polarity AS base, CAST({_FACTOR} AS DOUBLE) AS factor FROM t_tokens t LEFT JOIN t_terms m ON t.token = m.term),
 g AS (SELECT *, count(term) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nth, max(CASE WHEN term IS NULL AND token IN ({_NO}) THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS no_at, coalesce(lead(factor) OVER (PARTITION BY doc_id ORDER BY pos), 1) AS after FROM f),
-p AS (SELECT *, exp(sum(CASE WHEN term IS NULL THEN ln(factor) ELSE 0 END) OVER (PARTITION BY doc_id, nth ORDER BY pos)) * after AS m FROM g),
+p AS (SELECT *, product(CASE WHEN term IS NULL THEN factor ELSE 1 END) OVER (PARTITION BY doc_id, nth ORDER BY pos) * after AS m FROM g),
 e AS (SELECT doc_id, pos, term, base, coalesce(pos <= no_at + 3, false) AS negated, round(m, 6) AS multiplier, round(base * round(m, 6) * CASE WHEN coalesce(pos <= no_at + 3, false) THEN CAST(-0.8 AS DOUBLE) ELSE 1 END, 6) AS score FROM p WHERE term IS NOT NULL) """
 
 
 def _evidence(v):
-    return lexicon.sentiment_evidence(v("t_tokens"), _matches(v), v("t_terms"))
+    return lexicon.sentiment_evidence(_arrays(v), v("t_terms"))
 
 
 @register("sentiment_evidence", _EVIDENCE + "SELECT * FROM e")
@@ -553,7 +558,7 @@ def _(v):
     return v("t_documents").select("id", F.round(text.script_ratio(said, "\u0e00-\u0e7f"), 6).alias("ratio"))
 
 
-@register("is_noise", "WITH c AS (SELECT token, count(*) AS n FROM t_tokens GROUP BY 1) SELECT token, length(token) < 2 OR (length(token) < 15 AND CAST(length(regexp_replace(token, '[^a-z]', '', 'g')) AS DOUBLE) / length(token) < 0.9) AS noise FROM c")
+@register("is_noise", "WITH c AS (SELECT token, count(*) AS n FROM t_tokens GROUP BY 1) SELECT token, length(token) < 2 OR NOT regexp_matches(token, '\\p{L}') OR (length(token) < 15 AND CAST(length(regexp_replace(token, '[^a-z]', '', 'g')) AS DOUBLE) / length(token) < 0.9) AS noise FROM c")
 def _(v):
     return v("t_tokens").select("token").distinct().select("token", text.is_noise(F.col("token"), "a-z", 0.9).alias("noise"))
 

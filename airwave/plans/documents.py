@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from airwave.functions import text
 from airwave.operators import filters, joins, lexicon, reports, stats, texts
-from airwave.plans.catalog import _AIR, register
+from airwave.plans.catalog import _AIR, _arrays, register
 from airwave.plans.testviews import TERMS, TOPICS
 
 STOP = [t for t, *_ in TERMS]
@@ -160,13 +160,13 @@ def _(v):
 @register("term_matches", """WITH z AS (SELECT d.term, d.doc_id, d.pos FROM (SELECT doc_id, pos, token AS term FROM t_tokens) d WHERE d.term IN ('the', 'of', 'and')), x AS (SELECT doc_id, pos, 'ation' AS term FROM t_tokens WHERE token LIKE '%ation%' AND token <> 'ation'),
  e AS (SELECT doc_id, pos, 'ation' AS term FROM t_tokens WHERE token = 'ation') SELECT doc_id, pos, 1 AS words, term, 'exact' AS via FROM z UNION ALL SELECT doc_id, pos, 1, term, 'compound' FROM x UNION ALL SELECT doc_id, pos, 1, term, 'exact' FROM e""")
 def _(v):
-    tokens = v("t_tokens")
-    return lexicon.term_matches(tokens, tokens.sparkSession.createDataFrame([("the",), ("of",), ("and",), ("ation",)], "term string"))
+    rows = _arrays(v)
+    return lexicon.term_matches(rows, rows.sparkSession.createDataFrame([("the",), ("of",), ("and",), ("ation",)], "term string"))
 
 
 @register("extractive_summary", f"""WITH a AS (SELECT id AS doc_id, regexp_split_to_array(content, '[.!?\\n]') AS a FROM t_documents), s0 AS (SELECT doc_id, generate_subscripts(a, 1) AS p0, trim(unnest(a)) AS sentence FROM a), s1 AS (SELECT *, max(length(sentence)) OVER (PARTITION BY doc_id) >= 12 AS long FROM s0 WHERE sentence <> ''),
  s AS (SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY p0) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM s1 WHERE NOT long OR length(sentence) >= 12),
- w AS (SELECT doc_id, i, n, list_distinct(list_filter(regexp_split_to_array(lower(sentence), '[^\\p{{L}}]+'), lambda t: length(t) >= 2 AND t NOT IN ({_STOP}))) AS ts FROM s), t AS (SELECT doc_id, i, n, CAST(len(ts) AS DOUBLE) AS size, unnest(ts) AS t FROM w),
+ w AS (SELECT doc_id, i, n, list_distinct(list_filter(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{M}}\\p{{N}}]+|\\p{{So}}'), lambda t: length(t) >= 2 AND t NOT IN ({_STOP}) AND NOT regexp_matches(t, '^\\p{{Nd}}+$') AND regexp_matches(t, '[\\p{{L}}\\p{{N}}]'))) AS ts FROM s), t AS (SELECT doc_id, i, n, CAST(len(ts) AS DOUBLE) AS size, unnest(ts) AS t FROM w),
  d AS (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS df, sum(1 / sqrt(size)) OVER (PARTITION BY doc_id, t) AS u FROM t),
  c AS (SELECT doc_id, i, sum((ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) * (u - 1 / sqrt(size)) / sqrt(size)) / greatest(max(n) - 1, 1) + CAST(0.35 AS DOUBLE) * (1 - CAST(max(i) AS DOUBLE) / max(n)) AS score FROM d GROUP BY ALL),
  r AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(coalesce(c.score, 0), 9) DESC, s.i) AS r FROM s LEFT JOIN c ON c.doc_id = s.doc_id AND c.i = s.i),
@@ -190,7 +190,7 @@ def _prefixed(prefixes):
     return "CASE " + " ".join(f"WHEN t = '{p}' THEN CASE WHEN {usable} THEN '{p} ' || a ELSE '' END WHEN starts_with(t, '{p}') THEN t" for p in prefixes) + " END"
 
 
-_ENTITIES = f"""WITH k AS (SELECT id AS doc_id, regexp_extract_all(lower(content), '([\\p{{L}}\\p{{N}}]+)', 1) AS ts FROM t_documents), t0 AS (SELECT doc_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS t FROM k),
+_ENTITIES = f"""WITH k AS (SELECT id AS doc_id, regexp_extract_all(lower(content), '([\\p{{L}}\\p{{M}}\\p{{N}}]+)', 1) AS ts FROM t_documents), t0 AS (SELECT doc_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS t FROM k),
  t AS (SELECT *, lead(t) OVER w AS a, lead(t, 2) OVER w AS b, lag(t) OVER w AS p FROM t0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
  pe AS (SELECT doc_id, pos, t, CASE WHEN regexp_matches(b, '\\p{{L}}') AND b NOT IN ('der', 'la', 'que', 'est', 'und') THEN a || ' ' || b ELSE a END AS name FROM t WHERE t IN ('der', 'la') AND regexp_matches(a, '\\p{{L}}') AND a NOT IN ('der', 'la', 'que', 'est', 'und')),
  pt AS (SELECT doc_id, pos, t, CASE WHEN length(name) >= 5 AND (ends_with(name, 'que') OR ends_with(name, 'est') OR ends_with(name, 'und')) THEN substr(name, 1, length(name) - 3) ELSE name END AS name FROM pe),
@@ -207,8 +207,9 @@ def _(v):
     return texts.entities(v("t_documents").select(F.col("id").alias("doc_id"), F.col("content").alias("text")), GAZETTEERS)
 
 
-@register("trim_welded_suffix", """WITH n AS (SELECT DISTINCT token AS name FROM t_tokens), w AS (SELECT DISTINCT token AS term FROM t_tokens WHERE length(token) IN (2, 3)), k AS (SELECT name, unnest([2, 3]) AS k FROM n), b AS (SELECT name, max(k) AS k FROM k JOIN w ON w.term = right(name, k) WHERE length(name) - k >= 2 AND length(name) >= 4 GROUP BY 1)
- SELECT n.name, left(n.name, length(n.name) - coalesce(k, 0)) AS trimmed FROM n LEFT JOIN b ON b.name = n.name""")
+@register("trim_welded_suffix", """WITH n AS MATERIALIZED (SELECT DISTINCT token AS name, length(token) AS size FROM t_tokens), w AS MATERIALIZED (SELECT name AS term FROM n WHERE size IN (2, 3)),
+ k AS MATERIALIZED (SELECT name, 3 AS k, right(name, 3) AS term FROM n WHERE size >= 5 UNION ALL SELECT name, 2, right(name, 2) FROM n WHERE size >= 4), b AS (SELECT name, max(k) AS k FROM k JOIN w ON w.term = k.term GROUP BY 1)
+ SELECT n.name, left(n.name, size - coalesce(k, 0)) AS trimmed FROM n LEFT JOIN b ON b.name = n.name""")
 def _(v):
     names = v("t_tokens").select(F.col("token").alias("name")).distinct()
     return texts.trim_welded_suffix(names, v("t_tokens").where("length(token) in (2, 3)").select(F.col("token").alias("term")))
@@ -231,7 +232,7 @@ def _(v):
 
 
 @register("score_messages", """WITH c AS (SELECT message_id AS doc_id, event_id, trim(regexp_replace(regexp_replace(text, '@[A-Za-z0-9_.-]+', ' ', 'g'), '[ \\t\\n]+', ' ', 'g')) AS t, text FROM t_messages),
- n AS (SELECT doc_id, length(t) < 2 OR NOT regexp_matches(t, '\\p{L}') OR (length(t) < 15 AND CAST(length(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS DOUBLE) / length(regexp_replace(t, '\\s', '', 'g')) < 0.4) AS is_spam, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w = 'error')) AS bad, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w = 'signup')) AS good FROM c),
+ n AS (SELECT doc_id, length(t) < 2 OR NOT regexp_matches(t, '\\p{L}') OR (length(t) < 15 AND CAST(length(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS DOUBLE) / length(regexp_replace(t, '\\s', '', 'g')) < 0.4) AS is_spam, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+|\\p{So}'), lambda w: w = 'error')) AS bad, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+|\\p{So}'), lambda w: w = 'signup')) AS good FROM c),
  s AS (SELECT *, 0.8 * good - 0.6 * bad AS z FROM n), e AS (SELECT doc_id, is_spam, z::DOUBLE AS z, exp(1.6 * z) AS a, exp(2.24 * (0.35 - abs(z))) AS b, exp(-1.6 * z) AS c FROM s)
  SELECT doc_id, is_spam, CASE WHEN NOT is_spam THEN CASE WHEN abs(z) < 0.35 THEN 'neutral' WHEN z > 0 THEN 'positive' ELSE 'negative' END END AS sentiment, CASE WHEN NOT is_spam THEN round(CASE WHEN abs(z) < 0.35 THEN b WHEN z > 0 THEN a ELSE c END / (a + b + c), 6) END AS confidence FROM e""")
 def _(v):

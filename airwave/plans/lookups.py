@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from airwave.functions import text
 from airwave.operators import joins, lexicon, lookups
-from airwave.plans.catalog import _WINDOWS, _members, register
+from airwave.plans.catalog import _WINDOWS, _arrays, _members, register
 from airwave.plans.testviews import SENTIMENTS, TERMS
 
 _COUNTS = ", ".join(f"count(*) FILTER (sentiment = '{s}') AS {s}" for s in SENTIMENTS)
@@ -59,7 +59,7 @@ def _(v):
 
 
 @register("token_stats", """SELECT d.id, coalesce(x.n, 0) AS token_count, coalesce(x.u, 0) AS unique_count, coalesce(x.s, 0) AS stopword_removed FROM t_documents d LEFT JOIN
- (SELECT doc_id, count(*) AS n, count(DISTINCT token) AS u, count(*) FILTER (token IN (SELECT term FROM t_terms) OR length(token) < 2) AS s FROM t_tokens GROUP BY doc_id) x ON d.id = x.doc_id""")
+ (SELECT doc_id, count(*) AS n, count(DISTINCT token) AS u, count(*) FILTER (token IN (SELECT term FROM t_terms) OR length(token) < 2 OR regexp_matches(token, '^\\p{Nd}+$') OR NOT regexp_matches(token, '[\\p{L}\\p{N}]')) AS s FROM t_tokens GROUP BY doc_id) x ON d.id = x.doc_id""")
 def _(v):
     tokens = F.coalesce(text.tokenize(F.col("content")), F.array().cast("array<string>"))
     kept = text.kept_tokens(F.col("t"), [t for t, *_ in TERMS])
@@ -67,7 +67,7 @@ def _(v):
     return rows.select("id", F.size("t").cast("long").alias("token_count"), F.size(F.array_distinct("t")).cast("long").alias("unique_count"), (F.size("t") - F.size("k")).cast("long").alias("stopword_removed"))
 
 
-@register("filter_tokens", "SELECT doc_id, pos, token FROM t_tokens WHERE token IN ('it') OR (token NOT IN (SELECT term FROM t_terms) AND length(token) >= 2)")
+@register("filter_tokens", "SELECT doc_id, pos, token FROM t_tokens WHERE token IN ('it') OR (token NOT IN (SELECT term FROM t_terms) AND length(token) >= 2 AND NOT regexp_matches(token, '^\\p{Nd}+$') AND regexp_matches(token, '[\\p{L}\\p{N}]'))")
 def _(v):
     return lookups.filter_tokens(v("t_tokens"), v("t_terms"), ["it"])
 
@@ -80,7 +80,7 @@ def _(v):
 
 @register("topic_evidence", "SELECT doc_id, pos, term, 'exact' AS via, topic_ord, weight FROM t_tokens JOIN t_terms ON token = term")
 def _(v):
-    return lookups.topic_evidence(lexicon.term_matches(v("t_tokens"), v("t_terms")), v("t_terms"))
+    return lookups.topic_evidence(lexicon.term_matches(_arrays(v), v("t_terms")), v("t_terms"))
 
 
 @register("name_lexicon", """SELECT name, count(*) AS support FROM (SELECT token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS name FROM t_tokens)

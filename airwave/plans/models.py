@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from airwave.operators import models, windows
 from airwave.plans.catalog import register
-from airwave.sources.files import scratch
+from airwave.sources.files import keep, scratch
 
 #: folds, vocabulary and rounds of the registered fits
 FOLDS, CAP, ROUNDS = 3, 2000, 20
@@ -22,12 +22,12 @@ def _labelled(v):
 
 def _vectors(v):
     docs = _labelled(v)
-    counts = models.term_counts(docs.select("id", "text"), False).persist()
-    return docs, counts, models.fit_vectorizer(counts, docs.count(), 2, CAP).persist()
+    counts = keep(models.term_counts(docs.select("id", "text"), False), "counts")
+    return docs, counts, keep(models.fit_vectorizer(counts, docs.count(), 2, CAP), "vocabulary")
 
 
 def _features(v):
-    return models.vectorize(*_vectors(v)).persist()
+    return models.vectorize(*_vectors(v))
 
 
 _COUNTS = """WITH l AS (SELECT p.id, d.content FROM t_predictions p JOIN t_documents d ON d.id = p.id WHERE y_b IS NOT NULL), w AS (SELECT l.id, pos, token, lead(token) OVER (PARTITION BY l.id ORDER BY pos) AS nxt FROM l JOIN t_tokens t ON t.doc_id = l.id),

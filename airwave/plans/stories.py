@@ -11,10 +11,10 @@ from airwave.sources.files import keep
 
 MIN_MS = 60_000
 
-_TOPICS = """bt AS (SELECT video_id, block, lower(unnest(list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda t: t <> ''))) AS token FROM b WHERE usable),
-th AS (SELECT video_id, block, topic_ord, sum(weight) AS score FROM bt JOIN t_terms ON token = term GROUP BY ALL),
+_TOPICS = """bt AS (SELECT video_id, block, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+|\\p{So}')) AS token FROM b WHERE usable),
+th AS (SELECT video_id, block, topic_ord, sum(CAST(weight AS DECIMAL(18, 6))) AS score FROM bt JOIN t_terms ON token = term GROUP BY ALL),
 tb AS (SELECT *, row_number() OVER (PARTITION BY video_id, block ORDER BY score DESC, topic_ord) AS r, sum(score) OVER (PARTITION BY video_id, block) AS total, coalesce(sum(CASE WHEN topic_ord = 14 THEN score END) OVER (PARTITION BY video_id, block), 0) AS own FROM th),
-topics AS (SELECT b.video_id, b.block, CAST(CASE WHEN x.score IS NULL OR x.score < 0.9 THEN 14 ELSE x.topic_ord END AS INT) AS topic, round(CASE WHEN x.score IS NULL THEN 1.0 WHEN x.score < 0.9 THEN (x.own + 0.02) / (x.total + 0.3) ELSE (x.score + 0.02) / (x.total + 0.3) END, 6) AS confidence
+topics AS (SELECT b.video_id, b.block, CAST(CASE WHEN x.score IS NULL OR x.score < 0.9 THEN 14 ELSE x.topic_ord END AS INT) AS topic, CASE WHEN x.score IS NULL THEN CAST(1 AS DOUBLE) ELSE (CAST(CASE WHEN x.score < 0.9 THEN x.own ELSE x.score END AS DOUBLE) + CAST(0.02 AS DOUBLE)) / (CAST(x.total AS DOUBLE) + CAST(0.3 AS DOUBLE)) END AS confidence
  FROM b LEFT JOIN tb x ON x.video_id = b.video_id AND x.block = b.block AND x.r = 1 WHERE b.usable) """
 _FOUND = f"""{_BLOCKS}, {_TOPICS}, c AS (SELECT video_id, block, token AS term, count(*) AS n FROM bt WHERE length(token) > 1 GROUP BY ALL), gr AS (SELECT video_id, block AS gap FROM b), {_SIMILAR}, {_DEEP},
 ts AS (SELECT video_id, block, CASE WHEN lag(topic) OVER w = lead(topic) OVER w AND topic <> lag(topic) OVER w THEN lag(topic) OVER w ELSE topic END AS smoothed FROM topics WINDOW w AS (PARTITION BY video_id ORDER BY block)),
@@ -50,7 +50,7 @@ _REFINED = _FOUND.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """, nr AS (S
 mu AS (SELECT video_id, coarse, arg_max(end_ms, cue_idx) AS music FROM nr WHERE non_speech GROUP BY ALL),
 sp AS (SELECT *, count(*) OVER (PARTITION BY video_id, coarse) AS cnt FROM nr WHERE NOT non_speech AND text <> ''),
 cd AS (SELECT sp.video_id, sp.coarse, sp.cue_idx, sp.start_ms AS cut, sp.speaker_change FROM sp LEFT JOIN mu ON mu.video_id = sp.video_id AND mu.coarse = sp.coarse WHERE cnt >= 2 AND mu.music IS NULL),
-ct AS (SELECT video_id, cue_idx, start_ms, end_ms, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda t: length(t) > 1)) AS term FROM e WHERE NOT non_speech AND text <> ''),
+ct AS (SELECT video_id, cue_idx, start_ms, end_ms, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+|\\p{So}'), lambda t: length(t) > 1)) AS term FROM e WHERE NOT non_speech AND text <> ''),
 cc AS (SELECT cd.video_id, cd.cut, ct.term, count(*) FILTER (ct.start_ms < cd.cut AND ct.end_ms > cd.cut - 45000) AS l, count(*) FILTER (ct.start_ms < cd.cut + 45000 AND ct.end_ms > cd.cut) AS r FROM (SELECT DISTINCT video_id, cut FROM cd) cd JOIN ct ON ct.video_id = cd.video_id AND ct.start_ms < cd.cut + 45000 AND ct.end_ms > cd.cut - 45000 GROUP BY ALL),
 cs AS (SELECT video_id, cut, 1 - CAST(sum(l * r) AS DOUBLE) / sqrt(CAST(sum(l * l) AS DOUBLE) * CAST(sum(r * r) AS DOUBLE)) AS apart FROM cc GROUP BY ALL HAVING sum(l * l) > 0 AND sum(r * r) > 0),
 cb AS (SELECT cd.video_id, cd.coarse, cd.cut, cd.speaker_change, row_number() OVER (PARTITION BY cd.video_id, cd.coarse ORDER BY round(apart + CASE WHEN speaker_change THEN CAST(0.12 AS DOUBLE) ELSE 0 END, 9) DESC, cd.cue_idx) AS r FROM cd JOIN cs ON cs.video_id = cd.video_id AND cs.cut = cd.cut),

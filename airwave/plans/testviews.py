@@ -32,7 +32,7 @@ _SPARK = {
     "t_documents": _DOCUMENTS.format(published="timestamp'2024-01-01 00:00:00' + make_dt_interval(0, CAST(doc_id % 700 AS INT), 0, 0)"),
     "t_cues": _CUES.format(idx="CAST(pos AS BIGINT)", line="line", lines="documents LATERAL VIEW posexplode(split(text, '\\n')) x AS pos, line"),
     "t_predictions": _PREDICTIONS,
-    "t_tokens": "SELECT doc_id, pos, token FROM (SELECT doc_id, CAST(pos AS BIGINT) AS pos, lower(tok) AS token FROM documents LATERAL VIEW posexplode(filter(split(text, '[^\\\\p{L}]+'), t -> t <> '')) x AS pos, tok)",
+    "t_tokens": "SELECT doc_id, CAST(pos AS BIGINT) AS pos, token FROM documents LATERAL VIEW posexplode(regexp_extract_all(lower(text), '([\\\\p{L}\\\\p{M}\\\\p{N}]+|\\\\p{So})', 1)) x AS pos, token",
     "t_terms": _TERMS,
     "t_taxonomy": _TAXONOMY,
 }
@@ -42,7 +42,7 @@ DUCK = {
     "t_documents": _DOCUMENTS.format(published="TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 700 AS INT))"),
     "t_cues": _CUES.format(idx="idx", line="line", lines="(SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS idx, unnest(string_split(text, chr(10))) AS line FROM documents)"),
     "t_predictions": _PREDICTIONS,
-    "t_tokens": "SELECT doc_id, CAST(generate_subscripts(ts, 1) - 1 AS BIGINT) AS pos, unnest(ts) AS token FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda t: t <> ''), lambda t: lower(t)) AS ts FROM documents)",
+    "t_tokens": "SELECT doc_id, CAST(generate_subscripts(ts, 1) - 1 AS BIGINT) AS pos, unnest(ts) AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+|\\p{So}') AS ts FROM documents)",
     "t_terms": _TERMS,
     "t_taxonomy": _TAXONOMY,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_cue_text, usec_to_datetime, utc_datetime
 
@@ -21,20 +23,37 @@ _RAW = f"replayChatItemAction struct<videoOffsetTimeMsec:string,actions:array<st
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/airwave-scratch"
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir. Where it is unset, a folder in the
+    warehouse of a session that runs in one process alone; a cluster has to name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/airwave-scratch"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
 
 
-def keep(rows: DataFrame, name: str) -> DataFrame:
+def keep(rows: DataFrame, name: str, kinds: dict | None = None) -> DataFrame:
     """``rows`` written once in the shared folder: what several steps read is made once, and a lost executor takes
-    nothing with it."""
+    nothing with it. A table that is kept already comes back as it is. ``kinds``: types to read columns as."""
+    if getattr(rows, "airwave_kept", None):
+        return rows
     path = scratch(rows.sparkSession, name)
     rows.write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    schema = T.StructType([T.StructField(f.name, (kinds or {}).get(f.name, f.dataType)) for f in rows.schema])
+    out = rows.sparkSession.read.schema(schema).parquet(path)
+    out.airwave_kept = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove kept tables that nothing reads any more."""
+    for table in tables:
+        p = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.airwave_kept)
+        p.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _stem(pattern: str) -> Column:

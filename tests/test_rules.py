@@ -130,9 +130,9 @@ def test_sentiment_equals_the_state_machine(spark):
     terms = {"good": 1.0, "bad": -1.0, "fine": 0.2, "not": 0.1}
     words = [*terms, "no", "non", "very", "so", "slightly", "x", "y"]
     docs = {d: [rnd.choice(words) for _ in range(rnd.randint(0, 25))] for d in range(60)}
-    tokens = spark.createDataFrame([(d, i, t) for d, ts in docs.items() for i, t in enumerate(ts)], "doc_id long, pos long, token string")
+    tokens = spark.createDataFrame([*docs.items()], "doc_id long, tokens array<string>")
     weights = spark.createDataFrame([*terms.items()], "term string, polarity double")
-    evidence = lexicon.sentiment_evidence(tokens, lexicon.term_matches(tokens, weights), weights)
+    evidence = lexicon.sentiment_evidence(tokens, weights)
     got = defaultdict(list)
     for r in evidence.orderBy("doc_id", "pos").collect():
         got[r["doc_id"]].append((r["pos"], r["term"], r["multiplier"], r["negated"], r["score"]))
@@ -152,7 +152,10 @@ def test_sentiment_equals_the_state_machine(spark):
             assert v["sentiment"] == ("neutral" if abs(total) < 0.35 else "positive" if total > 0 else "negative")
 
 
-def test_matches_do_not_overlap(spark):
+@pytest.mark.parametrize("most", [1 << 18, 2])
+def test_matches_do_not_overlap(spark, monkeypatch, most):
+    """By the automaton, and by joins for terms beyond its bound."""
+    monkeypatch.setattr(lexicon, "MOST_TERMS", most)
     terms = {"a", "a b", "b c d", "c", "inside", "side", "d"}
     rnd = random.Random(6)
     docs = {d: [rnd.choice(["a", "b", "c", "d", "insides", "x"]) for _ in range(rnd.randint(0, 30))] for d in range(40)}
@@ -169,7 +172,8 @@ def test_matches_do_not_overlap(spark):
                 if ts[i] == "insides":
                     want.append((d, i, 1, "inside", "compound"))
                 i += 1
-    tokens = spark.createDataFrame([(d, i, t) for d, ts in docs.items() for i, t in enumerate(ts)], "doc_id long, pos long, token string")
+    tokens = spark.createDataFrame([*docs.items(), (50, None), (51, [None, "a", None])], "doc_id long, tokens array<string>").repartition(3)
+    want.append((51, 1, 1, "a", "exact"))
     got = lexicon.term_matches(tokens, spark.createDataFrame([(t,) for t in terms], "term string")).collect()
     assert sorted((r["doc_id"], r["pos"], r["words"], r["term"], r["via"]) for r in got) == sorted(want)
 
@@ -179,7 +183,7 @@ def test_topic_falls_back_with_its_own_probability(spark):
     hits = spark.createDataFrame([(1, "w"), (2, "s"), (3, "w"), (3, "f")], "doc_id long, term string")
     docs = spark.createDataFrame([(i,) for i in range(1, 5)], "doc_id long")
     got = {r["doc_id"]: (r["topic_ord"], r["confidence"]) for r in stats.gazetteer_topic(docs, hits, terms).collect()}
-    assert got == {1: (14, 0.025), 2: (2, round(2.02 / 4.3, 6)), 3: (14, round(0.42 / 1.2, 6)), 4: (14, 1.0)}
+    assert {k: (t, round(c, 6)) for k, (t, c) in got.items()} == {1: (14, 0.025), 2: (2, round(2.02 / 4.3, 6)), 3: (14, round(0.42 / 1.2, 6)), 4: (14, 1.0)}
 
 
 def test_sentiment_shares_are_zero_filled(spark):
@@ -209,7 +213,7 @@ def test_cleaning_keeps_numbers_and_laughter(spark):
     given = {"250,000 in 2000": "250,000 in 2000", "11111": "1", "5555 ok": "555 ok", "sooooo good!!!!": "so good!", "ＡＢＣ１": "ABC1", "a\u200bb": "ab", "<i>x</i>&#39;y www.a.b/c @z-1": "x y", "  a \n b ": "a b", "\u0e2a\u0e39\u0e49\u0e46\u0e46\u0e46": "\u0e2a\u0e39\u0e49\u0e46"}
     rows = spark.createDataFrame([(k,) for k in given], "t string")
     assert {r[0]: r[1] for r in rows.select("t", text.clean_text(F.col("t"))).collect()} == given
-    exact = spark.createDataFrame([("ﬁne ①",)], "t string").select(text.clean_text(F.col("t"), exact=True)).first()[0]
+    exact = spark.createDataFrame([("ﬁne ①",)], "t string").select(text.clean_text(F.col("t"))).first()[0]
     assert exact == "fine 1"
     assert spark.createDataFrame([("hi 😀",)], "t string").select(text.clean_text(F.col("t"), keep_emoji=False)).first()[0] == "hi"
 
@@ -300,6 +304,76 @@ def test_headline_equals_loop(spark):
 G = texts.Gazetteers(titles=["mr", "dr"], not_person=["viewer"], name_stop=["said"], organisations=["university"], places=["in"], known_places=["rome", "nice"], ambiguous=["nice"], patterns=texts.PATTERNS)
 
 
+THAI_WORDS = ["รถยนต์", "ชน", "กัน", "กลาง", "สี่", "แยก", "สี่แยก", "มี", "ผู้", "ได้รับ", "บาดเจ็บ", "ราย", "ทีม", "ไทย", "เล่น", "ไม่", "ดี", "เลย", "ครับ", "ชนะ", "แล้ว"]
+
+
+def test_words_of_scripts_with_and_without_blanks(spark):
+    said = {"รถยนต์ชนกันกลางสี่แยก": ["รถยนต์", "ชน", "กัน", "กลาง", "สี่แยก"], "มีผู้ได้รับบาดเจ็บ 5 ราย": ["มี", "ผู้", "ได้รับ", "บาดเจ็บ", "5", "ราย"], "ไทย   ชนะ\n\nแล้ว": ["ไทย", "ชนะ", "แล้ว"], "ทีมไทยเล่นไม่ดีเลยครับ 555": ["ทีม", "ไทย", "เล่น", "ไม่", "ดี", "เลย", "ครับ", "555"], "  \n": [], "Covid19ชนabc": ["covid19", "ชน", "abc"], "ชนฟหกเดแยก": ["ชน", "ฟหกเด", "แยก"], "🧡🧡 x": ["🧡", "🧡", "x"], None: None}
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    cut = text.dictionary_tokenizer(THAI_WORDS)
+    assert {r["t"]: r["ts"] for r in rows.select("t", cut(F.col("t")).alias("ts")).collect()} == said
+    by_locale = {r["t"]: r["ts"] for r in rows.select("t", text.locale_tokenizer()(F.col("t")).alias("ts")).collect()}
+    assert by_locale["ไทย   ชนะ\n\nแล้ว"] == ["ไทย", "ชนะ", "แล้ว"] and by_locale["Covid19ชนabc"] == ["covid19", "ชน", "abc"] and by_locale["🧡🧡 x"] == ["🧡", "🧡", "x"]
+    plain = {"covid19 Ça e\u0301te\u0301 555 don't": ["covid19", "ça", "e\u0301te\u0301", "555", "don", "t"], "ไม่ดี": ["ไม่ดี"]}
+    rows = spark.createDataFrame([(t,) for t in plain], "t string")
+    assert {r["t"]: r["ts"] for r in rows.select("t", text.tokenize(F.col("t")).alias("ts")).collect()} == plain
+    long_ = "ฝนตกหนักทำให้เกิดน้ำท่วม ประชาชนได้รับความเดือดร้อน 12 ราย เจ้าหน้าที่เร่งเข้าช่วย"
+    parts = spark.createDataFrame([(long_,)], "t string").select(text.sentence_split(F.col("t"), text.THAI)).first()[0]
+    assert parts == ["ฝนตกหนักทำให้เกิดน้ำท่วม", "ประชาชนได้รับความเดือดร้อน 12 ราย", "เจ้าหน้าที่เร่งเข้าช่วย"]
+
+
+def test_lattice_takes_the_best_of_all_ways():
+    """Against every way to cover a run with words and single characters."""
+    rnd = random.Random(9)
+
+    def ways(run):
+        if not run:
+            yield []
+        for k in range(1, len(run) + 1):
+            if run[:k] in words:
+                yield from ([(run[:k], True), *rest] for rest in ways(run[k:]))
+        if run:
+            yield from ([(run[:1], False), *rest] for rest in ways(run[1:]))
+
+    for _ in range(150):
+        words = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(6)}
+        run = "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 9)))
+        best = min(ways(run), key=lambda w: (sum(not known for _, known in w), len(w), [-len(t) if known else 0 for t, known in w]))
+        want, open_ = [], False
+        for t, known in best:
+            if not known and open_:
+                want[-1] += t
+            else:
+                want.append(t)
+            open_ = not known
+        assert text.Lattice([*words]).cut(run) == want or run == want[0], (words, run)
+
+
+def test_analysis_in_a_script_without_blanks(spark):
+    """Keywords, sentiment, topic, summary and entities stand on the dictionary's words."""
+    terms = spark.createDataFrame([("ไม่ดี", 2, 1.0, -1.0), ("ชนะ", 4, 2.0, 1.0)], "term string, topic_ord int, weight double, polarity double")
+    docs = spark.createDataFrame([(1, "ทีมไทยชนะแล้ว", "ทีมไทยเล่นดี ทีมไทยชนะแล้วครับ"), (2, None, "ทีมไทยเล่นไม่ดีเลย")], "doc_id long, title string, content string")
+    got = {r["doc_id"]: r for r in texts.analyse_documents(docs, terms, ["ครับ"], G, tokenizer=text.dictionary_tokenizer(THAI_WORDS), unmarked=text.THAI, letters=text.THAI, sep="").collect()}
+    assert (got[1]["sentiment"], got[1]["topic"], got[2]["sentiment"], got[2]["topic"]) == ("positive", 4, "negative", 2)
+    assert {"ทีม", "ไทย", "ชนะ"} <= {k["word"] for k in got[1]["keywords"]} and "ครับ" not in {k["word"] for k in got[1]["keywords"]}
+    assert got[1]["summary"] == "ทีมไทยเล่นดี ทีมไทยชนะแล้วครับ"
+
+
+def test_cleaning_orders_thai_marks(spark):
+    given = {"\u0e40\u0e40\u0e01": "\u0e41\u0e01", "\u0e17\u0e4d\u0e32": "\u0e17\u0e33", "\u0e17\u0e33": "\u0e17\u0e33", "\u0e19\u0e48\u0e4d\u0e32": "\u0e19\u0e48\u0e33", "\u0e17\u0e35\u0e48\u0e48": "\u0e17\u0e35\u0e48", "\u0e17\u0e48\u0e35": "\u0e17\u0e35\u0e48", "ดีมากกกกก": "ดีมาก", "ธรรมชาติ": "ธรรมชาติ", "55555ตลก": "555 ตลก", "🧡🧡🧡🧡": "🧡", "ＴＨＡＩ １２３ ﬁ": "THAI 123 fi", "รักเลย 🧡": "รักเลย 🧡"}
+    rows = spark.createDataFrame([(k,) for k in given], "t string")
+    assert {r[0]: r[1] for r in rows.select("t", text.clean_text(F.col("t"))).collect()} == given
+
+
+def test_rows_that_share_a_doc_id_are_analysed_each(spark):
+    terms = spark.createDataFrame([("flood", 2, 1.0, -1.0), ("great", 4, 1.0, 1.0)], "term string, topic_ord int, weight double, polarity double")
+    docs = spark.createDataFrame([(1, "Flood", "A bad flood"), (1, "Great", "A great day"), (None, "x", "y")], "doc_id long, title string, content string")
+    got = sorted((r["doc_id"] or 0, r["topic"], r["sentiment"], r["token_count"]) for r in texts.analyse_documents(docs, terms, [], G).collect())
+    assert got == [(0, 14, "neutral", 2), (1, 2, "negative", 4), (1, 4, "positive", 4)]
+    chat = spark.createDataFrame([("a", "great one"), ("a", "a flood"), ("a", "?")], "doc_id string, text string")
+    assert sorted((r["doc_id"], r["is_spam"], r["sentiment"]) for r in texts.score_messages(chat, terms).collect()) == [("a", False, "negative"), ("a", False, "positive"), ("a", True, None)]
+
+
 def test_entities_and_names(spark):
     said = "Mr Smithsaid and Dr Anna Bell, mr viewer; dr 7 mr. University Hospital nice in nice rome 12 May 2024 at 9:30 paid $5,000 or 3 % for 4 days. Mr Smithsaid"
     got = {(r["text"], r["label"]) for r in texts.entities(spark.createDataFrame([(1, said), (2, ""), (3, None)], "doc_id long, text string"), G).collect()}
