@@ -7,15 +7,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import keep
+
+
+#: messages of a stream beyond which it is cut into pieces, and seconds of the time ranges that pieces are made of
+PIECE, RANGE_S = 1 << 18, 60
+
 
 def greedy_windows(messages: DataFrame, size: int = 200, minutes: int = 60, min_messages: int = 5) -> DataFrame:
     """(stream_id, message_id, window_index): a window ends when ``size`` is reached or a message comes
     ``minutes`` or more after its first (0: no time bound); windows under the floor go, the rest are numbered
-    from 0. A stream is read in order in Arrow batches; the open window and the messages that wait for it to reach
-    the floor are the only state, so a stream of any length needs bounded memory and is read once."""
+    from 0. Messages come in order of time, then of their id as a number, then as text.
+
+    A stream of up to ``PIECE`` messages is read in order by one task. A larger one is cut at counted time ranges
+    into pieces, which tasks share: wherever a window begins before a piece, the next one begins among the piece's
+    first ``size`` messages, so a piece says for each of these where it would leave off. Following these summaries
+    from the stream's first message gives each piece its first window and number."""
     if size < 1:
         raise ValueError("size must be at least 1")
-    span = minutes * 60_000_000 if minutes else np.iinfo(np.int64).max // 2
+    span = int(minutes * 60_000_000) if minutes else np.iinfo(np.int64).max // 2
+    rows = messages.select("stream_id", "message_id", "us", F.col("message_id").try_cast("bigint").alias("_id"))
+    crowded = rows.groupBy("stream_id").agg(F.count("*").alias("_n")).where(F.col("_n") > PIECE).select("stream_id")
+    crowded = keep(crowded, "crowded")
+    if not crowded.limit(1).count():
+        return _scanned(rows, size, span, min_messages)
+    few = _scanned(rows.join(crowded, "stream_id", "left_anti"), size, span, min_messages)
+    return few.unionByName(_pieced(rows.join(crowded, "stream_id", "left_semi"), size, span, min_messages))
+
+
+def _scanned(rows: DataFrame, size: int, span: int, min_messages: int) -> DataFrame:
+    """Streams in order, in Arrow batches; the open window and the messages that wait for it to reach the floor are the
+    only state, so a stream is read once in bounded memory."""
 
     def scan(batches):
         stream = start = None
@@ -45,10 +67,93 @@ def greedy_windows(messages: DataFrame, size: int = 200, minutes: int = 60, min_
             if count < min_messages:
                 waiting.append(rows.iloc[first:])
 
-    ordered = messages.select("stream_id", "message_id", "us").repartition("stream_id").sortWithinPartitions("stream_id", "us", F.col("message_id").cast("long"), "message_id")
+    ordered = rows.repartition("stream_id").sortWithinPartitions("stream_id", "us", "_id", "message_id")
     return ordered.mapInPandas(scan, "stream_id long, message_id string, window_index long")
 
 
+def _pieced(rows: DataFrame, size: int, span: int, least: int) -> DataFrame:
+    """As ``_scanned`` for streams of any length."""
+    minute = F.floor(F.col("us") / (RANGE_S * 1_000_000)).alias("_range")
+    ranges = rows.groupBy("stream_id", minute).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("stream_id").orderBy("_range")) - F.col("_n")  # a row per stream and range
+    ranges = ranges.select("stream_id", "_range", F.floor(before / PIECE).alias("piece"))
+    pieces = keep(rows.withColumn("_range", minute).join(ranges, ["stream_id", "_range"]).drop("_range"), "pieces")
+
+    def steps(us):
+        """The next window's first message after a window that begins at each message; the piece's length if beyond."""
+        return np.minimum(np.minimum(np.arange(len(us)) + size, np.searchsorted(us, us + span)), len(us))
+
+    def summary(key, pdf):
+        import pandas as pd
+
+        us = np.sort(pdf["us"].to_numpy())
+        n, to = len(us), steps(us)
+        last, closed = np.where(to < n, to, np.arange(n)), ((to < n) & (to - np.arange(n) >= least)).astype(np.int64)
+        while (last[last] != last).any():  # by doubled steps: the last window that begins here, and those kept before it
+            closed, last = closed + closed[last], last[last]
+        m = min(size, n)
+        row = (*key, n, us[:m], n - last[:m], us[last[:m]] + span, closed[:m])
+        return pd.DataFrame([row], columns=["stream_id", "piece", "n", "first", "open", "until", "closed"])
+
+    kind = "stream_id long, piece long, n long, first array<long>, open array<long>, until array<long>, closed array<long>"
+    said = pieces.groupBy("stream_id", "piece").applyInPandas(summary, kind)
+
+    def follow(batches):
+        """Summaries of a stream in order, with the open window as only state."""
+        import pandas as pd
+
+        stream, number, open_, until, waiting = None, 0, 0, 0, []
+
+        def settled():
+            nonlocal number
+            own = number if open_ >= least else -1
+            number += own >= 0
+            for row in waiting:  # those that begin with this window, or are all of it, and the one in which it begins
+                row["lead_number" if row["base"] < 0 else "tail"] = own
+            out, waiting[:] = pd.DataFrame(waiting), []
+            return own, out
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.stream_id != stream:
+                    if waiting:
+                        yield settled()[1]
+                    stream, number, open_ = r.stream_id, 0, 0
+                lead = min(size - open_, int(np.searchsorted(r.first, until)), r.n) if open_ else 0
+                row = {"stream_id": stream, "piece": r.piece, "lead": lead, "lead_number": -1, "base": -1, "tail": -1}
+                open_ += lead
+                if lead < r.n:
+                    if waiting:
+                        row["lead_number"], out = settled()
+                        yield out
+                    row["base"] = number
+                    number += int(r.closed[lead])
+                    open_, until = int(r.open[lead]), int(r.until[lead])
+                waiting.append(row)
+        if waiting:
+            yield settled()[1]
+
+    dealt = said.repartition("stream_id").sortWithinPartitions("stream_id", "piece")
+    plan = dealt.mapInPandas(follow, "stream_id long, piece long, lead long, lead_number long, base long, tail long")
+
+    def numbered(pdf):
+        pdf = pdf.sort_values(["us", "_id", "message_id"], na_position="first", kind="stable")
+        us, (lead, lead_number, number, tail) = pdf["us"].to_numpy(), pdf[["lead", "lead_number", "base", "tail"]].iloc[0]
+        out, to, at = np.full(len(us), -1), steps(us), int(lead)
+        out[:at] = lead_number
+        while at < len(us):
+            end = int(to[at])
+            if end == len(us):
+                out[at:] = tail
+            elif end - at >= least:
+                out[at:end] = number
+                number += 1
+            at = end
+        return pdf[["stream_id", "message_id"]].assign(window_index=out)[out >= 0]
+
+    return pieces.join(keep(plan, "plan"), ["stream_id", "piece"]).groupBy("stream_id", "piece").applyInPandas(numbered, "stream_id long, message_id string, window_index long")
+
+
 def resolve_cue_ends(cues: DataFrame, max_gap_ms: int = 10_000) -> DataFrame:
     """Adds end_ms: the next start or start + duration, whichever is earlier, within [start, start + max_gap]."""
     after = F.coalesce(F.lead("start_ms").over(W.partitionBy("video_id").orderBy("start_ms", "cue_idx")), F.col("start_ms") + F.greatest(F.col("duration_ms"), F.lit(1000)))

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from airwave.functions import text
 from airwave.operators import filters, windows
@@ -11,7 +12,10 @@ from airwave.sources import files
 from airwave.streaming import jobs
 
 
-def test_greedy_windows_equals_loop(spark):
+@pytest.mark.parametrize("piece,size,floor,gap", [(1 << 18, 7, 3, 300), (20, 7, 3, 300), (3, 7, 3, 300), (1, 1, 1, 300), (9, 50, 4, 100_000), (4, 3, 3, 61)])
+def test_greedy_windows_equals_loop(spark, monkeypatch, piece, size, floor, gap):
+    """One task a stream, and streams cut into pieces that are smaller or larger than a window."""
+    monkeypatch.setattr(windows, "PIECE", piece)
     rnd = random.Random(1)
     rows = []
     for stream in range(6):
@@ -24,18 +28,29 @@ def test_greedy_windows_equals_loop(spark):
         mine = sorted((us, int(i)) for s, i, us in rows if s == stream)
         groups, start = [], None
         for us, i in mine:
-            if start is None or us - start >= 300_000_000 or len(groups[-1]) == 7:
+            if start is None or us - start >= gap * 1_000_000 or len(groups[-1]) == size:
                 groups.append([])
                 start = us
             groups[-1].append(i)
-        for k, g in enumerate(x for x in groups if len(x) >= 3):
+        for k, g in enumerate(x for x in groups if len(x) >= floor):
             want |= {(stream, str(i)): k for i in g}
-    got = windows.greedy_windows(spark.createDataFrame(rows, "stream_id long, message_id string, us long"), 7, 5, 3).collect()
+    got = windows.greedy_windows(spark.createDataFrame(rows, "stream_id long, message_id string, us long"), size, gap / 60, floor).collect()
     assert {(r["stream_id"], r["message_id"]): r["window_index"] for r in got} == want
     with pytest.raises(ValueError):
         windows.greedy_windows(spark.createDataFrame(rows, "stream_id long, message_id string, us long"), 0)
 
 
+def test_a_hot_stream_is_shared_by_tasks(spark, monkeypatch):
+    """Half of all messages are of one stream, and no task reads more than a few pieces of it."""
+    monkeypatch.setattr(windows, "PIECE", 1000)
+    rows = spark.range(20_000).selectExpr("case when id % 2 = 0 then 7 else id end as stream_id", "cast(id as string) as message_id", "id * 1000000 as us")
+    made = windows.greedy_windows(rows, 50, 60, 5)
+    sizes = [r["n"] for r in made.where("stream_id = 7").groupBy("stream_id", "window_index").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 200 and set(sizes) == {50}
+    tasks = made.where("stream_id = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 10_000
+
+
 def test_merge_short_spans_equals_loop(spark):
     rnd = random.Random(2)
     rows, want = [], []
