@@ -332,6 +332,8 @@ def utc_datetime(col: Column) -> Column:
     zone is UTC, whatever the session's zone; null if it is none."""
     c = F.trim(col)
     dated = F.when(F.rlike(c, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.concat(c, F.lit("T00:00:00"))).otherwise(c)
+    for part in (r"\d{2}", r"\d{2}:\d{2}"):  # hours, or hours and minutes, may stand alone
+        dated = F.regexp_replace(dated, rf"^([^Tt ]+[Tt ]{part})(?![:\d])", "$1:00")
     timed = F.rlike(dated, F.lit(r"^[^Tt ]+[Tt ].*(?:[Zz]|[+-]\d{2}(?::?\d{2})?)$"))
     zoned = F.when(F.rlike(dated, F.lit(r"[Tt ].*[+-]\d{2}$")), F.concat(dated, F.lit(":00"))).when(timed, dated).otherwise(F.concat(dated, F.lit("Z")))
     return F.try_to_timestamp(zoned)

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from ..functions.text import clean_cue_text, usec_to_datetime, utc_datetime
 
 _HEAD = "struct<video_id:string,title:string,channel:string,message_count:bigint>"
-_LINE = f"_stream {_HEAD}, message_id string, author string, text string, published_at string, offset_ms bigint"
 _TEXT = "struct<simpleText:string,runs:array<struct<text:string,emoji:struct<emojiId:string,isCustomEmoji:boolean,shortcuts:array<string>>>>>"
 _RENDERER = f"struct<id:string,timestampUsec:string,authorName:struct<simpleText:string>,message:{_TEXT},headerSubtext:{_TEXT}>"
 #: fixed values: renderers of chat with text of its own, and of announcements
@@ -62,23 +61,43 @@ def _stem(pattern: str) -> Column:
     return F.coalesce(F.nullif(folder, F.lit("")), F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds _n, the place of each line in its file: blocks of a file in order, lines of a block in order."""
-    order = W.partitionBy("_path").orderBy("_block", "_line")
-    rows = rows.withColumn("_line", F.monotonically_increasing_id())
-    return rows.withColumn("_n", F.row_number().over(order)).drop("_line", "_block")
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def snapshot_records(lines: DataFrame) -> DataFrame:
+    """``lines`` (value, ...) of snapshots that hold a JSON object, with v, the object, instead of the text."""
+    rows = lines.withColumn("v", F.try_parse_json(_stripped(F.col("value")))).drop("value")
+    return rows.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+
+
+def record_fields() -> dict[str, Column]:
+    """The fields of a message record v, as leniently as a hand-edited snapshot needs: text without white space around it,
+    a number for an offset cut to milliseconds (anything else is none), any ISO date or time, and the time of reading
+    for what is none."""
+    field = lambda name, kind="string": F.try_variant_get("v", f"$.{name}", kind)
+    kind = F.coalesce(F.schema_of_variant(field("offset_ms", "variant")), F.lit("VOID"))
+    number = F.when(F.rlike(kind, F.lit("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")), field("offset_ms", "double"))
+    offset = F.when(F.abs(number) < 2.0**53, F.signum(number) * F.floor(F.abs(number))).cast("bigint")
+    when = F.coalesce(utc_datetime(field("published_at")), F.current_timestamp())
+    text = _stripped(F.coalesce(field("text"), F.lit("")))
+    return {"message_id": field("message_id"), "author": field("author"), "text": text, "published_at": when, "offset_ms": F.coalesce(offset, F.when(kind == "BOOLEAN", field("offset_ms", "boolean").cast("bigint")))}
 
 
 def read_chat_snapshots(spark: SparkSession, path: str, limit: int = 20_000) -> DataFrame:
-    """Messages of JSON-lines snapshots, one file per video: a header line may name the stream, else the file
-    does; malformed lines and blank texts go; a bad time becomes the time of reading, one without zone is UTC;
-    the first ``limit`` messages of each file."""
-    rows = spark.read.schema(_LINE + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).json(path)
-    rows = rows.where("_bad is null").withColumns({"_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_file": _stem(r"^(.*?)(?:\.jsonl?|\.txt)?$")})
-    head = rows.where("_stream is not null").groupBy("_path").agg(F.first("_stream.video_id", ignorenulls=True).alias("_video"))
-    body = _numbered(rows.where("_stream is null and trim(text) <> ''")).where(F.col("_n") <= limit).join(head, "_path", "left")
-    ts = F.coalesce(utc_datetime(F.col("published_at")), F.current_timestamp())
-    return body.select(F.coalesce("_video", "_file").alias("video_id"), "message_id", "author", "text", ts.alias("published_at"), "offset_ms")
+    """Messages of JSON-lines snapshots, one file per video: a header line may name the stream (the last one counts, by
+    its first 32 characters), else the file does; lines that are no JSON object and blank texts go; fields are read as
+    ``record_fields`` says; the first ``limit`` messages of each file."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    where = {"_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_file": _stem(r"^(.*?)(?:\.jsonl?|\.txt)?$"), "_line": F.monotonically_increasing_id()}
+    rows = snapshot_records(lines.select("value", *(c.alias(k) for k, c in where.items())))
+    header = F.try_variant_get("v", "$._stream", "variant")
+    rows = rows.withColumn("_head", F.coalesce(F.startswith(F.schema_of_variant(header), F.lit("OBJECT")), F.lit(False)))
+    named = F.nullif(F.try_variant_get("v", "$._stream.video_id", "string"), F.lit(""))
+    head = rows.where("_head").groupBy("_path").agg(F.max_by(F.substring(F.coalesce(named, F.col("_file")), 1, 32), F.struct("_block", "_line")).alias("_video"))
+    body = rows.where("not _head").select("_path", "_block", "_file", "_line", *(c.alias(k) for k, c in record_fields().items())).where("text <> ''")
+    body = body.withColumn("_n", F.row_number().over(W.partitionBy("_path").orderBy("_block", "_line"))).where(F.col("_n") <= limit).join(head, "_path", "left")
+    return body.select(F.coalesce("_video", F.substring("_file", 1, 32)).alias("video_id"), "message_id", "author", "text", "published_at", "offset_ms")
 
 
 def _run_text(message: Column) -> Column:

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import utc_datetime
 from ..operators import filters, stats
-
-SCHEMA = "stream_id long, message_id string, author string, text string, ts string, offset_ms long, sentiment string, is_spam boolean"
-
+from ..sources import files
 
 def stream_messages(spark: SparkSession, path: str) -> DataFrame:
-    """New snapshot files under ``path`` become micro-batches; header lines and blank texts go, a missing id becomes a
-    fingerprint, a bad time the time of reading."""
-    rows = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).json(path).where("trim(text) <> ''")
-    rows = rows.withColumn("ts", F.coalesce(utc_datetime(F.col("ts")), F.current_timestamp())).withColumn("us", F.unix_micros("ts"))
-    return rows.withColumn("message_id", filters.identity()).withColumn("is_spam", F.coalesce("is_spam", F.lit(False)))
+    """New snapshot files under ``path`` become micro-batches; header lines, lines that are no JSON object and blank texts
+    go; times and offsets are read as leniently as in batch; a missing id becomes a fingerprint."""
+    rows = files.snapshot_records(spark.readStream.option("recursiveFileLookup", True).schema("value string").text(path))
+    field = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    plain = files.record_fields()
+    ts = F.coalesce(utc_datetime(field("ts", "string")), plain["published_at"])
+    rows = rows.select(field("stream_id", "bigint").alias("stream_id"), plain["message_id"].alias("message_id"), plain["author"].alias("author"), plain["text"].alias("text"), ts.alias("ts"), plain["offset_ms"].alias("offset_ms"), field("sentiment", "string").alias("sentiment"), F.coalesce(field("is_spam", "boolean"), F.lit(False)).alias("is_spam"))
+    return rows.where("text <> ''").withColumn("us", F.unix_micros("ts")).withColumn("message_id", filters.identity())
 
 
 def stream_dedupe(messages: DataFrame, delay: str = "1 hour") -> DataFrame:

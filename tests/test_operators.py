@@ -44,10 +44,12 @@ def test_a_hot_stream_is_shared_by_tasks(spark, monkeypatch):
     """Half of all messages are of one stream, and no task reads more than a few pieces of it."""
     monkeypatch.setattr(windows, "PIECE", 1000)
     rows = spark.range(20_000).selectExpr("case when id % 2 = 0 then 7 else id end as stream_id", "cast(id as string) as message_id", "id * 1000000 as us")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     made = windows.greedy_windows(rows, 50, 60, 5)
     sizes = [r["n"] for r in made.where("stream_id = 7").groupBy("stream_id", "window_index").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 200 and set(sizes) == {50}
     tasks = made.where("stream_id = 7").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(tasks) > 1 and max(r["count"] for r in tasks) < 10_000
 
 
@@ -123,6 +125,19 @@ def test_chat_snapshot_reader(spark, tmp_path):
     assert got == {("abc", "1"), ("y", "3")}
 
 
+def test_lenient_snapshot_fields(spark, tmp_path):
+    """Floating, missing and textual offsets, any ISO time, white space, records that are no object, and late headers."""
+    lines = [
+        {"message_id": "a", "text": "\t hi\n", "published_at": "2024-01-02", "offset_ms": 12.7}, {"message_id": "b", "text": "x", "published_at": "2024-01-02T03:04:05+07", "offset_ms": -3.2},
+        {"message_id": "c", "text": "\n\t"}, {"message_id": "d", "text": "y", "published_at": "2024-01-02T03:04:05.5", "offset_ms": "9"}, {"message_id": "e", "text": 7, "offset_ms": None, "published_at": "2024-01-02 03:04"}, {"_stream": {"video_id": "v" * 40}},
+        [1, 2], "text", {"message_id": "f", "text": "z", "offset_ms": True, "published_at": "2024-01-02T03:04:05+0530"},
+    ]
+    (tmp_path / "s.jsonl").write_text("\n".join([*map(json.dumps, lines), "", "{broken", "null"]))
+    got = {r["message_id"]: (r["video_id"], r["text"], r["offset_ms"], r["published_at"].isoformat()) for r in files.read_chat_snapshots(spark, str(tmp_path)).collect()}
+    v = "v" * 32
+    assert got == {"a": (v, "hi", 12, "2024-01-02T00:00:00"), "b": (v, "x", -3, "2024-01-01T20:04:05"), "d": (v, "y", None, "2024-01-02T03:04:05.500000"), "e": (v, "7", None, "2024-01-02T03:04:00"), "f": (v, "z", 1, "2024-01-01T21:34:05")}
+
+
 def test_snapshot_refuses_to_shrink(spark, tmp_path):
     path = str(tmp_path / "out")
     rows = spark.createDataFrame([("v", "T", None, str(i), "a", f"t{i}", 1_700_000_000 + i, i) for i in range(5)], "video_id string, title string, channel string, message_id string, author string, text string, s long, offset_ms long")
