@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,9 +18,13 @@ SORTS = {
 
 
 def search_literal(docs: DataFrame, needle: str) -> DataFrame:
-    """Documents that hold the trimmed needle, case ignored, in title or content; % and _ are plain characters."""
-    n = F.lower(F.lit(needle.strip()))
-    return docs.where(F.contains(F.lower("title"), n) | F.contains(F.lower("content"), n))
+    """Documents that hold the trimmed needle, case ignored, in title, content or summary (where they have one); % and _
+    are plain characters."""
+    n, found = F.lower(F.lit(needle.strip())), F.lit(False)
+    for column in ("title", "content", "summary"):
+        if column in docs.columns:
+            found = found | F.coalesce(F.contains(F.lower(column), n), F.lit(False))
+    return docs.where(found)
 
 
 def explore(docs, search=None, topic=None, sentiment=None, source_type=None, date_from=None, date_to=None, min_confidence=None, sort="newest", page=1, page_size=20) -> DataFrame:
@@ -97,11 +101,25 @@ def upsert_messages(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return existing.unionByName(new_messages(existing, batch))
 
 
+#: of a stream's metadata, what an empty new value leaves as it was; anything else always takes the new value
+_KEPT = ("title", "url", "channel")
+
+
 def upsert_streams(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows (stream_id, title, collector): a new non-empty title wins, the collector is always the new one."""
-    b = batch.select("stream_id", F.col("title").alias("_t"), F.col("collector").alias("_c"))
-    j = existing.join(b, "stream_id", "full")
-    return j.select("stream_id", F.coalesce(F.nullif("_t", F.lit("")), "title").alias("title"), F.coalesce("_c", "collector").alias("collector"))
+    """Streams by stream_id: of those in both, title, url and channel take the batch's value unless it is null or empty,
+    and all other columns of the batch take it as it is; columns that the batch lacks stay. Rows of one side alone stay."""
+    columns = [*existing.columns, *(c for c in batch.columns if c not in existing.columns)]
+    old = existing.select("stream_id", F.struct(*existing.columns).alias("_old"))
+    both = old.join(batch.select("stream_id", F.struct(*batch.columns).alias("_new")), "stream_id", "full")
+
+    def value(c: str) -> Column:
+        before = F.col(f"_old.{c}") if c in existing.columns else F.lit(None)
+        if c not in batch.columns:
+            return before
+        new = F.col(f"_new.{c}")
+        return F.coalesce(F.nullif(new, F.lit("")), before) if c in _KEPT else F.when(F.col("_new").isNotNull(), new).otherwise(before)
+
+    return both.select("stream_id", *(value(c).alias(c) for c in columns if c != "stream_id"))
 
 
 def delete_documents(docs: DataFrame, members: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,8 +136,8 @@ def dedupe_documents(docs: DataFrame) -> DataFrame:
 
 
 def dedupe_entities(rows: DataFrame) -> DataFrame:
-    """Distinct (doc_id, text) at their first position."""
-    return rows.groupBy("doc_id", "text").agg(F.min("pos").alias("pos"))
+    """Distinct (doc_id, text, label) at their first position: a name may be a place and a person."""
+    return rows.groupBy("doc_id", "text", "label").agg(F.min("pos").alias("pos"))
 
 
 def validate_labelled(rows: DataFrame, topics: list | None = None, sentiments: list | None = None) -> DataFrame:

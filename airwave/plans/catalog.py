@@ -134,9 +134,13 @@ def _(v):
     return filters.explore(v("t_documents"), sentiment="positive", min_confidence=0.2, sort="confidence", page=2).select("id", "sentiment_confidence", "total")
 
 
-@register("search_literal", "SELECT id FROM t_documents WHERE contains(lower(title), '%') OR contains(lower(content), '%')")
+@register("search_literal", "SELECT id FROM t_documents WHERE contains(lower(title), '%') OR contains(lower(content), '%') OR contains(lower(source || ' %5 ' || CAST(id % 11 AS VARCHAR)), '%5 1')")
 def _(v):
-    return filters.search_literal(v("t_documents"), " % ").select("id")
+    docs = v("t_documents")
+    summary = F.concat("source", F.lit(" %5 "), (F.col("id") % 11).cast("string"))
+    by_text = filters.search_literal(docs, " % ").select("id")
+    by_summary = filters.search_literal(docs.withColumn("summary", summary), " %5 1 ").select("id")
+    return by_text.union(by_summary).distinct()
 
 
 @register("unclear_predictions", "SELECT message_id, sentiment, sentiment_confidence IS NULL OR sentiment_confidence < 0.5 AS unclear FROM t_messages")
@@ -151,11 +155,12 @@ def _(v):
     return both.groupBy("stream_id", "message_id").agg(F.count("*").alias("n"))
 
 
-@register("upsert_streams", "WITH s AS (SELECT DISTINCT stream_id FROM t_messages) SELECT stream_id, CASE WHEN stream_id % 2 = 0 AND stream_id % 4 <> 0 THEN 'new' WHEN stream_id % 3 <> 0 THEN 'old' END AS title, CASE WHEN stream_id % 2 = 0 THEN 'poll' ELSE 'file' END AS collector FROM s WHERE stream_id % 3 <> 0 OR stream_id % 2 = 0")
+@register("upsert_streams", """WITH s AS (SELECT DISTINCT stream_id FROM t_messages), x AS (SELECT *, stream_id % 3 <> 0 AS o, stream_id % 2 = 0 AS n FROM s) SELECT stream_id, CASE WHEN n AND stream_id % 4 <> 0 THEN 'new' WHEN o THEN 'old' END AS title, CASE WHEN n THEN 'poll' ELSE 'file' END AS collector,
+ CASE WHEN n AND stream_id % 10 <> 0 THEN 'u2' WHEN o THEN 'u1' END AS url, CASE WHEN o THEN 'c' || CAST(stream_id AS VARCHAR) END AS channel, CASE WHEN n THEN stream_id % 8 = 0 ELSE true END AS is_live FROM x WHERE o OR n""")
 def _(v):
     s = v("t_messages").select("stream_id").distinct()
-    old = s.where("stream_id % 3 <> 0").select("stream_id", F.lit("old").alias("title"), F.lit("file").alias("collector"))
-    new = s.where("stream_id % 2 = 0").select("stream_id", F.when(F.col("stream_id") % 4 == 0, "").otherwise("new").alias("title"), F.lit("poll").alias("collector"))
+    old = s.where("stream_id % 3 <> 0").selectExpr("stream_id", "'old' AS title", "'file' AS collector", "'u1' AS url", "'c' || cast(stream_id as string) AS channel", "true AS is_live")
+    new = s.where("stream_id % 2 = 0").selectExpr("stream_id", "if(stream_id % 4 = 0, '', 'new') AS title", "'poll' AS collector", "if(stream_id % 10 = 0, null, 'u2') AS url", "stream_id % 8 = 0 AS is_live")
     return filters.upsert_streams(old, new)
 
 
@@ -171,9 +176,10 @@ def _(v):
     return filters.dedupe_documents(v("t_documents"))
 
 
-@register("dedupe_entities", "SELECT doc_id, token AS text, min(pos) AS pos FROM t_tokens GROUP BY ALL")
+@register("dedupe_entities", "SELECT doc_id, token AS text, CASE WHEN pos % 3 = 0 THEN 'PERSON' ELSE 'LOCATION' END AS label, min(pos) AS pos FROM t_tokens GROUP BY ALL")
 def _(v):
-    return filters.dedupe_entities(v("t_tokens").withColumnRenamed("token", "text"))
+    label = F.when(F.col("pos") % 3 == 0, "PERSON").otherwise("LOCATION")
+    return filters.dedupe_entities(v("t_tokens").select("doc_id", F.col("token").alias("text"), label.alias("label"), "pos"))
 
 
 @register("validate_labelled", """WITH r AS (SELECT *, min(id) OVER (PARTITION BY title) AS ft, min(id) OVER (PARTITION BY content) AS fc FROM t_documents)

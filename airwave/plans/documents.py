@@ -101,10 +101,11 @@ def _(v):
     return v("t_messages").withColumn("message_id", half).select("event_id", filters.identity().alias("fingerprint"))
 
 
-@register("utc_datetime", "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN us // 1000000 - CASE event_id % 4 WHEN 2 THEN 7200 ELSE 0 END END AS seconds FROM t_messages")
+@register("utc_datetime", "SELECT event_id, CASE event_id % 6 WHEN 2 THEN us // 1000000 - 7200 WHEN 4 THEN us // 86400000000 * 86400 WHEN 5 THEN us // 1000000 + 25200 WHEN 3 THEN NULL ELSE us // 1000000 END AS seconds FROM t_messages")
 def _(v):
     iso = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss")
-    said = F.when(F.col("event_id") % 4 == 0, iso).when(F.col("event_id") % 4 == 1, F.concat(iso, F.lit("Z"))).when(F.col("event_id") % 4 == 2, F.concat(iso, F.lit("+02:00"))).otherwise("soon")
+    forms = [iso, F.concat(iso, F.lit("Z")), F.concat(iso, F.lit("+02:00")), F.lit("soon"), F.substring(iso, 1, 10), F.concat(iso, F.lit("-07"))]
+    said = F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int"))
     return v("t_messages").select("event_id", F.unix_seconds(text.utc_datetime(said)).alias("seconds"))
 
 

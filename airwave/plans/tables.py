@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airwave.plans.catalog import _ENDS, _WINDOWS, _cues, register
-from airwave.sources import files
+from airwave.sources import files, merge
 from airwave.streaming import jobs
 
 _ALL = 1 << 40
@@ -187,4 +187,4 @@ def _(v):
     for part in (m.where("event_id % 2 = 0"), m.where("event_id % 3 <> 0"), m):  # three polls that overlap
         part.drop("event_id").write.mode("append").json(source)
         jobs.stream_upsert(jobs.stream_messages(spark, source), target, state).awaitTermination()
-    return spark.read.parquet(target).select("stream_id", "message_id", "us")
+    return merge.read(spark, f"{target}/messages").select("stream_id", "message_id", "us")
