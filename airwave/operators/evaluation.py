@@ -57,12 +57,30 @@ def erfc(z):
     return F.exp(-z * z) * sum((a * F.pow(u, F.lit(n)) for a, n in terms[1:]), terms[0][0] * u)
 
 
-def mcnemar(rows: DataFrame) -> DataFrame:
-    """Discordant pairs, the corrected chi-square statistic and its p-value (one degree of freedom)."""
-    c = complementarity(rows).select("only_a", "only_b")
+def exact_tail(b: Column, c: Column) -> Column:
+    """Two-sided p of b against c discordant pairs under even odds, from binomial coefficients one after the other; they
+    are whole numbers that a double holds exactly up to some fifty pairs."""
+    n, m = (b + c).cast("double"), F.least(b, c)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    steps = F.when(m > 0, F.sequence(F.lit(1).cast("bigint"), m.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] * (n - i + 1) / i
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    return F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step, lambda acc: acc["sum"]) / F.pow(F.lit(2.0), n))
+
+
+def mcnemar(rows: DataFrame, by: str | None = None, few: int = 25) -> DataFrame:
+    """Discordant pairs, the corrected chi-square statistic and the p-value, per ``by`` if given: exact below ``few``
+    pairs, of the chi-square distribution (one degree of freedom) from there on."""
+    right = lambda y: F.col(y) == F.col("y_true")
+    only = lambda x, y: F.count_if(right(x) & ~right(y))
+    c = rows.groupBy(*([by] if by else [])).agg(only("y_a", "y_b").alias("only_a"), only("y_b", "y_a").alias("only_b"))
     n = F.col("only_a") + F.col("only_b")
     x = F.when(n > 0, F.pow(F.greatest(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(0)), F.lit(2)) / n).otherwise(0.0)
-    return c.withColumn("_x", x).select("only_a", "only_b", F.round("_x", 6).alias("statistic"), F.round(erfc(F.sqrt(F.col("_x") / 2)), 6).alias("p_value"))
+    p = F.when(n < few, exact_tail(F.least("only_a", F.lit(few)), F.least("only_b", F.lit(few)))).otherwise(erfc(F.sqrt(F.col("_x") / 2)))
+    return c.withColumn("_x", x).select(*([by] if by else []), "only_a", "only_b", F.round("_x", 6).alias("statistic"), F.round(p, 6).alias("p_value"))
 
 
 def confidence_bands(rows: DataFrame, edges: tuple[float, ...] = (0.4, 0.6, 0.8)) -> DataFrame:

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, OneVsRestModel
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasRegParam, HasWeightCol
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import char_wb_ngrams, tokenize, word_ngrams
-from ..sources.files import keep
+from ..sources.files import discard, keep
+from . import reports
+from .windows import fold_count, stratified_folds
 
 #: version of the stored form of a model
 VERSION = 1
@@ -74,12 +77,82 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sizes), "label")  # a row per class
 
 
+class CalibratedSVM(Estimator, HasLabelCol, HasFeaturesCol, HasWeightCol, HasRegParam, HasMaxIter):
+    """One-against-rest linear support vectors that give probabilities. ``cv`` times the vectors are fitted without one
+    part of the rows, dealt evenly by class, and that part's margins give each class a sigmoid curve; the model is the mean
+    of all. Curves take Platt's targets, so that a part which the margins separate has finite ones."""
+
+    def __init__(self, regParam: float = 0.01, maxIter: int = 50, cv: int = 3):
+        super().__init__()
+        self.cv = cv
+        self._setDefault(labelCol="label", featuresCol="features", weightCol="weight", regParam=regParam, maxIter=maxIter)
+
+    def _fit(self, dataset: DataFrame) -> CalibratedSVMModel:
+        rows = dataset.select(F.monotonically_increasing_id().alias("id"), F.col(self.getLabelCol()).cast("double").alias("label"), F.col(self.getFeaturesCol()).alias("features"), F.col(self.getWeightCol()).alias("weight"))
+        rows = keep(rows, "margins", {"features": VectorUDT()})
+        classes = int(rows.agg(F.max("label")).first()[0]) + 1
+        folds = min(self.cv, fold_count(rows, "label", self.cv))
+        svm = OneVsRest(classifier=LinearSVC(regParam=self.getRegParam(), maxIter=self.getMaxIter()), weightCol="weight")
+        parts = []
+        dealt = keep(stratified_folds(rows, "label", folds), "dealt", {"features": VectorUDT()}) if folds > 1 else rows.withColumn("fold", F.lit(0))
+        for k in range(max(folds, 1)):  # a class with one row leaves nothing to hold out: the curves then see what was fitted
+            fitted = svm.fit(dealt.where(F.col("fold") != k) if folds > 1 else dealt)
+            held = fitted.transform(dealt.where(F.col("fold") == k)).select("label", vector_to_array("rawPrediction").alias("raw"))
+            parts.append((fitted, calibrate(held, classes)))
+        discard(*({rows.airwave_kept: rows} | ({dealt.airwave_kept: dealt} if folds > 1 else {})).values())
+        return CalibratedSVMModel([m for m, _ in parts], [c for _, c in parts])
+
+
+class CalibratedSVMModel(Model, MLReadable, MLWritable):
+    """Support vectors and the sigmoid curves of their classes; probabilities are the mean over the parts."""
+
+    def __init__(self, parts: list, curves: list):
+        super().__init__()
+        self.parts, self.curves = parts, curves
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out, names = dataset, dataset.columns
+        for i, (part, curves) in enumerate(zip(self.parts, self.curves)):
+            out = calibrated(out, part, curves).select(*names, *(f"_p{j}" for j in range(i)), F.col("p").alias(f"_p{i}"))
+        n = len(self.parts)
+        mean = F.array(*(sum((F.get(f"_p{i}", F.lit(k)) for i in range(n)), F.lit(0.0)) / n for k in range(len(self.curves[0]))))
+        out = out.select(*names, mean.alias("_p")).withColumn("probability", array_to_vector("_p"))
+        return out.withColumn("prediction", (F.array_position("_p", F.array_max("_p")) - 1).cast("double")).drop("_p")
+
+    def write(self) -> MLWriter:
+        return _CalibratedWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _CalibratedReader()
+
+
+class _CalibratedWriter(MLWriter):
+    def __init__(self, model: CalibratedSVMModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        for i, part in enumerate(self.model.parts):
+            part.write().save(f"{path}/part-{i}")
+        rows = [(i, k, float(a), float(b)) for i, curves in enumerate(self.model.curves) for k, (a, b) in enumerate(curves)]
+        self.sparkSession.createDataFrame(rows, "part int, class int, slope double, offset double").coalesce(1).write.parquet(f"{path}/curves")
+
+
+class _CalibratedReader(MLReader):
+    def load(self, path: str) -> CalibratedSVMModel:
+        curves: dict[int, list] = {}
+        for r in sorted(self.sparkSession.read.parquet(f"{path}/curves").collect()):
+            curves.setdefault(r["part"], []).append((r["slope"], r["offset"]))
+        return CalibratedSVMModel([OneVsRestModel.load(f"{path}/part-{i}") for i in curves], [*curves.values()])
+
+
 def estimator(algo: str, n: int, C: float | None = None, rounds: int = 50) -> Estimator:
-    """Logistic regression, one-against-rest linear support vectors, or complement naive Bayes over (features, label, weight)."""
+    """Logistic regression, calibrated linear support vectors, or complement naive Bayes over (features, label, weight)."""
     if algo == "logistic":
         return LogisticRegression(weightCol="weight", regParam=1 / ((C or 4.0) * n), maxIter=rounds)
     if algo == "svm":
-        return OneVsRest(classifier=LinearSVC(regParam=1 / ((C or 0.5) * n), maxIter=rounds), weightCol="weight")
+        return CalibratedSVM(regParam=1 / ((C or 0.5) * n), maxIter=rounds)
     if algo == "bayes":
         return NaiveBayes(modelType="complement", smoothing=C or 1.0, weightCol="weight")
     raise ValueError(f"unknown algorithm {algo}")
@@ -111,13 +184,17 @@ def scores(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def calibrate(margins: DataFrame, classes: int) -> list[tuple[float, float]]:
-    """Slope and offset of a logistic curve for each class over out-of-fold rows (label, raw array)."""
-    out = []
+    """Slope and offset of a sigmoid curve for each class over rows (label, raw array) that the margins' model has not
+    seen. A row of the class counts as one with weight (n + 1) / (n + 2) and as none with the rest, n such rows being
+    there; others the other way round."""
+    counts = {int(r["label"]): r["n"] for r in margins.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total, out = sum(counts.values()), []
     for k in range(classes):  # one small fit a class
-        rows = margins.select((F.col("label") == k).cast("double").alias("label"), F.array(F.get("raw", F.lit(k))).alias("x"))
-        from pyspark.ml.functions import array_to_vector
-
-        fit = LogisticRegression(maxIter=50).fit(rows.select("label", array_to_vector("x").alias("features")))
+        own = counts.get(k, 0)
+        yes = F.when(F.col("label") == k, (own + 1) / (own + 2)).otherwise(1 / (total - own + 2))
+        said = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), yes.alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - yes).alias("weight")))).alias("s")
+        rows = margins.select(array_to_vector(F.array(F.get("raw", F.lit(k)))).alias("features"), said).select("features", "s.label", "s.weight")
+        fit = LogisticRegression(maxIter=50, weightCol="weight").fit(rows)
         out.append((float(fit.coefficients[0]), float(fit.intercept)))
     return out
 
@@ -205,15 +282,32 @@ def cross_validate(predicted: DataFrame, folds: int) -> list[tuple[int, float, f
     return [(k, round(m["accuracy"], 6), round(m["macro_f1"], 6)) for k, m in enumerate(each)]
 
 
+def spread(validated: list[tuple[int, float, float]]) -> dict[str, float]:
+    """Mean and deviation over the folds of what ``cross_validate`` gives."""
+    from statistics import fmean, pstdev
+
+    out = {}
+    for i, name in enumerate(("accuracy", "macro_f1"), 1):
+        values = [v[i] for v in validated]
+        out |= {f"{name}_mean": round(fmean(values), 6) if values else 0.0, f"{name}_deviation": round(pstdev(values), 6) if values else 0.0}
+    return out
+
+
+def out_of_fold_alpha(rows: DataFrame, rules: DataFrame, folds: int, alphas: list[float], temperatures: list[float], algo: str = "logistic", rounds: int = 50) -> DataFrame:
+    """The grid point (alpha, temperature, accuracy, macro_f1) at which a model blends best with ``rules`` (id, p array by
+    class), over predictions that the model made for rows (id, label, fold, features) that it had not seen."""
+    said = out_of_fold(rows, folds, algo, rounds=rounds).select("id", "label", "p")
+    both = said.join(rules.select("id", F.col("p").alias("_r")), "id")
+    each = both.select("id", F.col("label").cast("int").alias("actual"), F.posexplode(F.arrays_zip(F.col("p").alias("p_model"), F.col("_r").alias("p_rules"))).alias("label", "x"))
+    return reports.fit_blend_alpha(reports.blend_grid(each.select("id", "actual", "label", "x.p_model", "x.p_rules"), alphas, temperatures))
+
+
 def grid_search(rows: DataFrame, folds: int, grids: dict[str, list[float]], parallel: int = 4, rounds: int = 30) -> list[tuple[str, float, float]]:
     """(algo, C, macro_f1) of every grid point by cross-validation over ``fold``, the best first."""
     (rows, n), found = _gathered(rows.withColumn("fold", F.col("fold").cast("int"))), []
     for algo, values in grids.items():
         base = estimator(algo, n, rounds=rounds)
-        if algo == "svm":  # the penalty belongs to the inner classifier
-            grid = ParamGridBuilder().addGrid(base.classifier, [LinearSVC(regParam=1 / (c * n), maxIter=rounds) for c in values]).build()
-        else:
-            grid = ParamGridBuilder().addGrid(base.smoothing if algo == "bayes" else base.regParam, [c if algo == "bayes" else 1 / (c * n) for c in values]).build()
+        grid = ParamGridBuilder().addGrid(base.smoothing if algo == "bayes" else base.regParam, [c if algo == "bayes" else 1 / (c * n) for c in values]).build()
         cv = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=MacroF1(), foldCol="fold", numFolds=folds, parallelism=parallel)
         found += [(algo, c, round(float(m), 6)) for c, m in zip(values, cv.fit(rows).avgMetrics)]
     return sorted(found, key=lambda r: (-r[2], r[0], r[1]))
@@ -222,22 +316,19 @@ def grid_search(rows: DataFrame, folds: int, grids: dict[str, list[float]], para
 def stacking(first: DataFrame, second: DataFrame, folds: int, rounds: int = 50) -> DataFrame:
     """Out-of-fold predictions of a logistic model over the probabilities of two others' out-of-fold rows
     (id, label, fold, p): nested, since neither level has seen the row."""
-    from pyspark.ml.functions import array_to_vector
-
     both = first.select("id", "label", "fold", F.col("p").alias("_a")).join(second.select("id", F.col("p").alias("_b")), "id")
     return out_of_fold(both.select("id", "label", "fold", array_to_vector(F.concat("_a", "_b")).alias("features")), folds, "logistic", rounds=rounds)
 
 
 def ablate(docs: DataFrame, settings: dict[str, dict], folds: int, rounds: int = 20) -> list[tuple[str, int, float, float]]:
     """(setting, features, accuracy, macro_f1) on the same folds of rows (id, text, label, fold) for each setting of
-    char, min_df, cap and algo."""
+    char (True), min_df (2), cap (60,000 a view) and algo (logistic)."""
     out = []
     for name, s in settings.items():
-        counts = term_counts(docs.select("id", "text"), s.get("char", False)).persist()
-        vocabulary = fit_vectorizer(counts, docs.count(), s.get("min_df", 2), s.get("cap", 2000)).persist()
-        rows = vectorize(docs.select("id", "text", "label", "fold"), counts, vocabulary).persist()
+        counts = keep(term_counts(docs.select("id", "text"), s.get("char", True)), "counts")
+        vocabulary = keep(fit_vectorizer(counts, docs.count(), s.get("min_df", 2), s.get("cap", 60_000)), "vocabulary")
+        rows = vectorize(docs.select("id", "text", "label", "fold"), counts, vocabulary)
         m = macro_f1(out_of_fold(rows, folds, s.get("algo", "logistic"), rounds=rounds))
         out.append((name, vocabulary.count(), round(m["accuracy"], 6), round(m["macro_f1"], 6)))
-        for frame in (rows, vocabulary, counts):
-            frame.unpersist()
+        discard(rows, vocabulary, counts)
     return out

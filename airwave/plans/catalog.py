@@ -490,9 +490,15 @@ def _(v):
 _ERFC = "exp(-z * z) * (0.254829592 * u - 0.284496736 * pow(u, 2) + 1.421413741 * pow(u, 3) - 1.453152027 * pow(u, 4) + 1.061405429 * pow(u, 5))"
 
 
-@register("mcnemar", f"WITH c AS ({_COMP}), s AS (SELECT only_a, only_b, CASE WHEN only_a + only_b > 0 THEN pow(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b) ELSE 0.0 END AS x FROM c), z AS (SELECT *, sqrt(x / 2) AS z, 1 / (1 + 0.3275911 * sqrt(x / 2)) AS u FROM s) SELECT only_a, only_b, round(x, 6) AS statistic, round({_ERFC}, 6) AS p_value FROM z")
+_EXACT = "least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1)))) / pow(2, only_a + only_b))"
+
+
+@register("mcnemar", f"""WITH g AS (SELECT id % 8 AS part, y_true, y_a, y_b FROM t_predictions UNION ALL SELECT -1, y_true, y_a, y_b FROM t_predictions), c AS (SELECT part, count(*) FILTER (y_a = y_true AND y_b <> y_true) AS only_a, count(*) FILTER (y_b = y_true AND y_a <> y_true) AS only_b FROM g GROUP BY part),
+ s AS (SELECT *, CASE WHEN only_a + only_b > 0 THEN pow(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b) ELSE 0.0 END AS x FROM c), z AS (SELECT *, sqrt(x / 2) AS z, 1 / (1 + 0.3275911 * sqrt(x / 2)) AS u FROM s)
+ SELECT part, only_a, only_b, round(x, 6) AS statistic, round(CASE WHEN only_a + only_b < 25 THEN {_EXACT} ELSE {_ERFC} END, 6) AS p_value FROM z""")
 def _(v):
-    return evaluation.mcnemar(v("t_predictions"))
+    parts = v("t_predictions").withColumn("part", F.explode(F.array(F.col("id") % 8, F.lit(-1).cast("bigint"))))
+    return evaluation.mcnemar(parts, "part")
 
 
 @register("confidence_bands", """WITH b AS (SELECT CAST(CASE WHEN confidence_a < 0.4 THEN 0 WHEN confidence_a < 0.6 THEN 1 WHEN confidence_a < 0.8 THEN 2 ELSE 3 END AS INT) AS band, count(*) AS n, count(*) FILTER (y_a = y_true) AS k FROM t_predictions GROUP BY 1)

@@ -85,9 +85,12 @@ def _(v):
 
 @register("cross_validate")
 def _(v):
+    """Each fold, and the mean and deviation over them; as many folds as the smallest class can fill."""
     rows = _features(v)
-    found = models.cross_validate(models.out_of_fold(rows, FOLDS, rounds=ROUNDS).persist(), FOLDS)
-    return rows.sparkSession.createDataFrame(found, "fold int, accuracy double, macro_f1 double")
+    folds = windows.fold_count(rows, "label", FOLDS)
+    found = models.cross_validate(keep(models.out_of_fold(rows, folds, rounds=ROUNDS), "folds"), folds)
+    m = models.spread(found)
+    return rows.sparkSession.createDataFrame([(*f, m["macro_f1_mean"], m["macro_f1_deviation"]) for f in found], "fold int, accuracy double, macro_f1 double, mean double, deviation double")
 
 
 @register("grid_search")
@@ -100,28 +103,32 @@ def _(v):
 @register("stacking")
 def _(v):
     rows = _features(v)
-    one, two = (models.out_of_fold(rows, FOLDS, a, rounds=ROUNDS).persist() for a in ("logistic", "bayes"))
+    one, two = (keep(models.out_of_fold(rows, FOLDS, a, rounds=ROUNDS), "folds") for a in ("logistic", "bayes"))
     return models.stacking(one, two, FOLDS, ROUNDS).select("id", "fold", "label", "prediction", F.round(F.get("p", F.lit(1)), 6).alias("p_toxic"))
 
 
 @register("ablate")
 def _(v):
-    docs = _labelled(v).persist()
-    found = models.ablate(docs, {"words": {}, "frequent words": {"min_df": 20}, "bayes": {"algo": "bayes"}}, FOLDS, 10)
+    docs = keep(_labelled(v), "labelled")
+    found = models.ablate(docs, {"both views": {"cap": CAP}, "words": {"char": False, "cap": CAP}, "frequent words": {"char": False, "min_df": 20, "cap": CAP}}, FOLDS, 10)
     return docs.sparkSession.createDataFrame(found, "setting string, features long, accuracy double, macro_f1 double")
 
 
 @register("calibrate")
 def _(v):
-    """Support vectors calibrated on out-of-fold scores."""
+    """Probabilities of calibrated support vectors, before they are stored and after they are read again."""
     rows = _features(v)
-    folds = None
-    for k in range(FOLDS):
-        m = models.train_classifier(rows.where(F.col("fold") != k), "svm", rounds=5)
-        from pyspark.ml.functions import vector_to_array
-
-        part = m.transform(rows.where(F.col("fold") == k)).select("label", vector_to_array("rawPrediction").alias("raw"))
-        folds = part if folds is None else folds.unionByName(part)
-    curves = models.calibrate(folds.persist(), 2)
-    model = models.train_classifier(rows, "svm", rounds=5)
-    return models.calibrated(rows, model, curves).select("id", "label", F.round(F.get("p", F.lit(1)), 6).alias("p_toxic"))
+    spark, model, path = rows.sparkSession, models.train_classifier(rows, "svm", rounds=5), scratch(rows.sparkSession, "model")
+    models.save_model(spark, model, path, NAMES, {})
+    again, _, _ = models.load_model(spark, path)
+    p = lambda m, name: models.scores(rows, m).select("id", "label", F.round(F.get("p", F.lit(1)), 6).alias(name))
+    return p(model, "p_toxic").join(p(again, "p_again").drop("label"), "id")
+
+
+@register("out_of_fold_alpha")
+def _(v):
+    """A model blended with a rule that calls long texts toxic."""
+    rows = _features(v)
+    rule = F.when(F.length("text") > 1500, 0.6).otherwise(0.2)
+    rules = rows.select("id", F.array(1 - rule, rule).alias("p"))
+    return models.out_of_fold_alpha(rows, rules, FOLDS, [0.0, 0.25, 0.5, 0.75, 1.0], [0.5, 1.0], rounds=ROUNDS)

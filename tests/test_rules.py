@@ -424,6 +424,17 @@ def test_models_learn_and_are_stored(spark, tmp_path):
     models.save_model(spark, model, path, ["sport", "weather"], {"acc": 1.0})
     again, labels, note = models.load_model(spark, path)
     assert note is None and labels == ["sport", "weather"] and again.coefficients == model.coefficients
+    svm = models.train_classifier(rows, "svm", rounds=10)
+    models.save_model(spark, svm, str(tmp_path / "svm"), ["sport", "weather"], {})
+    again, _, note = models.load_model(spark, str(tmp_path / "svm"))
+    p = lambda m: {r["id"]: list(r["p"]) for r in models.scores(rows, m).select("id", "p").collect()}
+    before, after = p(svm), p(again)
+    assert note is None and len(svm.parts) == 3 and before == after
+    assert all(0 < x < 1 and abs(sum(ps) - 1) < 1e-9 for ps in before.values() for x in ps)
+    rules = rows.select("id", F.array(F.lit(0.5), F.lit(0.5)).alias("p"))
+    best = models.out_of_fold_alpha(rows, rules, 3, [0.0, 1.0], [1.0], rounds=10).first()
+    assert (best["alpha"], best["accuracy"]) == (1.0, 1.0)
+    assert models.spread([(0, 0.5, 0.2), (1, 1.0, 0.4)]) == {"accuracy_mean": 0.75, "accuracy_deviation": 0.25, "macro_f1_mean": 0.3, "macro_f1_deviation": 0.1}
     (tmp_path / "b" / "about").mkdir(parents=True)
     (tmp_path / "b" / "about" / "part-0.json").write_text("{broken")
     assert models.load_model(spark, str(tmp_path / "b"))[0] is None and models.load_model(spark, str(tmp_path / "none"))[0] is None
@@ -434,6 +445,15 @@ def test_models_learn_and_are_stored(spark, tmp_path):
     assert windows.fold_count(frame, "label") == 5
 
 
+def test_few_discordant_pairs_have_an_exact_p(spark):
+    for b, c in ((0, 0), (1, 0), (3, 3), (10, 2), (0, 24), (12, 12)):
+        n = b + c
+        want = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
+        rows = [(1, 1, 0)] * b + [(1, 0, 1)] * c + [(1, 1, 1)]
+        r = evaluation.mcnemar(spark.createDataFrame(rows, "y_true int, y_a int, y_b int")).first()
+        assert (r["only_a"], r["only_b"]) == (b, c) and r["p_value"] == pytest.approx(want, abs=1e-6)
+
+
 def test_metrics(spark):
     pairs = [(0, 0)] * 5 + [(0, 1)] * 2 + [(1, 1)] * 3 + [(2, 0)]
     rows = spark.createDataFrame(pairs, "y int, p int")
