@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import Tokenizer, clean_text, keyword_candidates, tokenize
+
 
 def bucketed_range_join(points: DataFrame, intervals: DataFrame, key: str, at: str, bucket_ms: int) -> DataFrame:
     """Points with the intervals [start_ms, end_ms) they lie in. Both sides shuffle on (key, bucket), so one
@@ -50,12 +52,15 @@ def reaction_overview(messages: DataFrame, segments: DataFrame) -> DataFrame:
     return out.withColumn("mood", mood)
 
 
-def reaction_words(messages: DataFrame, segments: DataFrame, k: int = 8) -> DataFrame:
-    """The k most frequent words of each segment's chat; ties to the smaller word."""
+def reaction_words(messages: DataFrame, segments: DataFrame, k: int = 8, stop: list[str] = (), exclude: list[str] = (), letters: str = "a-zA-Z", tokenizer: Tokenizer = tokenize) -> DataFrame:
+    """The k most frequent words of each segment's chat that can be keywords, of cleaned text; ties to the smaller word.
+    A message is cleaned and cut once, before it meets its segment."""
     from pyspark.sql import Window as W
 
-    words = segment_messages(messages, segments).select("segment_id", F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1)).alias("word"))
-    counts = words.groupBy("segment_id", "word").agg(F.count("*").alias("n"))
+    words = keyword_candidates(tokenizer(clean_text(F.coalesce("text", F.lit("")))), [*stop], [*exclude], letters)
+    said = segment_messages(messages.withColumn("text", F.array_join(words, " ")), segments)
+    said = said.select("segment_id", F.explode(F.filter(F.split("text", " "), lambda t: t != "")).alias("word"))
+    counts = said.groupBy("segment_id", "word").agg(F.count("*").alias("n"))
     return counts.withColumn("rank", F.row_number().over(W.partitionBy("segment_id").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= k)
 
 

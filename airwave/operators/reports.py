@@ -108,12 +108,12 @@ def cross_domain_eval(predictions: DataFrame) -> DataFrame:
     return scored.groupBy(*by).agg(F.sum("support").alias("rows"), F.round(F.sum("tp") / F.sum("support"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"))
 
 
-def reaction_detail(messages: DataFrame, segments: DataFrame, words: int = 8, samples: int = 12) -> DataFrame:
+def reaction_detail(messages: DataFrame, segments: DataFrame, words: int = 8, samples: int = 12, **rules) -> DataFrame:
     """(segment_id, total, positive, neutral, negative, mood, words, samples) of every segment: the mix, its most
-    frequent words and the messages from a quarter of the way on."""
+    frequent words (by ``rules`` of ``joins.reaction_words``) and the messages from a quarter of the way on."""
     mix = joins.reaction_overview(messages, segments)
     ordered = lambda rows, rank, value, name: rows.groupBy("segment_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(rank, value))), lambda x: x[value]).alias(name))
-    top = ordered(joins.reaction_words(messages, segments, words), "rank", "word", "words")
+    top = ordered(joins.reaction_words(messages, segments, words, **rules), "rank", "word", "words")
     some = ordered(reaction_samples(messages, segments, samples), "nth", "message_id", "samples")
     none = F.array().cast("array<string>")
     return mix.join(top, "segment_id", "left").join(some, "segment_id", "left").withColumns({c: F.coalesce(c, none) for c in ("words", "samples")})

@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, clean_text, find_in_order, is_noise, kept_tokens, keyword_candidates, sentence_split, tokenize
 from ..sources.files import keep
-from . import lexicon, reports, stats
-
-#: versions of the rules, kept with each analysis
-VERSIONS = {"topic": "gazetteer-1", "sentiment": "lexicon-1", "keywords": "tfidf-1", "summary": "extractive-1", "entities": "rules-1"}
-
+from . import lexicon, reports, stages, stats
 
 def extractive_summary(docs: DataFrame, stop: list[str], lo: int = 2, hi: int = 4, least: int = 12, lead: float = 0.35, tokenizer: Tokenizer = tokenize, unmarked: str | None = None, key: str = "doc_id") -> DataFrame:
     """(key, summary, sentences) of rows (key, text), one row a key: of sentences of ``least`` characters or more (all, where none
@@ -216,19 +212,20 @@ def repair_segment_names(people: DataFrame, lexicon_: DataFrame, droppable: Data
     return rows.select("doc_id", text.alias("text"), "label").distinct()
 
 
-def analyse_documents(docs: DataFrame, terms: DataFrame, stop: list[str], gazetteers: Gazetteers, idf: DataFrame | None = None, documents: int = 0, k: int = 10, tokenizer: Tokenizer = tokenize, unmarked: str | None = None, letters: str = "a-zA-Z", sep: str = " ") -> DataFrame:
+def analyse_documents(docs: DataFrame, terms: DataFrame, stop: list[str], gazetteers: Gazetteers, idf: DataFrame | None = None, documents: int = 0, k: int = 10, tokenizer: Tokenizer = tokenize, unmarked: str | None = None, letters: str = "a-zA-Z", sep: str = " ", choices: dict[str, stages.Choice] | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, title, content): cleaned text, token counts, topic and sentiment with confidence,
-    keywords, summary, entities and the versions of the rules. Title and body are classified together, the summary is
+    keywords, summary, entities and what served each stage: the rules, or a model that ``choices`` has. Title and body are classified together, the summary is
     of the body alone; sentiment sees all tokens, topic the filtered ones.
 
     Texts are cleaned, cut into tokens and matched in one pass, and written once with a number for each row, so that rows
     that share a doc_id are analysed each on its own; every part reads its columns of that table."""
     base = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.coalesce("content", F.lit("")).alias("said"), clean_text(F.coalesce("title", F.lit(""))).alias("title"), clean_text(F.coalesce("content", F.lit(""))).alias("body"))
-    base = base.select("_row", "doc_id", "said", "title", F.trim(F.concat("title", F.lit(" "), "body")).alias("text"))
+    base = base.select("_row", "doc_id", "said", "title", "body", F.trim(F.concat("title", F.lit(" "), "body")).alias("text"))
     base = base.withColumns({"tokens": tokenizer(F.col("text")), "title_tokens": kept_tokens(tokenizer(F.col("title")), stop)})
     base = base.withColumn("filtered", kept_tokens(F.col("tokens"), stop, [*lexicon.NEGATORS, *lexicon.MODIFIERS]))
     base = lexicon.with_matches(base, terms, sep=sep)
     base = keep(lexicon.with_matches(base, terms, sep=sep, tokens="filtered", into="topical"), "analysis")
+    model = lambda kind: choices[kind].stage if choices and kind in choices else None
     topical = base.select("_row", F.explode("topical").alias("m")).select("_row", "m.term")
     topic = stats.gazetteer_topic(base, topical, terms, key="_row").select("_row", F.col("topic_ord").alias("topic"), F.col("confidence").alias("topic_confidence"))
     mood = lexicon.lexicon_sentiment(base.select("_row", F.size("tokens").alias("words")), lexicon.weighed(base, terms, "_row"), "_row").select("_row", "sentiment", F.col("confidence").alias("sentiment_confidence"))
@@ -237,9 +234,10 @@ def analyse_documents(docs: DataFrame, terms: DataFrame, stop: list[str], gazett
     said = extractive_summary(base.select("_row", F.col("said").alias("text")), stop, tokenizer=tokenizer, unmarked=unmarked, key="_row").select("_row", "summary")
     names = entities(base.select("_row", "text"), gazetteers, sep, key="_row").groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "text", "label"))), lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("entities"))
     out = base.select("_row", "doc_id", F.col("text").alias("cleaned_text"), F.size("tokens").alias("token_count"), F.size(F.array_distinct("tokens")).alias("unique_count"), F.size("filtered").alias("filtered_count"))
-    for part in (topic, mood, words, said, names):
-        out = out.join(part, "_row", "left")
-    versions = F.create_map(*(F.lit(x) for kv in VERSIONS.items() for x in kv))
+    for kind, part in (("topic", topic), ("sentiment", mood), ("keywords", words), ("summary", said), ("entities", names)):
+        out = out.join(stages.run(base, model(kind)) if model(kind) else part, "_row", "left")
+    serving = {kind: choices[kind].active if choices and kind in choices else rules for kind, rules in stages.RULES.items()}
+    versions = F.create_map(*(F.lit(x) for kv in serving.items() for x in kv))
     return out.drop("_row").withColumn("model_versions", versions)
 
 
@@ -252,30 +250,3 @@ def score_messages(messages: DataFrame, terms: DataFrame, letters: str = "a-zA-Z
     rows = keep(lexicon.with_matches(rows, terms, sep=sep), "scored")
     mood = lexicon.lexicon_sentiment(rows.where(~F.col("is_spam")).select("_row", F.size("tokens").alias("words")), lexicon.weighed(rows, terms, "_row"), "_row")
     return rows.select("_row", "doc_id", "is_spam").join(mood.select("_row", "sentiment", "confidence"), "_row", "left").drop("_row")
-
-
-#: the stages of an analysis, and what each falls back to
-STAGES = {"tokenizer": "letters", "topic": "gazetteer", "sentiment": "lexicon", "keywords": "tfidf", "summary": "extractive", "entities": "rules"}
-
-
-def stage_status(spark, requested: dict[str, str], trained: dict[str, str]) -> DataFrame:
-    """(stage, requested, active, trained, note): what each stage is asked to be and is; a model that is not in
-    ``trained`` (stage -> model) gives way to the rules, and the note says so."""
-    rows = []
-    for stage, rules in STAGES.items():
-        asked = requested.get(stage, rules)
-        fine = asked == rules or trained.get(stage) == asked
-        rows.append((stage, asked, asked if fine else rules, fine and asked != rules, None if fine else f"{asked} is not available, {rules} serves"))
-    return spark.createDataFrame(rows, "stage string, requested string, active string, trained boolean, note string")
-
-
-def apply_stage(docs: DataFrame, stage, schema: str, batch: int = 16) -> DataFrame:
-    """An external model over Arrow batches: ``stage`` takes a pandas frame of at most ``batch`` rows and returns one of
-    ``schema``."""
-
-    def run(frames):
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                yield stage(frame.iloc[at : at + batch])
-
-    return docs.mapInPandas(run, schema)

@@ -104,9 +104,15 @@ def _(v):
     return joins.reaction_overview(v("t_messages"), v("t_segments"))
 
 
-@register("reaction_words", f"WITH w AS (SELECT s.segment_id, unnest(regexp_extract_all(m.text, '([a-z]+)', 1)) AS word {_AIR}), c AS (SELECT segment_id, word, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY n DESC, word) AS rank FROM c) SELECT * FROM r WHERE rank <= 8")
+#: words of a message that can be keywords, without "view" and "click"
+_SAID = r"list_filter(regexp_extract_all(lower(regexp_replace(m.text, '@[A-Za-z0-9_.-]+', ' ', 'g')) || {more}, '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda t: length(t) >= 2 AND NOT regexp_matches(t, '^\p{{Nd}}+$') AND regexp_matches(t, '[a-z]') AND t NOT IN ('view', 'click'))"
+_MORE = _SAID.format(more="CASE WHEN m.event_id % 3 = 0 THEN ' ça va' ELSE '' END")
+
+
+@register("reaction_words", f"WITH w AS (SELECT s.segment_id, unnest({_MORE}) AS word {_AIR}), c AS (SELECT segment_id, word, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY n DESC, word) AS rank FROM c) SELECT * FROM r WHERE rank <= 8")
 def _(v):
-    return joins.reaction_words(v("t_messages"), v("t_segments"))
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.upper("text"), F.lit(" <b>ÇA</b> &amp; va!!"))).otherwise(F.col("text"))
+    return joins.reaction_words(v("t_messages").withColumn("text", said), v("t_segments"), stop=["view"], exclude=["click"])
 
 
 @register("enrichment_plan", f"WITH c AS (SELECT s.segment_id, s.position, count(m.message_id) AS n {_AIR.replace('JOIN', 'LEFT JOIN')} GROUP BY ALL) SELECT segment_id, 'headline' AS kind FROM c WHERE position % 4 <> 0 UNION ALL SELECT segment_id, 'reaction' AS kind FROM c WHERE n >= 5 AND position % 3 <> 0")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airwave.functions import privacy, text
-from airwave.operators import evaluation, filters, lexicon, models, segment, stats, texts, windows
+from airwave.operators import evaluation, filters, lexicon, models, segment, stages, stats, texts, windows
 from airwave.sources import files
 
 
@@ -393,13 +393,37 @@ def test_analysis_of_documents(spark):
     got = {r["doc_id"]: r for r in texts.analyse_documents(spark.createDataFrame(rows, "doc_id long, title string, content string"), terms, ["the", "of"], G).collect()}
     assert (got[1]["topic"], got[1]["sentiment"], got[2]["topic"], got[2]["sentiment"], got[3]["sentiment"]) == (2, "negative", 14, "neutral", "negative")
     assert got[1]["keywords"][0]["word"] == "flood" and got[1]["summary"] and got[2]["summary"] == "" and got[2]["token_count"] == 0
-    assert got[1]["model_versions"]["topic"] == texts.VERSIONS["topic"]
+    assert got[1]["model_versions"]["topic"] == stages.RULES["topic"]
     chat = spark.createDataFrame([("a", "great"), ("b", "11111"), ("c", None), ("d", "not great")], "doc_id string, text string")
     assert {r["doc_id"]: (r["is_spam"], r["sentiment"]) for r in texts.score_messages(chat, terms).collect()} == {"a": (False, "positive"), "b": (True, None), "c": (True, None), "d": (False, "negative")}
-    status = {r["stage"]: (r["active"], r["note"] is None) for r in texts.stage_status(spark, {"topic": "m", "summary": "n"}, {"topic": "m"}).collect()}
-    assert status["topic"] == ("m", True) and status["summary"] == ("extractive", False) and len(status) == 6
-    doubled = texts.apply_stage(chat.select("doc_id"), lambda f: f.assign(n=len(f))[["doc_id", "n"]], "doc_id string, n long", batch=3)
-    assert {r["n"] for r in doubled.collect()} <= {1, 2, 3}
+
+
+def test_models_take_over_stages(spark):
+    """A model serves its stage, in batches; one that does not open, knows no columns or no name leaves it to the rules."""
+    terms = spark.createDataFrame([("flood", 2, 1.0, -1.0)], "term string, topic_ord int, weight double, polarity double")
+    docs = spark.createDataFrame([(i, f"t{i}", "a flood") for i in range(7)], "doc_id long, title string, content string")
+    opened = []
+
+    def topics():
+        opened.append(1)
+        return lambda f: f.assign(topic=100 + len(f), topic_confidence=0.5)[["topic", "_row", "topic_confidence"]]
+
+    def broken():
+        raise OSError("no weights")
+
+    known = [stages.Stage("topic", "m", topics, batch=3), stages.Stage("sentiment", "gone", broken), stages.Stage("summary", "odd", lambda: lambda f: f), stages.Stage("entities", "short", lambda: lambda f: f.head(0).assign(entities=[]))]
+    asked = {"topic": "m", "sentiment": "gone", "summary": "odd", "entities": "short", "keywords": "other"}
+    choices = stages.choose(spark, asked, known)
+    assert not opened  # it is opened by workers alone
+    out = texts.analyse_documents(docs.coalesce(1), terms, [], G, choices=choices)
+    rows = out.collect()
+    assert {r["topic"] for r in rows} <= {101, 102, 103} and {r["sentiment"] for r in rows} == {"negative"} and all(r["summary"] for r in rows)
+    told = {r["stage"]: (r["active"], r["trained"], r["documents"], r["note"]) for r in stages.status(out, choices).collect()}
+    assert told["topic"] == ("m", True, 7, None) and told["tokenizer"] == ("words-2", False, 7, None)
+    assert told["sentiment"] == ("lexicon-1", False, 7, "OSError: no weights; lexicon-1 serves")
+    assert told["summary"][0] == "extractive-1" and "gives no summary" in told["summary"][3] and "row for each document" in told["entities"][3] and "not known" in told["keywords"][3]
+    with pytest.raises(ValueError):
+        stages.choose(spark, {"topics": "m"})
 
 
 def test_models_learn_and_are_stored(spark, tmp_path):
