@@ -215,6 +215,10 @@ def boundary_report(boundaries: DataFrame) -> DataFrame:
     )
 
 
+#: range of time in which spans and cues meet
+RANGE_MS = 600_000
+
+
 def split_mixed_spans(spans: DataFrame, cues: DataFrame, terms: DataFrame, topics_of, min_ms: int = 60_000, apart: float = 0.72, depth: int = 3) -> DataFrame:
     """``spans`` cut where their halves have different topics and some inner cue divides them by at least ``apart``
     (1 - cosine of all that the span says before and after it), with ``min_ms`` left on both sides; the pieces are
@@ -231,8 +235,11 @@ def split_mixed_spans(spans: DataFrame, cues: DataFrame, terms: DataFrame, topic
         mixed = keep(long.join(told, ["video_id", "start_ms"]), "mixed")
         if not mixed.limit(1).count():
             break
-        inner = mixed.join(cues.where("not non_speech and text <> ''").select("video_id", "cue_idx", F.col("start_ms").alias("cut")), "video_id").where((F.col("cut") >= F.col("start_ms") + min_ms) & (F.col("cut") <= F.col("end_ms") - min_ms))
-        words = mixed.join(cues.select("video_id", "cue_idx", F.col("start_ms").alias("at")), "video_id").where((F.col("at") >= F.col("start_ms")) & (F.col("at") < F.col("end_ms"))).join(terms, ["video_id", "cue_idx"])
+        # a cue lies in one range of time, and meets the spans that reach into it
+        ranged = mixed.withColumn("_t", F.explode(F.sequence(F.floor(F.col("start_ms") / RANGE_MS), F.floor((F.col("end_ms") - 1) / RANGE_MS))))
+        there = cues.withColumn("_t", F.floor(F.col("start_ms") / RANGE_MS))
+        inner = ranged.join(there.where("not non_speech and text <> ''").select("video_id", "_t", "cue_idx", F.col("start_ms").alias("cut")), ["video_id", "_t"]).drop("_t").where((F.col("cut") >= F.col("start_ms") + min_ms) & (F.col("cut") <= F.col("end_ms") - min_ms))
+        words = ranged.join(there.select("video_id", "_t", "cue_idx", F.col("start_ms").alias("at")), ["video_id", "_t"]).drop("_t").where((F.col("at") >= F.col("start_ms")) & (F.col("at") < F.col("end_ms"))).join(terms, ["video_id", "cue_idx"])
         words = words.groupBy("video_id", "start_ms", "term", "at").agg(F.count("*").alias("n"))
         # running counts of each term over the span's cues; between two of its occurrences they do not change
         w = W.partitionBy("video_id", "start_ms", "term").orderBy("at")
