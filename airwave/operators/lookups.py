@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_headline
+
 from .joins import enrichment_plan
 
 def class_balance(docs: DataFrame, sentiments: list[str]) -> DataFrame:
@@ -54,11 +56,20 @@ def topic_evidence(matches: DataFrame, terms: DataFrame) -> DataFrame:
     return matches.join(terms, "term").select("doc_id", "pos", "term", "via", "topic_ord", "weight")
 
 
-def name_lexicon(tokens: DataFrame, titles: list[str], blocked: DataFrame, weight: int = 1) -> DataFrame:
-    """(name, support): tokens right after a title, unless blocked, each occurrence counting ``weight``."""
-    after = F.lead("token").over(W.partitionBy("doc_id").orderBy("pos"))
-    found = tokens.withColumn("name", after).where(F.col("token").isin(titles) & F.col("name").isNotNull())
-    found = found.groupBy("name").agg((F.count("*") * weight).alias("support"))
+def _after_titles(rows: DataFrame, titles: list[str], letters: str, weight: int) -> DataFrame:
+    """(name, support) of what may be a name right after a title in rows (tokens array), found inside the row."""
+    tokens = F.col("tokens")
+    after = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    fits = lambda t, n: t.isin(titles) & (F.length(n) >= 2) & F.rlike(n, F.lit(f"[{letters}]")) & ~n.isin(titles)
+    names = F.filter(F.zip_with(tokens, after, lambda t, n: F.when(fits(t, n), n)), lambda n: n.isNotNull())
+    return rows.select(F.explode(names).alias("name")).groupBy("name").agg((F.count("*") * weight).alias("support"))
+
+
+def name_lexicon(chat: DataFrame, speech: DataFrame, titles: list[str], blocked: DataFrame, letters: str = "a-zA-Z", weights: tuple[int, int] = (3, 1)) -> DataFrame:
+    """(name, support): tokens right after a title in rows (tokens array) of chat, where a person typed them, and of speech,
+    at three to one; of two characters or more, in script, no title themselves and not ``blocked`` (term)."""
+    both = _after_titles(chat, titles, letters, weights[0]).unionByName(_after_titles(speech, titles, letters, weights[1]))
+    found = both.groupBy("name").agg(F.sum("support").alias("support"))
     return found.join(blocked.select(F.col("term").alias("name")), "name", "left_anti")
 
 
@@ -67,11 +78,12 @@ def content_key(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(text, "[ \t\n\r]+", " ")), 256)
 
 
-def enrichment_lookup(docs: DataFrame, cache: DataFrame, model: str, version: int) -> DataFrame:
+def enrichment_lookup(docs: DataFrame, cache: DataFrame, model: str, version: int, **rules) -> DataFrame:
     """Documents with the cached headline of their content by one model in the present shape: ``cache`` has
-    content_key, model, version and headline; a headline that says nothing is a miss, and so is null."""
-    usable = cache.where((F.col("model") == model) & (F.col("version") == version) & (F.trim("headline") != ""))
-    usable = usable.groupBy("content_key").agg(F.max("headline").alias("headline"))
+    content_key, model, version and headline; a headline that cleaning (by ``rules`` of ``clean_headline``) leaves
+    nothing of is a miss, and so is null."""
+    usable = cache.where((F.col("model") == model) & (F.col("version") == version)).withColumn("headline", clean_headline(F.col("headline"), **rules))
+    usable = usable.where("headline is not null").groupBy("content_key").agg(F.max("headline").alias("headline"))
     return docs.withColumn("content_key", content_key(F.col("content"))).join(usable, "content_key", "left")
 
 

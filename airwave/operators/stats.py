@@ -73,14 +73,19 @@ def window_sentiment(messages: DataFrame, membership: DataFrame, share: float =
     return c.select("stream_id", "window_index", "messages", "scored", "start_us", "end_us", label.alias("sentiment"), F.round(sure, 6).alias("confidence"))
 
 
-def window_documents(messages: DataFrame, membership: DataFrame) -> DataFrame:
-    """Each window as one document: title with its time and size, texts in order, bounds, span, count and hash."""
+def window_documents(messages: DataFrame, membership: DataFrame, streams: DataFrame | None = None, keywords: DataFrame | None = None) -> DataFrame:
+    """Each window as one document: title with its time and size, texts in order, bounds, span, count and hash. The title
+    has the stream's (``streams``: stream_id, title) and opens with the window's keywords (``keywords``: stream_id,
+    window_index, keywords) where they are given; a table of streams is small beside their windows, and the optimizer
+    broadcasts it where it is."""
     rows = membership.join(messages, ["stream_id", "message_id"])
-    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("us", F.col("message_id").cast("long").alias("i"), "text"))), lambda x: x["text"]), "\n")
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("us", F.col("message_id").try_cast("bigint").alias("i"), "message_id", "text"))), lambda x: x["text"]), "\n")
     d = rows.groupBy("stream_id", "window_index").agg(texts.alias("content"), F.count("*").alias("message_count"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
-    title = window_title(F.timestamp_micros("start_us"), F.lit(None).cast("string"), F.array().cast("array<string>"), F.col("message_count"))
+    d = d.join(keywords.select("stream_id", "window_index", F.col("keywords").alias("_words")), ["stream_id", "window_index"], "left") if keywords is not None else d.withColumn("_words", F.array().cast("array<string>"))
+    d = d.join(streams.select("stream_id", F.col("title").alias("_title")), "stream_id", "left") if streams is not None else d.withColumn("_title", F.lit(None).cast("string"))
+    title = window_title(F.timestamp_micros("start_us"), F.col("_title"), F.col("_words"), F.col("message_count"))
     d = d.withColumn("title", title).withColumn("span_ms", F.floor((F.col("end_us") - F.col("start_us")) / 1000))
-    return d.withColumn("content_hash", F.sha2("content", 256))
+    return d.withColumn("content_hash", F.sha2("content", 256)).drop("_title", "_words")
 
 
 def stream_rates(messages: DataFrame, membership: DataFrame) -> DataFrame:

@@ -63,9 +63,12 @@ def _(v):
 
 
 @register("window_documents", _WINDOWS + """SELECT stream_id, window_index, string_agg(text, chr(10) ORDER BY us, event_id) AS content, count(*) AS message_count, min(us) AS start_us, max(us) AS end_us, (max(us) - min(us)) // 1000 AS span_ms,
- 'Live chat — ' || strftime(make_timestamp(min(us)), '%d %b %H:%M') || ' (' || CAST(count(*) AS VARCHAR) || ' messages)' AS title, sha256(string_agg(text, chr(10) ORDER BY us, event_id)) AS content_hash FROM k GROUP BY ALL""")
+ CASE WHEN window_index % 2 = 0 THEN 'w' || CAST(window_index AS VARCHAR) || ' · b — ' ELSE '' END || CASE WHEN stream_id % 3 = 0 THEN 'Live chat' ELSE 'Stream ' || CAST(stream_id AS VARCHAR) END || CASE WHEN window_index % 2 = 0 THEN ' (' || strftime(make_timestamp(min(us)), '%d %b %H:%M') || ')' ELSE ' — ' || strftime(make_timestamp(min(us)), '%d %b %H:%M') || ' (' || CAST(count(*) AS VARCHAR) || ' messages)' END AS title, sha256(string_agg(text, chr(10) ORDER BY us, event_id)) AS content_hash FROM k GROUP BY stream_id, window_index""")
 def _(v):
-    return stats.window_documents(v("t_messages"), _members(v))
+    members = _members(v)
+    streams = v("t_messages").where("stream_id % 3 <> 0").select("stream_id", F.concat(F.lit("LIVE: Stream "), F.col("stream_id").cast("string")).alias("title")).distinct()
+    words = members.where("window_index % 2 = 0").select("stream_id", "window_index", F.array(F.concat(F.lit("w"), F.col("window_index").cast("string")), F.lit("b")).alias("keywords")).distinct()
+    return stats.window_documents(v("t_messages"), members, streams, words)
 
 
 @register("window_messages", _WINDOWS + ", r AS (SELECT *, row_number() OVER (PARTITION BY stream_id, window_index ORDER BY us, event_id) AS rank FROM k) SELECT stream_id, window_index, message_id, rank FROM r WHERE rank <= 5")
@@ -560,6 +563,14 @@ def _(v):
     return privacy.privacy_audit(v("t_documents"))
 
 
+@register("vocabulary_audit", "WITH w AS (SELECT DISTINCT id, unnest(string_split_regex(content || ' @u' || CAST(id % 50 AS VARCHAR), '[ \\n]+')) AS term FROM t_documents) SELECT term, count(*) AS df FROM w WHERE regexp_matches(term, '^" + privacy.HANDLE.replace("\\", "\\") + "$') AND NOT starts_with(term, '" + privacy.MENTION + "') GROUP BY 1")
+def _(v):
+    """Handles in a vocabulary of what stands between blanks."""
+    said = F.concat("content", F.lit(" @u"), (F.col("id") % 50).cast("string"))
+    terms = v("t_documents").select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(F.split(said, "[ \n]+"))).alias("token"))
+    return privacy.vocabulary_audit(stats.fit_idf(terms))
+
+
 @register("script_ratio", "SELECT id, round(CASE WHEN length(regexp_replace(content, '\\s', '', 'g')) > 0 THEN CAST(length(regexp_replace(content, '[^a-zA-Z]', '', 'g')) AS DOUBLE) / length(regexp_replace(content, '\\s', '', 'g')) ELSE 0 END, 6) AS ratio FROM t_documents")
 def _(v):
     return v("t_documents").select("id", F.round(text.script_ratio(F.col("content")), 6).alias("ratio"))

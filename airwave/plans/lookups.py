@@ -83,16 +83,24 @@ def _(v):
     return lookups.topic_evidence(lexicon.term_matches(_arrays(v), v("t_terms")), v("t_terms"))
 
 
-@register("name_lexicon", """SELECT name, count(*) AS support FROM (SELECT token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS name FROM t_tokens)
- WHERE token IN ('the', 'la', 'der') AND name IS NOT NULL AND name NOT IN (SELECT term FROM t_terms) GROUP BY name""")
+@register("name_lexicon", """SELECT name, CAST(sum(CASE WHEN source_type = 'chat_window' THEN 3 ELSE 1 END) AS BIGINT) AS support FROM (SELECT doc_id, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS name FROM t_tokens) JOIN t_documents ON id = doc_id
+ WHERE token IN ('the', 'la', 'der') AND length(name) >= 2 AND regexp_matches(name, '[a-z]') AND name NOT IN ('the', 'la', 'der') AND name NOT IN (SELECT term FROM t_terms) GROUP BY name""")
 def _(v):
-    return lookups.name_lexicon(v("t_tokens"), ["the", "la", "der"], v("t_terms"))
+    rows = v("t_documents").select("source_type", text.tokenize(F.col("content")).alias("tokens"))
+    chat = F.col("source_type") == "chat_window"
+    return lookups.name_lexicon(rows.where(chat), rows.where(~chat), ["the", "la", "der"], v("t_terms"))
 
 
-@register("enrichment_lookup", f"""WITH c AS (SELECT {_KEY} AS content_key, max(title) AS headline FROM t_documents WHERE source_type = 'chat_window' GROUP BY ALL)
- SELECT d.id, d.content_key, c.headline FROM (SELECT id, {_KEY} AS content_key FROM t_documents) d LEFT JOIN c ON d.content_key = c.content_key AND trim(c.headline) <> ''""")
+_HEADLINE = r"""l AS (SELECT content_key, trim(regexp_replace(regexp_extract(headline, '([^\n]*[^ \t\n\f\r][^\n]*)', 1), '[ \t\n\f\r]+', ' ', 'g'), '"''“”‘’「」 ') AS l FROM c),
+ u AS (SELECT content_key, trim(regexp_replace(l, '^(?i:headline|title|summary)[ ]*[:：][ ]*', ''), '"''“”‘’「」 ') AS headline FROM l),
+ f AS (SELECT * FROM u WHERE regexp_matches(headline, '[A-Za-z]') AND NOT regexp_matches(headline, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{0400}-\x{04ff}]'))"""
+
+
+@register("enrichment_lookup", f"""WITH c AS (SELECT {_KEY} AS content_key, max(CASE WHEN id % 8 = 0 THEN 'Headline: ' || title WHEN id % 12 = 0 THEN '""' ELSE title END) AS headline FROM t_documents WHERE source_type = 'chat_window' GROUP BY ALL), {_HEADLINE}
+ SELECT d.id, d.content_key, f.headline FROM (SELECT id, {_KEY} AS content_key FROM t_documents) d LEFT JOIN f ON d.content_key = f.content_key""")
 def _(v):
-    docs = v("t_documents").select("id", "title", "content", "source_type")
+    said = F.when(F.col("id") % 8 == 0, F.concat(F.lit("Headline: "), "title")).when(F.col("id") % 12 == 0, F.lit('""')).otherwise(F.col("title"))
+    docs = v("t_documents").select("id", said.alias("title"), "content", "source_type")
     cache = docs.where("source_type = 'chat_window'").groupBy(lookups.content_key(F.col("content")).alias("content_key")).agg(F.max("title").alias("headline"))
     cache = cache.withColumn("model", F.lit("m1")).withColumn("version", F.lit(2))
     stale = cache.withColumn("headline", F.lit("of another model")).withColumn("model", F.lit("m0")).unionByName(cache.withColumn("headline", F.lit("old shape")).withColumn("version", F.lit(1)))
