@@ -36,7 +36,7 @@ from .hashing import LOWER, Probe, concatenate, mix, stretch_hash
 from .pieces import gather, slices
 
 #: frequent words or pairs that are broadcast, bytes of text read at a time, suffixes that a task holds before it sends them
-WHOLE, STEP, HELD = 1 << 22, 4 << 20, 1 << 20
+WHOLE, STEP, HELD = 1 << 22, 2 << 20, 2 << 20
 #: pointers of a partition that a plain sort finishes, and candidates that one task ranks
 SMALL, RANKED = 1 << 12, 1 << 17
 
