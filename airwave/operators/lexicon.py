@@ -80,35 +80,56 @@ class Matcher:
         words, codes, starts = lists.words, lists.codes, lists.starts
         exact = lists.table(self.known.__contains__)
         leads = lists.table(lambda w: self.max_phrase > 1 and w != "" and self.tree.match(w + self.sep))
-        part = [None if e else self.inside(w) for w, e in zip(words, exact)]
-        some = exact | leads | np.array([p is not None for p in part], bool)
-        at = np.flatnonzero(some[codes]) if len(codes) else np.zeros(0, np.int64)
+        alone = [w if e else self.inside(w) for w, e in zip(words, exact)]
+        begin, size, term = self._phrases(words, codes, starts, leads)
+        # a token alone keeps no other from its match, so only phrases cover tokens
+        free = np.ones(len(codes), bool)
+        free[_spread(begin, size)] = False
+        some = np.array([t is not None for t in alone], bool)
+        single = np.flatnonzero(some[codes] & free) if len(codes) else np.zeros(0, np.int64)
+        at = np.concatenate([begin, single])
+        order = np.argsort(at, kind="stable")
+        texts = pa.chunked_array([pa.array(term, pa.string()), pa.array(alone, pa.string()).take(pa.array(codes[single]))]).combine_chunks().take(pa.array(order))
+        kinds = pa.array(["phrase", "exact", "compound"]).take(pa.array(np.concatenate([np.zeros(len(begin), np.int64), np.where(exact[codes[single]], 1, 2) if len(single) else single])[order]))
+        at, size = at[order], np.concatenate([size, np.ones(len(single), np.int64)])[order]
         row = np.searchsorted(starts, at, "right") - 1
-        found, free = [], 0  # the next token that no match covers
-        for i, d in zip(at.tolist(), row.tolist()):
+        values = pa.StructArray.from_arrays([pa.array((at - starts[row]).astype(np.int32)), pa.array(size.astype(np.int32)), texts, kinds], ["pos", "words", "term", "via"])
+        return lists.lists(row, values)
+
+    def counts(self, column: pa.Array) -> pa.Array:
+        """How often each matched term stands in each row, terms in order."""
+        found = self(column)
+        coded = found.flatten().field("term").dictionary_encode()
+        names = np.array(coded.dictionary.to_pylist(), object)
+        rank = np.argsort(np.argsort(names)) if len(names) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(found)), np.asarray(found.value_lengths().fill_null(0)))
+        cells, n = np.unique(row * max(len(names), 1) + rank[coded.indices.to_numpy()], return_counts=True)
+        row, rank = np.divmod(cells, max(len(names), 1))
+        values = pa.StructArray.from_arrays([pa.array(np.sort(names)[rank], pa.string()), pa.array(n.astype(np.int64))], ["term", "n"])
+        ends = np.searchsorted(row, np.arange(len(found) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+    def _phrases(self, words: list[str], codes: np.ndarray, starts: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """First token, tokens and term of every phrase, from the left and without overlap."""
+        found, free = [], 0  # the next token that no phrase covers
+        at = np.flatnonzero(leads[codes]) if len(codes) else np.zeros(0, np.int64)
+        ends = starts[np.searchsorted(starts, at, "right")] if len(at) else at
+        for i, end in zip(at.tolist(), ends.tolist()):
             if i < free:
                 continue
-            code, n, term = codes[i], 0, None
-            if leads[code]:
-                for n in range(min(self.max_phrase, int(starts[d + 1]) - i), 1, -1):
-                    term = self.sep.join(words[c] for c in codes[i : i + n])
-                    if term in self.known:
-                        break
-                else:
-                    n = 0
-            if n > 1:
-                via = "phrase"
-            elif exact[code]:
-                n, term, via = 1, words[code], "exact"
-            elif part[code] is not None:
-                n, term, via = 1, part[code], "compound"
-            else:
-                continue
-            free = i + n
-            found.append((d, i - int(starts[d]), n, term, via))
-        d, pos, n, term, via = zip(*found) if found else ((),) * 5
-        values = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(term, pa.string()), pa.array(via, pa.string())], ["pos", "words", "term", "via"])
-        return lists.lists(d, values)
+            for n in range(min(self.max_phrase, end - i), 1, -1):
+                term = self.sep.join(words[c] for c in codes[i : i + n])
+                if term in self.known:
+                    found.append((i, n, term))
+                    free = i + n
+                    break
+        begin, size, terms = zip(*found) if found else ((),) * 3
+        return np.array(begin, np.int64), np.array(size, np.int64), list(terms)
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of every stretch."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def _weigh(column: pa.Array, matches: pa.Array) -> pa.Array:
@@ -120,40 +141,45 @@ def _weigh(column: pa.Array, matches: pa.Array) -> pa.Array:
     per_row = np.asarray(matches.value_lengths().fill_null(0))
     row = np.repeat(np.arange(len(per_row)), per_row)
     begin = first + starts[row]
-    turns = np.flatnonzero((factor != 1.0)[codes] | no[codes]) if len(codes) else np.zeros(0, np.int64)
-    product, negated, k = np.ones(len(begin)), np.zeros(len(begin), bool), 0
-    own = last_end = -1
-    for j, (i, d, n) in enumerate(zip(begin.tolist(), row.tolist(), words.tolist())):
-        if d != own:
-            own, last_end, said_no = d, int(starts[d]), -SCOPE - 1
-        held = 1.0
-        while k < len(turns) and turns[k] < i:
-            t = int(turns[k])
-            k += 1
-            if t >= last_end:  # of this row, and no match covers it
-                held *= factor[codes[t]]
-                if no[codes[t]]:
-                    said_no = t
-        after = i + n
-        if after < starts[d + 1]:
-            held *= factor[codes[after]]
-        product[j], negated[j], last_end = held, i <= said_no + SCOPE, after
+    after = begin + words
+    open_ = np.ones(len(codes), bool)
+    open_[_spread(begin, words.astype(np.int64))] = False
+    turns = lambda which: np.flatnonzero(which[codes] & open_) if len(codes) else np.zeros(0, np.int64)
+    product = np.ones(len(begin))
+    # an open modifier waits for the next match of its row
+    t = turns(factor != 1.0)
+    j = np.searchsorted(begin, t)
+    waits = (j < len(begin)) & (t >= starts[np.r_[row, len(starts) - 1][j]])
+    np.multiply.at(product, j[waits], factor[codes[t[waits]]])
+    near = np.flatnonzero(after < starts[row + 1])
+    product[near] *= factor[codes[after[near]]]
+    # the last open negator before the match, if it stands in its row
+    t = np.r_[np.int64(-SCOPE - 1), turns(no)]
+    said = t[np.searchsorted(t, begin) - 1]
+    negated = (said >= starts[row]) & (begin <= said + SCOPE)
     values = pa.StructArray.from_arrays([pa.array(product), pa.array(negated)], ["multiplier", "negated"])
     return lists.lists(row, values)
 
 
+def _matcher(terms: DataFrame, max_phrase: int, min_sub: int, sep: str) -> tuple[Matcher | None, DataFrame, int]:
+    """The automaton over the distinct ``terms``, none if they are too many for it; those terms, and their most words."""
+    distinct = terms.where("term <> ''").select("term").distinct()
+    size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"), F.max(F.size(F.split("term", sep)) if sep else F.lit(max_phrase)).alias("wide")).first()
+    wide = min(max_phrase, size["wide"] or 1)
+    if size["n"] > MOST_TERMS or size["chars"] > MOST_CHARS:
+        return None, distinct, wide
+    return Matcher(sorted(r["term"] for r in distinct.collect()), wide, min_sub, sep), distinct, wide
+
+
 def with_matches(rows: DataFrame, terms: DataFrame, max_phrase: int = 3, min_sub: int = 5, sep: str = " ", tokens: str = "tokens", into: str = "matches") -> DataFrame:
     """``rows`` with the matches of the distinct ``terms`` in their ``tokens``, from the left and without overlap: the
     longest phrase of up to ``max_phrase`` tokens (joined by ``sep``) that begins at a token, else the longest term of at
     least ``min_sub`` characters inside a longer token (of equal lengths the smaller term).
 
     Up to ``MOST_TERMS`` terms one automaton serves every worker; more of them meet the tokens in joins."""
-    distinct = terms.where("term <> ''").select("term").distinct()
-    size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"), F.max(F.size(F.split("term", sep)) if sep else F.lit(max_phrase)).alias("wide")).first()
-    wide = min(max_phrase, size["wide"] or 1)
-    if size["n"] > MOST_TERMS or size["chars"] > MOST_CHARS:
+    matcher, distinct, wide = _matcher(terms, max_phrase, min_sub, sep)
+    if matcher is None:
         return _joined(rows, distinct, wide, min_sub, sep, tokens, into)
-    matcher = Matcher(sorted(r["term"] for r in distinct.collect()), wide, min_sub, sep)
 
     def find(column: pa.Array) -> pa.Array:
         return matcher(column)
@@ -161,6 +187,21 @@ def with_matches(rows: DataFrame, terms: DataFrame, max_phrase: int = 3, min_sub
     return rows.withColumn(into, F.arrow_udf(find, _MATCH)(F.col(tokens)))
 
 
+def term_counts(rows: DataFrame, terms: DataFrame, max_phrase: int = 3, min_sub: int = 5, sep: str = " ", key: str = "doc_id") -> DataFrame:
+    """(key, term, n): how often each term is matched in each of the rows (key, tokens), as ``with_matches`` finds them.
+    They are counted where the row is, and only counts leave it."""
+    matcher, distinct, wide = _matcher(terms, max_phrase, min_sub, sep)
+    if matcher is None:
+        each = _joined(rows.select(key, "tokens"), distinct, wide, min_sub, sep, "tokens", "matches").select(key, F.explode("matches.term").alias("term"))
+        return each.groupBy(key, "term").agg(F.count("*").alias("n"))
+
+    def count(column: pa.Array) -> pa.Array:
+        return matcher.counts(column)
+
+    counts = F.arrow_udf(count, "array<struct<term:string,n:bigint>>")(F.col("tokens"))
+    return rows.select(key, F.explode(counts).alias("c")).select(key, "c.*")
+
+
 def _joined(rows: DataFrame, terms: DataFrame, max_phrase: int, min_sub: int, sep: str, tokens: str, into: str) -> DataFrame:
     """As ``with_matches`` for terms of any number. Grams are made inside the row, parts once per distinct token, and both
     meet the terms in an equality join; overlaps are settled inside the row again."""

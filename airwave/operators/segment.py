@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,11 +85,11 @@ def cue_start_offsets(cues: DataFrame) -> DataFrame:
 def block_topics(blocks: DataFrame, terms: DataFrame, fallback: int = 14) -> DataFrame:
     """(video_id, block, topic, confidence) of usable blocks by the gazetteer; a block without a match takes the fallback."""
     from ..functions.text import tokenize
-    from .lexicon import term_matches
+    from .lexicon import term_counts
     from .stats import gazetteer_topic
 
     usable = blocks.where("usable").select(F.struct("video_id", "block").alias("doc_id"), tokenize(F.col("text")).alias("tokens"))
-    found = gazetteer_topic(usable, term_matches(usable, terms), terms, fallback=fallback)
+    found = gazetteer_topic(usable, term_counts(usable, terms), terms, fallback=fallback)
     return found.select("doc_id.video_id", "doc_id.block", F.col("topic_ord").alias("topic"), "confidence")
 
 
@@ -122,8 +124,8 @@ def refine_boundaries(boundaries: DataFrame, cues: DataFrame, terms: DataFrame,
     speaker-cut); else the grid. A time that is not after the one before falls back to the grid, and a boundary that
     even then is not after the one before goes. ``terms``: rows (video_id, cue_idx, term) of spoken cues.
 
-    Candidates meet the cues around them through buckets of time; counts per candidate, side and term are summed
-    before the cosine, so nothing larger than a candidate's context is in one place."""
+    Candidates meet the cues around them through buckets of time; the words of both sides meet in one row a candidate,
+    where they are counted, so nothing larger than a candidate's context is in one place."""
     half, bucket = search_ms // 2, max(search_ms, context_ms)
     b = keep(boundaries.withColumn("coarse_ms", F.col("at_ms")).drop("at_ms"), "grid")
     cues = keep(cues, "cues")
@@ -137,13 +139,18 @@ def refine_boundaries(boundaries: DataFrame, cues: DataFrame, terms: DataFrame,
     cand = keep(spoken.join(counts, ["video_id", "coarse_ms"]).join(music, ["video_id", "coarse_ms"], "left_anti"), "candidates")
     cuts = cand.select("video_id", "cut").distinct()
     around = cuts.select("video_id", "cut", F.explode(F.sequence(F.floor(F.greatest(F.col("cut") - context_ms, F.lit(0)) / bucket), F.floor((F.col("cut") + context_ms) / bucket))).alias("_t"))
-    # a cue is filed under every bucket that it touches, and taken in the first one shared with a context
-    c = cues.where("not non_speech and text <> ''").select("video_id", "cue_idx", "start_ms", "end_ms", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket), F.greatest(F.floor((F.col("end_ms") - 1) / bucket), F.floor(F.col("start_ms") / bucket)))).alias("_t"))
+    # a cue is filed with its words under every bucket that it touches, and taken in the first one shared with a context
+    own = F.floor(F.col("start_ms") / bucket)
+    c = cues.where("not non_speech and text <> ''").select("video_id", "cue_idx", "start_ms", "end_ms").distinct()
+    c = c.join(terms.groupBy("video_id", "cue_idx").agg(F.collect_list("term").alias("words")), ["video_id", "cue_idx"])
+    c = c.select("video_id", "start_ms", "end_ms", "words", F.explode(F.sequence(own, F.greatest(F.floor((F.col("end_ms") - 1) / bucket), own))).alias("_t"))
     lo, mid, hi = F.col("cut") - context_ms, F.col("cut"), F.col("cut") + context_ms
     before, after = (F.col("start_ms") < mid) & (F.col("end_ms") > lo), (F.col("start_ms") < hi) & (F.col("end_ms") > mid)
-    side = around.join(c, ["video_id", "_t"]).where(before | after).select("video_id", "cut", "cue_idx", before.alias("l"), after.alias("r")).distinct()
-    n = side.join(terms, ["video_id", "cue_idx"]).groupBy("video_id", "cut", "term").agg(F.count_if("l").alias("l"), F.count_if("r").alias("r"))
-    s = n.groupBy("video_id", "cut").agg(F.sum(F.col("l") * F.col("r")).alias("d"), F.sum(F.col("l") * F.col("l")).alias("a"), F.sum(F.col("r") * F.col("r")).alias("b")).where("a > 0 and b > 0")
+    first = F.col("_t") == F.greatest(own, F.floor(F.greatest(lo, F.lit(0)) / bucket))
+    side = around.join(c, ["video_id", "_t"]).where((before | after) & first)
+    said = lambda which: F.flatten(F.collect_list(F.when(which, F.col("words"))))
+    s = side.groupBy("video_id", "cut").agg(said(before).alias("l"), said(after).alias("r"))
+    s = s.select("video_id", "cut", F.arrow_udf(_products, "struct<d:bigint,a:bigint,b:bigint>")("l", "r").alias("x")).select("video_id", "cut", "x.*").where("a > 0 and b > 0")
     score = F.round(1 - F.col("d") / F.sqrt(F.col("a").cast("double") * F.col("b")) + F.when(F.col("speaker_change"), bonus).otherwise(0.0), 9)
     scored = cand.join(s, ["video_id", "cut"]).withColumn("score", score)
     best = scored.groupBy("video_id", "coarse_ms").agg(F.max_by(F.struct("cut", "speaker_change"), F.struct("score", -F.col("cue_idx"))).alias("best"))
@@ -154,13 +161,24 @@ def refine_boundaries(boundaries: DataFrame, cues: DataFrame, terms: DataFrame,
     return _in_order(rows)
 
 
+def _products(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Of each row's two lists of terms the products of their counts: of both, of the left with itself, of the right."""
+    n = len(left)
+    row = np.concatenate([np.repeat(np.arange(n), np.asarray(x.value_lengths().fill_null(0))) for x in (left, right)])
+    coded = pa.chunked_array([left.flatten(), right.flatten()]).combine_chunks().dictionary_encode()
+    wide = max(len(coded.dictionary), 1)
+    cells, place = np.unique(row * wide + coded.indices.to_numpy(), return_inverse=True)
+    at = len(left.flatten())
+    l, r = np.bincount(place[:at], minlength=len(cells)), np.bincount(place[at:], minlength=len(cells))
+    sums = [np.bincount(cells // wide, x, minlength=n).astype(np.int64) for x in (l * r, l * l, r * r)]
+    return pa.StructArray.from_arrays([pa.array(x) for x in sums], ["d", "a", "b"])
+
+
 def _in_order(rows: DataFrame) -> DataFrame:
     """Boundaries of each programme in order with the last time as only state."""
     schema = T.StructType([*(f for f in rows.schema if f.name not in ("_ms", "_why")), T.StructField("at_ms", T.LongType()), T.StructField("refined", T.StringType())])
 
     def scan(batches):
-        import pyarrow as pa
-
         video, last = None, 0
         for batch in batches:
             keep, at, refined = [], [], []

@@ -146,11 +146,12 @@ def tfidf_keywords(docs: DataFrame, idf: DataFrame | None, documents: int = 0, k
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "token"))).where(F.col("rank") <= k)
 
 
-def gazetteer_topic(docs: DataFrame, matches: DataFrame, terms: DataFrame, topics: int = 15, floor: float = 0.02, least: float = 0.9, fallback: int = 14, key: str = "doc_id") -> DataFrame:
-    """(key, topic_ord, confidence) of every row of ``docs``: weights of the matched terms (key, term) summed
-    per topic, as decimals and so in any order the same, and smoothed. Below ``least`` the fallback takes over with its own probability; without evidence it is
+def gazetteer_topic(docs: DataFrame, counts: DataFrame, terms: DataFrame, topics: int = 15, floor: float = 0.02, least: float = 0.9, fallback: int = 14, key: str = "doc_id") -> DataFrame:
+    """(key, topic_ord, confidence) of every row of ``docs``: weights of the matched terms, each as often
+    as ``counts`` (key, term, n) says or once a row without n, summed per topic, as decimals and so in any order the same, and smoothed. Below ``least`` the fallback takes over with its own probability; without evidence it is
     certain. Ties go to the earlier topic."""
-    hits = matches.join(terms, "term").groupBy(key, "topic_ord").agg(F.sum(F.col("weight").cast("decimal(18,6)")).alias("score"))
+    weight = F.col("weight").cast("decimal(18,6)") * (F.col("n") if "n" in counts.columns else F.lit(1)).cast("decimal(18,0)")
+    hits = counts.join(terms, "term").groupBy(key, "topic_ord").agg(F.sum(weight.cast("decimal(28,6)")).alias("score"))
     own = F.sum(F.when(F.col("topic_ord") == fallback, F.col("score")).otherwise(F.lit(0).cast("decimal(18,6)")))
     best = hits.groupBy(key).agg(F.sum("score").alias("total"), own.alias("own"), F.max(F.struct("score", -F.col("topic_ord"))).alias("b"))
     rows = docs.select(key).join(best, key, "left")

@@ -226,7 +226,7 @@ def analyse_documents(docs: DataFrame, terms: DataFrame, stop: list[str], gazett
     base = lexicon.with_matches(base, terms, sep=sep)
     base = keep(lexicon.with_matches(base, terms, sep=sep, tokens="filtered", into="topical"), "analysis")
     model = lambda kind: choices[kind].stage if choices and kind in choices else None
-    topical = base.select("_row", F.explode("topical").alias("m")).select("_row", "m.term")
+    topical = base.select("_row", F.explode("topical").alias("m")).groupBy("_row", F.col("m.term").alias("term")).agg(F.count("*").alias("n"))
     topic = stats.gazetteer_topic(base, topical, terms, key="_row").select("_row", F.col("topic_ord").alias("topic"), F.col("confidence").alias("topic_confidence"))
     mood = lexicon.lexicon_sentiment(base.select("_row", F.size("tokens").alias("words")), lexicon.weighed(base, terms, "_row"), "_row").select("_row", "sentiment", F.col("confidence").alias("sentiment_confidence"))
     candidates = base.select("_row", keyword_candidates(F.col("tokens"), stop, letters=letters).alias("tokens"), "title_tokens")

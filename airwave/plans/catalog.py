@@ -303,7 +303,7 @@ def _matches(v):
 SELECT d.id AS doc_id, CAST(CASE WHEN b.score IS NULL OR b.score < 30.9 THEN 5 ELSE b.topic_ord END AS INT) AS topic_ord, CASE WHEN b.score IS NULL THEN CAST(1 AS DOUBLE) ELSE (CAST(CASE WHEN b.score < 30.9 THEN b.own ELSE b.score END AS DOUBLE) + CAST(0.02 AS DOUBLE)) / (CAST(b.total AS DOUBLE) + CAST(0.3 AS DOUBLE)) END AS confidence FROM t_documents d LEFT JOIN b ON d.id = b.doc_id AND b.r = 1""")
 def _(v):
     docs = v("t_documents").select(F.col("id").alias("doc_id"))
-    return stats.gazetteer_topic(docs, _matches(v), v("t_terms"), least=30.9, fallback=5)
+    return stats.gazetteer_topic(docs, lexicon.term_counts(_arrays(v), v("t_terms")), v("t_terms"), least=30.9, fallback=5)
 
 
 _FACTOR = "CASE token " + " ".join(f"WHEN '{w}' THEN {x}" for w, x in lexicon.MODIFIERS.items()) + " ELSE 1.0 END"
