@@ -13,6 +13,8 @@ from ..sources.files import keep
 from .joins import cue_block_overlap
 
 BLOCK_MS = 30_000
+#: gaps whose neighbourhoods meet in one row
+RUN = 32
 
 
 def build_blocks(cues: DataFrame, block_ms: int = BLOCK_MS, usable: int = 40) -> DataFrame:
@@ -39,27 +41,53 @@ def cohesion(blocks: DataFrame, terms: DataFrame, k: int = 3) -> DataFrame:
     k blocks before the gap and the k from it on, over rows (video_id, block, term). Gap 0 is 1, and a side without
     terms gives 0.
 
-    Counts meet once, on (video_id, term), as products of two blocks at most 2k - 1 apart; a gap's sums are sums of
-    such products, of which there are 2k a block whatever the vocabulary."""
-    counts = terms.groupBy("video_id", "term", "block").agg(F.count("*").alias("n"))
-    near = W.partitionBy("video_id", "term").orderBy("block").rangeBetween(0, 2 * k - 1)
-    pairs = counts.withColumn("xs", F.collect_list(F.struct("block", "n")).over(near)).withColumn("x", F.explode("xs"))
-    dots = pairs.groupBy("video_id", F.col("block").alias("i"), F.col("x.block").alias("j")).agg(F.sum(F.col("n") * F.col("x.n")).alias("dot"))
-    # products within one side count twice, as (i, j) and (j, i), but for a block with itself
-    twice = F.when(F.col("i") == F.col("j"), F.col("dot")).otherwise(2 * F.col("dot"))
-    spread = lambda lo, hi: F.explode(F.sequence(lo, hi))
-    one = F.lit(0).cast("long")
-    across = dots.where("i < j").select("video_id", spread(F.greatest(F.col("i") + 1, F.col("j") - k + 1), F.least(F.col("j"), F.col("i") + k)).alias("gap"), F.col("dot").alias("d"), one.alias("a"), one.alias("b"))
-    close = dots.where(F.col("j") - F.col("i") < k)
-    left = close.select("video_id", spread(F.col("j") + 1, F.col("i") + k).alias("gap"), one.alias("d"), twice.alias("a"), one.alias("b"))
-    right = close.select("video_id", spread(F.col("j") - k + 1, F.col("i")).alias("gap"), one.alias("d"), one.alias("a"), twice.alias("b"))
-    sums = across.unionByName(left).unionByName(right).groupBy("video_id", "gap").agg(*(F.sum(c).alias(c) for c in "dab"))
+    A block's terms are filed under the run of ``RUN`` gaps whose neighbourhood it is in, and a programme's blocks so meet
+    in rows of ``RUN`` + 2k - 1 blocks at most, however long it is; there the products of two blocks at most 2k - 1 apart
+    are summed, and a gap's sums are sums of these."""
+    at = F.col("block")
+    filed = terms.select("video_id", "block", "term", F.explode(F.sequence(F.greatest(F.floor((at - k + 1) / RUN), F.lit(0)), F.floor((at + k) / RUN))).alias("_run"))
+    place = (at - F.col("_run") * RUN + k).cast("int").alias("at")
+    runs = filed.groupBy("video_id", "_run").agg(F.collect_list(F.struct(place, "term")).alias("said"))
+
+    def add(said: pa.Array) -> pa.Array:
+        return _gap_sums(said, k)
+
+    found = F.arrow_udf(add, "array<struct<at:int,d:bigint,a:bigint,b:bigint>>")("said")
+    sums = runs.select("video_id", "_run", F.explode(found).alias("x")).select("video_id", (F.col("_run") * RUN + F.col("x.at")).alias("gap"), "x.d", "x.a", "x.b")
     cosine = F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("d") / F.sqrt(F.col("a").cast("double") * F.col("b"))).otherwise(0.0)
     gaps = blocks.select("video_id", F.col("block").cast("long").alias("gap")).distinct()
     rows = gaps.join(sums, ["video_id", "gap"], "left")
     return rows.select("video_id", "gap", F.when(F.col("gap") == 0, 1.0).otherwise(F.round(F.coalesce(cosine, F.lit(0.0)), 6)).alias("similarity"))
 
 
+def _gap_sums(said: pa.Array, k: int) -> pa.Array:
+    """Of each row's terms (at, term), ``at`` counted from k blocks before its first gap: for each of its ``RUN`` gaps with
+    terms on both sides the product of the sides' counts, and of each side's with itself."""
+    rows, terms = len(said), said.flatten()
+    wide, reach = RUN + 2 * k, 2 * k
+    coded = terms.field("term").dictionary_encode(null_encoding="encode")
+    row = np.repeat(np.arange(rows), np.asarray(said.value_lengths().fill_null(0)))
+    cells, n = np.unique((row * max(len(coded.dictionary), 1) + coded.indices.to_numpy()) * wide + terms.field("at").to_numpy(), return_counts=True)
+    term, at = np.divmod(cells, wide)
+    place = term // max(len(coded.dictionary), 1) * wide + at
+    # dot[i, d]: the product of block i and the one d places on; a term's blocks differ, so at most 2k - 1 follow within reach
+    dot = np.zeros((rows * wide, reach), np.int64)
+    for step in range(reach):
+        i = np.flatnonzero((term[step:] == term[: len(term) - step]) & (at[step:] - at[: len(at) - step] < reach))
+        np.add.at(dot, (place[i], at[i + step] - at[i]), n[i] * n[i + step])
+    dot = dot.reshape(rows, wide, reach)
+    gaps = np.arange(RUN) + k
+    sums = {"d": np.zeros((rows, RUN), np.int64), "a": np.zeros((rows, RUN), np.int64), "b": np.zeros((rows, RUN), np.int64)}
+    for i in range(-k, k):
+        for j in range(i, k):
+            which = "d" if i < 0 <= j else "a" if j < 0 else "b"
+            # products within one side count twice, as (i, j) and (j, i), but for a block with itself
+            sums[which] += dot[:, gaps + i, j - i] * (1 if which == "d" or i == j else 2)
+    row, gap = np.nonzero((sums["a"] > 0) & (sums["b"] > 0))
+    values = pa.StructArray.from_arrays([pa.array(gap.astype(np.int32)), *(pa.array(x[row, gap]) for x in sums.values())], ["at", *sums])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), values)
+
+
 def spans_from_boundaries(boundaries: DataFrame, ends: DataFrame) -> DataFrame:
     """(video_id, start_ms, end_ms): cuts at 0 and every boundary (video_id, at_ms), up to the programme's end."""
     ends = ends.select("video_id", "end_ms")
