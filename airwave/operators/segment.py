@@ -44,27 +44,27 @@ def cohesion(blocks: DataFrame, terms: DataFrame, k: int = 3) -> DataFrame:
     A block's terms are filed under the run of ``RUN`` gaps whose neighbourhood it is in, and a programme's blocks so meet
     in rows of ``RUN`` + 2k - 1 blocks at most, however long it is; there the products of two blocks at most 2k - 1 apart
     are summed, and a gap's sums are sums of these."""
-    at = F.col("block")
-    filed = terms.select("video_id", "block", "term", F.explode(F.sequence(F.greatest(F.floor((at - k + 1) / RUN), F.lit(0)), F.floor((at + k) / RUN))).alias("_run"))
-    place = (at - F.col("_run") * RUN + k).cast("int").alias("at")
+    at, run = F.col("block"), RUN
+    filed = terms.select("video_id", "block", "term", F.explode(F.sequence(F.greatest(F.floor((at - k + 1) / run), F.lit(0)), F.floor((at + k) / run))).alias("_run"))
+    place = (at - F.col("_run") * run + k).cast("int").alias("at")
     runs = filed.groupBy("video_id", "_run").agg(F.collect_list(F.struct(place, "term")).alias("said"))
 
     def add(said: pa.Array) -> pa.Array:
-        return _gap_sums(said, k)
+        return _gap_sums(said, k, run)
 
     found = F.arrow_udf(add, "array<struct<at:int,d:bigint,a:bigint,b:bigint>>")("said")
-    sums = runs.select("video_id", "_run", F.explode(found).alias("x")).select("video_id", (F.col("_run") * RUN + F.col("x.at")).alias("gap"), "x.d", "x.a", "x.b")
+    sums = runs.select("video_id", "_run", F.explode(found).alias("x")).select("video_id", (F.col("_run") * run + F.col("x.at")).alias("gap"), "x.d", "x.a", "x.b")
     cosine = F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("d") / F.sqrt(F.col("a").cast("double") * F.col("b"))).otherwise(0.0)
     gaps = blocks.select("video_id", F.col("block").cast("long").alias("gap")).distinct()
     rows = gaps.join(sums, ["video_id", "gap"], "left")
     return rows.select("video_id", "gap", F.when(F.col("gap") == 0, 1.0).otherwise(F.round(F.coalesce(cosine, F.lit(0.0)), 6)).alias("similarity"))
 
 
-def _gap_sums(said: pa.Array, k: int) -> pa.Array:
-    """Of each row's terms (at, term), ``at`` counted from k blocks before its first gap: for each of its ``RUN`` gaps with
+def _gap_sums(said: pa.Array, k: int, run: int) -> pa.Array:
+    """Of each row's terms (at, term), ``at`` counted from k blocks before its first gap: for each of its ``run`` gaps with
     terms on both sides the product of the sides' counts, and of each side's with itself."""
     rows, terms = len(said), said.flatten()
-    wide, reach = RUN + 2 * k, 2 * k
+    wide, reach = run + 2 * k, 2 * k
     coded = terms.field("term").dictionary_encode(null_encoding="encode")
     row = np.repeat(np.arange(rows), np.asarray(said.value_lengths().fill_null(0)))
     cells, n = np.unique((row * max(len(coded.dictionary), 1) + coded.indices.to_numpy()) * wide + terms.field("at").to_numpy(), return_counts=True)
@@ -76,8 +76,8 @@ def _gap_sums(said: pa.Array, k: int) -> pa.Array:
         i = np.flatnonzero((term[step:] == term[: len(term) - step]) & (at[step:] - at[: len(at) - step] < reach))
         np.add.at(dot, (place[i], at[i + step] - at[i]), n[i] * n[i + step])
     dot = dot.reshape(rows, wide, reach)
-    gaps = np.arange(RUN) + k
-    sums = {"d": np.zeros((rows, RUN), np.int64), "a": np.zeros((rows, RUN), np.int64), "b": np.zeros((rows, RUN), np.int64)}
+    gaps = np.arange(run) + k
+    sums = {"d": np.zeros((rows, run), np.int64), "a": np.zeros((rows, run), np.int64), "b": np.zeros((rows, run), np.int64)}
     for i in range(-k, k):
         for j in range(i, k):
             which = "d" if i < 0 <= j else "a" if j < 0 else "b"
@@ -248,17 +248,37 @@ def assemble_segments(spans: DataFrame, boundaries: DataFrame, cues: DataFrame,
     return rows.select("video_id", position.alias("position"), "start_ms", "end_ms", "text", F.coalesce("reasons", F.array(F.lit("programme-start"))).alias("reasons"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
-def boundary_report(boundaries: DataFrame) -> DataFrame:
+def story_keywords(stories: DataFrame, k: int = 10) -> DataFrame:
+    """(video_id, position, keywords): the k words of two characters or more that weigh most in each story's text; a story
+    without any has none."""
+    from ..functions.text import tokenize
+    from .stats import tfidf_keywords
+
+    words = F.filter(tokenize(F.col("text")), lambda t: F.length(t) >= 2)
+    rows = stories.select(F.struct("video_id", "position").alias("_story"), words.alias("tokens"), F.array().cast("array<string>").alias("title_tokens"))
+    best = tfidf_keywords(rows, None, k=k, key="_story").groupBy("_story").agg(F.collect_list("token").alias("keywords"))
+    none = F.array().cast("array<string>")
+    return stories.select("video_id", "position").join(best.select("_story.*", "keywords"), ["video_id", "position"], "left").withColumn("keywords", F.coalesce("keywords", none))
+
+
+def boundary_report(boundaries: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """Per programme over refined boundaries: how many, how many for each reason, the share off the grid and the
-    upper median of how far they moved."""
+    upper median of how far they moved. With the ``keywords`` (video_id, position, keywords) of its stories also alike:
+    how many stories share more than half of their keywords, or of the next one's if those are fewer, with the next
+    story, and so may be one story cut in two."""
     moved = F.abs(F.col("at_ms") - F.col("coarse_ms"))
     rows = boundaries.withColumn("_m", moved).withColumn("_r", F.row_number().over(W.partitionBy("video_id").orderBy("_m", "at_ms"))).withColumn("_n", F.count("*").over(W.partitionBy("video_id")))
     has = lambda r: F.count_if(F.array_contains("reasons", r))
-    return rows.groupBy("video_id").agg(
+    report = rows.groupBy("video_id").agg(
         F.count("*").alias("boundaries"), has("lexical-cohesion").alias("lexical_cohesion"), has("topic-change").alias("topic_change"), has("music-break").alias("music_break"),
         F.count_if(F.col("refined") == "music-cut").alias("music_cut"), F.count_if(F.col("refined") == "speaker-cut").alias("speaker_cut"), F.count_if(F.col("refined") == "lexical-cut").alias("lexical_cut"),
         F.round(F.avg((F.col("_m") > 0).cast("double")), 6).alias("off_grid"), F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("_m"))).alias("median_shift_ms"),
     )
+    if keywords is None:
+        return report
+    pairs = keywords.withColumn("_next", F.lead("keywords").over(W.partitionBy("video_id").orderBy("position")))
+    alike = 2 * F.size(F.array_intersect("keywords", "_next")) > F.least(F.size("keywords"), F.size("_next"))
+    return report.join(pairs.groupBy("video_id").agg(F.count_if(alike).alias("alike")), "video_id", "left").withColumn("alike", F.coalesce("alike", F.lit(0).cast("long")))
 
 
 #: range of time in which spans and cues meet

@@ -71,13 +71,6 @@ def _(v):
     return _moved(v).select("video_id", "block", "coarse_ms", "at_ms", "refined")
 
 
-@register("boundary_report", _REFINED + """, rr AS (SELECT *, abs(at_ms - coarse_ms) AS m, row_number() OVER (PARTITION BY video_id ORDER BY abs(at_ms - coarse_ms), at_ms) AS r, count(*) OVER (PARTITION BY video_id) AS n FROM moved)
- SELECT video_id, count(*) AS boundaries, count(*) FILTER (list_contains(reasons, 'lexical-cohesion')) AS lexical_cohesion, count(*) FILTER (list_contains(reasons, 'topic-change')) AS topic_change, count(*) FILTER (list_contains(reasons, 'music-break')) AS music_break, count(*) FILTER (refined = 'music-cut') AS music_cut, count(*) FILTER (refined = 'speaker-cut') AS speaker_cut, count(*) FILTER (refined = 'lexical-cut') AS lexical_cut,
- round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS off_grid, max(m) FILTER (r = n // 2 + 1) AS median_shift_ms FROM rr GROUP BY 1""")
-def _(v):
-    return segment.boundary_report(_moved(v))
-
-
 _SPANS = _REFINED + """, fe AS (SELECT video_id, max(end_ms) AS fin FROM e GROUP BY 1 HAVING max(end_ms) > 0), ca AS (SELECT video_id, at_ms AS start_ms FROM moved UNION SELECT video_id, 0 FROM fe),
 spans AS (SELECT * FROM (SELECT ca.video_id, ca.start_ms, coalesce(lead(ca.start_ms) OVER (PARTITION BY ca.video_id ORDER BY ca.start_ms), fin) AS end_ms FROM ca JOIN fe ON fe.video_id = ca.video_id) WHERE start_ms < end_ms) """
 #: left fold of spans sp (video_id, start_ms, end_ms, rn): a span joins the open one where either is short
@@ -104,16 +97,36 @@ stories AS (SELECT s.video_id, row_number() OVER (PARTITION BY s.video_id ORDER
  FROM said2 s LEFT JOIN moved mv ON mv.video_id = s.video_id AND mv.at_ms = s.start_ms WHERE length(s.text) >= 40) """
 
 
-@register("assemble_segments", _STORIES + "SELECT video_id, position, start_ms, end_ms, sha256(text) AS text_sha256, reasons, confidence FROM stories")
-def _(v):
+def _stories(v, moved):
     cues = keep(_cues(v), "cues")
-    moved = _moved(v)
     ends = cues.groupBy("video_id").agg(F.max("end_ms").alias("end_ms")).where("end_ms > 0")
     spans = windows.merge_short_spans(segment.spans_from_boundaries(moved, ends), MIN_MS)
-    out = segment.assemble_segments(spans, moved, cues)
+    return segment.assemble_segments(spans, moved, cues)
+
+
+@register("assemble_segments", _STORIES + "SELECT video_id, position, start_ms, end_ms, sha256(text) AS text_sha256, reasons, confidence FROM stories")
+def _(v):
+    out = _stories(v, _moved(v))
     return out.select("video_id", "position", "start_ms", "end_ms", F.sha2("text", 256).alias("text_sha256"), F.array_join("reasons", "+").alias("reasons"), F.round("confidence", 6).alias("confidence"))
 
 
+#: neighbours of which more than half of the (fewer) six best words are the same
+_ALIKE = """, kt AS (SELECT video_id, position, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+|\\p{So}'), lambda t: length(t) >= 2)) AS token FROM stories),
+kc AS (SELECT video_id, position, token, count(*) AS occ FROM kt GROUP BY ALL), ks AS (SELECT *, round(CAST(occ AS DOUBLE) / sum(occ) OVER (PARTITION BY video_id, position) * (1 + least(length(token), 12) / CAST(12 AS DOUBLE)), 6) AS score FROM kc),
+kk AS (SELECT video_id, position, token FROM (SELECT *, row_number() OVER (PARTITION BY video_id, position ORDER BY score DESC, token) AS r FROM ks) WHERE r <= 6), kn AS (SELECT video_id, position, count(*) AS n FROM kk GROUP BY ALL),
+sh AS (SELECT a.video_id, a.position, count(*) AS same FROM kk a JOIN kk b ON b.video_id = a.video_id AND b.position = a.position + 1 AND b.token = a.token GROUP BY ALL),
+alike AS (SELECT sh.video_id, count(*) AS alike FROM sh JOIN kn x ON x.video_id = sh.video_id AND x.position = sh.position JOIN kn y ON y.video_id = sh.video_id AND y.position = sh.position + 1 WHERE 2 * same > least(x.n, y.n) GROUP BY 1) """
+
+
+@register("boundary_report", _STORIES + _ALIKE + """, rr AS (SELECT *, abs(at_ms - coarse_ms) AS m, row_number() OVER (PARTITION BY video_id ORDER BY abs(at_ms - coarse_ms), at_ms) AS r, count(*) OVER (PARTITION BY video_id) AS n FROM moved)
+ SELECT video_id, count(*) AS boundaries, count(*) FILTER (list_contains(reasons, 'lexical-cohesion')) AS lexical_cohesion, count(*) FILTER (list_contains(reasons, 'topic-change')) AS topic_change, count(*) FILTER (list_contains(reasons, 'music-break')) AS music_break, count(*) FILTER (refined = 'music-cut') AS music_cut, count(*) FILTER (refined = 'speaker-cut') AS speaker_cut, count(*) FILTER (refined = 'lexical-cut') AS lexical_cut,
+ round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS off_grid, max(m) FILTER (r = n // 2 + 1) AS median_shift_ms, coalesce(any_value(alike), 0) AS alike FROM rr LEFT JOIN alike USING (video_id) GROUP BY 1""")
+def _(v):
+    moved = _moved(v)
+    stories = keep(_stories(v, moved), "stories")
+    return segment.boundary_report(moved, segment.story_keywords(stories, 6))
+
+
 @register("segment_programmes", _STORIES + "SELECT video_id, position, start_ms, end_ms, length(text) AS chars, reasons FROM stories")
 def _(v):
     out = segment.segment_programmes(_cues(v), v("t_terms"), MIN_MS)

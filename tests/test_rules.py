@@ -502,3 +502,41 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text('title,content,source,url,published_at\nT,"two\nlines",,,2024-01-02T03:04:05\nU,c,s,u,never\n')
     got = [(r["source"], r["content"], r["published_at"] is None) for r in files.read_articles_csv(spark, str(tmp_path / "a.csv")).collect()]
     assert got == [("sample", "two\nlines", False), ("s", "c", True)]
+
+
+def test_terms_are_counted_where_they_are_matched(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["ab", "cdefgh", "xxcdefghx", "q", "", "abcdef", None]
+    rows = spark.createDataFrame([(i, None if i == 3 else [r.choice(words) for _ in range(r.randint(0, 14))]) for i in range(60)], "doc_id long, tokens array<string>")
+    terms = spark.createDataFrame([("ab",), ("cdefgh",), ("ab q",), ("q ab cdefgh",), ("",)], "term string")
+    want = Counter((m["doc_id"], m["term"]) for m in lexicon.term_matches(rows, terms).collect())
+    assert want and {(c["doc_id"], c["term"]): c["n"] for c in lexicon.term_counts(rows, terms).collect()} == want
+    assert lexicon.term_counts(rows, terms.limit(0)).count() == 0
+    monkeypatch.setattr(lexicon, "MOST_TERMS", 0)
+    assert {(c["doc_id"], c["term"]): c["n"] for c in lexicon.term_counts(rows, terms).collect()} == want
+
+
+def test_cohesion_of_a_programme_of_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(segment, "RUN", 8)
+    r = random.Random(5)
+    blocks = [[r.choice("abcdefg") for _ in range(r.choice([0, 1, 6]))] for _ in range(75)]
+    grid = spark.createDataFrame([(1, b) for b in range(75)], "video_id long, block long")
+    terms = spark.createDataFrame([(1, b, t) for b, ts in enumerate(blocks) for t in ts], "video_id long, block long, term string")
+    for k in (1, 3):
+        got = {x["gap"]: x["similarity"] for x in segment.cohesion(grid, terms, k).collect()}
+        for g in range(1, 75):
+            left, right = (Counter(t for ts in part for t in ts) for part in (blocks[max(g - k, 0) : g], blocks[g : g + k]))
+            norm = math.sqrt(sum(n * n for n in left.values()) * sum(n * n for n in right.values()))
+            assert got[g] == pytest.approx(sum(n * right[t] for t, n in left.items()) / norm if norm else 0.0, abs=1e-6)
+        assert len(got) == 75 and got[0] == 1.0
+
+
+def test_report_counts_neighbours_that_share_their_keywords(spark):
+    moved = spark.createDataFrame([(1, 30, 0, ["topic-change"], "grid"), (2, 60, 60, ["music-break"], "music-cut")], "video_id long, at_ms long, coarse_ms long, reasons array<string>, refined string")
+    stories = [(1, 0, "storm storm rain coast coast"), (1, 1, "storm rain coast harbour"), (1, 2, "vote vote party"), (1, 3, "a b"), (3, 0, "x")]
+    words = segment.story_keywords(spark.createDataFrame(stories, "video_id long, position long, text string"), 3)
+    said = {(w["video_id"], w["position"]): set(w["keywords"]) for w in words.collect()}
+    assert said[1, 0] == {"storm", "rain", "coast"} and said[1, 3] == set() == said[3, 0]
+    got = {x["video_id"]: x["alike"] for x in segment.boundary_report(moved, words).collect()}
+    assert got == {1: 1, 2: 0}
+    assert "alike" not in segment.boundary_report(moved).columns
