@@ -28,8 +28,7 @@ def _(v):
 @register("write_chat_snapshots", "SELECT CAST(stream_id AS VARCHAR) AS video_id, count(*) + 1 AS lines FROM t_messages GROUP BY 1")
 def _(v):
     spark, path = _snapshots(v)
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    return lines.groupBy(F.regexp_extract(F.col("_metadata.file_path"), "/video=([^/]+)/", 1).alias("video_id")).agg(F.count("*").alias("lines"))
+    return files.read_packs(spark, path).groupBy("video_id").agg(F.count("*").alias("lines"))
 
 
 @register("snapshot_inventory", "SELECT CAST(stream_id AS VARCHAR) AS video_id, 'Stream ' || CAST(stream_id AS VARCHAR) AS title, 'events' AS channel, count(*) AS message_count, true AS sized FROM t_messages GROUP BY ALL")
@@ -50,7 +49,7 @@ def _(v):
     action = F.concat(F.lit('{"addChatItemAction":{"item":{"'), kind, F.lit('":'), body, F.lit("}}}"))
     line = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"replayChatItemAction":{"videoOffsetTimeMsec":"'), F.col("offset_ms").cast("string"), F.lit('","actions":[{"tick":1},'), action, F.lit("]}}"))).otherwise(action)
     path = files.scratch(m.sparkSession, "raw")
-    m.select(F.col("stream_id").alias("video"), line.alias("value")).write.partitionBy("video").text(path)
+    files.write_packs(m.select(F.col("stream_id").alias("video_id"), line.alias("value")), path)
     return files.read_raw_live_chat(m.sparkSession, path).select("video_id", "message_id", "author", "text", F.unix_micros("published_at").alias("us"), "offset_ms")
 
 
@@ -62,7 +61,8 @@ def _captions(v):
     said = F.when(F.col("non_speech"), "[music]").otherwise(F.col("text"))
     event = F.struct("start_ms", F.struct(F.col("start_ms").alias("tStartMs"), F.col("duration_ms").alias("dDurationMs"), F.array(F.struct(said.alias("utf8"))).alias("segs")).alias("e"))
     path = files.scratch(c.sparkSession, "captions")
-    c.groupBy(F.col("video_id").alias("video")).agg(F.transform(F.sort_array(F.collect_list(event)), lambda x: x["e"]).alias("events")).write.partitionBy("video").json(path)
+    rows = c.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(event)), lambda x: x["e"]).alias("events"))
+    files.write_packs(rows.select("video_id", F.to_json(F.struct("events")).alias("value")), path)
     return files.read_captions(c.sparkSession, path)
 
 
@@ -133,7 +133,7 @@ def _(v):
     path = files.scratch(m.sparkSession, "results")
     files.replace_stream_results(m.withColumn("run", F.lit("old")), path)
     files.replace_stream_results(m.where("stream_id % 3 = 0 and event_id % 2 = 0").withColumn("run", F.lit("new")), path)
-    return m.sparkSession.read.parquet(path).groupBy(F.col("stream_id").cast("long").alias("stream_id"), "run").agg(F.count("*").alias("n"))
+    return merge.read(m.sparkSession, path).groupBy("stream_id", "run").agg(F.count("*").alias("n"))
 
 
 def _streamed(v, make, twice=False):
