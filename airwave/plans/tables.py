@@ -95,17 +95,17 @@ def _parts(v):
     d = v("t_documents").select("title", "content", F.col("topic_ord").alias("topic"), "sentiment")
     path = files.scratch(d.sparkSession, "labelled")
     files.write_labelled_dataset(d, path)
-    return files.read_labelled_parts(d.sparkSession, path)
+    return files.read_labelled_parts(d.sparkSession, path, "\n")
 
 
 @register("read_labelled_parts", f"SELECT {_CSV}, CAST(topic_ord AS VARCHAR) AS topic, sentiment, count(*) AS n FROM t_documents GROUP BY ALL")
 def _(v):
-    return _parts(v).groupBy(F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_sha256"), "topic", "sentiment").agg(F.count("*").alias("n"))
+    return _parts(v).groupBy(F.sha2("content", 256).alias("content_sha256"), "topic", "sentiment").agg(F.count("*").alias("n"))
 
 
 @register("write_labelled_dataset", "SELECT count(*) AS rows, count(DISTINCT topic_ord) AS topics, count(DISTINCT trim(title)) AS titles FROM t_documents")
 def _(v):
-    return _parts(v).agg(F.count("*").alias("rows"), F.countDistinct("topic").alias("topics"), F.countDistinct(F.coalesce("title", F.lit(""))).alias("titles"))
+    return _parts(v).agg(F.count("*").alias("rows"), F.countDistinct("topic").alias("topics"), F.countDistinct("title").alias("titles"))
 
 
 @register("read_articles_csv", "SELECT sha256(content) AS content_sha256, CASE WHEN id % 2 = 0 THEN 'sample' ELSE coalesce(nullif(source, ''), 'sample') END AS source, CASE WHEN id % 3 <> 0 THEN 'https://a.example/' || CAST(id AS VARCHAR) END AS url, CASE WHEN id % 5 <> 0 THEN epoch_us(published_at) // 1000000 END AS seconds FROM t_documents")
