@@ -35,8 +35,9 @@ from . import common
 from .hashing import LOWER, Probe, concatenate, mix, stretch_hash
 from .pieces import gather, slices
 
-#: frequent words or pairs that are broadcast, bytes of text read at a time, suffixes that a task holds before it sends them
-WHOLE, STEP, HELD = 1 << 22, 2 << 20, 2 << 20
+#: frequent words or pairs that are broadcast, bytes of text read at a time, suffixes that a task holds before it sends them,
+#: bytes of blobs that it sends at a time
+WHOLE, STEP, HELD, SENT = 1 << 22, 2 << 20, 2 << 20, 4 << 20
 #: pointers of a partition that a plain sort finishes, and candidates that one task ranks
 SMALL, RANKED = 1 << 12, 1 << 17
 
@@ -85,7 +86,8 @@ def vocabulary(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def _sorted_keys(rows: DataFrame) -> np.ndarray | None:
-    """The column key in order, if it has at most ``WHOLE`` rows."""
+    """The keys of ``rows`` in order, the column key or for pairs what names ``words``, if they are at most ``WHOLE``. They are
+    named and packed in one pass: one over another would have two Python workers a task, and the executor keeps both."""
     if rows.count() > WHOLE:
         return None
 
@@ -93,9 +95,16 @@ def _sorted_keys(rows: DataFrame) -> np.ndarray | None:
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], ["keys"])
+            keys = batch.column(0)
+            if pa.types.is_list(keys.type):
+                k = keys.flatten().to_numpy().view(np.uint64).reshape(-1, 2)
+                keys = pair_key(k[:, 0], k[:, 1])
+            else:
+                keys = keys.to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary())], ["keys"])
 
-    return np.sort(np.frombuffer(b"".join(bytes(r["keys"]) for r in rows.select("key").mapInArrow(run, "keys binary").collect()), np.uint64))
+    packed = rows.select("key" if "key" in rows.columns else "words").mapInArrow(run, "keys binary")
+    return np.sort(np.frombuffer(b"".join(bytes(r["keys"]) for r in packed.collect()), np.uint64))
 
 
 class Coder:
@@ -119,35 +128,66 @@ class Coder:
 
 
 def distinct(columns: list[np.ndarray], small: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows in order and how often each stands there; ``small``: numbers fit 32 bits, and so two fit one key."""
+    """Distinct rows in order and how often each stands there; ``small``: numbers fit 32 bits, and so two fit one key.
+    The list is used up, so that no column is held longer than it is read."""
     if small:
-        columns = [columns[i] << np.uint64(32) | (columns[i + 1] if i + 1 < len(columns) else np.uint64(0)) for i in range(0, len(columns), 2)]
+        width, packed = len(columns), []
+        while columns:
+            key = columns.pop(0).astype(np.uint64) << np.uint64(32)
+            if columns:
+                key |= columns.pop(0)
+            packed.append(key)
+        columns = packed
     if len(columns) == 1:
         key, n = np.unique(columns[0], return_counts=True)
         columns = [key]
     else:
         order = np.lexsort(columns[::-1])
-        columns = [c[order] for c in columns]
-        new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])] if len(order) else np.zeros(0, bool)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for i, c in enumerate(columns):
+            columns[i] = c = c[order]
+            new[1:] |= c[1:] != c[:-1]
         at = np.flatnonzero(new)
-        columns, n = [c[at] for c in columns], np.diff(np.r_[at, len(order)])
+        n = np.diff(np.r_[at, len(order)])
+        del c, order, new
+        for i in range(len(columns)):
+            columns[i] = columns[i][at]
     if small:
-        columns = [x for c in columns for x in (c >> np.uint64(32), c & np.uint64(2**32 - 1))]
+        columns = [x for c in columns for x in ((c >> np.uint64(32)).astype(np.uint32), c.astype(np.uint32))][:width]
     return columns, n
 
 
 def route(columns: list[np.ndarray], n: np.ndarray, lead: int, buckets: int, kind: np.dtype) -> Iterator:
-    """(bucket, size, blob): the suffixes of each bucket, which their ``lead`` first words decide; one column after the other."""
+    """(bucket, size, blob): the suffixes of each bucket, which their ``lead`` first words decide; one column after the other.
+    The list is used up."""
     h = np.full(len(n), 7, np.uint64)
     for c in columns[:lead]:
         h = mix(h * _NEXT + c)
     bucket = (h % np.uint64(buckets)).astype(np.int32)
+    del h
     order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    columns, n = [c[order].astype(kind) for c in columns], n[order].astype("<u4")
+    bucket, n = bucket[order], n[order].astype("<u4")
+    for i in range(len(columns)):
+        columns[i] = columns[i][order].astype(kind, copy=False)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    del order
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
         yield int(bucket[a]), b - a, b"".join([*(c[a:b].tobytes() for c in columns), n[a:b].tobytes()])
+    columns.clear()
+
+
+def together(routed: Iterator) -> Iterator[list]:
+    """Blobs of some ``SENT`` bytes at a time, or one longer one: each lot is one Arrow batch, which the JVM holds whole."""
+    some, size = [], 0
+    for one in routed:
+        if some and size + len(one[2]) > SENT:
+            yield some
+            some, size = [], 0
+        some.append(one)
+        size += len(one[2])
+    if some:
+        yield some
 
 
 def quicksort(columns: list[np.ndarray], weight: np.ndarray, least: int, end, shortest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -211,31 +251,38 @@ def counts(rows: DataFrame, seed: int, least: int, words_known, pairs_known, lon
         held: list[list[np.ndarray]] = []
 
         def sent():
-            columns = [np.concatenate(c).astype(np.uint64) for c in zip(*held)]
+            columns = []
+            for i in range(longest):
+                columns.append(np.concatenate([h[i] for h in held]))
+                for h in held:
+                    h[i] = None
             held.clear()
             columns, n = distinct(columns, small)
-            for at in range(0, len(made := list(route(columns[:longest], n, lead, buckets, coder.kind))), 4096):
-                cols = list(zip(*made[at : at + 4096]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "size", "blob"])
+            for some in together(route(columns, n, lead, buckets, coder.kind)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "size", "blob"])
 
-        for part in slices(batches, "text", STEP):
-            key, same, *_ = read_words(part, seed)
+        def read(part):
+            key, same = read_words(part, seed)[:2]
             if not len(key):
-                continue
+                return None
             word = coder.encode(key)
             goes = same & (word != coder.end) & np.r_[word[1:] != coder.end, False]  # the next word continues this one
             if pairs is not None:
                 at = np.flatnonzero(goes)
                 goes[:] = False
                 goes[at[pairs(pair_key(key[at], key[at + 1]))[0]]] = True
-            wide = np.concatenate([word, np.full(longest, coder.end)])
+            wide = np.concatenate([word, np.full(longest, coder.end)]).astype(coder.kind)
             at = np.flatnonzero(goes if first_round else goes & np.r_[goes[1:], False])
-            columns, on = [word[at]], np.ones(len(at), bool)
+            columns, on = [wide[at]], np.ones(len(at), bool)
             more = np.concatenate([goes, np.zeros(longest, bool)])
             for d in range(1, longest):
                 on = on & more[at + d - 1]
-                columns.append(np.where(on, wide[at + d], coder.end))
-            held.append([c.astype(coder.kind) for c in columns])
+                columns.append(np.where(on, wide[at + d], coder.end.astype(coder.kind)))
+            return columns
+
+        for part in slices(batches, "text", STEP):
+            if columns := read(part):
+                held.append(columns)
             if sum(len(h[0]) for h in held) >= HELD:
                 yield from sent()
         if held:
@@ -249,7 +296,7 @@ def counts(rows: DataFrame, seed: int, least: int, words_known, pairs_known, lon
 
         def sorted_(blobs):
             parts = [[np.frombuffer(b, coder.kind, m, i * m * width) for i in range(longest)] + [np.frombuffer(b, "<u4", m, longest * m * width)] for m, b in blobs]
-            columns = [np.concatenate(c).astype(np.uint64) for c in zip(*parts)]
+            columns = [np.concatenate(c) for c in zip(*parts)]
             found = quicksort(columns[:-1], columns[-1].astype(np.int64), least, coder.end, lead)
             by_depth: dict[int, list] = {}
             for depth, at, f in found:
@@ -262,12 +309,12 @@ def counts(rows: DataFrame, seed: int, least: int, words_known, pairs_known, lon
 
         own, blobs = None, []
         for batch in batches:
-            for bucket, size, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for bucket, size, blob in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2)):
                 if bucket != own and blobs:
                     yield from sorted_(blobs)
                     blobs = []
                 own = bucket
-                blobs.append((size, blob))
+                blobs.append((size, blob.as_buffer()))  # read where the batch has it
         if blobs:
             yield from sorted_(blobs)
 
@@ -297,15 +344,7 @@ def frequent(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, Data
     pairs = common.cut(counts(rows, seed, least, known, None, 2), "pairs")
     out = often.select(F.array("key").alias("words"), F.col("n").alias("f")).unionByName(pairs)
     if longest > 2:
-
-        def named(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                k = batch.column(0).flatten().to_numpy().view(np.uint64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pair_key(k[:, 0], k[:, 1]).view(np.int64))], ["key"])
-
-        pair_keys = share(_sorted_keys(pairs.select("words").mapInArrow(named, "key long")))
+        pair_keys = share(_sorted_keys(pairs))
         out = out.unionByName(common.cut(counts(rows, seed, least, known, pair_keys, longest), "longer"))
     return out, words
 

@@ -103,3 +103,38 @@ def test_quicksort_sizes_are_counts(monkeypatch, small):
             assert key not in got
             got[key] = c
     assert got == {k: v for k, v in want.items() if v >= 20}
+
+
+def test_no_task_has_two_python_workers(spark, monkeypatch):
+    """A pass over rows that another Python pass made would run in a worker of its own, and executors keep both."""
+    frame, plans = type(spark.range(0)), []
+    for owner, name in ((frame, "collect"), (frame, "count"), (phrases.common, "cut")):
+        plain = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda df, *a, plain=plain: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or plain(df, *a))
+    d = spark.createDataFrame(some_rows(), "doc_id long, text string, lang string")
+    phrases.frequent(d, 6, 4)
+    stages = [stage for plan in plans for stage in re.split(r"Exchange|Repartition", plan)]
+    assert max(s.count("MapInArrow") for s in stages) == 1
+
+
+@pytest.mark.parametrize("longest", [2, 3, 4])
+def test_suffixes_are_sent_in_bounded_lots(monkeypatch, longest):
+    """Every suffix goes once, in lots that hold no more than they may."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 50, (200_000, longest)).astype(np.uint32)
+    want = Counter(map(tuple, rows.tolist()))
+    monkeypatch.setattr(phrases, "SENT", 10_000)
+    columns = [rows[:, i].copy() for i in range(longest)]
+    columns, n = phrases.distinct(columns, True)
+    got, biggest = Counter(), 0
+    for lot in phrases.together(phrases.route(columns, n, 2, 300, np.dtype("<u4"))):
+        biggest = max(biggest, sum(len(blob) for _, _, blob in lot) if len(lot) > 1 else 0)
+        for _, m, blob in lot:
+            *words, f = np.frombuffer(blob, "<u4").reshape(longest + 1, m).tolist()
+            got.update(dict(zip(zip(*words), f)))
+    assert got == want and biggest <= 10_000
+
+
+def test_distinct_uses_its_columns_up():
+    columns = [np.arange(8, dtype=np.uint32) for _ in range(4)]
+    assert len(phrases.distinct(columns, True)[0]) == 4 and not columns
